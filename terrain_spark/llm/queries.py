@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, repair, token_counts
+from . import bpe, repair, token_counts, url_filter
 from .common import documents
 
 
@@ -28,10 +28,51 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: Rules of the query, and hosts that are blocked where no rule fits.
+RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
+LISTED_HOSTS = [f"{name}.example.{top}" for name in ("casino-win", "cheap-pills", "spam-farm") for top in ("com", "net", "org")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every url."""
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, LISTED_HOSTS)
+
+
+OP9_SQL = """
+WITH parts AS (
+  SELECT page_id,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest
+  FROM pages),
+urls AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM parts),
+ruled AS (
+  SELECT page_id, host, path,
+    CASE
+      WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/'
+    END AS rule
+  FROM urls)
+SELECT page_id, host, path, rule,
+  CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host, '(^|[.])(casino-win|cheap-pills|spam-farm)[.]example[.](com|net|org)$') THEN 'block'
+    ELSE 'allow'
+  END AS verdict
+FROM ruled
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_repair_files": op3_repair_files,
     "op6_token_counts": op6_token_counts,
+    "op9_url_filter": op9_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
