@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, repair, token_counts, url_filter
+from . import bpe, outliers, repair, token_counts, url_filter
 from .common import documents
 
 
@@ -38,6 +38,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, LISTED_HOSTS)
 
 
+def op10_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every text, and whether they lie among those of its language and source."""
+    return outliers.judge(documents(spark, sf_dir))
+
+
 OP9_SQL = """
 WITH parts AS (
   SELECT page_id,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repair_files": op3_repair_files,
     "op6_token_counts": op6_token_counts,
     "op9_url_filter": op9_url_filter,
+    "op10_outliers": op10_outliers,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
