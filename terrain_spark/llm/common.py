@@ -128,3 +128,32 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
 
 
 __all__ = ["CHECKPOINT_KEY", "F", "T", "WordHashes", "add_columns", "chunks", "documents", "hash64", "map_arrow", "shared_dir", "stored", "texts_of", "windows"]
+
+
+class Rolling:
+    """Karp-Rabin hashes of any run of ``h``, modulo 2**64, from prefix sums."""
+
+    BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, h: np.ndarray, which: int = 0):
+        up, down = self.powers(which, len(h))
+        self.up = up
+        self.sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * down[: len(h)], out=self.sums[1:])
+
+    @classmethod
+    def powers(cls, which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        got = cls._powers.get(which)
+        if got is None or len(got[0]) < n:
+            size, base = max(4096, 1 << max(n, 1).bit_length()), cls.BASES[which]
+            got = cls._powers[which] = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)))) for b in (base, pow(base, -1, 1 << 64)))
+        return got
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of h[start:end], the same for the same run wherever it stands."""
+        return hash64((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(np.uint64))
+
+    def windows(self, n: int) -> np.ndarray:
+        m = len(self.sums) - n
+        return self.of(np.arange(m), np.arange(m) + n) if m > 0 else np.zeros(0, np.uint64)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, outliers, repair, token_counts, url_filter
+from . import bpe, decontaminate, line_dedup, outliers, repair, token_counts, url_filter
 from .common import documents
 
 
@@ -23,6 +23,17 @@ def op3_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that leak into them."""
+    found = decontaminate.leaks(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", F.inline("leaks"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated units: their documents and places, and the documents that keep them."""
+    return line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.inline("removed"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of bytes and tokens of every text."""
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -76,6 +87,8 @@ FROM ruled
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_repair_files": op3_repair_files,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_outliers": op10_outliers,
