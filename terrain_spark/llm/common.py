@@ -64,6 +64,18 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def portions(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Cuts of ``texts`` of some ``size`` characters each, so that what is made of them stays small."""
+    start = total = 0
+    for i, x in enumerate(texts, 1):
+        total += len(x)
+        if total >= size:
+            yield start, i
+            start, total = i, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def chunks(text: str) -> list[str]:
     """Cuts ``text`` before single spaces, where the byte-level pattern always ends a match.
 
@@ -127,7 +139,7 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return hash64(out)
 
 
-__all__ = ["CHECKPOINT_KEY", "F", "T", "WordHashes", "add_columns", "chunks", "documents", "hash64", "map_arrow", "shared_dir", "stored", "texts_of", "windows"]
+__all__ = ["CHECKPOINT_KEY", "F", "T", "WordHashes", "add_columns", "chunks", "documents", "hash64", "map_arrow", "portions", "shared_dir", "stored", "texts_of", "windows"]
 
 
 class Rolling:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import F, T, chunks, map_arrow, shared_dir, texts_of
+from .common import F, T, chunks, map_arrow, portions, shared_dir, texts_of
 
 #: Ids in a shard at which it ends, rules of a round, rounds, and occurrences that make a rule worth it.
 SHARD_IDS, ROUND_RULES, ROUNDS, LEAST = 2_000_000, 1024, 5, 24
@@ -33,7 +33,7 @@ SHARD_IDS, ROUND_RULES, ROUNDS, LEAST = 2_000_000, 1024, 5, 24
 class Encoder:
     """Ids as bytes by the tokenizers library, remembered for each chunk (see ``chunks``) up to a bound."""
 
-    def __init__(self, data: bytes, bound: int = 500_000):
+    def __init__(self, data: bytes, bound: int = 300_000):
         import tokenizers
 
         self.lib, self.bound = tokenizers.Tokenizer.from_buffer(data), bound
@@ -55,8 +55,8 @@ class Encoder:
         if len(self.cache) + len(missing) > self.bound:
             self.cache.clear()
             missing = list(wanted)
-        for i in range(0, len(missing), 10_000):
-            some = missing[i : i + 10_000]
+        for i in range(0, len(missing), 2000):
+            some = missing[i : i + 2000]
             self.cache.update(zip(some, self.exact([" " + x for x in some]), strict=True))
         get, last = self.cache.__getitem__, np.array([end], "<u4").tobytes()
         first = self.exact([x if p is None else p[0] for x, p in zip(texts, cut, strict=True)])
@@ -167,9 +167,10 @@ def write(df: DataFrame, tokenizer: str, path: str, end: int = 0, shard_ids: int
         pack = zstandard.ZstdCompressor(level=1).compress
 
         def each(batch: pa.RecordBatch):
-            for i in range(0, batch.num_rows, 2000):
-                some = batch.slice(i, 2000)
-                out = [pack(np.frombuffer(x, "<u4").astype("<u2").tobytes()) if small else pack(x) for x in encode(texts_of(some.column(1)), end)]
+            texts = texts_of(batch.column(1))
+            for i, j in portions(texts):
+                some = batch.slice(i, j - i)
+                out = [pack(np.frombuffer(x, "<u4").astype("<u2").tobytes()) if small else pack(x) for x in encode(texts[i:j], end)]
                 docs = some.column(0)
                 place = np.where(docs.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, docs.fill_null(0).to_numpy(zero_copy_only=False)))
                 yield pa.RecordBatch.from_arrays([docs, pa.array(place, pa.int32()), pa.array(out, pa.binary())], names=encoded.names)

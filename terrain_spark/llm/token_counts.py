@@ -13,7 +13,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import F, T, chunks, map_arrow, texts_of
+from .common import F, T, chunks, map_arrow, portions, texts_of
 
 #: Summary entries of a task while it counts; those that it hands on; entries of the broadcast table (some 1 MB).
 COUNTED, HANDED, FREQUENT = 60_000, 2_000, 30_000
@@ -22,7 +22,7 @@ COUNTED, HANDED, FREQUENT = 60_000, 2_000, 30_000
 class Counter:
     """Numbers of tokens of chunks by the library of the file's kind; see ``chunks`` for why those add up."""
 
-    def __init__(self, kind: str, data: bytes, frequent: bytes = b"", lengths: bytes = b"", bound: int = 300_000):
+    def __init__(self, kind: str, data: bytes, frequent: bytes = b"", lengths: bytes = b"", bound: int = 200_000):
         self.kind, self.bound = kind, bound
         if kind == "json":
             import tokenizers
@@ -58,8 +58,8 @@ class Counter:
         if len(cache) + len(missing) > self.bound:
             cache.clear()
             missing = [x for x in wanted if x not in known]
-        for i in range(0, len(missing), 10_000):
-            some = missing[i : i + 10_000]
+        for i in range(0, len(missing), 2000):
+            some = missing[i : i + 2000]
             cache.update(zip(some, self.exact([" " + x for x in some]), strict=True))
         first = iter(self.exact([x if p is None else p[0] for x, p in zip(texts, cut, strict=True)]))
         out = []
@@ -118,7 +118,7 @@ def count_tokens(df: DataFrame, vocabulary: str, limit: int = 1024, frequent: li
 
         def each(batch: pa.RecordBatch):
             texts = texts_of(batch.column(1))
-            n = count(texts)
+            n = [x for a, b in portions(texts) for x in count(texts[a:b])]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=schema.names)
 
         return each
