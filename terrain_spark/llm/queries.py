@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, outliers, repair, token_counts, url_filter
+from . import bpe, decontaminate, line_dedup, outliers, quality, repair, token_counts, url_filter
 from .common import documents
 
 
@@ -17,6 +17,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log ratios of every document, and whether it is kept."""
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written as Re-Pair files and read back."""
     back = repair.written(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
@@ -86,6 +91,7 @@ FROM ruled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_quality": op2_quality,
     "op3_repair_files": op3_repair_files,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
