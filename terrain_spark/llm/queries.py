@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, outliers, quality, repair, token_counts, url_filter
+from . import bpe, decontaminate, line_dedup, lm_score, near_dup, outliers, quality, repair, token_counts, url_filter
 from .common import documents
 
 
@@ -49,6 +49,16 @@ RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example
 LISTED_HOSTS = [f"{name}.example.{top}" for name in ("casino-win", "cheap-pills", "spam-farm") for top in ("com", "net", "org")]
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document."""
+    return near_dup.classes(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text by a model of the texts that are not held out."""
+    return lm_score.score(documents(spark, sf_dir))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every url."""
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, LISTED_HOSTS)
@@ -96,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_near_dup": op7_near_dup,
+    "op8_lm_score": op8_lm_score,
     "op9_url_filter": op9_url_filter,
     "op10_outliers": op10_outliers,
 }
