@@ -1,10 +1,820 @@
-"""Every query of the reference's own operators, by name, with the SQL that must give the same rows."""
+"""Every query of the reference's own operators, by name, with the SQL that must give the same rows.
+
+The given tables have other subjects, so each query names the columns that stand in for maps, pixels or scenes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import classes, geo, idents
+from ..functions.taxonomy import BIOMES, DESCRIPTIONS, INSPECTION, LAND_COVER, PALETTES, PROMPTS, REQUIRED_FILES, TILE_PREFIXES, TOPOGRAPHY, WEIGHTS, WORLD_COVER, biomes, inspection_palette, literal, palettes, source_weights, tile_prefixes, values, weight_map
+from ..operators import datasets, metrics, pyramid, ranking, raster, samples
+from . import lifecycles
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def rows_sql(columns: str, rows: list[tuple]) -> str:
+    """A constant table in DuckDB's SQL."""
+    text = lambda v: "[" + ", ".join(map(text, v)) + "]" if isinstance(v, list) else literal(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + f") AS t({columns})"
+
+
+# --- coverage -------------------------------------------------------------------------------------------------
+
+EVENTS = {"click": 0, "error": 3, "purchase": 4, "signup": 5, "view": 7}
+_ent = " + ".join(f"CASE WHEN n{i} > 0 THEN (n{i} / t) * ln(n{i} / t) ELSE 0 END" for i in EVENTS.values())
+
+
+def _event_class():
+    return F.try_element_at(F.create_map(*[F.lit(x) for p in EVENTS.items() for x in p]), F.col("event_type"))
+
+
+DIVERSITY_SQL = f"""
+WITH c AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS t, {", ".join(f"CAST(count(*) FILTER (WHERE event_type = '{e}') AS DOUBLE) AS n{i}" for e, i in EVENTS.items())}
+           FROM events WHERE event_type IN ({", ".join(map(repr, EVENTS))}) GROUP BY user_id),
+s AS (SELECT user_id, CAST(user_id % 140 - 70 AS INTEGER) AS lat, CAST(user_id % 350 - 175 AS INTEGER) AS lon,
+        round(-({_ent}) * pow(1.5, (n4 > 0)::INT + (n5 > 0)::INT + (n7 > 0)::INT), 6) AS score FROM c)
+SELECT user_id, printf('wc_%+03d_%+04d', lat, lon) AS region_id, score,
+  CASE WHEN lat > 23.5 THEN '2023-05-01/2023-09-30' WHEN lat < -23.5 THEN '2022-12-01/2023-02-28' ELSE '2023-01-01/2023-12-31' END AS season
+FROM s ORDER BY score DESC, user_id LIMIT 20
+"""
+
+
+@query(DIVERSITY_SQL)
+def diversity_topn(spark, sf):
+    cells = ranking.class_counts(table(spark, sf, "events").select("user_id", _event_class().alias("class")), ["user_id"], "class")
+    best = ranking.pick_regions(cells, 20, [F.col("user_id")])
+    lat, lon = (F.col("user_id") % 140 - 70).cast("int"), (F.col("user_id") % 350 - 175).cast("int")
+    return best.select("user_id", idents.signed_id(lat, lon).alias("region_id"), "score", geo.season(lat).alias("season"))
+
+
+# --- labels ---------------------------------------------------------------------------------------------------
+
+PARTS = "SELECT p_partkey, p_size * 2 AS h, CAST(p_partkey % 24 AS INTEGER) AS biome FROM part"
+_biome_rows = rows_sql("biome, lc", [(i, LAND_COVER.index(c)) for i, _, c in BIOMES])
+LABELS_SQL = f"""
+WITH p AS ({PARTS}), b AS (SELECT * FROM {_biome_rows})
+SELECT p.p_partkey, p.h, p.biome, CAST(CASE WHEN h < 20 THEN 0 ELSE coalesce(b.lc, 6) END AS INTEGER) AS lc,
+  CAST(CASE WHEN h < 20 THEN NULL WHEN h <= 36 THEN 0 WHEN h <= 64 THEN 1 ELSE 2 END AS INTEGER) AS topo,
+  round((h - 20) / 80.0 * 100.0, 6) AS norm_h
+FROM p LEFT JOIN b USING (biome)
+"""
+
+
+def _labelled(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 2).alias("h"), (F.col("p_partkey") % 24).cast("int").alias("biome"))
+    joined = rows.join(F.broadcast(biomes(spark).select("biome", "lc")), "biome", "left")
+    return joined.select("p_partkey", "h", "biome", classes.land_cover(F.col("h"), F.col("lc")).alias("lc"), classes.topography(F.col("h")).alias("topo"))
+
+
+@query(LABELS_SQL)
+def topo_landcover(spark, sf):
+    return _labelled(spark, sf).withColumn("norm_h", F.round(classes.normalised_height(F.col("h")), 6))
+
+
+@query(f"WITH l AS ({LABELS_SQL}) SELECT p_partkey, lc, CAST(CASE WHEN lc = 0 THEN 255 ELSE coalesce(topo, 255) END AS INTEGER) AS topo FROM l")
+def water_mask(spark, sf):
+    return raster.masked_water(_labelled(spark, sf)).select("p_partkey", "lc", "topo")
+
+
+CODE_SQL = "CAST(CASE WHEN l_orderkey % 11 = 0 THEN 95 WHEN l_orderkey % 13 = 0 THEN 100 WHEN l_orderkey % 17 = 0 THEN 33 ELSE l_linenumber * 10 END AS INTEGER)"
+
+
+def _codes(spark, sf):
+    k = F.col("l_orderkey")
+    return table(spark, sf, "lineitem").select(F.when(k % 11 == 0, 95).when(k % 13 == 0, 100).when(k % 17 == 0, 33).otherwise(F.col("l_linenumber") * 10).cast("int").alias("code"))
+
+
+@query(f"""WITH c AS (SELECT {CODE_SQL} AS code FROM lineitem), m AS (SELECT * FROM {rows_sql("code, lc", WORLD_COVER)})
+SELECT c.code, CAST(coalesce(m.lc, 255) AS INTEGER) AS lc, count(*) AS n FROM c LEFT JOIN m USING (code) GROUP BY 1, 2""")
+def wc_remap(spark, sf):
+    return _codes(spark, sf).withColumn("lc", classes.from_world_cover(F.col("code"))).groupBy("code", "lc").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT DISTINCT {CODE_SQL} AS code FROM lineitem WHERE {CODE_SQL} NOT IN (0, {', '.join(str(a) for a, _ in WORLD_COVER)})")
+def unknown_codes(spark, sf):
+    return ranking.unknown_codes(_codes(spark, sf), "code", [a for a, _ in WORLD_COVER])
+
+
+NAME_RULES = [("red", 1, 0), ("red widget", 1, 2), ("red w", 1, 1), ("small", 2, 0), ("small ri", 2, 1), ("o", 3, None), ("old anvil", 3, 1), ("cold gear", 4, 0)]
+
+
+@query(f"""WITH r AS (SELECT * FROM {rows_sql("prefix, lc, topo", NAME_RULES)}),
+m AS (SELECT p_partkey, p_name, prefix, lc, topo, row_number() OVER (PARTITION BY p_partkey ORDER BY length(prefix) DESC) AS rn FROM part JOIN r ON starts_with(p_name, prefix))
+SELECT p_partkey, p_name, prefix, CAST(lc AS INTEGER) AS lc, CAST(topo AS INTEGER) AS topo FROM m WHERE rn = 1""")
+def longest_prefix(spark, sf):
+    rules = values(spark, "prefix, lc, topo", NAME_RULES)
+    return samples.longest_prefix(table(spark, sf, "part").select("p_partkey", "p_name"), rules, "p_name")
+
+
+_stems = [p for p, _, _ in TILE_PREFIXES] + ["hex_river_bend", "hex_path"]
+_tile_sql = f"""
+n AS (SELECT p_partkey, list_extract([{", ".join(literal(s) for s in _stems)}], CAST(p_partkey % {len(_stems)} AS INTEGER) + 1) || '_' || p_partkey AS name FROM part),
+r AS (SELECT * FROM {rows_sql("prefix, lc, topo", TILE_PREFIXES)}),
+m AS (SELECT p_partkey, CAST(lc AS INTEGER) AS lc, CAST(topo AS INTEGER) AS topo, row_number() OVER (PARTITION BY p_partkey ORDER BY length(prefix) DESC) AS rn FROM n JOIN r ON starts_with(name, prefix)),
+tiles AS (SELECT p_partkey, lc, topo FROM m WHERE rn = 1)"""
+
+
+def _hex_tiles(spark, sf):
+    name = F.concat_ws("_", F.get(F.array(*[F.lit(s) for s in _stems]), (F.col("p_partkey") % len(_stems)).cast("int")), F.col("p_partkey").cast("string"))
+    return samples.longest_prefix(table(spark, sf, "part").select("p_partkey", name.alias("name")), tile_prefixes(spark)).select("p_partkey", "lc", "topo")
+
+
+@query(f"WITH {_tile_sql} SELECT * FROM tiles")
+def tile_labels(spark, sf):
+    return _hex_tiles(spark, sf)
+
+
+# --- manifests and splits -------------------------------------------------------------------------------------
+
+@query("""
+WITH f AS (SELECT CASE WHEN c_custkey % 37 = 0 THEN 'K' ELSE 'k' END || c_custkey // 100 || '_' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '.geojson' AS filename FROM customer),
+e AS (SELECT DISTINCT 'k' || o_custkey // 100 || '_' || lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0') || '.geojson' AS filename,
+        CASE WHEN o_custkey % 29 = 0 THEN 'other' ELSE 'k' || o_custkey // 100 END AS template FROM orders WHERE o_custkey % 5 <> 0
+      UNION ALL SELECT 'ghost_01.geojson', 'ghost'),
+j AS (SELECT coalesce(f.filename, e.filename) AS filename, f.filename IS NOT NULL AS there, e.filename IS NOT NULL AS listed, template FROM f FULL JOIN e ON f.filename = e.filename),
+x AS (SELECT filename, CASE WHEN there AND NOT regexp_full_match(filename, '[a-z][a-z0-9_]*_[0-9]{2}\\.geojson') THEN 'bad_name' END AS error FROM j
+      UNION ALL SELECT filename, CASE WHEN there AND NOT listed THEN 'unlisted' END FROM j
+      UNION ALL SELECT filename, CASE WHEN listed AND NOT there THEN 'phantom' END FROM j
+      UNION ALL SELECT filename, CASE WHEN there AND listed AND template <> regexp_replace(filename, '_[^_]*$', '') THEN 'template_mismatch' END FROM j)
+SELECT filename, error FROM x WHERE error IS NOT NULL
+""")
+def manifest_reconcile(spark, sf):
+    def name(k, upper):
+        head = F.when(k % 37 == 0, "K").otherwise("k") if upper else F.lit("k")
+        return F.concat(head, F.floor(k / 100).cast("string"), F.lit("_"), F.lpad((k % 100).cast("string"), 2, "0"), F.lit(".geojson"))
+
+    files = table(spark, sf, "customer").select(name(F.col("c_custkey"), True).alias("filename"))
+    k = F.col("o_custkey")
+    listed = table(spark, sf, "orders").where(k % 5 != 0).select(name(k, False).alias("filename"), F.when(k % 29 == 0, "other").otherwise(F.concat(F.lit("k"), F.floor(k / 100).cast("string"))).alias("template")).distinct()
+    return datasets.reconcile(files, listed.union(values(spark, "filename, template", [("ghost_01.geojson", "ghost")])))
+
+
+@query("""
+SELECT replace(c_name, '#', '_') AS src_id,
+  CASE WHEN c_custkey % 3 = 0 THEN 'seg_' || lower(c_mktsegment) ELSE lower(regexp_extract(replace(c_name, '#', '_'), '^(.+?)[ _-]+[0-9]+$', 1)) END AS template
+FROM customer
+""")
+def template_fallback(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", idents.sanitised(F.col("c_name")).alias("src_id"))
+    given = rows.where("c_custkey % 3 = 0").select("src_id", F.concat(F.lit("seg_"), F.lower("c_mktsegment")).alias("template"))
+    return datasets.with_template(rows.select("src_id"), given)
+
+
+@query("""
+WITH n AS (SELECT DISTINCT p_name || list_extract(['#', '_', ' '], CAST(p_partkey % 3 AS INTEGER) + 1) || (p_partkey % 20) AS name FROM part),
+s AS (SELECT name, regexp_replace(name, '[^a-zA-Z0-9_-]', '_', 'g') AS sid FROM n)
+SELECT sid, list_sort(list(name)) AS names, count(*) AS n FROM s GROUP BY sid HAVING count(*) > 1
+""")
+def id_collisions(spark, sf):
+    sign = F.get(F.array(F.lit("#"), F.lit("_"), F.lit(" ")), (F.col("p_partkey") % 3).cast("int"))
+    return datasets.collisions(table(spark, sf, "part").select(F.concat("p_name", sign, (F.col("p_partkey") % 20).cast("string")).alias("name")))
+
+
+SPLIT_SQL = """
+s AS (SELECT CAST(c_custkey AS VARCHAR) AS src_id, c_mktsegment AS template FROM customer),
+r AS (SELECT src_id, template, row_number() OVER (PARTITION BY template ORDER BY md5('42:' || template || ':' || src_id), src_id) AS rn, count(*) OVER (PARTITION BY template) AS n FROM s),
+split AS (SELECT src_id, template, CASE WHEN rn <= least(n, greatest(1, round_even(n * 0.15, 0))) THEN 'test' ELSE 'train' END AS subset FROM r)"""
+
+
+def _split(spark, sf):
+    return datasets.stratified_split(table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("src_id"), F.col("c_mktsegment").alias("template")))
+
+
+@query(f"WITH {SPLIT_SQL} SELECT src_id, template, subset FROM split")
+def stratified_split(spark, sf):
+    return _split(spark, sf)
+
+
+@query(f"WITH {SPLIT_SQL} SELECT o_orderkey, coalesce(subset, 'train') AS subset FROM orders LEFT JOIN (SELECT * FROM split WHERE subset = 'test') s ON s.src_id = CAST(o_custkey AS VARCHAR)")
+def split_routing(spark, sf):
+    test = _split(spark, sf).where("subset = 'test'").select(F.col("src_id").cast("bigint").alias("o_custkey"))
+    return datasets.routed(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), test, "o_custkey").select("o_orderkey", "subset")
+
+
+@query(f"WITH {SPLIT_SQL} SELECT o_custkey FROM orders EXCEPT SELECT CAST(src_id AS BIGINT) FROM split WHERE subset = 'test'")
+def train_except_test(spark, sf):
+    test = _split(spark, sf).where("subset = 'test'").select(F.col("src_id").cast("bigint").alias("o_custkey"))
+    return table(spark, sf, "orders").select("o_custkey").distinct().join(test, "o_custkey", "left_anti")
+
+
+@query(f"WITH {SPLIT_SQL} SELECT template, count(*) AS n, count(*) FILTER (WHERE subset = 'test') AS n_test, list_sort(list(src_id))[1:5] AS first_ids FROM split GROUP BY template")
+def template_members(spark, sf):
+    rows = _split(spark, sf)
+    members = ranking.by_template(rows)
+    sizes = rows.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("subset") == "test").alias("n_test"))
+    return sizes.join(members, "template").select("template", "n", "n_test", F.slice("members", 1, 5).alias("first_ids"))
+
+
+@query("""
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS rn, count(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN rn <= floor(n * 0.2) THEN 'val' ELSE 'train' END AS part FROM r
+""")
+def row_split(spark, sf):
+    return datasets.row_split(table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
+@query("""
+WITH o AS (SELECT p_partkey AS map_id, unnest(['image.png', 'land_cover.png', 'topography.png', 'sample_weights.json']) AS name FROM part),
+k AS (SELECT CAST(map_id AS VARCHAR) AS map_id, name FROM o WHERE (map_id + length(name)) % 7 <> 0 OR map_id % 10 = 0),
+m AS (SELECT i.map_id, list_sort(list(r.name)) AS missing FROM (SELECT DISTINCT map_id FROM k) i CROSS JOIN (SELECT unnest(['image.png', 'land_cover.png', 'topography.png', 'sample_weights.json']) AS name) r
+      LEFT JOIN k ON k.map_id = i.map_id AND k.name = r.name WHERE k.name IS NULL GROUP BY 1)
+SELECT map_id, missing FROM m
+""")
+def required_files(spark, sf):
+    return datasets.missing_files(_objects(spark, sf))
+
+
+def _objects(spark, sf):
+    every = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.explode(F.array(*[F.lit(x) for x in REQUIRED_FILES])).alias("name"))
+    return every.where("(id + length(name)) % 7 <> 0 OR id % 10 = 0").select(F.col("id").cast("string").alias("map_id"), "name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
+def incremental_skip(spark, sf):
+    done = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return datasets.unfinished(table(spark, sf, "part").select("p_partkey", "p_name"), done, "p_partkey")
+
+
+# --- catalogue records ----------------------------------------------------------------------------------------
+
+@query("""
+WITH d AS (SELECT d.doc_id, d.lang, CASE l.quality WHEN 1 THEN 'Map' WHEN 0 THEN 'Text Page' END AS kind,
+             CASE doc_id % 4 WHEN 0 THEN '1600' WHEN 1 THEN ' 1699-1701' WHEN 2 THEN 'n.d.' ELSE '1799' END AS date FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT lang, count(*) AS n FROM d WHERE (kind IS NULL OR kind = 'Map') AND doc_id % 4 <> 3 GROUP BY lang
+""")
+def null_pass_filter(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    q, k = F.col("quality"), F.col("doc_id") % 4
+    rows = docs.select("lang", F.when(q == 1, "Map").when(q == 0, "Text Page").alias("kind"), F.when(k == 0, "1600").when(k == 1, " 1699-1701").when(k == 2, "n.d.").otherwise("1799").alias("date"))
+    return ranking.tally(rows.where(ranking.type_allowed(F.col("kind")) & ranking.year_allowed(F.col("date"), 1500, 1700)), "lang")
+
+
+@query("""
+WITH r AS (SELECT conv_id, turn, length(text) AS n_chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS rn FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, CAST(n_chars AS INTEGER) AS n_chars FROM r WHERE rn = 1
+""")
+def first_seen(spark, sf):
+    rows = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
+    return ranking.first_seen(rows, ["conv_id"], ["turn", "text"]).select("conv_id", "turn", F.length("text").alias("n_chars"))
+
+
+@query("""
+WITH s AS (SELECT d.doc_id, CASE WHEN lang <> '' THEN 4 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 0 END
+   + CASE WHEN l.quality IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END
+   + CASE WHEN n_chars >= 1000 THEN 1 ELSE 0 END + CASE WHEN n_chars >= 2400 THEN 1 ELSE 0 END AS score FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT doc_id, CAST(score AS INTEGER) AS score FROM s ORDER BY score DESC, doc_id LIMIT 50
+""")
+def richness_topk(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf, "labels"), "doc_id", "left")
+    one = lambda name, v: F.create_map(F.lit(name), F.array(v))
+    some = lambda cond, v="x": F.when(cond, v).otherwise("")
+    fields = F.array(one("country", F.col("lang")), one("World Area", some(F.col("doc_id") % 3 == 0)), one("SCALE 1", some(F.col("doc_id") % 5 == 0)), one("Reference", some(F.col("quality").isNotNull())), one("Engraver or Printer", some(F.col("toxic") == 1)), one("Obj Height cm", (F.col("n_chars") / 2).cast("string")), one("Obj Width cm", F.lit("1.0")))
+    return ranking.top_n(docs.select("doc_id", ranking.richness(fields).alias("score")), "score", 50, ["doc_id"])
+
+
+@query("""
+WITH s AS (SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value / 5 END AS cloud FROM events WHERE user_id % 9 <> 0),
+f AS (SELECT user_id, event_id, coalesce(cloud, 100.0) AS c FROM s WHERE cloud IS NULL OR cloud < 0.5),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c, event_id) AS rn FROM f)
+SELECT c_custkey AS user_id, event_id AS scene_id, c AS cloud FROM customer LEFT JOIN (SELECT * FROM r WHERE rn = 1) b ON b.user_id = c_custkey
+""")
+def lowest_cloud(spark, sf):
+    scenes = table(spark, sf, "events").where("user_id % 9 <> 0").select("user_id", F.col("event_id").alias("scene_id"), F.when(F.col("event_id") % 7 != 0, F.col("value") / 5).alias("cloud"))
+    return ranking.lowest_cloud(table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), scenes, "user_id", 0.5)
+
+
+STATUS_OF = {"purchase": "ok", "view": "out_of_scale", "click": "download_failed", "signup": "gcps_insufficient", "error": "not_in_allmaps"}
+STATUS_SQL = f"""
+e AS (SELECT user_id, event_id % 400 AS item, CASE event_type {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(STATUS_OF))} END AS p FROM events),
+best AS (SELECT user_id * 400 + item AS item, min(p) AS p FROM e GROUP BY user_id, item),
+statuses AS (SELECT item, list_extract([{", ".join(map(literal, STATUS_OF.values()))}], CAST(p AS INTEGER) + 1) AS status FROM best)"""
+
+
+def _statuses(spark, sf):
+    status = F.try_element_at(F.create_map(*[F.lit(x) for p in STATUS_OF.items() for x in p]), F.col("event_type"))
+    rows = table(spark, sf, "events").select((F.col("user_id") * 400 + F.col("event_id") % 400).alias("item"), status.alias("status"))
+    return ranking.best_status(rows, "item")
+
+
+@query(f"WITH {STATUS_SQL} SELECT s.status, count(item) AS n FROM (SELECT unnest([{', '.join(map(literal, [*STATUS_OF.values(), 'never']))}]) AS status) s LEFT JOIN statuses USING (status) GROUP BY s.status")
+def drop_accounting(spark, sf):
+    return ranking.accounting(_statuses(spark, sf), [*ranking.STATUSES, "never"])
+
+
+@query(f"WITH {STATUS_SQL}, r AS (SELECT count(*) AS total, count(*) FILTER (WHERE status = 'out_of_scale') / count(*) AS a, count(*) FILTER (WHERE status = 'ok') / count(*) AS b FROM statuses) SELECT total, round(a, 6) AS scale_rate, round(b, 6) AS ok_rate, a > 0.5 AS scale_alarm, b < 0.5 AS ok_alarm FROM r")
+def drop_alarm(spark, sf):
+    return ranking.alarms(_statuses(spark, sf))
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS step, printf('step_%07d.pt', max(o_orderkey)) AS name FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey")
+def latest_checkpoint(spark, sf):
+    files = table(spark, sf, "orders").select("o_custkey", idents.checkpoint_name(F.col("o_orderkey")).alias("name"), (F.col("o_orderstatus") != "P").alias("valid"))
+    return ranking.latest_checkpoint(files, "o_custkey")
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k FROM events")
+def named_field(spark, sf):
+    fields = F.array(F.transform_values(F.from_json("props", "map<string, string>"), lambda k, v: F.array(v)))
+    return table(spark, sf, "events").select("event_id", idents.named_field(fields, "K", "none").alias("k"))
+
+
+@query("SELECT source || '/full/!4096,4096/0/default.jpg' AS url, count(*) AS n FROM documents GROUP BY 1")
+def iiif_urls(spark, sf):
+    return ranking.tally(table(spark, sf, "documents").select(idents.iiif_url(F.concat("source", F.lit("/"))).alias("url")), "url")
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, role FROM conversations)
+SELECT k.c_custkey AS item, CAST(row_number() OVER (PARTITION BY k.c_custkey ORDER BY turn, role) - 1 AS INTEGER) AS plate, role || '@' || turn AS annotation
+FROM customer k JOIN c ON c.conv_id = k.c_custkey
+UNION ALL SELECT c_custkey, NULL, NULL FROM customer WHERE c_custkey NOT IN (SELECT conv_id FROM c)
+""")
+def annotation_plates(spark, sf):
+    notes = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(x["role"], F.lit("@"), x["turn"].cast("string"))).alias("annotations"))
+    items = table(spark, sf, "customer").select(F.col("c_custkey").alias("item")).join(notes, F.col("item") == F.col("conv_id"), "left").drop("conv_id")
+    return ranking.plates(items, "annotations")
+
+
+# --- geography ------------------------------------------------------------------------------------------------
+
+BOXES_SQL = "SELECT s_suppkey, (s_suppkey * 37 % 3300) / 10.0 - 165 AS west, (s_suppkey * 53 % 1300) / 10.0 - 65 AS south, s_suppkey % 7 + 0.5 AS w, s_suppkey % 5 + 0.25 AS h FROM supplier"
+
+
+def _boxes(spark, sf):
+    k = F.col("s_suppkey")
+    b = table(spark, sf, "supplier").select("s_suppkey", ((k * 37 % 3300) / 10.0 - 165).alias("west"), ((k * 53 % 1300) / 10.0 - 65).alias("south"), (k % 7 + F.lit(0.5).cast("double")).alias("w"), (k % 5 + F.lit(0.25).cast("double")).alias("h"))
+    return b.select("s_suppkey", "west", "south", (F.col("west") + F.col("w")).alias("east"), (F.col("south") + F.col("h")).alias("north"))
+
+
+def _tiles_sql(step: int, name: str) -> str:
+    return f"""
+WITH b AS ({BOXES_SQL}), a AS (SELECT s_suppkey, unnest(range(CAST(floor(south / {step}) * {step} AS BIGINT), CAST(ceil(south + h) AS BIGINT), {step})) AS lat, west, w FROM b),
+t AS (SELECT s_suppkey, lat, unnest(range(CAST(floor(west / {step}) * {step} AS BIGINT), CAST(ceil(west + w) AS BIGINT), {step})) AS lon FROM a)
+SELECT s_suppkey, CAST(lat AS INTEGER) AS lat_sw, CAST(lon AS INTEGER) AS lon_sw, {name} AS tile FROM t"""
+
+
+_ns, _ew = "CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END", "CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END"
+
+
+@query(_tiles_sql(3, f"{_ns} || lpad(CAST(abs(lat) AS VARCHAR), 2, '0') || {_ew} || lpad(CAST(abs(lon) AS VARCHAR), 3, '0')"))
+def region_tiles(spark, sf):
+    return ranking.region_tiles(_boxes(spark, sf), 3).select("s_suppkey", "lat_sw", "lon_sw", idents.hemisphere_id(F.col("lat_sw"), F.col("lon_sw")).alias("tile"))
+
+
+_dem = f"'Copernicus_DSM_COG_10_' || {_ns} || lpad(CAST(abs(lat) AS VARCHAR), 2, '0') || '_00_' || {_ew} || lpad(CAST(abs(lon) AS VARCHAR), 3, '0') || '_00_DEM'"
+
+
+@query(_tiles_sql(1, f"'{geo.DEM_BASE}/' || {_dem} || '/' || {_dem} || '.tif'"))
+def elevation_tiles(spark, sf):
+    return ranking.region_tiles(_boxes(spark, sf), 1).select("s_suppkey", "lat_sw", "lon_sw", geo.dem_url(F.col("lat_sw"), F.col("lon_sw")).alias("tile"))
+
+
+_km = "2 * 6371.0 * asin(sqrt(pow(sin(radians(n - s) / 2), 2) + cos(radians(s)) * cos(radians(n)) * pow(sin(radians(e - w) / 2), 2)))"
+
+
+@query(f"WITH b AS ({BOXES_SQL}), x AS (SELECT s_suppkey, west AS w, west + w AS e, south AS s, south + h AS n FROM b) SELECT s_suppkey, round({_km}, 4) AS km, {_km} BETWEEN 100 AND 800 AS in_scale FROM x")
+def haversine_scale(spark, sf):
+    b = [F.col(c) for c in ("west", "south", "east", "north")]
+    return _boxes(spark, sf).select("s_suppkey", F.round(geo.bbox_diagonal_km(*b), 4).alias("km"), ranking.in_scale(*b, 100, 800).alias("in_scale"))
+
+
+POINTS_SQL = "SELECT c_nationkey, c_custkey % 97 AS px, c_custkey % 89 AS py, 0.01::DOUBLE * (c_custkey % 97) + 0.002::DOUBLE * (c_custkey % 89) + c_nationkey AS lng, -0.02 * (c_custkey % 89) + 0.001 * (c_custkey % 97) + 40 + c_acctbal * 0.00001 AS lat FROM customer"
+
+
+def _points(spark, sf):
+    k, d = F.col("c_custkey"), lambda v: F.lit(v).cast("double")
+    px, py = (k % 97).cast("double"), (k % 89).cast("double")
+    return table(spark, sf, "customer").select("c_nationkey", px.alias("px"), py.alias("py"), (d(0.01) * px + d(0.002) * py + F.col("c_nationkey")).alias("lng"), (d(-0.02) * py + d(0.001) * px + 40 + F.col("c_acctbal") * d(0.00001)).alias("lat"))
+
+
+@query(f"WITH p AS ({POINTS_SQL}) SELECT c_nationkey, count(*) AS n_gcps, round(min(lng), 6) AS west, round(min(lat), 6) AS south, round(max(lng), 6) AS east, round(max(lat), 6) AS north FROM p GROUP BY 1 HAVING count(*) >= 3")
+def gcp_bbox(spark, sf):
+    return ranking.gcp_bbox(_points(spark, sf), "c_nationkey").where("n_gcps >= 3").select("c_nationkey", "n_gcps", *[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")])
+
+
+def _fit_sql(t: str, names: str) -> str:
+    a = f"(covar_pop(px, {t}) * var_pop(py) - covar_pop(py, {t}) * covar_pop(px, py)) / (var_pop(px) * var_pop(py) - pow(covar_pop(px, py), 2))"
+    b = f"(covar_pop(py, {t}) * var_pop(px) - covar_pop(px, {t}) * covar_pop(px, py)) / (var_pop(px) * var_pop(py) - pow(covar_pop(px, py), 2))"
+    return f"round({a}, 5) + 0.0 AS {names[0]}, round({b}, 5) + 0.0 AS {names[1]}, round(avg({t}) - ({a}) * avg(px) - ({b}) * avg(py), 4) + 0.0 AS {names[2]}"
+
+
+@query(f"WITH p AS ({POINTS_SQL}) SELECT c_nationkey, count(*) AS n, {_fit_sql('lng', 'abc')}, {_fit_sql('lat', 'def')} FROM p GROUP BY 1")
+def affine_fit(spark, sf):
+    return ranking.affine_fit(_points(spark, sf), "c_nationkey").select("c_nationkey", "n", *[(F.round(c, 4 if c in "cf" else 5) + F.lit(0.0)).alias(c) for c in "abcdef"])
+
+
+@query("SELECT p_partkey, CAST(greatest(0, (300 + 40 * p_size - 1024) // 2) AS INTEGER) AS col_off, CAST(greatest(0, (300 + 40 * (p_partkey % 40) - 1024) // 2) AS INTEGER) AS row_off, CAST(least(300 + 40 * p_size, 1024) AS INTEGER) AS width, CAST(least(300 + 40 * (p_partkey % 40), 1024) AS INTEGER) AS height FROM part")
+def centred_window(spark, sf):
+    w, h = F.col("width"), F.col("height")
+    return _maps(spark, sf).select(F.col("map_id").alias("p_partkey"), geo.window_start(w, 1024).alias("col_off"), geo.window_start(h, 1024).alias("row_off"), geo.window_size(w, 1024).alias("width"), geo.window_size(h, 1024).alias("height"))
+
+
+@query(f"WITH b AS ({BOXES_SQL}) SELECT s_suppkey, CASE WHEN south > 23.5 THEN '2024-05-01/2024-09-30' WHEN south < -23.5 THEN '2023-12-01/2024-02-29' ELSE '2024-01-01/2024-12-31' END AS season, printf('wc_%+03d_%+04d', CAST(floor(south) AS INTEGER), CAST(floor(west) AS INTEGER)) AS region_id FROM b")
+def season_range(spark, sf):
+    return _boxes(spark, sf).select("s_suppkey", geo.season(F.col("south"), 2024).alias("season"), idents.signed_id(F.floor("south"), F.floor("west")).alias("region_id"))
+
+
+@query(f"WITH p AS ({POINTS_SQL}), s AS (SELECT c_nationkey, px * 512 / 97.0 AS x, py * 512 / 89.0 AS y FROM p) SELECT c_nationkey, round(sum(x), 4) AS sum_x, round(sum(y), 4) AS sum_y FROM s GROUP BY 1")
+def scaled_gcps(spark, sf):
+    rows = _points(spark, sf).select("c_nationkey", geo.scaled(F.col("px"), F.lit(97.0), F.lit(512)).alias("x"), geo.scaled(F.col("py"), F.lit(89.0), F.lit(512)).alias("y"))
+    return rows.groupBy("c_nationkey").agg(F.round(F.sum("x"), 4).alias("sum_x"), F.round(F.sum("y"), 4).alias("sum_y"))
+
+
+@query(f"""WITH b AS ({BOXES_SQL}), r AS (SELECT s_suppkey, radians(south + h) AS p, radians(south + h / 2) AS p0, radians(w / 2) AS d FROM b),
+k AS (SELECT *, 6371000.0 * sqrt(2.0 / (1 + sin(p0) * sin(p) + cos(p0) * cos(p) * cos(d))) AS k FROM r)
+SELECT s_suppkey, round(k * cos(p) * sin(d), 2) AS x, round(k * (cos(p0) * sin(p) - sin(p0) * cos(p) * cos(d)), 2) AS y FROM k""")
+def equal_area(spark, sf):
+    x, y = geo.laea(F.col("east"), F.col("north"), (F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2)
+    return _boxes(spark, sf).select("s_suppkey", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
+# --- pyramids -------------------------------------------------------------------------------------------------
+
+MAPS_SQL = "maps AS (SELECT p_partkey AS map_id, 300 + 40 * p_size AS width, 300 + 40 * CAST(p_partkey % 40 AS INTEGER) AS height FROM part)"
+ORIGINS_SQL = f"""{MAPS_SQL},
+g AS (SELECT map_id, width, height, unnest(range(0, height, 448)) AS oy FROM maps),
+g2 AS (SELECT map_id, width, height, oy, unnest(range(0, width, 448)) AS ox FROM g),
+origins AS (SELECT map_id, CAST(ox AS INTEGER) AS ox, CAST(oy AS INTEGER) AS oy, printf('py_r%03d_c%03d', oy // 448, ox // 448) AS pyramid_id FROM g2
+  WHERE 2 * greatest(0, least(ox + 896, width) - ox) * greatest(0, least(oy + 896, height) - oy) >= 896 * 896)"""
+TILES_SQL = f"""{ORIGINS_SQL},
+q AS (SELECT q, q % 2 AS dx, q // 2 AS dy FROM range(4) t(q)),
+tiles AS (
+  SELECT map_id, pyramid_id, 0 AS level, '896' AS tile_id, CAST(NULL AS VARCHAR) AS parent_id, ox AS x, oy AS y, 896 AS size FROM origins
+  UNION ALL SELECT map_id, pyramid_id, 1, '448_' || q, '896', ox + dx * 448, oy + dy * 448, 448 FROM origins CROSS JOIN q
+  UNION ALL SELECT map_id, pyramid_id, 2, '224_' || a.q || '_' || b.q, '448_' || a.q, ox + a.dx * 448 + b.dx * 224, oy + a.dy * 448 + b.dy * 224, 224 FROM origins CROSS JOIN q a CROSS JOIN q b)"""
+
+
+def _maps(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("map_id"), (F.col("p_size") * 40 + 300).alias("width"), ((F.col("p_partkey") % 40).cast("int") * 40 + 300).alias("height"))
+
+
+def _tiles(spark, sf):
+    return pyramid.tiles(pyramid.origins(_maps(spark, sf)))
+
+
+@query(f"WITH {ORIGINS_SQL} SELECT map_id, ox, oy, pyramid_id FROM origins")
+def pyramid_origins(spark, sf):
+    return pyramid.origins(_maps(spark, sf)).select("map_id", "ox", "oy", "pyramid_id")
+
+
+@query(f"WITH {TILES_SQL} SELECT map_id, pyramid_id, CAST(level AS INTEGER) AS level, tile_id, parent_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(size AS INTEGER) AS size FROM tiles")
+def pyramid_tiles(spark, sf):
+    return _tiles(spark, sf).select("map_id", "pyramid_id", "level", "tile_id", "parent_id", "x", "y", "size")
+
+
+@query(f"WITH {TILES_SQL} SELECT map_id, pyramid_id, parent_id AS tile_id, list_sort(list(tile_id)) AS children FROM tiles WHERE parent_id IS NOT NULL GROUP BY 1, 2, 3")
+def tile_tree(spark, sf):
+    return pyramid.children(_tiles(spark, sf), ["map_id", "pyramid_id"])
+
+
+_lost = "(length(tile_id) * 7 + map_id * 3 + x + y) % 11"
+
+
+@query(f"WITH {TILES_SQL}, o AS (SELECT map_id || '/' || pyramid_id AS pyramid_id, tile_id || k AS name FROM tiles CROSS JOIN (SELECT unnest(['_image.png', '_land_cover.png', '_topography.png']) AS k) WHERE {_lost} <> 0 OR map_id % 2 = 0) SELECT pyramid_id, count(*) AS n_png FROM o GROUP BY 1 HAVING count(*) < 60")
+def pyramid_complete(spark, sf):
+    rows = _tiles(spark, sf).where(F.expr(f"{_lost} <> 0 OR map_id % 2 = 0"))
+    named = rows.select(F.concat_ws("/", F.col("map_id").cast("string"), "pyramid_id").alias("pyramid_id"), pyramid.artifacts(F.col("tile_id")).alias("a"))
+    return datasets.incomplete_pyramids(named.select("pyramid_id", F.explode(F.array("a.image", "a.land_cover", "a.topography")).alias("name")))
+
+
+@query(f"WITH {TILES_SQL} SELECT DISTINCT map_id, pyramid_id FROM tiles WHERE size = 224 AND (x + y) % 5 = 0")
+def distinct_groups(spark, sf):
+    return _tiles(spark, sf).where("size = 224 AND (x + y) % 5 = 0").select("map_id", "pyramid_id").distinct()
+
+
+# --- metrics --------------------------------------------------------------------------------------------------
+
+def _pred_sql() -> str:
+    d = [f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(12)]
+    lse = lambda part: f"(greatest({', '.join(part)}) + ln({' + '.join(f'exp({x} - greatest({', '.join(part)}))' for x in part)}))"
+    return f"""
+e AS (SELECT vec_id, label AS lc, CAST(vec_id % 4 AS INTEGER) AS topo, list_extract(['historical', 'satellite', 'synthetic'], CAST(vec_id % 3 AS INTEGER) + 1) AS source, {", ".join(f"{x} AS d{i}" for i, x in enumerate(d))}, embedding FROM embeddings),
+p AS (SELECT *, {lse([f"d{i}" for i in range(9)])} AS z, {lse(["d9", "d10", "d11"])} AS zt FROM e),
+n AS (SELECT *, least(z - CAST(embedding[least(lc, 8) + 1] AS DOUBLE), 27.631021115928547) AS lc_nll, least(zt - CAST(embedding[10 + least(topo, 2)] AS DOUBLE), 27.631021115928547) AS topo_nll, lc BETWEEN 0 AND 8 AS lc_ok, topo BETWEEN 0 AND 2 AS topo_ok FROM p)"""
+
+
+PRED_SQL = _pred_sql()
+
+
+def _pixels(spark, sf):
+    source = F.get(F.array(*[F.lit(s) for s in ("historical", "satellite", "synthetic")]), (F.col("vec_id") % 3).cast("int"))
+    return table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("lc"), (F.col("vec_id") % 4).cast("int").alias("topo"), source.alias("source"), F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")).alias("logits"))
+
+
+@query(f"WITH {PRED_SQL} SELECT count(*) FILTER (WHERE lc_ok AND topo_ok) AS n_valid, round(sum(lc_nll + topo_nll) FILTER (WHERE lc_ok AND topo_ok) / count(*) FILTER (WHERE lc_ok AND topo_ok), 6) AS joint_nll FROM n")
+def joint_nll(spark, sf):
+    return metrics.joint_nll(_pixels(spark, sf)).select("n_valid", F.round("joint_nll", 6).alias("joint_nll"))
+
+
+@query(f"WITH {PRED_SQL} SELECT source, count(*) FILTER (WHERE lc_ok AND topo_ok) AS n_valid, round(avg(lc_nll) FILTER (WHERE lc_ok AND topo_ok), 6) AS lc_nll, round(avg(topo_nll) FILTER (WHERE lc_ok AND topo_ok), 6) AS topo_nll FROM n GROUP BY source")
+def nll_per_head(spark, sf):
+    return metrics.joint_nll(_pixels(spark, sf), ["source"]).select("source", "n_valid", F.round("lc_nll", 6).alias("lc_nll"), F.round("topo_nll", 6).alias("topo_nll"))
+
+
+_weights_sql = rows_sql("source, lc, weight", [(s, i, w) for s, ws in WEIGHTS.items() for i, w in enumerate(ws)])
+
+
+@query(f"""WITH {PRED_SQL}, w AS (SELECT source, lc, CAST(weight AS DOUBLE) AS weight FROM {_weights_sql}), j AS (SELECT n.*, weight FROM n LEFT JOIN w ON w.source = n.source AND w.lc = n.lc),
+s AS (SELECT source, sum(weight * lc_nll) FILTER (WHERE lc_ok) / sum(weight) FILTER (WHERE lc_ok) AS a, avg(topo_nll) FILTER (WHERE topo_ok) AS b FROM j GROUP BY source)
+SELECT source, round(a, 6) AS lc_loss, round(b, 6) AS topo_loss, round(a + b, 6) AS loss FROM s""")
+def weighted_ce(spark, sf):
+    out = metrics.weighted_ce(_pixels(spark, sf), source_weights(spark), ["source"])
+    return out.select("source", *[F.round(c, 6).alias(c) for c in ("lc_loss", "topo_loss", "loss")])
+
+
+@query("""WITH c AS (SELECT CAST(CASE WHEN label BETWEEN 0 AND 8 THEN label ELSE 9 END AS INTEGER) AS class, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT CAST(r.class AS INTEGER) AS class, coalesce(n, 0) AS n, round(coalesce(n, 0) * 100.0 / sum(coalesce(n, 0)) OVER (), 6) AS pct FROM range(10) r(class) LEFT JOIN c USING (class)""")
+def class_histogram(spark, sf):
+    return ranking.share_of_total(metrics.histogram(table(spark, sf, "embeddings"), "label")).withColumn("pct", F.round("pct", 6))
+
+
+@query("SELECT l_returnflag, round(avg(CASE WHEN l_linenumber = 7 THEN 1.0 ELSE 0.0 END) * 100, 6) AS nodata_pct FROM lineitem GROUP BY 1")
+def nodata_pct(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_returnflag", F.when(F.col("l_linenumber") == 7, 255).otherwise(F.col("l_linenumber")).alias("lc"))
+    return metrics.nodata_pct(rows, "lc", ["l_returnflag"]).withColumn("nodata_pct", F.round("nodata_pct", 6))
+
+
+@query("SELECT o_orderstatus, round(sum(o_totalprice) / greatest(count(*), 1), 4) AS mean_loss FROM orders GROUP BY 1")
+def epoch_mean(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.round(metrics.epoch_mean(F.sum("o_totalprice"), F.count(F.lit(1))), 4).alias("mean_loss"))
+
+
+_w = lambda s: "[" + ", ".join(map(repr, WEIGHTS[s])) + "]"
+
+
+@query(" UNION ALL ".join(f"SELECT '{s}' AS source, [x::DOUBLE FOR x IN {_w(s)}] AS weights, 0 AS n_missing" for s in WEIGHTS))
+def weight_vectors(spark, sf):
+    rows = [spark.range(1).select(F.lit(s).alias("source"), weight_map(s).alias("m")) for s in WEIGHTS]
+    both = rows[0].union(rows[1]).union(rows[2])
+    return both.select("source", metrics.weight_vector(F.col("m")).alias("weights"), F.size(metrics.missing_weights(F.col("m"))).alias("n_missing"))
+
+
+# --- rasters --------------------------------------------------------------------------------------------------
+
+@query("""WITH b AS (SELECT l_returnflag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1)
+SELECT l_returnflag, CAST(CASE WHEN hi > lo THEN trunc((l_extendedprice - lo) / (hi - lo) * 255) ELSE 0 END AS INTEGER) AS byte, count(*) AS n FROM lineitem JOIN b USING (l_returnflag) GROUP BY 1, 2""")
+def band_stretch(spark, sf):
+    out = raster.stretch(table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice")
+    return ranking.tally(out, "l_returnflag", "byte")
+
+
+GRID_SQL = "g AS (SELECT c_custkey AS id, CAST(c_custkey % 50 AS INTEGER) AS x, CAST(c_custkey // 50 AS INTEGER) AS y, c_acctbal AS z FROM customer)"
+
+
+def _grid(spark, sf):
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(F.floor(k / 2500).cast("int").alias("map_id"), (k % 50).cast("int").alias("x"), F.floor(k / 50).cast("int").alias("y"), F.col("c_acctbal").alias("z"))
+
+
+def _grad_sql(axis: str, across: str) -> str:
+    w = f"OVER (PARTITION BY id // 2500, {across} ORDER BY {axis})"
+    return f"CASE WHEN lag(z) {w} IS NULL AND lead(z) {w} IS NULL THEN 0 WHEN lag(z) {w} IS NULL THEN (lead(z) {w} - z) / 10000.0 WHEN lead(z) {w} IS NULL THEN (z - lag(z) {w}) / 10000.0 ELSE (lead(z) {w} - lag(z) {w}) / 20000.0 END"
+
+
+@query(f"""WITH {GRID_SQL}, d AS (SELECT x, y, {_grad_sql("x", "y")} AS dx, {_grad_sql("y", "x")} AS dy FROM g), s AS (SELECT x, y, degrees(atan(sqrt(dx * dx + dy * dy))) AS slope FROM d)
+SELECT x, y, round(slope, 6) AS slope, CAST(CASE WHEN slope >= 15 THEN 2 WHEN slope >= 2 THEN 1 ELSE 0 END AS INTEGER) AS topo FROM s""")
+def slope_classes(spark, sf):
+    return raster.slope_classes(_grid(spark, sf), ["map_id"], "z", 10000.0).select("x", "y", F.round("slope", 6).alias("slope"), "topo")
+
+
+RINGS_SQL = "r AS (SELECT s_suppkey AS ord, s_suppkey * 7 % 60 AS x0, s_suppkey * 11 % 40 AS y0, s_suppkey % 9 + 4 AS w, s_suppkey % 6 + 3 AS h, CAST(s_suppkey % 9 AS INTEGER) AS lc FROM supplier)"
+
+
+def _rings(spark, sf):
+    k = F.col("s_suppkey")
+    box = table(spark, sf, "supplier").select(k.alias("ord"), (k * 7 % 60).alias("x0"), (k * 11 % 40).alias("y0"), (k % 9 + 4).alias("w"), (k % 6 + 3).alias("h"), (k % 9).cast("int").alias("lc"))
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x0, y0, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
+    # a right triangle: its slanted edge is tested between pixel centres
+    return box.select(F.lit(0).alias("map_id"), "ord", "lc", F.array(pt(x0, y0), pt(x0 + w, y0), pt(x0, y0 + h)).alias("pts"))
+
+
+@query(f"""WITH {RINGS_SQL}, gy AS (SELECT *, unnest(range(y0, y0 + h + 1)) AS y FROM r), gx AS (SELECT *, unnest(range(x0, x0 + w + 1)) AS x FROM gy),
+i AS (SELECT ord, lc, x, y FROM gx WHERE y + 0.5 < y0 + h AND x + 0.5 >= x0 AND x + 0.5 < (x0 - (x0 + w)) * ((y + 0.5) - y0) / CAST(h AS DOUBLE) + (x0 + w)),
+t AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY ord DESC) AS rn FROM i)
+SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, lc FROM t WHERE rn = 1""")
+def rasterize_lastwins(spark, sf):
+    return raster.rasterise(_rings(spark, sf), "lc").select("x", "y", "lc")
+
+
+@query(f"""WITH {GRID_SQL}, b AS (SELECT * FROM (VALUES ('a', 40, 3), ('b', -2, 1), ('c', 10, 10)) t(tile_id, x0, y0)),
+c AS (SELECT tile_id, x0, y0, tx, ty FROM b, range(16) u(tx), range(16) v(ty))
+SELECT tile_id, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty, CAST(coalesce(trunc(z), 255) AS INTEGER) AS v FROM c LEFT JOIN (SELECT * FROM g WHERE id < 2500) g ON g.x = x0 + tx AND g.y = y0 + ty""")
+def crop_pad(spark, sf):
+    boxes = values(spark, "tile_id, x, y, size, map_id", [("a", 40, 3, 16, 0), ("b", -2, 1, 16, 0), ("c", 10, 10, 16, 0)])
+    pixels = _grid(spark, sf).select("map_id", "x", "y", F.col("z").cast("int").alias("v"))
+    return pyramid.tile_pixels(boxes, pixels, ["map_id"], ["v"]).select("tile_id", "tx", "ty", "v")
+
+
+@query(f"""WITH {GRID_SQL}, c AS (SELECT x, y FROM range(20, 60) u(x), range(5, 15) v(y))
+SELECT CAST(c.x AS INTEGER) AS x, CAST(c.y AS INTEGER) AS y, CASE WHEN g.id IS NULL THEN [0.0::DOUBLE, 0.0::DOUBLE] ELSE [z / 10000, 1 - z / 10000] END AS prior FROM c LEFT JOIN (SELECT * FROM g WHERE id < 2500) g ON g.x = c.x AND g.y = c.y""")
+def prior_crop(spark, sf):
+    cells = spark.range(20, 60).select(F.lit(0).alias("map_id"), F.col("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(5), F.lit(14))).alias("y"))
+    parent = _grid(spark, sf).select("map_id", "x", "y", F.array(F.col("z") / 10000, 1 - F.col("z") / 10000).alias("p"))
+    return pyramid.prior_of(cells, parent, 2).select("x", "y", "prior")
+
+
+_held = lambda v, m: f"least(greatest({v}, 0.0), {m})"
+
+
+@query(f"""WITH {GRID_SQL}, s AS (SELECT * FROM g WHERE x < 8 AND y < 8 AND id < 2500),
+t AS (SELECT x, y, {_held("(x + 0.5) * 0.5 - 0.5", "7.0")} AS sx, {_held("(y + 0.5) * 0.5 - 0.5", "7.0")} AS sy FROM range(16) u(x), range(16) v(y)),
+c AS (SELECT t.x, t.y, least(floor(sx) + i, 7) AS px, least(floor(sy) + j, 7) AS py, (CASE i WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE j WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) AS weight FROM t, range(2) a(i), range(2) b(j))
+SELECT CAST(c.x AS INTEGER) AS x, CAST(c.y AS INTEGER) AS y, round(sum(weight * z), 6) AS z FROM c JOIN s ON s.x = px AND s.y = py WHERE weight > 0 GROUP BY 1, 2""")
+def bilinear_resize(spark, sf):
+    source = _grid(spark, sf).where("map_id = 0 AND x < 8 AND y < 8")
+    target = spark.range(16).select(F.lit(0).alias("map_id"), F.col("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("y"))
+    target = target.withColumn("sx", raster.resize_places(8, 16, "x")).withColumn("sy", raster.resize_places(8, 16, "y"))
+    return raster.bilinear(target, source, "z").select("x", "y", F.round("z", 6).alias("z"))
+
+
+@query(f"""WITH {GRID_SQL}, t AS (SELECT x, y, floor(x * 0.7 + 3) AS sx, floor(y * 0.3 - 1) AS sy FROM range(80) u(x), range(30) v(y))
+SELECT CAST(t.x AS INTEGER) AS x, CAST(t.y AS INTEGER) AS y, CAST(coalesce(trunc(z / 1000), 255) AS INTEGER) AS lc FROM t LEFT JOIN (SELECT * FROM g WHERE id < 2500) g ON g.x = sx AND g.y = sy""")
+def nearest_warp(spark, sf):
+    target = spark.range(80).select(F.lit(0).alias("map_id"), F.col("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("y"))
+    target = target.withColumn("sx", F.col("x") * 0.7 + 3).withColumn("sy", F.col("y") * 0.3 - 1)
+    source = _grid(spark, sf).select("map_id", "x", "y", (F.col("z") / 1000).cast("int").alias("lc"))
+    return raster.nearest(target, source, "lc").select("x", "y", "lc")
+
+
+RGB_SQL = "SELECT p_partkey, CAST(p_partkey * 7 % 256 AS INTEGER) AS r, CAST(p_partkey * 13 % 256 AS INTEGER) AS g, CAST(p_size * 5 % 256 AS INTEGER) AS b FROM part"
+
+
+def _rgb(spark, sf):
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select("p_partkey", (k * 7 % 256).cast("int").alias("r"), (k * 13 % 256).cast("int").alias("g"), (F.col("p_size") * 5 % 256).cast("int").alias("b"))
+
+
+_cut = lambda e: f"CAST(trunc(least(greatest({e}, 0.0), 255.0)) AS INTEGER)"
+_sepia = lambda m, t: _cut(f"least(least(r * {m[0]}::DOUBLE + g * {m[1]}::DOUBLE + b * {m[2]}::DOUBLE, 255.0) * {t[0]}::DOUBLE + {t[1]}::DOUBLE, 255.0)")
+
+
+@query(f"WITH c AS ({RGB_SQL}) SELECT p_partkey, {', '.join(f'{_sepia(m, t)} AS {n}' for m, t, n in zip(classes.SEPIA, classes.TINT, 'rgb', strict=True))} FROM c")
+def sepia(spark, sf):
+    out = classes.parchment(*[F.col(c).cast("double") for c in "rgb"])
+    return _rgb(spark, sf).select("p_partkey", *[v.alias(c) for v, c in zip(out, "rgb", strict=True)])
+
+
+GREY = "((r * 19595 + g * 38470 + b * 7471 + 32768) // 65536)"
+
+
+@query(f"WITH c AS ({RGB_SQL}) SELECT p_partkey, CAST({GREY} AS INTEGER) AS luma FROM c")
+def grayscale(spark, sf):
+    return _rgb(spark, sf).select("p_partkey", classes.grey(F.col("r"), F.col("g"), F.col("b")).alias("luma"))
+
+
+_fade = lambda c: _cut(f"{_cut(f'm + ({_cut(f'l + ({c} - l) * 0.35::DOUBLE')} - m) * 0.6::DOUBLE')} * 1.15::DOUBLE")
+
+
+@query(f"WITH c AS (SELECT *, {GREY}::DOUBLE AS l FROM ({RGB_SQL})), i AS (SELECT *, floor(avg(l) OVER () + 0.5) AS m FROM c) SELECT p_partkey, {_fade('r')} AS r, {_fade('g')} AS g, {_fade('b')} AS b FROM i")
+def faded(spark, sf):
+    rows = _rgb(spark, sf).withColumn("l", classes.grey(F.col("r"), F.col("g"), F.col("b")).cast("double"))
+    mean = rows.agg(F.floor(F.avg("l") + 0.5).cast("double").alias("m"))
+    return rows.join(F.broadcast(mean)).select("p_partkey", *[classes.faded(F.col(c), F.col("l"), F.col("m")).alias(c) for c in "rgb"])
+
+
+@query(f"WITH c AS ({RGB_SQL}) SELECT p_partkey, CAST(round((r * b + 255 * (255 - b)) / 255.0) AS INTEGER) AS v FROM c")
+def alpha_composite(spark, sf):
+    return _rgb(spark, sf).select("p_partkey", classes.composite(F.col("r"), F.col("b"), 255).alias("v"))
+
+
+_lut = rows_sql("lc, r, g, b", [(i, *(int(INSPECTION[n][k : k + 2], 16) for k in (0, 2, 4))) for i, n in enumerate(LAND_COVER)])
+
+
+@query(f"WITH m AS (SELECT * FROM {_lut}) SELECT vec_id, {', '.join(f'CAST(coalesce({c}, 0) AS INTEGER) AS {c}' for c in 'rgb')} FROM embeddings LEFT JOIN m ON lc = label")
+def colorize(spark, sf):
+    return raster.colourised(table(spark, sf, "embeddings").select("vec_id", "label"), inspection_palette(spark), "label").select("vec_id", "r", "g", "b")
+
+
+_pal = rows_sql("style, lc, r, g, b", [(s, i, *c) for s, cs in PALETTES.items() for i, c in enumerate(cs)])
+
+
+@query(f"WITH l AS ({LABELS_SQL}), p AS (SELECT * FROM {_pal}) SELECT p_partkey || '__' || style AS map_id, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b FROM l JOIN p USING (lc)")
+def style_cross(spark, sf):
+    styled = samples.styled(_labelled(spark, sf).withColumn("src_id", F.col("p_partkey").cast("string")), palettes(spark).select("style").distinct())
+    return styled.join(F.broadcast(palettes(spark)), ["style", "lc"]).select("map_id", "r", "g", "b")
+
+
+@query(f"WITH {RINGS_SQL} SELECT n, CAST(cell AS INTEGER) AS cell, CAST(cell % n AS INTEGER) AS image, CAST(cell % 3 * 228 + 4 AS INTEGER) AS \"left\", CAST(cell // 3 * 228 + 4 AS INTEGER) AS top FROM (SELECT DISTINCT w AS n FROM r) CROSS JOIN range(6) c(cell)")
+def montage(spark, sf):
+    sizes = table(spark, sf, "supplier").select((F.col("s_suppkey") % 9 + 4).alias("n")).distinct()
+    return raster.montage(sizes, 2, 3, 224, 4).select("n", "cell", F.col("image").cast("int").alias("image"), F.col("left").cast("int").alias("left"), F.col("top").cast("int").alias("top"))
+
+
+@query(f"""WITH c AS ({RGB_SQL}), a AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN [r] WHEN 1 THEN [r, g] ELSE [r, g, b] END AS v FROM c)
+SELECT p_partkey, v[1] AS r, CASE WHEN len(v) = 1 THEN v[1] ELSE v[2] END AS g, CASE len(v) WHEN 1 THEN v[1] WHEN 2 THEN v[2] ELSE v[3] END AS b FROM a""")
+def three_bands(spark, sf):
+    k = F.col("p_partkey") % 3
+    rows = _rgb(spark, sf).select(F.col("p_partkey").alias("map_id"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.when(k == 0, F.array("r")).when(k == 1, F.array("r", "g")).otherwise(F.array("r", "g", "b")).alias("bands"))
+    return raster.three_bands(rows).select(F.col("map_id").alias("p_partkey"), "r", "g", "b")
+
+
+# --- samples --------------------------------------------------------------------------------------------------
+
+_desc = rows_sql("lc, topo, texts", DESCRIPTIONS)
+_prompt = rows_sql("prompt_idx, prompt", list(enumerate(PROMPTS)))
+AUGMENTATIONS = ["original", "grayscale", "parchment", "faded"]
+
+
+@query(f"""WITH {_tile_sql}, k AS (SELECT *, count(*) OVER (PARTITION BY lc, topo) AS n FROM tiles), d AS (SELECT * FROM {_desc}), p AS (SELECT * FROM {_prompt}),
+x AS (SELECT p_partkey, k.lc, k.topo, a.augmentation, l.layout, p.prompt_idx, p.prompt, d.texts FROM k CROSS JOIN (SELECT unnest({AUGMENTATIONS}) AS augmentation) a JOIN (SELECT unnest(['single', 'grid']) AS layout) l ON l.layout = 'single' OR k.n >= 2 CROSS JOIN p LEFT JOIN d ON d.lc = k.lc AND d.topo IS NOT DISTINCT FROM k.topo)
+SELECT p_partkey, lc, topo, augmentation, layout, CAST(prompt_idx AS INTEGER) AS prompt_idx, prompt, texts[prompt_idx % len(texts) + 1] || CASE WHEN topo IS NULL THEN '' ELSE ' (' || list_extract([{", ".join(map(literal, TOPOGRAPHY))}], topo + 1) || ')' END AS answer FROM x""")
+def prompt_cross(spark, sf):
+    return samples.tuning_samples(_hex_tiles(spark, sf), AUGMENTATIONS)
+
+
+@query(f"""WITH {_tile_sql}, g AS (SELECT p_partkey, lc, topo, row_number() OVER (PARTITION BY lc, topo ORDER BY md5('42:' || p_partkey), p_partkey) AS at, count(*) OVER (PARTITION BY lc, topo) AS n FROM tiles),
+w AS (SELECT g.*, k FROM g CROSS JOIN range(1, 5) r(k) WHERE k < n)
+SELECT w.p_partkey AS tile, o.p_partkey AS peer, CAST(k AS INTEGER) AS k FROM w JOIN g o ON o.lc = w.lc AND o.topo IS NOT DISTINCT FROM w.topo AND o.at = (w.at - 1 + k) % w.n + 1""")
+def peer_sample(spark, sf):
+    return samples.peers(_hex_tiles(spark, sf), "p_partkey")
+
+
+@query("SELECT page_id, url FROM pages ORDER BY page_id OFFSET 20 LIMIT 10")
+def paging(spark, sf):
+    return ranking.page(table(spark, sf, "pages").select("page_id", "url"), ["page_id"], 20, 10)
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")
+def tally(spark, sf):
+    return ranking.tally(table(spark, sf, "documents"), "lang", "source")
+
+
+@query("""WITH r AS (SELECT page_id, row_number() OVER (ORDER BY md5('42:' || page_id), page_id) AS rn, count(*) OVER () AS n FROM pages) SELECT page_id FROM r WHERE rn <= greatest(1, n // 10)""")
+def spot_check(spark, sf):
+    return ranking.sampled(table(spark, sf, "pages").select("page_id"), "page_id")
+
+
+@query("""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/' || page_id WHEN 1 THEN '../test/' || page_id WHEN 2 THEN 'data/test/' || page_id WHEN 3 THEN 'data/tests/' || page_id ELSE 'data/train/' || page_id END AS path FROM pages)
+SELECT page_id, CASE WHEN page_id % 5 IN (0, 1) THEN 'traversal' WHEN page_id % 5 = 2 THEN 'leak' END AS problem, CAST(page_id AS VARCHAR) AS name FROM u""")
+def path_guards(spark, sf):
+    k = F.col("page_id") % 5
+    head = F.when(k == 0, "/").when(k == 1, "../test/").when(k == 2, "data/test/").when(k == 3, "data/tests/").otherwise("data/train/")
+    rows = table(spark, sf, "pages").select("page_id", F.concat(head, F.col("page_id").cast("string")).alias("path"))
+    return datasets.guarded(rows).select("page_id", "problem", idents.basename(F.col("path")).alias("name"))
+
+
+@query("SELECT c_custkey, lower(c_mktsegment || '-' || CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'B c' END) AS config, c_custkey % 2 = 0 AS ok FROM customer")
+def config_names(spark, sf):
+    name = idents.config_name(F.col("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, "A").otherwise("B c"))
+    return table(spark, sf, "customer").select("c_custkey", name.alias("config"), idents.is_config_name(name).alias("ok"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'd' || p_partkey ELSE 'map ' || p_partkey END AS sample FROM part")
+def sample_ids(spark, sf):
+    k = F.col("p_partkey").cast("string")
+    path = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("raw/d"), k, F.lit("/source.tif"))).otherwise(F.concat(F.lit("raw/map "), k, F.lit(".tif")))
+    return table(spark, sf, "part").select("p_partkey", idents.sample_id(path).alias("sample"))
+
+
+@query()
+def recursive_prediction(spark, sf):
+    """The walk from coarse to fine with a model that adds its size to its parent's prior; the tests hold it against plain Python."""
+    def model(batches):
+        for b in batches:
+            b["p"] = [[float(s)] if p is None else [float(p[0]) + s] for s, p in zip(b["size"], b["prior"], strict=True)]
+            yield b[["map_id", "pyramid_id", "tile_id", "p"]]
+
+    return pyramid.recursive_predict(_tiles(spark, sf).select("map_id", "pyramid_id", "tile_id", "parent_id", "level", "size"), model, "map_id bigint, pyramid_id string, tile_id string, p array<double>")
+
+
+@query()
+def blurred_render(spark, sf):
+    """Polygons rendered with borders and blur; the weights of near pixels make it a sum that the tests recompute."""
+    pixels = raster.rasterise(_rings(spark, sf), "lc")
+    shown = raster.colourised(pixels, palettes(spark).where("style = 'satellite'").drop("style"))
+    edged = raster.bordered(shown, "lc", (80, 65, 45))
+    return raster.blurred(edged, 0.6, ["r", "g", "b"]).select("x", "y", *[F.round(c, 4).alias(c) for c in "rgb"])
+
+
+@query(f"""WITH {MAPS_SQL}, {SPLIT_SQL}
+SELECT count(*) AS n_maps FROM maps JOIN split ON split.src_id = CAST(map_id AS VARCHAR) WHERE subset = 'test'""")
+def test_maps(spark, sf):
+    maps = _maps(spark, sf).select(idents.styled_id(F.col("map_id").cast("string"), F.lit("flat")).alias("map_id"))
+    test = _split(spark, sf).where("subset = 'test'").select("src_id")
+    return maps.withColumn("src_id", idents.source_of(F.col("map_id"))).join(test, "src_id", "left_semi").agg(F.count(F.lit(1)).alias("n_maps"))
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "lifecycles"]
