@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A space that white space or the end follows, or that begins the text.
+_ODD = re.compile(r" (?=\s|\Z)|\A ")
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -85,7 +89,7 @@ def chunks(text: str) -> list[str]:
     first, which has none; chunks that white space follows stay together.
     """
     parts = text.split(" ")
-    if "" in parts or any(x[0].isspace() for x in parts[1:]):
+    if _ODD.search(text):
         joined = [parts[0]]
         for x in parts[1:]:
             if x and not x[0].isspace():
@@ -96,6 +100,53 @@ def chunks(text: str) -> list[str]:
     return parts
 
 
+class ChunkEncoder:
+    """Ids of chunks (see ``chunks``) by the tokenizers library, many in one call.
+
+    Chunks set one after another are a text whose matches end where the chunks do, so its ids are theirs
+    in a row, and the bytes that each id stands for tell where to cut.
+    """
+
+    def __init__(self, data: bytes):
+        import tokenizers
+
+        self.lib = tokenizers.Tokenizer.from_buffer(data)
+        self.lib.no_truncation()
+        self.lib.no_padding()
+        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.bytes_of = np.zeros(self.lib.get_vocab_size(), np.int64)
+        for token, i in self.lib.get_vocab().items():
+            self.bytes_of[i] = len(token)  # each byte is one character of the vocabulary
+
+    def exact(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, some: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """All ids of the chunks, each with the space before it, and where each chunk's end."""
+        ids = np.array(self.lib.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        upto = np.cumsum(self.bytes_of[ids])
+        ends = np.cumsum(np.fromiter((len(x.encode("utf-8", "surrogatepass")) + 1 for x in some), np.int64, len(some)))
+        at = np.searchsorted(upto, ends)
+        if not len(upto) or at[-1] != len(upto) - 1 or (upto[at] != ends).any():
+            return None
+        return ids, at + 1
+
+    def counts(self, some: list[str]) -> list[int]:
+        if not some:
+            return []
+        got = self._cut(some)
+        return [len(x) for x in self.exact([" " + x for x in some])] if got is None else np.diff(got[1], prepend=0).tolist()
+
+    def packed(self, some: list[str], kind: str) -> list[bytes]:
+        if not some:
+            return []
+        got = self._cut(some)
+        if got is None:
+            return [x.astype(kind).tobytes() for x in self.exact([" " + x for x in some])]
+        data, ends = got[0].astype(kind).tobytes(), (got[1] * np.dtype(kind).itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def hash64(words: np.ndarray) -> np.ndarray:
     """Mixes unsigned 64-bit integers (the finaliser of splitmix64)."""
     x = words.astype(np.uint64, copy=True)
@@ -139,7 +190,7 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return hash64(out)
 
 
-__all__ = ["CHECKPOINT_KEY", "F", "T", "WordHashes", "add_columns", "chunks", "documents", "hash64", "map_arrow", "portions", "shared_dir", "stored", "texts_of", "windows"]
+__all__ = ["CHECKPOINT_KEY", "ChunkEncoder", "F", "T", "WordHashes", "add_columns", "chunks", "documents", "hash64", "map_arrow", "portions", "shared_dir", "stored", "texts_of", "windows"]
 
 
 class Rolling:

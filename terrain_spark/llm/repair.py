@@ -24,29 +24,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import F, T, chunks, map_arrow, portions, shared_dir, texts_of
+from .common import ChunkEncoder, F, T, chunks, map_arrow, portions, shared_dir, texts_of
 
 #: Ids in a shard at which it ends, rules of a round, rounds, and occurrences that make a rule worth it.
-SHARD_IDS, ROUND_RULES, ROUNDS, LEAST = 2_000_000, 1024, 5, 24
+SHARD_IDS, ROUND_RULES, ROUNDS, LEAST = 1_000_000, 1024, 5, 24
 
 
 class Encoder:
-    """Ids as bytes by the tokenizers library, remembered for each chunk (see ``chunks``) up to a bound."""
+    """Ids as bytes by the tokenizers library, remembered for each chunk up to a bound."""
 
-    def __init__(self, data: bytes, bound: int = 300_000):
-        import tokenizers
-
-        self.lib, self.bound = tokenizers.Tokenizer.from_buffer(data), bound
-        self.lib.no_truncation()
-        self.lib.no_padding()
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+    def __init__(self, data: bytes, bound: int = 500_000):
+        self.lib, self.bound = ChunkEncoder(data), bound
+        self.kind = "<u2" if self.lib.lib.get_vocab_size() <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {}
 
-    def exact(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        cut = [None if any(s in x for s in self.special) else chunks(x) for x in texts]
+        cut = [None if any(s in x for s in self.lib.special) else chunks(x) for x in texts]
         wanted: set[str] = set()
         for parts in cut:
             if parts:
@@ -57,9 +50,9 @@ class Encoder:
             missing = list(wanted)
         for i in range(0, len(missing), 2000):
             some = missing[i : i + 2000]
-            self.cache.update(zip(some, self.exact([" " + x for x in some]), strict=True))
-        get, last = self.cache.__getitem__, np.array([end], "<u4").tobytes()
-        first = self.exact([x if p is None else p[0] for x, p in zip(texts, cut, strict=True)])
+            self.cache.update(zip(some, self.lib.packed(some, self.kind), strict=True))
+        get, last = self.cache.__getitem__, np.array([end], self.kind).tobytes()
+        first = [x.astype(self.kind).tobytes() for x in self.lib.exact([x if p is None else p[0] for x, p in zip(texts, cut, strict=True)])]
         return [a + b"".join(map(get, p[1:])) + last if p else a + last for a, p in zip(first, cut, strict=True)]
 
 
@@ -69,13 +62,17 @@ def compress(ids: np.ndarray, first_rule: int, rounds: int = ROUNDS, per_round:
     A round counts all neighbours, gives the most frequent pairs a symbol each and replaces their occurrences
     from left to right where they don't overlap.
     """
-    seq = ids.astype(np.uint64)
+    # pairs of symbols that fit two bytes fit one number of four bytes, which sorts faster
+    symbol, pair, bits = (np.uint16, np.uint32, 16) if first_rule + rounds * per_round <= 1 << 16 else (np.uint32, np.uint64, 32)
+    seq = ids.astype(symbol)
     rules: list[np.ndarray] = []
-    lengths = np.zeros(0, np.uint64)
+    lengths = np.ones(first_rule, np.int64)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        pairs = seq[:-1] << np.uint64(32) | seq[1:]
+        pairs = seq[:-1].astype(pair)
+        pairs <<= pair(bits)
+        pairs |= seq[1:]
         order = np.sort(pairs)
         edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1], [True])))
         count = np.diff(edge)
@@ -83,27 +80,39 @@ def compress(ids: np.ndarray, first_rule: int, rounds: int = ROUNDS, per_round:
         if not len(often):
             break
         if len(often) > per_round:
-            best = np.lexsort((order[edge[often]], -count[often]))[:per_round]
-            often = often[best]
-        chosen = np.sort(order[edge[often]])
-        at = np.searchsorted(chosen, pairs)
-        at[at == len(chosen)] = 0
-        hit = np.flatnonzero(chosen[at] == pairs)
+            often = often[np.lexsort((order[edge[often]], -count[often]))[:per_round]]
+        chosen = order[edge[often]]  # in the order of the pairs
+        chosen.sort()
+        del order
+        # a table by hash leads to the only chosen pair that can be meant; of two with the same hash one waits a round
+        slot = _slots(chosen)
+        table = np.zeros(1 << _SLOT_BITS, np.int64)
+        table[slot] = np.arange(len(chosen))
+        chosen = chosen[np.unique(table[slot])]
+        table[_slots(chosen)] = np.arange(len(chosen))
+        hit = np.flatnonzero(chosen[table[_slots(pairs)]] == pairs)
         # of hits in a row every second one, from the first
         begins = np.concatenate(([True], np.diff(hit) > 1))
-        run = np.maximum.accumulate(np.where(begins, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        new = np.uint64(first_rule + sum(map(len, rules)))
-        seq[hit] = new + at[hit].astype(np.uint64)
+        place = np.arange(len(hit))
+        hit = hit[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
+        seq[hit] = (first_rule + sum(map(len, rules)) + table[_slots(pairs[hit])]).astype(symbol)
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq = seq[keep]
-        both = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1)
-        size = lambda s: np.where(s < first_rule, 1, np.concatenate([lengths, [np.uint64(1)]])[np.where(s < first_rule, len(lengths), s.astype(np.int64) - first_rule)])  # noqa: B023, E731
-        lengths = np.concatenate([lengths, (size(both[:, 0]) + size(both[:, 1])).astype(np.uint64)])
+        both = np.stack([chosen >> pair(bits), chosen & pair((1 << bits) - 1)], 1).astype(np.int64)
+        lengths = np.concatenate([lengths, lengths[both[:, 0]] + lengths[both[:, 1]]])
         rules.append(both)
-    pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint64)
-    return pairs.astype("<u4"), lengths.astype("<u4"), seq.astype("<u4")
+    pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    return pairs.astype("<u4"), lengths[first_rule:].astype("<u4"), seq.astype("<u4")
+
+
+_SLOT_BITS = 18
+
+
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    if pairs.dtype == np.uint32:
+        return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOT_BITS)
+    return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
 
 
 class Shard:
@@ -170,7 +179,7 @@ def write(df: DataFrame, tokenizer: str, path: str, end: int = 0, shard_ids: int
             texts = texts_of(batch.column(1))
             for i, j in portions(texts):
                 some = batch.slice(i, j - i)
-                out = [pack(np.frombuffer(x, "<u4").astype("<u2").tobytes()) if small else pack(x) for x in encode(texts[i:j], end)]
+                out = [pack(x) for x in encode(texts[i:j], end)]
                 docs = some.column(0)
                 place = np.where(docs.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, docs.fill_null(0).to_numpy(zero_copy_only=False)))
                 yield pa.RecordBatch.from_arrays([docs, pa.array(place, pa.int32()), pa.array(out, pa.binary())], names=encoded.names)

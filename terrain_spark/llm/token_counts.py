@@ -13,7 +13,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import F, T, chunks, map_arrow, portions, texts_of
+from .common import ChunkEncoder, F, T, chunks, map_arrow, portions, texts_of
 
 #: Summary entries of a task while it counts; those that it hands on; entries of the broadcast table (some 1 MB).
 COUNTED, HANDED, FREQUENT = 60_000, 2_000, 30_000
@@ -25,12 +25,8 @@ class Counter:
     def __init__(self, kind: str, data: bytes, frequent: bytes = b"", lengths: bytes = b"", bound: int = 200_000):
         self.kind, self.bound = kind, bound
         if kind == "json":
-            import tokenizers
-
-            self.lib = tokenizers.Tokenizer.from_buffer(data)
-            self.lib.no_truncation()
-            self.lib.no_padding()
-            self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+            self.lib = ChunkEncoder(data)
+            self.special = self.lib.special
         else:
             import sentencepiece
 
@@ -40,9 +36,8 @@ class Counter:
         self.cache: dict[str, int] = {}
 
     def exact(self, texts: list[str]) -> list[int]:
-        if self.kind == "json":
-            return [len(e) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        return [len(x) for x in self.lib.encode(texts, num_threads=1)]
+        found = self.lib.exact(texts) if self.kind == "json" else self.lib.encode(texts, num_threads=1)
+        return [len(x) for x in found]
 
     def count(self, texts: list[str]) -> list[int]:
         if self.kind != "json":  # its pieces may cross spaces
@@ -53,14 +48,14 @@ class Counter:
         for parts in cut:
             if parts:
                 wanted.update(parts[1:])
-        known = table.keys()
-        missing = [x for x in wanted if x not in known and x not in cache]
+        wanted.difference_update(table)
+        missing = [x for x in wanted if x not in cache]
         if len(cache) + len(missing) > self.bound:
             cache.clear()
-            missing = [x for x in wanted if x not in known]
+            missing = list(wanted)
         for i in range(0, len(missing), 2000):
             some = missing[i : i + 2000]
-            cache.update(zip(some, self.exact([" " + x for x in some]), strict=True))
+            cache.update(zip(some, self.lib.counts(some), strict=True))
         first = iter(self.exact([x if p is None else p[0] for x, p in zip(texts, cut, strict=True)]))
         out = []
         for parts in cut:
