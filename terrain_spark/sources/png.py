@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SIGN = b"\x89PNG\r\n\x1a\n"
 _BANDS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -72,12 +73,12 @@ def encode(pixels: np.ndarray) -> bytes:
     return _SIGN + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw.tobytes())) + chunk(b"IEND", b"")
 
 
-@F.pandas_udf("struct<width: int, height: int, bands: int, pixels: binary>")
+@F.pandas_udf(T.StructType([*[T.StructField(c, T.IntegerType()) for c in ("width", "height", "bands")], T.StructField("pixels", T.BinaryType())]))
 def decoded(content: pd.Series) -> pd.DataFrame:
     images = [decode(bytes(x)) for x in content]
     return pd.DataFrame({"width": [x.shape[1] for x in images], "height": [x.shape[0] for x in images], "bands": [x.shape[2] for x in images], "pixels": [x.tobytes() for x in images]})
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encoded(pixels: pd.Series, width: pd.Series, height: pd.Series, bands: pd.Series) -> pd.Series:
     return pd.Series([encode(np.frombuffer(bytes(p), np.uint8).reshape(h, w, b)) for p, w, h, b in zip(pixels, width, height, bands, strict=True)])
