@@ -148,3 +148,46 @@ def bordered(pixels: DataFrame, feature: str, colour: tuple[int, int, int] | Non
         for shift in (F.lag, F.lead):
             edge = edge | F.coalesce(shift(feature).over(w) != F.col(feature), F.lit(True))
     return pixels.withColumn("_edge", edge).withColumns({c: F.when(F.col("_edge"), v).otherwise(F.col(c)) for c, v in zip("rgb", colour, strict=True)}).drop("_edge")
+
+
+def covered(pixels: DataFrame, coverage: DataFrame, value: list[str]) -> DataFrame:
+    """Values of pixels that the source covers, NODATA of others, and ``valid``."""
+    marks = coverage.select("map_id", "x", "y", F.lit(True).alias("_c")).distinct()
+    joined = pixels.join(marks, ["map_id", "x", "y"], "left").withColumn("valid", F.coalesce("_c", F.lit(False))).drop("_c")
+    return joined.withColumns({v: F.when(F.col("valid"), F.col(v)).otherwise(NODATA) for v in value})
+
+
+def decimated_counts(pixels: DataFrame, step: int, label: str, n: int = 9, flipped: bool = False) -> DataFrame:
+    """Class counts of the nine 1° cells of each 3° tile (lat_sw, lon_sw) from every ``step``-th pixel (x, y in 0..3*step*step).
+
+    The first row of a tile is its northern edge; ``flipped`` counts bands from the south as if it were not.
+    """
+    side = step * step
+    some = pixels.where((F.col("x") % step == 0) & (F.col("y") % step == 0))
+    band, col = F.floor(F.col("y") / side).cast("int"), F.floor(F.col("x") / side).cast("int")
+    cells = some.select((F.col("lat_sw") + (band if flipped else 2 - band)).alias("lat"), (F.col("lon_sw") + col).alias("lon"), label)
+    counts = F.array(*[F.count_if(F.col(label) == i) for i in range(n)])
+    return cells.groupBy("lat", "lon").agg(counts.alias("counts")).where(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x) > 0)
+
+
+def canvas(rings: DataFrame) -> DataFrame:
+    """Bounds and size of each map's canvas over all points of its rings (map_id, pts), and why it can't be drawn."""
+    points = rings.select("map_id", F.explode("pts").alias("p"))
+    box = points.groupBy("map_id").agg(F.min("p.x").alias("min_x"), F.min("p.y").alias("min_y"), F.max("p.x").alias("max_x"), F.max("p.y").alias("max_y"))
+    sized = box.withColumn("width", (F.col("max_x") - F.col("min_x")).cast("int") + 1).withColumn("height", (F.col("max_y") - F.col("min_y")).cast("int") + 1)
+    return sized.withColumn("reject_reason", F.when(~canvas_ok(F.col("width"), F.col("height")), "canvas"))
+
+
+def densified_bounds(boxes: DataFrame, project, points: int = 21) -> DataFrame:  # noqa: ANN001
+    """Bounds in degrees of projected boxes (left, bottom, right, top) from points along their edges.
+
+    ``project`` gives longitude and latitude columns for x and y columns. Bounds that cross the antimeridian are
+    marked, as tiles between them can't be listed.
+    """
+    share = F.sequence(F.lit(0), F.lit(points + 1))
+    along = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / (points + 1)
+    edge = F.flatten(F.transform(share, lambda i: F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in ((along("left", "right", i), F.col("bottom")), (along("left", "right", i), F.col("top")), (F.col("left"), along("bottom", "top", i)), (F.col("right"), along("bottom", "top", i)))])))
+    rows = boxes.select("*", F.explode(edge).alias("_p"))
+    lon, lat = project(F.col("_p.x"), F.col("_p.y"))
+    out = rows.groupBy(*boxes.columns).agg(F.min(lon).alias("west"), F.min(lat).alias("south"), F.max(lon).alias("east"), F.max(lat).alias("north"))
+    return out.withColumn("reject_reason", F.when(F.col("west") > F.col("east"), "antimeridian"))

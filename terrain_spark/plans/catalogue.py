@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import classes, geo, idents
 from ..functions.taxonomy import BIOMES, DESCRIPTIONS, INSPECTION, LAND_COVER, PALETTES, PROMPTS, REQUIRED_FILES, TILE_PREFIXES, TOPOGRAPHY, WEIGHTS, WORLD_COVER, biomes, inspection_palette, literal, palettes, source_weights, tile_prefixes, values, weight_map
 from ..operators import datasets, metrics, pyramid, ranking, raster, samples
+from ..sources import records
 from . import lifecycles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,6 +358,63 @@ def annotation_plates(spark, sf):
     return ranking.plates(items, "annotations")
 
 
+def _annotations(spark, sf):
+    """Annotations of customers: two to five features, the first of every fourth malformed, sizes as text or zero."""
+    feature = lambda i: F.to_json(F.struct(F.struct(F.array(F.col("c_custkey") % 97 + i, F.col("c_custkey") % 89).alias("resourceCoords")).alias("properties"), F.struct(F.array(F.col("c_nationkey") + i, F.col("c_custkey") % 50 - i).alias("coordinates")).alias("geometry")))
+    n = F.col("c_custkey") % 4 + 2
+    features = F.slice(F.array(F.when(F.col("c_custkey") % 4 == 3, F.lit('{"geometry":{"coordinates":["x"]}}')).otherwise(feature(0)), *[feature(i) for i in range(1, 5)]), F.lit(1), n.cast("int"))
+    width = F.when(F.col("c_custkey") % 5 == 0, "0").otherwise((F.col("c_custkey") + 100).cast("string"))
+    body = F.concat(F.lit('{"id":"a'), F.col("c_custkey").cast("string"), F.lit('","body":{"features":['), F.concat_ws(",", features), F.lit('],"transformation":{"type":"polynomial"}},"target":{"source":{"id":"img","width":"'), width, F.lit('","height":300},"selector":{"type":"SvgSelector","value":"<svg/>"}}}'))
+    return table(spark, sf, "customer").select("c_custkey", body.alias("annotation"))
+
+
+@query("""
+WITH f AS (SELECT c_custkey, c_nationkey, unnest(range(CASE WHEN c_custkey % 4 = 3 THEN 1 ELSE 0 END, c_custkey % 4 + 2)) AS i FROM customer)
+SELECT c_custkey, CAST(count(*) AS INTEGER) AS n, CAST(min(c_nationkey + i) AS DOUBLE) AS west, CAST(min(c_custkey % 50 - i) AS DOUBLE) AS south, CAST(max(c_nationkey + i) AS DOUBLE) AS east, CAST(max(c_custkey % 50 - i) AS DOUBLE) AS north,
+  'img' AS image_id, CAST(CASE WHEN c_custkey % 5 <> 0 THEN c_custkey + 100 END AS INTEGER) AS image_w, CAST(CASE WHEN c_custkey % 5 <> 0 THEN 300 END AS INTEGER) AS image_h, 'polynomial' AS transformation, '<svg/>' AS mask_svg, 'a' || c_custkey AS annotation_id
+FROM f GROUP BY c_custkey, c_nationkey HAVING count(*) >= 3
+""")
+def annotation_parse(spark, sf):
+    out = records.parsed_annotations(_annotations(spark, sf))
+    return out.select("c_custkey", F.size("gcps").alias("n"), "west", "south", "east", "north", "image_id", "image_w", "image_h", "transformation", "mask_svg", "annotation_id")
+
+
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 't' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS title,
+  CASE WHEN doc_id % 2 = 0 THEN '1650' ELSE '17??' END AS date, lang AS country, 'https://www.davidrumsey.com/luna/servlet/detail/' || doc_id AS rumsey_page, CAST(4 AS INTEGER) AS richness_score, source AS status
+FROM documents
+""")
+def handoff_records(spark, sf):
+    one = lambda name, v: F.create_map(F.lit(name), F.array(v))
+    k = F.col("doc_id")
+    fields = F.array(one("Country", F.col("lang")), one("TITLE", F.when(k % 3 == 0, F.concat(F.lit("t"), k.cast("string"))).otherwise("")), one("date", F.when(k % 2 == 0, "1650").otherwise("")), one("Pub Date", F.lit("17??")))
+    items = table(spark, sf, "documents").select(k.cast("string").alias("id"), *[F.lit(None).cast("string").alias(c) for c in ("iiifManifest", "urlSize0", "urlSize4")], fields.alias("fieldValues"), F.col("source").alias("status"))
+    return records.handoff(items).select("id", "title", "date", "country", "rumsey_page", "richness_score", "status")
+
+
+@query("""SELECT 'map' || s_suppkey AS map_id, '{"land_cover_weights":{"water":0.6,"trees":0.6,"shrubland":1.0,"grassland":1.0,"cropland":1.3,"built_up":1.3,"bare_sparse":1.0,"flooded_wetland":1.3,"snow_ice":1.0},"topography_weight":1.0,"source":"satellite","map_file":"' || s_name || '"}' AS json FROM supplier""")
+def weights_files(spark, sf):
+    maps = table(spark, sf, "supplier").select(F.concat(F.lit("map"), F.col("s_suppkey").cast("string")).alias("map_id"), F.col("s_name").alias("map_file"))
+    return records.sample_weights(maps, "satellite")
+
+
+@query("""SELECT 'c' || n_nationkey || '-nll.json' AS name, '{"config":"c' || n_nationkey || '","joint_nll":1.5,"variant":"A","backbone":"siglip","eval_date":"2024-01-02"}' AS json FROM nation""")
+def metrics_files(spark, sf):
+    scores = table(spark, sf, "nation").select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("config"), F.lit(1.5).alias("joint_nll"), F.lit("A").alias("variant"), F.lit("siglip").alias("backbone"))
+    return records.metrics_file(scores, F.lit("2024-01-02"))
+
+
+@query("""
+WITH s AS (SELECT user_id, min(event_id) AS scene_id, bool_or(event_type = 'view') AS has FROM events WHERE value > 20 GROUP BY user_id),
+r AS (SELECT CASE WHEN scene_id IS NULL THEN 'no_scene' WHEN NOT has THEN 'missing_visual_asset' ELSE 'ok' END AS status FROM customer LEFT JOIN s ON user_id = c_custkey)
+SELECT status, count(*) AS n FROM r GROUP BY status
+""")
+def scene_statuses(spark, sf):
+    scenes = table(spark, sf, "events").where("value > 20").groupBy("user_id").agg(F.min("event_id").alias("scene_id"), F.bool_or(F.col("event_type") == "view").alias("has"))
+    rows = table(spark, sf, "customer").join(scenes, F.col("c_custkey") == F.col("user_id"), "left").select("scene_id", F.when(F.col("has"), "href").alias("visual_href"))
+    return ranking.tally(records.scene_status(rows), "status")
+
+
 # --- geography ------------------------------------------------------------------------------------------------
 
 BOXES_SQL = "SELECT s_suppkey, (s_suppkey * 37 % 3300) / 10.0 - 165 AS west, (s_suppkey * 53 % 1300) / 10.0 - 65 AS south, s_suppkey % 7 + 0.5 AS w, s_suppkey % 5 + 0.25 AS h FROM supplier"
@@ -659,6 +717,44 @@ def nearest_warp(spark, sf):
     return raster.nearest(target, source, "lc").select("x", "y", "lc")
 
 
+@query(f"""WITH {GRID_SQL} SELECT x, y, CAST(CASE WHEN id % 6 <> 0 THEN trunc(z / 100) ELSE 255 END AS INTEGER) AS v, id % 6 <> 0 AS valid FROM g""")
+def coverage_mask(spark, sf):
+    pixels = _grid(spark, sf).select("map_id", "x", "y", (F.col("z") / 100).cast("int").alias("v"))
+    seen = table(spark, sf, "customer").where("c_custkey % 6 <> 0").select(F.floor(F.col("c_custkey") / 2500).cast("int").alias("map_id"), (F.col("c_custkey") % 50).cast("int").alias("x"), F.floor(F.col("c_custkey") / 50).cast("int").alias("y"))
+    return raster.covered(pixels, seen, ["v"]).select("x", "y", "v", "valid")
+
+
+@query("""WITH p AS (SELECT CAST(l_orderkey % 48 AS INTEGER) AS x, CAST(l_partkey % 48 AS INTEGER) AS y, CAST(l_suppkey % 4 * 3 AS INTEGER) AS lat_sw, l_linenumber AS lc FROM lineitem),
+c AS (SELECT lat_sw + 2 - y // 16 AS lat, x // 16 AS lon, lc FROM p WHERE x % 4 = 0 AND y % 4 = 0)
+SELECT CAST(lat AS INTEGER) AS lat, CAST(lon AS INTEGER) AS lon, [count(*) FILTER (WHERE lc = 0), count(*) FILTER (WHERE lc = 1), count(*) FILTER (WHERE lc = 2), count(*) FILTER (WHERE lc = 3), count(*) FILTER (WHERE lc = 4), count(*) FILTER (WHERE lc = 5), count(*) FILTER (WHERE lc = 6), count(*) FILTER (WHERE lc = 7), count(*) FILTER (WHERE lc = 8)] AS counts FROM c GROUP BY 1, 2""")
+def decimated_counts(spark, sf):
+    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 48).cast("int").alias("x"), (F.col("l_partkey") % 48).cast("int").alias("y"), (F.col("l_suppkey") % 4 * 3).cast("int").alias("lat_sw"), F.lit(0).alias("lon_sw"), F.col("l_linenumber").alias("lc"))
+    return raster.decimated_counts(rows, 4, "lc")
+
+
+@query(f"WITH {RINGS_SQL} SELECT lc AS map_id, CAST(min(x0) AS DOUBLE) AS min_x, CAST(min(y0) AS DOUBLE) AS min_y, CAST(max(x0 + w) - min(x0) + 1 AS INTEGER) AS width, CAST(max(y0 + h) - min(y0) + 1 AS INTEGER) AS height, CAST(NULL AS VARCHAR) AS reject_reason FROM r GROUP BY lc")
+def canvas_bounds(spark, sf):
+    rings = _rings(spark, sf).select(F.col("lc").alias("map_id"), "pts")
+    return raster.canvas(rings).select("map_id", "min_x", "min_y", "width", "height", "reject_reason")
+
+
+@query("""WITH b AS (SELECT s_suppkey, (s_suppkey % 60 - 30) * 100.0::DOUBLE AS l, (s_suppkey % 40) * 50.0::DOUBLE AS d FROM supplier),
+e AS (SELECT s_suppkey, l + 1000 * i / 22 AS x, d + 500 * j / 22 AS y FROM b CROSS JOIN range(23) a(i) CROSS JOIN range(23) c(j) WHERE i IN (0, 22) OR j IN (0, 22))
+SELECT s_suppkey, round(min(x / 100 + y * y / 1000000), 6) AS west, round(min(y / 100 - x * x / 1000000), 6) AS south, round(max(x / 100 + y * y / 1000000), 6) AS east, round(max(y / 100 - x * x / 1000000), 6) AS north FROM e GROUP BY 1""")
+def densified_bounds(spark, sf):
+    k = F.col("s_suppkey")
+    boxes = table(spark, sf, "supplier").select("s_suppkey", ((k % 60 - 30) * 100.0).cast("double").alias("left"), ((k % 40) * 50.0).cast("double").alias("bottom"))
+    boxes = boxes.withColumn("right", F.col("left") + 1000).withColumn("top", F.col("bottom") + 500)
+    bent = lambda x, y: (x / 100 + y * y / 1000000, y / 100 - x * x / 1000000)
+    return raster.densified_bounds(boxes, bent).select("s_suppkey", *[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")])
+
+
+@query("SELECT p_partkey, p_size * 1000 * CAST(p_partkey AS BIGINT) <= 2000000000 // 1000 AS ok FROM part")
+def raster_guard(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 1000).alias("w"), (F.col("p_partkey") * 1000).alias("h"))
+    return rows.select("p_partkey", raster.raster_ok(F.col("w"), F.col("h")).alias("ok"))
+
+
 RGB_SQL = "SELECT p_partkey, CAST(p_partkey * 7 % 256 AS INTEGER) AS r, CAST(p_partkey * 13 % 256 AS INTEGER) AS g, CAST(p_size * 5 % 256 AS INTEGER) AS b FROM part"
 
 
