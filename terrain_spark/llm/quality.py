@@ -190,8 +190,5 @@ def classify(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float
 
 def accept(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT, temperature: float = TEMPERATURE) -> DataFrame:
     """The rows of ``df`` that are kept, with their columns."""
-    digest = F.xxhash64("text")
-    rows = df.select(*[F.col(c) for c in df.columns], digest.alias("_digest"))
-    weighed = weigh(rows.select("doc_id", "text", "lang", "_digest"), fit(df, labels, sample))
-    good = choose(weighed, cut, temperature).where("kept").select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_of")).distinct()
-    return rows.join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of")), "left_semi").select(*df.columns)
+    rows = df.select("doc_id", "text", "lang", F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
+    return choose(weigh(rows, fit(df, labels, sample)), cut, temperature).where("kept").select("_row.*")
