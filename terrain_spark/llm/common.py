@@ -147,6 +147,42 @@ class ChunkEncoder:
         return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+class Recent:
+    """Values of the keys asked for last, in two generations of some ``bound`` keys."""
+
+    def __init__(self, bound: int):
+        self.new: dict = {}
+        self.old: dict = {}
+        self.bound = bound
+
+    def values(self, lists: list[list[str]], make: Callable[[list[str]], list], first: dict | None = None) -> list[list]:
+        """The values of all keys of ``lists``: from ``first``, from before, or by ``make`` for what is new."""
+        if len(self.new) >= self.bound:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        get = (new if first is None else first).get
+        found = [list(map(get, keys)) for keys in lists]
+        gaps, missing = [], {}
+        for keys, got in zip(lists, found, strict=True):
+            at = -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                gaps.append((keys, got, at))
+                x = keys[at]
+                if x not in new and x not in missing:
+                    if x in old:
+                        new[x] = old[x]
+                    else:
+                        missing[x] = True
+        wanted = list(missing)
+        for i in range(0, len(wanted), 2000):
+            some = wanted[i : i + 2000]
+            new.update(zip(some, make(some), strict=True))
+        for keys, got, at in gaps:
+            got[at] = new[keys[at]]
+        return found
+
+
 def hash64(words: np.ndarray) -> np.ndarray:
     """Mixes unsigned 64-bit integers (the finaliser of splitmix64)."""
     x = words.astype(np.uint64, copy=True)
@@ -190,7 +226,7 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return hash64(out)
 
 
-__all__ = ["CHECKPOINT_KEY", "ChunkEncoder", "F", "T", "WordHashes", "add_columns", "chunks", "documents", "hash64", "map_arrow", "portions", "shared_dir", "stored", "texts_of", "windows"]
+__all__ = ["CHECKPOINT_KEY", "ChunkEncoder", "F", "Recent", "T", "WordHashes", "add_columns", "chunks", "documents", "hash64", "map_arrow", "portions", "shared_dir", "stored", "texts_of", "windows"]
 
 
 class Rolling:

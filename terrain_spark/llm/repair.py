@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ChunkEncoder, F, T, chunks, map_arrow, portions, shared_dir, texts_of
+from .common import ChunkEncoder, F, Recent, T, chunks, map_arrow, portions, shared_dir, texts_of
 
 #: Ids in a shard at which it ends, rules of a round, rounds, and occurrences that make a rule worth it.
 SHARD_IDS, ROUND_RULES, ROUNDS, LEAST = 1_000_000, 1024, 5, 24
@@ -33,27 +33,16 @@ SHARD_IDS, ROUND_RULES, ROUNDS, LEAST = 1_000_000, 1024, 5, 24
 class Encoder:
     """Ids as bytes by the tokenizers library, remembered for each chunk up to a bound."""
 
-    def __init__(self, data: bytes, bound: int = 500_000):
-        self.lib, self.bound = ChunkEncoder(data), bound
+    def __init__(self, data: bytes, bound: int = 400_000):
+        self.lib, self.known = ChunkEncoder(data), Recent(bound)
         self.kind = "<u2" if self.lib.lib.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         cut = [None if any(s in x for s in self.lib.special) else chunks(x) for x in texts]
-        wanted: set[str] = set()
-        for parts in cut:
-            if parts:
-                wanted.update(parts[1:])
-        missing = [x for x in wanted if x not in self.cache]
-        if len(self.cache) + len(missing) > self.bound:
-            self.cache.clear()
-            missing = list(wanted)
-        for i in range(0, len(missing), 2000):
-            some = missing[i : i + 2000]
-            self.cache.update(zip(some, self.lib.packed(some, self.kind), strict=True))
-        get, last = self.cache.__getitem__, np.array([end], self.kind).tobytes()
+        rest = self.known.values([p[1:] if p else [] for p in cut], lambda some: self.lib.packed(some, self.kind))
+        last = np.array([end], self.kind).tobytes()
         first = [x.astype(self.kind).tobytes() for x in self.lib.exact([x if p is None else p[0] for x, p in zip(texts, cut, strict=True)])]
-        return [a + b"".join(map(get, p[1:])) + last if p else a + last for a, p in zip(first, cut, strict=True)]
+        return [a + b"".join(b) + last for a, b in zip(first, rest, strict=True)]
 
 
 def compress(ids: np.ndarray, first_rule: int, rounds: int = ROUNDS, per_round: int = ROUND_RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ChunkEncoder, F, T, chunks, map_arrow, portions, texts_of
+from .common import ChunkEncoder, F, Recent, T, chunks, map_arrow, portions, texts_of
 
 #: Summary entries of a task while it counts; those that it hands on; entries of the broadcast table (some 1 MB).
 COUNTED, HANDED, FREQUENT = 60_000, 2_000, 30_000
@@ -22,8 +22,8 @@ COUNTED, HANDED, FREQUENT = 60_000, 2_000, 30_000
 class Counter:
     """Numbers of tokens of chunks by the library of the file's kind; see ``chunks`` for why those add up."""
 
-    def __init__(self, kind: str, data: bytes, frequent: bytes = b"", lengths: bytes = b"", bound: int = 200_000):
-        self.kind, self.bound = kind, bound
+    def __init__(self, kind: str, data: bytes, frequent: bytes = b"", lengths: bytes = b"", bound: int = 150_000):
+        self.kind, self.known = kind, Recent(bound)
         if kind == "json":
             self.lib = ChunkEncoder(data)
             self.special = self.lib.special
@@ -33,7 +33,6 @@ class Counter:
             self.lib = sentencepiece.SentencePieceProcessor(model_proto=data)
             self.special = []
         self.table = dict(zip(frequent.decode().split(" ") if lengths else [], lengths, strict=True))
-        self.cache: dict[str, int] = {}
 
     def exact(self, texts: list[str]) -> list[int]:
         found = self.lib.exact(texts) if self.kind == "json" else self.lib.encode(texts, num_threads=1)
@@ -42,30 +41,10 @@ class Counter:
     def count(self, texts: list[str]) -> list[int]:
         if self.kind != "json":  # its pieces may cross spaces
             return self.exact(texts)
-        table, cache = self.table, self.cache
         cut = [None if any(s in x for s in self.special) else chunks(x) for x in texts]
-        wanted: set[str] = set()
-        for parts in cut:
-            if parts:
-                wanted.update(parts[1:])
-        wanted.difference_update(table)
-        missing = [x for x in wanted if x not in cache]
-        if len(cache) + len(missing) > self.bound:
-            cache.clear()
-            missing = list(wanted)
-        for i in range(0, len(missing), 2000):
-            some = missing[i : i + 2000]
-            cache.update(zip(some, self.lib.counts(some), strict=True))
-        first = iter(self.exact([x if p is None else p[0] for x, p in zip(texts, cut, strict=True)]))
-        out = []
-        for parts in cut:
-            n = next(first)
-            if parts:
-                for x in parts[1:]:
-                    got = table.get(x)
-                    n += cache[x] if got is None else got
-            out.append(n)
-        return out
+        rest = self.known.values([p[1:] if p else [] for p in cut], self.lib.counts, self.table)
+        first = self.exact([x if p is None else p[0] for x, p in zip(texts, cut, strict=True)])
+        return [n + sum(more) for n, more in zip(first, rest, strict=True)]
 
 
 def frequent_chunks(df: DataFrame, counted: int = COUNTED, handed: int = HANDED, kept: int = FREQUENT) -> list[str]:
