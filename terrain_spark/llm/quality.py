@@ -99,7 +99,8 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, parts: int = 8)
     few = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = df.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id").repartition(parts)
     by: dict[str | None, np.ndarray] = {}
-    for row in _count(chosen).toLocalIterator():
+    # stored first, so that the parts are counted at the same time and fetched one by one
+    for row in stored(_count(chosen), "feature_counts").toLocalIterator():
         table = np.frombuffer(zlib.decompress(row.counts), np.uint32).reshape(len(CLASSES), BUCKETS)
         by[row.lang] = by[row.lang] + table if row.lang in by else table.astype(np.float64)
     good, harmless = ([c[0] == 1 for c in CLASSES], [c == (1, 0) for c in CLASSES])
