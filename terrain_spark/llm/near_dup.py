@@ -7,7 +7,9 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 enough darts have been thrown for the total weight, so a sketch costs its elements and K log K darts.
 
 Exact copies are one node, however many. Nodes that agree in a band are compared with one pivot of that
-bucket and not with each other; buckets that still hold several classes get other pivots in further rounds.
+bucket and not with each other; buckets that still hold several classes get other pivots in further rounds. The nodes of
+buckets that hold several classes after those are joined exactly: of two sets that are similar enough, the rarest units
+have one in common, so nodes meet by these, and those of different classes are compared in blocks.
 
 Rows: texts without words, null texts and rows without an id are classes of their own; shorter texts than five words
 are one run; rows with the same doc_id are one document; very long texts are taken whole; ties cannot occur, as
@@ -26,6 +28,8 @@ from .common import F, T, WordHashes, hash64, map_arrow, portions, stored, windo
 WORDS, K, ROWS, SIMILARITY, ROUNDS = 5, 64, 4, 0.8, 3
 #: Ids up to which a list of ids is broadcast (some tens of MB); beyond it, the join is a shuffle.
 MOST_SENT = 1_000_000
+#: Counters of units that tell rare ones, nodes of a unit up to which pairs are rows, nodes and units of a block beyond.
+COUNTERS, FEW, BLOCK, BLOCK_UNITS = 1 << 20, 8, 256, 1 << 20
 
 
 def runs(text: str, hashes: WordHashes) -> np.ndarray:
@@ -149,6 +153,109 @@ def _verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataF
     return map_arrow(both, schema, make)
 
 
+def _counts(elements: DataFrame) -> np.ndarray:
+    """How many nodes have the units of each counter."""
+    schema = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        table = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(table, np.frombuffer(x.as_buffer(), np.uint32) & np.uint32(COUNTERS - 1), 1)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], names=schema.names)
+
+    got = elements.select("units").mapInArrow(run, schema).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def rarest(units: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """As many of the rarest units that two sets of at least this similarity have one of them in common."""
+    n = len(units) - int(np.ceil(similarity * len(units) - 1e-9)) + 1
+    order = np.lexsort((hash64(units), counts[units & np.uint32(COUNTERS - 1)]))
+    return units[order[:n]]
+
+
+def _keyed(elements: DataFrame, similarity: float) -> DataFrame:
+    """node, label, its number of units, and a row for each of its rarest units."""
+    sent = elements.sparkSession.sparkContext.broadcast(_counts(elements).astype(np.int32))
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("label", T.LongType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+    def make():
+        counts = sent.value
+
+        def each(batch: pa.RecordBatch):
+            units = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(2)]
+            keys = pa.array([rarest(u, counts, similarity).astype(np.int64) for u in units], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(u) for u in units], pa.int64()), keys], names=schema.names)
+
+        return each
+
+    return map_arrow(elements.select("node", "label", "units"), schema, make).select("node", "label", "size", F.explode("keys").alias("key"))
+
+
+def links_within(nodes: list[int], labels: list[int], sides: list[bool], units: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join different labels; nodes of the second side are compared with those of the first only."""
+    sizes, label = np.array([len(u) for u in units]), np.unique(np.array(labels), return_inverse=True)[1]
+    ends, flat, second = np.cumsum(sizes), np.concatenate(units), np.array(sides)
+    both, out = bool(second.any()), []
+    for i in np.flatnonzero(~second):
+        apart = (label != label[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]))
+        # within one block each pair comes once
+        apart &= second if both else np.arange(len(nodes)) > i
+        if not apart.any():
+            continue
+        own = units[i]
+        at = np.searchsorted(own, flat)
+        hit = own[np.minimum(at, len(own) - 1)] == flat
+        upto = np.concatenate(([0], np.cumsum(hit)))
+        n = upto[ends] - upto[ends - sizes]
+        for j in np.flatnonzero(apart & (n >= similarity * (sizes + sizes[i] - n))):
+            if label[i] != label[j]:
+                out.append((nodes[i], nodes[j]))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _rest(members: DataFrame, labels: DataFrame | None, elements: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
+    """Links between the nodes of different classes in buckets that hold several: an exact join by the rarest units."""
+    if labels is None:
+        placed = members.withColumn("label", F.col("node"))
+    else:
+        placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # two nodes of a bucket were compared in the first round
+    mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high AND n > 2").select("bucket")
+    nodes = placed.join(mixed, "bucket").select("node", "label").distinct()
+    mine = stored(nodes.join(elements, "node"), "rest")
+    keyed = stored(_keyed(mine, similarity), "keyed")
+    by_label = keyed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
+    by_key = by_label.groupBy("key").agg(F.sum("n").alias("m"), F.sum("size").alias("size"), F.max_by(F.struct("label", "n", F.col("size").alias("units")), F.struct("n", "label")).alias("major"), F.sum("sum").alias("sum"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    # units that the same nodes have are one
+    by_key = stored(by_key.groupBy("m", "size", "sum").agg(F.min(F.struct("key", "major")).alias("k")).select("m", "size", F.col("k.key").alias("key"), F.col("k.major").alias("major")), "keys")
+    few = keyed.join(by_key.where(F.col("m") <= FEW).select("key"), "key").select("key", "node", "label")
+    other = few.select("key", F.col("node").alias("pivot"), F.col("label").alias("class"))
+    pairs = few.join(other, "key").where("pivot < node AND label <> class").select("pivot", "node").distinct().join(tried, ["pivot", "node"], "left_anti")
+    found = _verified(pairs, elements, similarity).where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    # of larger ones, the nodes outside the most frequent class are in blocks that meet each other and those of that class
+    parts = lambda n, units: F.ceil(F.greatest(n / BLOCK, units / BLOCK_UNITS, F.lit(1))).cast("int")
+    large = by_key.where(F.col("m") > FEW).select("key", F.col("major.label").alias("major"), parts(F.col("m") - F.col("major.n"), F.col("size") - F.col("major.units")).alias("minor"), parts(F.col("major.n"), F.col("major.units")).alias("rest"))
+    dealt = keyed.join(large, "key").withColumn("own", F.when(F.col("label") == F.col("major"), F.col("minor") + F.pmod(F.xxhash64("node"), F.col("rest"))).otherwise(F.pmod(F.xxhash64("node"), F.col("minor"))).cast("int"))
+    met = F.when(F.col("label") == F.col("major"), F.sequence(F.lit(0), F.col("minor") - 1)).otherwise(F.sequence(F.lit(0), F.col("minor") + F.col("rest") - 1))
+    dealt = dealt.select("key", "node", "own", F.explode(met).alias("other")).select("key", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"))
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        get = lambda c: table.column(c).to_pylist()
+        units = [np.frombuffer(x, np.uint32) for x in get("units")]
+        out = [] if table.num_rows < 2 else links_within(get("node"), get("label"), get("side"), units, similarity)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    blocks = dealt.join(mine, "node").groupBy("key", "i", "j").applyInArrow(compare, schema)
+    return stored(found.union(blocks).distinct(), "links")
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node and label, the lowest node that links lead to; ``edges`` has the columns a and b.
 
@@ -196,6 +303,10 @@ def classes(df: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS)
             continue
         links = new if links is None else links.union(new)
         labels = components(links)
+    if tried is not None:
+        new = _rest(members, labels, elements, tried, similarity)
+        if new.limit(1).count():
+            labels = components(new if links is None else links.union(new))
     known = nodes.select("d1", "d2", "node")
     placed = rows.select("doc_id", "d1", "d2").join(known, ["d1", "d2"])
     placed = placed.withColumn("class_id", F.col("node")) if labels is None else placed.join(labels, "node", "left").withColumn("class_id", F.coalesce("label", "node"))

@@ -199,6 +199,42 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert [r.class_id for r in got] == [0]
 
 
+def template_docs(pairs=500):
+    """Pairs at 0.82 of one template; across pairs the similarity is 0.70."""
+    base, docs = prose(165, 900).split(), []
+    for i in range(pairs):
+        w = prose(35, 100_000 + i).split()
+        docs.append((len(docs), " ".join([*base, *w])))
+        docs.append((len(docs), " ".join([*base, *w[:-19], *(f"t{i}x{k}" for k in range(19))])))
+    return docs
+
+
+def test_pairs_within_a_family_of_one_template(spark):
+    docs = template_docs()
+    want = classes_by_force(docs)
+    assert len(set(want.values())) == 500
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_links_of_blocks_equal_brute_force():
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 1 << 32, 60, dtype=np.uint32)
+    units = [np.unique(r.choice(pool, r.integers(38, 60), replace=False)) for _ in range(60)]
+    sides, labels = [i >= 25 for i in range(60)], [i // 2 for i in range(60)]
+    for some in (sides, [False] * 60):
+        up = list(labels)
+        for a, b in near_dup.links_within(list(range(60)), labels, some, units, 0.8):
+            n = len(np.intersect1d(units[a], units[b]))
+            assert n >= 0.8 * (len(units[a]) + len(units[b]) - n) and labels[a] != labels[b]
+            up = [up[a] if x == up[b] else x for x in up]
+        for a in range(60):
+            for b in range(a):
+                n = len(np.intersect1d(units[a], units[b]))
+                if n >= 0.8 * (len(units[a]) + len(units[b]) - n) and (some[a] != some[b] or not any(some)):
+                    assert up[a] == up[b]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31)], "a long, b long")
     got = {r.node: r.label for r in near_dup.components(edges).collect()}
