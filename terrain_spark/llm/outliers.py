@@ -5,7 +5,8 @@ steps take the share of rows that lie nearest and estimate anew from them. Dista
 classes, so a step is one aggregation with partial sums, whatever the size of a group; it needs no sort.
 
 Rows: null texts have no words, fail the base rules and are not kept; a group under ``MIN_ROWS`` is judged with the other
-small ones of its language, and kept if they are too few too; null languages and sources are groups
+small ones of its language, by the estimates of the whole language if those are too few too, and by those of the whole
+corpus if the language is; of a corpus under ``MIN_ROWS`` all such rows are kept; null languages and sources are groups
 of their own; repeated rows count each; very long texts are taken whole; an empty table gives an empty result.
 """
 
@@ -197,11 +198,18 @@ def judge(df: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows: int
     counted = statistics(df.select("doc_id", "text", "lang", "source"))
     ready = stored(counted.select("*", base_failed().alias("base_failed"), *[x.alias(f"x{i}") for i, x in enumerate(transformed())]), "statistics")
     key = lambda *c: F.concat_ws("\x01", *[F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("-")) for x in c])
-    own, pooled = key("lang", "source"), F.concat(F.lit("\x02"), key("lang"))
-    sizes = ready.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") >= min_rows).select(own.alias("large"))
-    grouped = ready.withColumn("own", own).join(large, F.col("own") == F.col("large"), "left").withColumn("g", F.when(F.col("large").isNotNull(), F.col("own")).otherwise(pooled)).drop("own", "large")
-    rows = grouped.where(~F.col("base_failed")).select("g", *[f"x{i}" for i in range(P)])
+    passed = ready.withColumn("own", key("lang", "source")).withColumn("tongue", key("lang"))
+    sizes = stored(passed.groupBy("own", "tongue").agg(F.count_if(~F.col("base_failed")).alias("n")), "sizes")
+    tongues = sizes.groupBy("tongue").agg(F.sum("n").alias("whole"), F.sum(F.when(F.col("n") < min_rows, F.col("n")).otherwise(0)).alias("pool"))
+    pooled, language, corpus = F.concat(F.lit("\x02"), "tongue"), F.concat(F.lit("\x03"), "tongue"), F.lit("\x04")
+    judged_by = F.when(F.col("n") >= min_rows, F.col("own")).when(F.col("pool") >= min_rows, pooled).when(F.col("whole") >= min_rows, language).otherwise(corpus)
+    places = stored(sizes.join(tongues, "tongue").select("own", "tongue", judged_by.alias("g")), "places")
+    wide = places.where(F.col("g") == language).select("tongue", F.col("g").alias("wide")).distinct()
+    everything = places.where(F.col("g") == corpus).limit(1).count() > 0
+    grouped = passed.join(places.select("own", "g"), "own")
+    # a language or the corpus is estimated from all its rows, for the groups that are judged by it
+    lent = F.array_compact(F.array(F.when(~F.col("g").startswith("\x03") & (F.col("g") != corpus), F.col("g")), F.col("wide"), corpus if everything else F.lit(None).cast("string")))
+    rows = grouped.where(~F.col("base_failed")).join(wide, "tongue", "left").select(F.explode(lent).alias("g"), *[f"x{i}" for i in range(P)])
     enough = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select("g")
     params = stored(_first(rows).join(enough, "g", "left_semi"), "estimates")
     for _ in range(steps):

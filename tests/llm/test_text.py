@@ -355,6 +355,16 @@ def test_outliers_are_rejected_and_clean_texts_kept(spark):
     assert outliers.judge(df.limit(0)).count() == 0
 
 
+def test_small_groups_are_judged_by_language_or_corpus(spark):
+    bad = lambda seed: " ".join(w + "###" for w in prose(100, seed).split())
+    docs = [(i, prose(80 + i % 90, 300 + i), "en", "s") for i in range(200)] + [(200 + i, prose(90, 600 + i), "en", f"few{i % 3}") for i in range(9)]
+    docs += [(300 + i, prose(90, 700 + i), "xx" if i % 2 else None, "s") for i in range(6)]
+    junk = [(400, bad(1), "en", "few1"), (401, bad(2), "xx", "s"), (402, bad(3), None, None), (403, "w " * 200, "zz", "s")]
+    got = {r.doc_id: r for r in outliers.judge(spark.createDataFrame(docs + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(docs + junk) and all(got[d[0]].kept for d in docs) and not any(got[d[0]].kept for d in junk)
+    assert all(r.distance is not None for r in got.values())
+
+
 def test_concentration_resists_contamination(spark):
     r = np.random.default_rng(0)
     good, bad = r.normal(0, 1, (900, 4)), r.normal(8, 0.3, (180, 4))
