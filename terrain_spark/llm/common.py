@@ -22,10 +22,12 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the cluster names it.
 
-    Where the setting is missing (local tests), a temporary folder is set for the session.
+    Where the setting is missing, a local master gets a temporary folder for the session; a cluster must name one.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="terrain_spark_")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
@@ -39,6 +41,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind ``df`` as Catalyst estimates them; 0 where it can't."""
+    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return found if found < 1 << 52 else 0
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -226,7 +234,7 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return hash64(out)
 
 
-__all__ = ["CHECKPOINT_KEY", "ChunkEncoder", "F", "Recent", "T", "WordHashes", "add_columns", "chunks", "documents", "hash64", "map_arrow", "portions", "shared_dir", "stored", "texts_of", "windows"]
+__all__ = ["CHECKPOINT_KEY", "ChunkEncoder", "F", "Recent", "T", "WordHashes", "add_columns", "chunks", "documents", "hash64", "input_bytes", "map_arrow", "portions", "shared_dir", "stored", "texts_of", "windows"]
 
 
 class Rolling:

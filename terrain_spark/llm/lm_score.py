@@ -1,20 +1,22 @@
 """Language-model scores by a weighted backoff automaton.
 
 The model has the counts of all n-grams of the training texts. States are contexts, arcs are n-grams with
-their smoothed log probability, and each state has a failure arc to the next shorter context. A text is read once from
-left to right: the state is carried, weights of arcs and failure arcs add up.
+their smoothed log probability, and each state has a failure arc to the next shorter context. Texts are read from left to
+right: an arc leads from the state before a word to the state behind it, and weights of arcs and failure arcs add up.
+All texts of a block are read at the same time, so a step is one operation on arrays.
 
 Smoothing: P(w | h) = (c(hw) + MU * P(w | h')) / (c(h) + MU), h' being h without its first word, down to
 P(w) = (c(w) + 1) / (N + V + 1), whose rest is that of unknown words; the sum over all words is 1.
 
-The model is never in one place. Texts are read in blocks of bounded size. A block asks for the counts of its own distinct
-n-grams, sorted and packed in one piece for each bucket of hashes; a bucket adds up what all blocks have counted and
-answers each piece; the block then builds the part of the automaton that its texts can reach. Frequent n-grams
-are counted within each block first, so none makes a bucket larger than others.
+The model is never in one place. Texts are read once and written as blocks of bounded size. A block asks for the counts of
+its own distinct n-grams, sorted and packed in one piece for each bucket of hashes; a bucket adds up what all blocks
+have counted and answers each piece; the block then builds the part of the automaton that its texts can
+reach. Frequent n-grams are counted within each block first, so none makes a bucket larger than others; the number of
+buckets follows the size of the input, so a bucket does not grow with it.
 
 Rows: null and empty texts have the end as their only token; rows without an id are not held out; repeated rows count
-each; very long texts make a block of their own; n-grams are told apart by 63 bits of hash; an empty table gives
-an empty result.
+each; ids must be whole numbers or null; very long texts make a block of their own; n-grams are told apart by ``BITS`` bits of
+hash; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .common import F, T, WordHashes, hash64, map_arrow, stored
+from .common import F, T, WordHashes, hash64, input_bytes, stored
 
-#: Words of the longest n-gram, weight of the shorter context, characters of a block, remainder that is held out.
-ORDER, MU, BLOCK, MODULUS, HELD_OUT = 2, 4.0, 4_000_000, 7, 2
+#: Words of the longest n-gram, weight of the shorter context, characters of a block, bytes of input for each bucket.
+ORDER, MU, BLOCK, BUCKET_BYTES = 3, 4.0, 6_000_000, 8 << 20
+#: Bits of the hash of an n-gram; of N others one is taken for it with a chance of N / 2**55.
+BITS = 55
+#: Held out are the texts whose hash leaves this remainder.
+MODULUS, HELD_OUT = 7, 2
 
 _hash = WordHashes().hash
 BEGIN, END = (np.uint64(_hash(x)) for x in (b"\n", b" "))  # no word holds these
@@ -58,6 +64,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
         yield number, ids, held, texts
 
 
+def words_of(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, each with its begin and end, and their number in each text."""
+    parts = [hashes.of(x.lower().split()) for x in texts]
+    return np.concatenate([y for p in parts for y in (BEGIN[None], p, END[None])]), np.array([len(p) + 2 for p in parts])
+
+
 class Grams:
     """The n-grams of a block.
 
@@ -65,35 +77,33 @@ class Grams:
     n-gram that ends there, or -1; every document is preceded by a place for its begin.
     """
 
-    def __init__(self, texts: list[str], train: np.ndarray, hashes: WordHashes, order: int):
-        parts = [hashes.of(x.encode("utf-8", "surrogatepass").lower().split()) for x in texts]
-        self.sizes = np.array([len(p) + 2 for p in parts])
-        flat = np.concatenate([y for p in parts for y in (BEGIN[None], p, END[None])])
-        self.first = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
-        place = np.arange(len(flat)) - np.repeat(self.first, self.sizes)
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, train: np.ndarray, order: int):
+        self.sizes = sizes
+        self.first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        place = np.arange(len(flat)) - np.repeat(self.first, sizes)
         self.begins = place == 0
-        training = np.repeat(train, self.sizes)
+        training = np.repeat(train, sizes)
         made, where, key = [], [], flat
         for n in range(1, order + 1):
             if n > 1:
                 key = hash64(np.concatenate((key[:1], key[:-1])) + np.uint64(n)) + flat
-                good = place >= n - 1
+                good = np.flatnonzero(place >= n - 1)
             else:
-                good = np.ones(len(flat), bool)
+                good = np.arange(len(flat))
             mark = np.where(self.begins, 0, 1).astype(np.uint64) if n == 1 else np.uint64(0)
-            made.append((hash64(key) & ~np.uint64(1) | mark)[good])
-            where.append(np.flatnonzero(good))
+            made.append((hash64(key) >> np.uint64(64 - BITS) << np.uint64(1) | mark)[good])
+            where.append(good)
         self.keys, back = np.unique(np.concatenate(made), return_inverse=True)
-        self.at = []
-        for n, w in enumerate(where):
+        self.at, low, learned = [], 0, []
+        for w in where:
+            own = back[low : low + len(w)]
+            low += len(w)
             a = np.full(len(flat), -1)
-            low = sum(len(x) for x in made[:n])
-            a[w] = back[low : low + len(w)]
+            a[w] = own
             self.at.append(a)
-        learned = np.concatenate([training[w] for w in where])
-        self.counts = np.bincount(back[learned], minlength=len(self.keys)).astype(np.uint32)
-        self.tokens = ~self.begins
-        self.n_train = int((self.tokens & training).sum())
+            learned.append(own[training[w]])
+        self.counts = np.bincount(np.concatenate(learned), minlength=len(self.keys)).astype(np.uint32)
+        self.n_train = int((~self.begins & training).sum())
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -112,40 +122,73 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
 
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins among sorted keys."""
-    bounds = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+    bounds = np.array([(b << BITS + 1) // buckets for b in range(buckets)], np.uint64)
     return np.append(np.searchsorted(keys, bounds), len(keys))
 
 
+BLOCKS = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("texts", T.BinaryType())])
 ASKED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("n_train", T.LongType())])
 TOLD = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("counts", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("n_train", T.LongType())])
-TEXTS = T.StructType([T.StructField("block", T.LongType()), T.StructField("texts", T.BinaryType())])
 SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
 
 
-def _ask(rows: DataFrame, order: int, size: int, buckets: int) -> DataFrame:
+def _written(rows: DataFrame, size: int) -> DataFrame:
+    """The blocks, each with its texts in one compressed piece."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(BLOCKS)
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for block, ids, held, texts in _blocks(batches, size):
+            data = [x.encode("utf-8", "surrogatepass") for x in texts]
+            yield pa.RecordBatch.from_pylist([{"block": block, "ids": ids, "held": held, "sizes": [len(x) for x in data], "texts": pack(b"".join(data))}], schema)
+
+    return stored(rows.mapInArrow(run, BLOCKS), "blocks")
+
+
+def _grams(row: dict, hashes: WordHashes, order: int) -> Grams:
+    import zstandard
+
+    data, ends = zstandard.ZstdDecompressor().decompress(row["texts"]), np.cumsum(row["sizes"]).tolist()
+    return Grams(*words_of([data[a:b] for a, b in zip([0, *ends], ends, strict=False)], hashes), ~np.array(row["held"], bool), order)
+
+
+def _ask(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """The sorted keys and counts of each block, a piece for each bucket."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(ASKED)
+
     def run(batches):
         hashes = WordHashes()
-        for block, _, held, texts in _blocks(batches, size):
-            grams = Grams(texts, ~np.array(held, bool), hashes, order)
-            cut = _cuts(grams.keys, buckets)
-            got = []
-            for b in range(buckets):
-                keys = grams.keys[cut[b] : cut[b + 1]]
-                if len(keys) or b == 0:
-                    steps = np.diff(keys, prepend=np.uint64(0))
-                    got.append((b, block, _pack(steps), _pack(grams.counts[cut[b] : cut[b + 1]]), grams.n_train if b == 0 else 0))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=ASKED.names)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                grams = _grams(row, hashes, order)
+                cut = _cuts(grams.keys, buckets)
+                got = []
+                for b in range(buckets):
+                    keys = grams.keys[cut[b] : cut[b + 1]]
+                    if len(keys) or b == 0:
+                        got.append({"bucket": b, "block": row["block"], "keys": _pack(np.diff(keys, prepend=np.uint64(0))), "counts": _pack(grams.counts[cut[b] : cut[b + 1]]), "n_train": grams.n_train if b == 0 else 0})
+                yield pa.RecordBatch.from_pylist(got, schema)
 
-    return rows.mapInArrow(run, ASKED)
+    return blocks.mapInArrow(run, ASKED)
 
 
 def _tell(asked: DataFrame, buckets: int) -> DataFrame:
     """Adds up the counts of each bucket and answers every piece; a task has one bucket."""
 
     def run(batches):
-        pieces = [(r["bucket"], r["block"], r["keys"], r["counts"], r["n_train"]) for batch in batches for r in batch.to_pylist()]
-        for bucket in sorted({p[0] for p in pieces}):
-            own = [p for p in pieces if p[0] == bucket]
+        pieces: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pieces.setdefault(p[0], []).append(p)
+        for bucket in sorted(pieces):
+            own = pieces.pop(bucket)
             keys = [np.cumsum(_unpack(p[2], np.uint64)) for p in own]
             flat = np.concatenate(keys)
             order = np.argsort(flat, kind="stable")
@@ -164,115 +207,75 @@ def _tell(asked: DataFrame, buckets: int) -> DataFrame:
     return asked.repartitionById(buckets, F.col("bucket")).mapInArrow(run, TOLD)
 
 
-def _texts(rows: DataFrame, size: int) -> DataFrame:
-    """The blocks' texts, each as one compressed piece."""
-
-    def run(batches):
-        import zstandard
-
-        for block, ids, held, texts in _blocks(batches, size):
-            table = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(texts, pa.string())], names=["doc_id", "held_out", "text"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_batch(table)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zstandard.ZstdCompressor(level=1).compress(sink.getvalue())], pa.binary())], names=TEXTS.names)
-
-    return rows.mapInArrow(run, TEXTS)
-
-
 class Automaton:
-    """The states and arcs that the texts of a block can reach."""
+    """The states and arcs that the texts of a block can reach, by the index of their n-gram in ``grams.keys``.
+
+    A state is a context that the model has, ``len(keys)`` is the root. The arc of n-gram hw leads from state h over w;
+    it is there if the model has hw. Without it the failure arc of h leads on, to h without its first word.
+    """
 
     def __init__(self, grams: Grams, counts: np.ndarray, n: int, v: int, order: int, mu: float):
         c = counts.astype(np.float64)
-        size = len(counts)
-        p = np.where(np.arange(size) >= 0, (c + 1) / (n + v + 1), 0)  # of words; overwritten for longer n-grams
-        root = size
-        self.fail = np.full(size + 1, root)
-        self.fail_weight = np.zeros(size + 1)
-        arcs, weights, targets = [], [], []
-        for k in range(1, order + 1):
-            end = grams.at[k - 1]
-            _, some = np.unique(np.where(end >= 0, end, -1), return_index=True)
-            some = some[end[some] >= 0]
-            if k == 1:
-                some = some[grams.tokens[some]]
-                context = np.full(len(some), root)
-            else:
-                some = some[counts[end[some]] > 0]
-                context = grams.at[k - 2][some - 1]
-                p[end[some]] = (c[end[some]] + mu * p[grams.at[k - 2][some]]) / (c[context] + mu)
-            arcs.append(context * size + grams.at[0][some])
-            weights.append(np.log10(p[end[some]]))
-            # the state behind an arc is the longest context that the model has
-            state = np.full(len(some), root)
-            for j in range(1, min(k, order - 1) + 1):
-                longer = grams.at[j - 1][some]
-                state = np.where((longer >= 0) & (counts[longer] > 0), longer, state)
-            targets.append(state)
-        for j in range(1, order):
-            end = grams.at[j - 1]
-            states, some = np.unique(end, return_index=True)
-            keep = (states >= 0) & (counts[states] > 0)
-            states, some = states[keep], some[keep]
-            self.fail_weight[states] = np.log10(mu / (c[states] + mu))
-            if j > 1:
-                self.fail[states] = grams.at[j - 2][some]
-        self.size, self.root = size, root
-        self.arcs = dict(zip(np.concatenate(arcs).tolist(), range(sum(map(len, arcs))), strict=True))
-        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-        self.fail, self.fail_weight = self.fail.tolist(), self.fail_weight.tolist()
-
-    def read(self, begin: int, tokens: list[int]) -> float:
-        """The log probability of a text: one pass from left to right."""
-        arcs, weight, target, fail, fail_weight, size = self.arcs.get, self.weight, self.target, self.fail, self.fail_weight, self.size
-        state, total = begin, 0.0
-        for t in tokens:
-            while (arc := arcs(state * size + t)) is None:
-                total += fail_weight[state]
-                state = fail[state]
-            total += weight[arc]
-            state = target[arc]
+        self.grams, self.order, self.known = grams, order, counts > 0
+        p = (c + 1) / (n + v + 1)  # of words; longer n-grams follow, each from the shorter ones
+        for k in range(2, order + 1):
+            place = np.flatnonzero(grams.at[k - 1] >= 0)
+            end, context, shorter = grams.at[k - 1][place], grams.at[k - 2][place - 1], grams.at[k - 2][place]
+            p[end] = (c[end] + mu * p[shorter]) / (c[context] + mu)
+        self.weight = np.log10(p)
+        self.fail_weight = np.log10(mu / (c + mu))
+
+    def _state(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the context of so many words before it, and whether that is a state."""
+        if words == 0:
+            return np.full(len(self.grams.begins), len(self.known)), np.ones(len(self.grams.begins), bool)
+        before = self.grams.at[words - 1]
+        before = np.concatenate((np.full(1, -1), before[:-1]))
+        before[self.grams.begins] = -1
+        return before, (before >= 0) & self.known[before]
+
+    def read(self) -> np.ndarray:
+        """The log probability that each place adds; at a place all texts take arcs at the same time.
+
+        The state that the arc before has led to is the longest context that the model has; where it lacks the arc of
+        the next word, its failure arc is taken, until a state has that arc. The root has arcs for all words.
+        """
+        total, waiting = np.zeros(len(self.grams.begins)), ~self.grams.begins
+        for words in range(self.order - 1, -1, -1):
+            state, there = self._state(words)
+            here = waiting & there
+            arc = self.grams.at[words]
+            take = here & (self.known[arc] if words else True)
+            total[take] += self.weight[arc[take]]
+            fall = here & ~take
+            total[fall] += self.fail_weight[state[fall]]
+            waiting = waiting & ~take
         return total
 
 
-def _scored(ids: list, held: list[bool], texts: list[str], told: list[tuple[int, bytes]], n: int, v: int, order: int, mu: float, buckets: int) -> pa.RecordBatch:
-    grams = Grams(texts, ~np.array(held, bool), WordHashes(), order)
+def _scored(row: dict, hashes: WordHashes, told: list[tuple[int, bytes]], n: int, v: int, order: int, mu: float, buckets: int) -> pa.RecordBatch:
+    grams = _grams(row, hashes, order)
     counts = np.zeros(len(grams.keys), np.int64)
     cut = _cuts(grams.keys, buckets)
     for bucket, data in told:
-        got = _unpack(data, np.int64)
-        if len(got) != cut[bucket + 1] - cut[bucket]:
-            raise RuntimeError("a block was read in two ways; the input must not change during a run")
-        counts[cut[bucket] : cut[bucket + 1]] = got
-    model = Automaton(grams, counts, n, v, order, mu)
-    word, known = grams.at[0], counts > 0
-    base = np.log10((counts[word] + 1) / (n + v + 1))
-    out = []
-    for first, size in zip(grams.first.tolist(), grams.sizes.tolist(), strict=True):
-        own = word[first + 1 : first + size]
-        begin = int(word[first])
-        out.append((size - 1, int(known[own].sum()), n, float(base[first + 1 : first + size].sum()), model.read(begin if order > 1 and known[begin] else model.root, own.tolist())))
-    columns = list(zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), *[pa.array(x, pa.int64()) for x in columns[:3]], *[pa.array(x, pa.float64()) for x in columns[3:]]], names=SCORES.names)
+        counts[cut[bucket] : cut[bucket + 1]] = _unpack(data, np.int64)
+    token, word = ~grams.begins, grams.at[0]
+    base = np.where(token, np.log10((counts[word] + 1) / (n + v + 1)), 0)
+    sums = [np.add.reduceat(x, grams.first) for x in (base, Automaton(grams, counts, n, v, order, mu).read(), token & (counts[word] > 0))]
+    return pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(grams.sizes - 1, pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(np.full(len(grams.sizes), n), pa.int64()), pa.array(sums[0]), pa.array(sums[1])], names=SCORES.names)
 
 
 def score(df: DataFrame, order: int = ORDER, mu: float = MU, block: int = BLOCK, buckets: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    buckets = buckets or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // BUCKET_BYTES)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), "text")
-    told = stored(_tell(_ask(rows, order, block, buckets), buckets), "counts")
+    blocks = _written(rows, block)
+    told = stored(_tell(_ask(blocks, order, buckets), buckets), "counts")
     n, v = told.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        import zstandard
-
-        batches = []
-        answers = [(r["bucket"], r["counts"]) for r in right.to_pylist()]
-        for data in left.column("texts").to_pylist():
-            with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)) as source:
-                rows = source.read_all()
-            batches.append(_scored(*(rows.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), answers, n, v, order, mu, buckets))
+        answers = list(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True))
+        batches = [_scored(row, WordHashes(), answers, n, v, order, mu, buckets) for row in left.to_pylist()]
         return pa.Table.from_batches(batches, batches[0].schema if batches else None)
 
-    return _texts(rows, block).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, SCORES)
+    return blocks.groupBy("block").cogroup(told.select("block", "bucket", "counts").groupBy("block")).applyInArrow(run, SCORES)

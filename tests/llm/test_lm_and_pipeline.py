@@ -44,7 +44,7 @@ def scores_by_force(rows, order):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores_equal_brute_force(spark, order):
     rows = [(r.doc_id, r.text) for r in documents(spark, SF).limit(80).collect()] + [(900, None), (901, ""), (None, "The of and"), (3, "twice"), (902, "a " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -60,23 +60,39 @@ def test_probabilities_add_up_to_one(spark):
     train = [(1, "a b a c"), (3, "b b d")]
     import numpy as np
 
-    hashes = lm_score.WordHashes()
     vocabulary = ["a", "b", "c", "d", "zzz"]
     texts = [t for _, t in train] + [f"{ctx} {w}" for ctx in ("a", "b", "zzz") for w in vocabulary] + [ctx for ctx in ("a", "b", "zzz")]
     mask = np.array([True] * 2 + [False] * (len(texts) - 2))
-    grams = lm_score.Grams(texts, mask, hashes, 2)
+    grams = lm_score.Grams(*lm_score.words_of([t.encode() for t in texts], lm_score.WordHashes()), mask, 2)
     n, v = grams.n_train, 5
-    model = lm_score.Automaton(grams, grams.counts.astype(np.int64), n, v, 2, lm_score.MU)
-    prob = {}
-    for i, t in enumerate(texts[2:], 2):
-        own = grams.at[0][grams.first[i] + 1 : grams.first[i] + grams.sizes[i]].tolist()
-        begin = int(grams.at[0][grams.first[i]])
-        first = model.read(begin, own[:1])
-        prob[t] = 10 ** (model.read(begin, own[:2]) - first)
+    added = lm_score.Automaton(grams, grams.counts.astype(np.int64), n, v, 2, lm_score.MU).read()
+    prob = {t: 10 ** added[grams.first[i] + 2] for i, t in enumerate(texts[2:], 2)}  # of the second token, a word or the end
     for ctx in ("a", "b", "zzz"):
         assert sum(prob[f"{ctx} {w}"] for w in vocabulary) + prob[ctx] == pytest.approx(1.0)
 
 
+def test_scores_do_not_depend_on_the_order_of_rows(spark):
+    """Behind a shuffle rows may come in another order when they are read again; blocks are written once."""
+    df = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3} x") for i in range(300)], "doc_id long, text string")
+    get = lambda d, **how: sorted((r.doc_id, round(r.score, 9)) for r in lm_score.score(d, **how).collect())
+    want = get(df.coalesce(1))
+    assert get(df.repartition(7).orderBy(lm_score.F.rand()), block=200) == want
+    assert get(df.withColumn("bucket", lm_score.F.lit(1)).withColumn("block", lm_score.F.lit("x")), buckets=3) == want
+
+
+def test_text_that_occurs_twice_scores_higher(spark):
+    import random
+
+    r = random.Random(5)
+    texts = [" ".join(f"w{min(int(r.expovariate(0.02)), 400)}" for _ in range(120)) for _ in range(60)]
+    rows = [(i, x) for i, x in enumerate(texts + texts[:5])]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # both texts of a pair must be in the training part, for counts of two
+    twice = [i for i in range(5) if not held(i) and not held(60 + i)]
+    once = [i for i in range(5, 60) if not held(i)]
+    assert twice and min(got[i] for i in twice) > max(got[i] for i in once)
+
+
 def test_empty_table(spark):
     assert lm_score.score(documents(spark, SF).limit(0)).count() == 0
 
