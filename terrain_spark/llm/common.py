@@ -47,6 +47,14 @@ def input_bytes(df: DataFrame) -> int:
     return found if found < 1 << 52 else 0
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -234,7 +242,7 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return hash64(out)
 
 
-__all__ = ["CHECKPOINT_KEY", "ChunkEncoder", "F", "Recent", "T", "WordHashes", "add_columns", "chunks", "documents", "hash64", "input_bytes", "map_arrow", "portions", "shared_dir", "stored", "texts_of", "windows"]
+__all__ = ["CHECKPOINT_KEY", "ChunkEncoder", "F", "Recent", "T", "WordHashes", "add_columns", "chunks", "documents", "free_name", "hash64", "input_bytes", "map_arrow", "portions", "shared_dir", "stored", "texts_of", "windows"]
 
 
 class Rolling:

@@ -11,9 +11,12 @@ bucket and not with each other; buckets that still hold several classes get othe
 buckets that hold several classes after those are joined exactly: of two sets that are similar enough, the rarest units
 have one in common, so nodes meet by these, and those of different classes are compared in blocks.
 
-Rows: texts without words, null texts and rows without an id are classes of their own; shorter texts than five words
-are one run; rows with the same doc_id are one document; very long texts are taken whole; ties cannot occur, as
-pivots and class ids are chosen by doc_id last; an empty table gives an empty result.
+Rows: texts without words, null texts and rows without an id are classes of their own; ids must be whole numbers, others count
+as missing; shorter texts than five words are one run; rows with the same doc_id and text are one document, those with the same
+doc_id and different texts are different documents, whose classes ``class_key`` tells apart; very long texts are taken whole;
+ties cannot occur, as pivots and class ids are chosen by hash and doc_id; other columns may have any name; an empty table
+gives an empty result. Of N texts two are taken for one with a chance of N * N / 2**65; similarity is that of 32-bit
+hashes of the units.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import F, T, WordHashes, hash64, map_arrow, portions, stored, windows
+from .common import F, T, WordHashes, free_name, hash64, map_arrow, portions, stored, windows
 
 #: Words of a run, coordinates, those of a band, similarity of a link, rounds of pivots.
 WORDS, K, ROWS, SIMILARITY, ROUNDS = 5, 64, 4, 0.8, 3
@@ -87,43 +90,52 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return hash64(h)
 
 
-def sketches(df: DataFrame) -> DataFrame:
-    """doc_id, d1 and d2 (digest of the words) and bands of every row with an id and a word."""
+def digest(text: str | None) -> int | None:
+    """64 bits that tell texts apart, the same for texts of the same words; None without words."""
     import xxhash
 
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "d1", "d2")] + [T.StructField("bands", T.ArrayType(T.LongType()))])
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else None
+
+
+def sketches(df: DataFrame) -> DataFrame:
+    """doc_id, node (digest of the words) and bands of every row with an id and a word."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def make():
-        hashes = WordHashes()
+        hashes = WordHashes(200_000)
 
         def each(batch: pa.RecordBatch):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in portions(texts):
-                some = [(d, u, xxhash.xxh3_128_intdigest(b" ".join(x.encode("utf-8", "surrogatepass").lower().split()))) for d, x in zip(ids[a:b], texts[a:b], strict=True) if len(u := runs(x, hashes))]
+                some = [(d, digest(x), u) for d, x in zip(ids[a:b], texts[a:b], strict=True) if len(u := runs(x, hashes))]
                 if some:
-                    signed = bands(sketch([u for _, u, _ in some])).view(np.int64)
-                    digest = np.array([[h >> 64, h & (1 << 64) - 1] for _, _, h in some], np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in some], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * signed.shape[1], pa.int32()), pa.array(signed.ravel()))], names=schema.names)
+                    signed = bands(sketch([u for _, _, u in some])).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in some], pa.int64()), pa.array([n for _, n, _ in some], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * signed.shape[1], pa.int32()), pa.array(signed.ravel()))], names=schema.names)
 
         return each
 
-    return map_arrow(df.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text"), schema, make)
+    return map_arrow(_worded(df), schema, make)
+
+
+def _worded(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
 def _elements(df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its sorted units (32 bits of each) for the documents in ``nodes``."""
+    """node and its sorted units (32 bits of each) for ``nodes``, each with the doc_id of a row that has its text."""
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("units", T.BinaryType())])
-    rows = df.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), "text")
-    rows = rows.join(F.broadcast(nodes) if nodes.count() <= MOST_SENT else nodes, "node", "left_semi")
+    rows = _worded(df).join(F.broadcast(nodes) if nodes.count() <= MOST_SENT else nodes, "doc_id").select("node", "text")
 
     def make():
-        hashes = WordHashes()
+        hashes = WordHashes(200_000)
 
         def each(batch: pa.RecordBatch):
-            texts = batch.column(1).to_pylist()
+            nodes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in portions(texts):
-                got = [np.unique((runs(x, hashes) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(got, pa.binary())], names=schema.names)
+                # rows with the id of a node's row may have other texts
+                got = [(n, np.unique((runs(x, hashes) >> np.uint64(32)).astype(np.uint32)).tobytes()) for n, x in zip(nodes[a:b], texts[a:b], strict=True) if digest(x) == n]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([u for _, u in got], pa.binary())], names=schema.names)
 
         return each
 
@@ -256,14 +268,14 @@ def _rest(members: DataFrame, labels: DataFrame | None, elements: DataFrame, tri
     return stored(found.union(blocks).distinct(), "links")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and label, the lowest node that links lead to; ``edges`` has the columns a and b.
 
     Every node takes the lowest label among its neighbours', then the label of its label, until none changes.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
-    for _ in range(most):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
         hooked = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
@@ -271,18 +283,19 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         labels = moved.select("node", "label")
         if not moved.where("label <> old").limit(1).count():
             return labels
-    raise RuntimeError(f"labels still change after {most} steps")
 
 
-def classes(df: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id and class_id (the lowest doc_id of the class) of every row; null for rows without an id."""
+def _found(df: DataFrame, similarity: float, rounds: int) -> DataFrame:
+    """doc_id, node, class_key (the lowest node that links lead to) and class_id of every row with an id and a word."""
     rows = stored(sketches(df), "sketches")
-    nodes = rows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("d1", "d2", F.col("first.doc_id").alias("node"), F.col("first.bands").alias("bands"))
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("first"), F.count(F.lit(1)).alias("n")).select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.bands").alias("bands"), "n")
     nodes = stored(nodes, "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
+    # stored, so that the joins by bucket below read exchanges, whose large partitions Spark splits
+    shared = stored(banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "shared")
     members = stored(banded.join(shared, "bucket"), "members")
-    elements = stored(_elements(df, stored(members.select("node").distinct(), "involved")), "elements")
+    involved = stored(nodes.join(members.select("node").distinct(), "node").select("node", "doc_id"), "involved")
+    elements = stored(_elements(df, involved), "elements")
     labels, tried, links = None, None, None
     for turn in range(rounds):
         salt = [F.lit(turn)] + ([F.col("bucket")] if turn else [])
@@ -291,6 +304,7 @@ def classes(df: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS)
         else:
             placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         pivots = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", *salt).alias("h"), F.col("node").alias("pivot"), F.col("label").alias("class"))).alias("p"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "p.pivot", "p.class")
+        pivots = stored(pivots, "pivots")
         pairs = placed.join(pivots, "bucket").where("label <> class AND node <> pivot").select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["pivot", "node"], "left_anti")
@@ -307,23 +321,45 @@ def classes(df: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS)
         new = _rest(members, labels, elements, tried, similarity)
         if new.limit(1).count():
             labels = components(new if links is None else links.union(new))
-    known = nodes.select("d1", "d2", "node")
-    placed = rows.select("doc_id", "d1", "d2").join(known, ["d1", "d2"])
-    placed = placed.withColumn("class_id", F.col("node")) if labels is None else placed.join(labels, "node", "left").withColumn("class_id", F.coalesce("label", "node"))
-    alone = df.where(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"))
-    return placed.select("doc_id", "class_id").union(alone)
-
-
-def distinct(df: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, that with the lowest doc_id, with its columns; rows without an id stay."""
-    found = stored(classes(df, similarity), "classes")
-    goes = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_goes")).distinct()
-    if goes.count() <= MOST_SENT:
-        goes = F.broadcast(goes)
-    left = df.join(goes, F.col("doc_id") == F.col("_goes"), "left_anti")
-    again = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
-    again = stored(again, "again")
-    if again.limit(1).count():
-        repeated = left.join(again, F.col("doc_id") == F.col("_again"), "left_semi")
-        left = left.join(again, F.col("doc_id") == F.col("_again"), "left_anti").union(repeated.dropDuplicates(["doc_id"]))
-    return left.select(*df.columns)
+    # only texts with copies or links need a lookup; of all others the class is their own row
+    placed = nodes.select("node", "doc_id", "n", F.col("node").alias("class_key")) if labels is None else nodes.select("node", "doc_id", "n").join(labels, "node", "left").select("node", "doc_id", "n", F.coalesce("label", "node").alias("class_key"), F.col("label").isNotNull().alias("linked"))
+    placed = placed.where("n > 1" if labels is None else "n > 1 OR linked")
+    known = placed.join(placed.groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "class_key").select("node", "class_key", "class_id")
+    return rows.select("doc_id", "node").join(stored(known, "known"), "node", "left").select("doc_id", "node", F.coalesce("class_key", "node").alias("class_key"), F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def classes(df: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, class_id (the lowest doc_id of the class; null for rows without an id) and class_key of every row."""
+    doc_id = F.col("doc_id").try_cast("long")
+    alone = df.where(doc_id.isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(doc_id.alias("doc_id"), doc_id.alias("class_id"), F.lit(None).cast("long").alias("class_key"))
+    return _found(df, similarity, rounds).select("doc_id", "class_id", "class_key").union(alone)
+
+
+def distinct(df: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    """One document of each class, that with the lowest doc_id, with its columns; rows without an id or a word stay."""
+    found = stored(_found(df, similarity, rounds), "classes")
+    # ids with several rows: their texts tell which row is meant
+    several = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several")
+    some = several.limit(1).count() > 0
+    key, node = free_name(df, "key"), free_name(df, "node")
+    goes = found.where("doc_id <> class_id").select(F.col("doc_id").alias(key)).distinct()
+    if some:
+        goes = goes.union(several.select(F.col("doc_id").alias(key)))
+    same = F.col("doc_id").try_cast("long") == F.col(key)
+    left = df.join(F.broadcast(goes) if goes.count() <= MOST_SENT else goes, same, "left_anti")
+    if some:
+        kept = found.where("doc_id = class_id").groupBy("class_key").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias(key), F.col("k.node").alias(node)).join(several.withColumnRenamed("doc_id", key), key, "left_semi")
+        rows = _with_digest(df.join(several.select(F.col("doc_id").alias(key)), same, "left_semi"), node)
+        chosen = rows.where(F.col(node).isNotNull()).withColumn(key, F.col("doc_id").try_cast("long")).join(kept, [key, node], "left_semi").dropDuplicates([key, node])
+        left = left.union(rows.where(F.col(node).isNull()).select(*df.columns)).union(chosen.select(*df.columns))
+    return left
+
+
+def _with_digest(df: DataFrame, name: str) -> DataFrame:
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+    at = df.columns.index("text")
+
+    def make():
+        return lambda batch: pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(x) for x in batch.column(at).to_pylist()], pa.int64())], names=schema.names)
+
+    return map_arrow(df, schema, make)

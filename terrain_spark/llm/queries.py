@@ -51,7 +51,7 @@ LISTED_HOSTS = [f"{name}.example.{top}" for name in ("casino-win", "cheap-pills"
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of every document."""
-    return near_dup.classes(documents(spark, sf_dir).select("doc_id", "text"))
+    return near_dup.classes(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,6 +192,29 @@ def test_one_document_of_each_class_stays(spark):
     assert sorted(r.doc_id for r in out.where("doc_id IS NOT NULL").collect()) == sorted([*set(want.values()), 600, 601, 602])
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    """No text is lost, whichever ids its rows have, and columns may have any name."""
+    t1, t2, t3 = prose(80, 1), prose(90, 2), prose(70, 3)
+    rows = [(1, t1), (1, t2), (2, t2), (3, t1 + " more"), (4, t3), (4, t3), (4, None), (5, prose(60, 4)), (1, " ")]
+    df = spark.createDataFrame([(d, t, "x", 1, 2, 3) for d, t in rows], "doc_id long, text string, key string, node int, _key int, class_key int")
+    out = near_dup.distinct(df)
+    assert out.columns == df.columns
+    kept = sorted((r.doc_id, r.text or "") for r in out.collect())
+    assert kept == sorted([(1, t1), (1, t2), (4, t3), (4, ""), (5, rows[7][1]), (1, " ")])
+    got = near_dup.classes(df).where("class_key IS NOT NULL").collect()
+    assert len(got) == 7 and len({r.class_key for r in got}) == 4
+    by = {(r.doc_id, r.class_key): r.class_id for r in got}
+    assert sorted(by.values()) == [1, 1, 1, 1, 4, 5]
+
+
+def test_ids_that_are_no_numbers_and_very_long_texts(spark):
+    long = prose(30_000, 8)
+    df = spark.createDataFrame([("a", long), ("7", long), ("8", long + " end"), ("9", "x " * 50_000), ("10", "x " * 50_000)], "doc_id string, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.classes(df).collect()}
+    assert got == {None: None, 7: 7, 8: 7, 9: 9, 10: 9}
+    assert sorted(r.doc_id for r in near_dup.distinct(df).collect()) == ["7", "9", "a"]
+
+
 def test_large_group_of_near_copies_is_one_class(spark):
     base = prose(120, 77).split()
     docs = [(i, " ".join(base[:60] + [f"v{i}"] + base[60:])) for i in range(400)]
