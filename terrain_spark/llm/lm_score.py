@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from .common import F, T, WordHashes, hash64, input_bytes, stored
 
 #: Words of the longest n-gram, weight of the shorter context, characters of a block, bytes of input for each bucket.
-ORDER, MU, BLOCK, BUCKET_BYTES = 3, 4.0, 6_000_000, 8 << 20
+ORDER, MU, BLOCK, BUCKET_BYTES = 3, 4.0, 4_000_000, 8 << 20
 #: Bits of the hash of an n-gram; of N others one is taken for it with a chance of N / 2**55.
 BITS = 55
 #: Held out are the texts whose hash leaves this remainder.
