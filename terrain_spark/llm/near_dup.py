@@ -242,20 +242,25 @@ def _rest(members: DataFrame, labels: DataFrame | None, elements: DataFrame, tri
     nodes = placed.join(mixed, "bucket").select("node", "label").distinct()
     mine = stored(nodes.join(elements, "node"), "rest")
     keyed = stored(_keyed(mine, similarity), "keyed")
-    by_label = keyed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
-    by_key = by_label.groupBy("key").agg(F.sum("n").alias("m"), F.sum("size").alias("size"), F.max_by(F.struct("label", "n", F.col("size").alias("units")), F.struct("n", "label")).alias("major"), F.sum("sum").alias("sum"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    by_label = keyed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min(F.xxhash64("node")).alias("low"))
+    by_key = stored(by_label.groupBy("key").agg(F.sum("n").alias("m"), F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("sum").alias("sum"), F.min("low").alias("low"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "keys")
     # units that the same nodes have are one
-    by_key = stored(by_key.groupBy("m", "size", "sum").agg(F.min(F.struct("key", "major")).alias("k")).select("m", "size", F.col("k.key").alias("key"), F.col("k.major").alias("major")), "keys")
-    few = keyed.join(by_key.where(F.col("m") <= FEW).select("key"), "key").select("key", "node", "label")
+    alone = by_key.where(F.col("m") <= FEW).groupBy("m", "sum").agg(F.min("key").alias("key")).select("key")
+    few = keyed.join(alone, "key").select("key", "node", "label")
     other = few.select("key", F.col("node").alias("pivot"), F.col("label").alias("class"))
     pairs = few.join(other, "key").where("pivot < node AND label <> class").select("pivot", "node").distinct().join(tried, ["pivot", "node"], "left_anti")
     found = _verified(pairs, elements, similarity).where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    # of larger ones, the nodes outside the most frequent class are in blocks that meet each other and those of that class
-    parts = lambda n, units: F.ceil(F.greatest(n / BLOCK, units / BLOCK_UNITS, F.lit(1))).cast("int")
-    large = by_key.where(F.col("m") > FEW).select("key", F.col("major.label").alias("major"), parts(F.col("m") - F.col("major.n"), F.col("size") - F.col("major.units")).alias("minor"), parts(F.col("major.n"), F.col("major.units")).alias("rest"))
-    dealt = keyed.join(large, "key").withColumn("own", F.when(F.col("label") == F.col("major"), F.col("minor") + F.pmod(F.xxhash64("node"), F.col("rest"))).otherwise(F.pmod(F.xxhash64("node"), F.col("minor"))).cast("int"))
-    met = F.when(F.col("label") == F.col("major"), F.sequence(F.lit(0), F.col("minor") - 1)).otherwise(F.sequence(F.lit(0), F.col("minor") + F.col("rest") - 1))
-    dealt = dealt.select("key", "node", "own", F.explode(met).alias("other")).select("key", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"))
+    # larger ones are mostly those of one family, with almost the same nodes: they are put together by the most frequent class and
+    # a least hash of a node, so each node comes once for all; then the nodes outside the most frequent class are in blocks
+    # that meet each other and those of that class
+    group = ["major", "low"]
+    met = stored(keyed.join(by_key.where(F.col("m") > FEW).select("key", *group), "key").select(*group, "node", "label", "size").distinct(), "met")
+    minor = F.col("label") != F.col("major")
+    parts = lambda of: F.ceil(F.greatest(F.count_if(of) / BLOCK, F.coalesce(F.sum(F.when(of, F.col("size"))), F.lit(0)) / BLOCK_UNITS, F.lit(1))).cast("int")
+    sizes = stored(met.groupBy(*group).agg(parts(minor).alias("minor"), parts(~minor).alias("rest")), "sizes")
+    dealt = met.join(sizes, group).withColumn("own", F.when(F.col("label") == F.col("major"), F.col("minor") + F.pmod(F.xxhash64("node"), F.col("rest"))).otherwise(F.pmod(F.xxhash64("node"), F.col("minor"))).cast("int"))
+    others = F.when(F.col("label") == F.col("major"), F.sequence(F.lit(0), F.col("minor") - 1)).otherwise(F.sequence(F.lit(0), F.col("minor") + F.col("rest") - 1))
+    dealt = dealt.select(*group, "node", "own", F.explode(others).alias("other")).select(*group, "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"))
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def compare(table: pa.Table) -> pa.Table:
@@ -264,7 +269,7 @@ def _rest(members: DataFrame, labels: DataFrame | None, elements: DataFrame, tri
         out = [] if table.num_rows < 2 else links_within(get("node"), get("label"), get("side"), units, similarity)
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    blocks = dealt.join(mine, "node").groupBy("key", "i", "j").applyInArrow(compare, schema)
+    blocks = dealt.join(mine, "node").groupBy(*group, "i", "j").applyInArrow(compare, schema)
     return stored(found.union(blocks).distinct(), "links")
 
 
