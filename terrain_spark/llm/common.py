@@ -164,39 +164,29 @@ class ChunkEncoder:
 
 
 class Recent:
-    """Values of the keys asked for last, in two generations of some ``bound`` keys."""
+    """Values of the keys asked for last, in two generations of some ``bound`` keys; those of ``always`` never go."""
 
-    def __init__(self, bound: int):
-        self.new: dict = {}
+    def __init__(self, bound: int, always: dict | None = None):
+        self.always, self.bound = always or {}, bound
+        self.new: dict = dict(self.always)
         self.old: dict = {}
-        self.bound = bound
 
-    def values(self, lists: list[list[str]], make: Callable[[list[str]], list], first: dict | None = None) -> list[list]:
-        """The values of all keys of ``lists``: from ``first``, from before, or by ``make`` for what is new."""
-        if len(self.new) >= self.bound:
-            self.old, self.new = self.new, {}
+    def values(self, lists: list[list[str]], make: Callable[[list[str]], list]) -> list[list]:
+        """The values of all keys of ``lists``: from before, or by ``make`` for what is new."""
+        if len(self.new) - len(self.always) >= self.bound:
+            self.old, self.new = self.new, dict(self.always)
         new, old = self.new, self.old
-        get = (new if first is None else first).get
-        found = [list(map(get, keys)) for keys in lists]
-        gaps, missing = [], {}
-        for keys, got in zip(lists, found, strict=True):
-            at = -1
-            for _ in range(got.count(None)):
-                at = got.index(None, at + 1)
-                gaps.append((keys, got, at))
-                x = keys[at]
-                if x not in new and x not in missing:
-                    if x in old:
-                        new[x] = old[x]
-                    else:
-                        missing[x] = True
-        wanted = list(missing)
-        for i in range(0, len(wanted), 2000):
-            some = wanted[i : i + 2000]
+        wanted = set().union(*lists)
+        missing = wanted.difference(new)
+        known = [x for x in missing if x in old] if old else []
+        new.update(zip(known, map(old.__getitem__, known), strict=True))
+        rest = list(missing.difference(known)) if known else list(missing)
+        for i in range(0, len(rest), 2000):
+            some = rest[i : i + 2000]
             new.update(zip(some, make(some), strict=True))
-        for keys, got, at in gaps:
-            got[at] = new[keys[at]]
-        return found
+        # a small table of what these lists hold is faster to ask again and again than the large one
+        own = dict(zip(wanted, map(new.__getitem__, wanted), strict=True)).__getitem__
+        return [list(map(own, keys)) for keys in lists]
 
 
 def hash64(words: np.ndarray) -> np.ndarray:

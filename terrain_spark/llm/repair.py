@@ -1,18 +1,19 @@
 """Token ids in compact binary files: Re-Pair grammars per shard, with random access.
 
 A shard holds the ids of documents in ascending order of doc_id. Its most frequent neighbours are replaced by new
-symbols, again and again; the file keeps the rules, the symbols that remain, and how many ids each
-symbol expands to, so that any range of ids is decoded without the rest.
+symbols, again and again, until no pair is left that repeats often enough; the file keeps the rules, the symbols that
+remain, and how many ids each symbol expands to, so that any range of ids is decoded without the rest.
 
 File format, one row for each shard, Parquet as container: ``shard`` (partition and number in it), ``before`` (ids of
 earlier shards of the partition), ``n_ids``, ``first_rule`` (symbols below it are ids),
 ``rules`` (pairs of little-endian unsigned 32-bit symbols), ``lengths`` (ids that each rule expands to, unsigned 32-bit),
-``symbols`` (unsigned 32-bit), ``doc_ids`` (signed 64-bit), ``doc_lengths`` (unsigned 32-bit), ``doc_nulls`` (a bit for each row).
-All five arrays are compressed with zstd.
+``symbols`` (unsigned 32-bit), ``doc_ids`` (signed 64-bit), ``doc_lengths`` (unsigned 32-bit), ``doc_nulls`` (a byte for each row).
+All arrays are stored by bytes, the lowest of all numbers first, and compressed with zstd.
 
-Rows: null texts count as empty and have the end id alone; null ids come first in the order, like
-Spark sorts them; rows with the same doc_id follow each other in any order; very long texts are never cut
-between shards; an empty table gives no file and no rows.
+Rows: null texts count as empty and have the end id alone; null ids, and ids that are no whole numbers, come first in the order,
+like Spark sorts them; rows with the same doc_id follow each other in any order, and where they are many their texts
+deal them out to several partitions; very long texts are never cut between shards; other columns are not read, whatever their
+names; an empty table gives no file and no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ChunkEncoder, F, Recent, T, chunks, map_arrow, portions, shared_dir, texts_of
+from .common import ChunkEncoder, F, Recent, T, chunks, input_bytes, map_arrow, portions, shared_dir, texts_of
 
-#: Ids in a shard at which it ends, rules of a round, rounds, and occurrences that make a rule worth it.
-SHARD_IDS, ROUND_RULES, ROUNDS, LEAST = 1_000_000, 1024, 5, 24
+#: Ids in a shard at which it ends; how often a pair occurs to become a rule: in the first round, what it is divided by
+#: each round, and at least, as a rule takes the bytes of some three symbols. Bytes of input for each partition.
+SHARD_IDS, START, STEP, LEAST, RANGE_BYTES = 1_000_000, 1024, 4, 4, 16 << 20
 
 
 class Encoder:
@@ -45,63 +47,96 @@ class Encoder:
         return [a + b"".join(b) + last for a, b in zip(first, rest, strict=True)]
 
 
-def compress(ids: np.ndarray, first_rule: int, rounds: int = ROUNDS, per_round: int = ROUND_RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules, their lengths and the symbols that remain.
+def compress(ids: np.ndarray, first_rule: int, start: int = START, step: int = STEP, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rules, their lengths and the symbols that remain: no pair of them is left that occurs ``least`` times or more.
 
-    A round counts all neighbours, gives the most frequent pairs a symbol each and replaces their occurrences
-    from left to right where they don't overlap.
+    A round gives all pairs that occur often enough a symbol each; where occurrences overlap, the more frequent pair goes first,
+    and of a row of equal ones every second. What is often enough starts at ``start`` and falls by ``step`` each round
+    to ``least``. From then on only pairs with a new symbol, or whose occurrences had to give way, can still
+    be frequent, so a round looks at these places alone, until none is left.
     """
-    # pairs of symbols that fit two bytes fit one number of four bytes, which sorts faster
-    symbol, pair, bits = (np.uint16, np.uint32, 16) if first_rule + rounds * per_round <= 1 << 16 else (np.uint32, np.uint64, 32)
-    seq = ids.astype(symbol)
-    rules: list[np.ndarray] = []
-    lengths = np.ones(first_rule, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        pairs = seq[:-1].astype(pair)
-        pairs <<= pair(bits)
-        pairs |= seq[1:]
-        order = np.sort(pairs)
-        edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1], [True])))
-        count = np.diff(edge)
-        often = np.flatnonzero(count >= least)
-        if not len(often):
-            break
-        if len(often) > per_round:
-            often = often[np.lexsort((order[edge[often]], -count[often]))[:per_round]]
-        chosen = order[edge[often]]  # in the order of the pairs
-        chosen.sort()
-        del order
-        # a table by hash leads to the only chosen pair that can be meant; of two with the same hash one waits a round
-        slot = _slots(chosen)
-        table = np.zeros(1 << _SLOT_BITS, np.int64)
-        table[slot] = np.arange(len(chosen))
-        chosen = chosen[np.unique(table[slot])]
-        table[_slots(chosen)] = np.arange(len(chosen))
-        hit = np.flatnonzero(chosen[table[_slots(pairs)]] == pairs)
-        # of hits in a row every second one, from the first
-        begins = np.concatenate(([True], np.diff(hit) > 1))
-        place = np.arange(len(hit))
-        hit = hit[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
-        seq[hit] = (first_rule + sum(map(len, rules)) + table[_slots(pairs[hit])]).astype(symbol)
+    seq, rules = ids.astype(np.uint32), []
+    lengths, next_rule = np.ones(max(first_rule, 1), np.int64), first_rule
+    limit, near = max(start, least), None
+    while len(seq) > 1:
+        pairs, at, which, count = _frequent(seq, near, limit)
+        if not len(pairs):
+            if limit == least:
+                break
+            limit = max(least, limit // step)
+            continue
+        rank = np.empty(len(pairs), np.int64)
+        rank[np.lexsort((pairs, -count))] = np.arange(len(pairs))
+        r = rank[which]
+        touch = np.diff(at) == 1
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~touch | (r[1:] < r[:-1])
+        wins[:-1] &= ~touch | (r[:-1] < r[1:])
+        taken, chosen = at[wins], which[wins]
+        # a pair of which too few are left waits for the next round; the most frequent never has to
+        enough = np.bincount(chosen, minlength=len(pairs)) >= limit
+        taken, chosen = taken[enough[chosen]], chosen[enough[chosen]]
+        both = np.stack([pairs[enough] >> np.uint64(32), pairs[enough] & np.uint64(0xFFFFFFFF)], 1).astype(np.int64)
+        seq[taken] = (np.cumsum(enough) - 1 + next_rule)[chosen]
+        rules.append(both)
+        next_rule += len(both)
+        if next_rule > len(lengths):
+            lengths = np.concatenate([lengths, np.zeros(max(len(lengths), next_rule), np.int64)])
+        lengths[next_rule - len(both) : next_rule] = lengths[both[:, 0]] + lengths[both[:, 1]]
         keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
+        keep[taken + 1] = False
+        if limit == least:
+            # changed places, and those of pairs that had to give way, by their place in what is left
+            mark = np.zeros(len(seq), bool)
+            mark[taken] = True
+            mark[at] = True
+            near = np.flatnonzero(mark[keep])
+        limit = max(least, limit // step)
         seq = seq[keep]
-        both = np.stack([chosen >> pair(bits), chosen & pair((1 << bits) - 1)], 1).astype(np.int64)
-        lengths = np.concatenate([lengths, lengths[both[:, 0]] + lengths[both[:, 1]]])
-        rules.append(both)
     pairs = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return pairs.astype("<u4"), lengths[first_rule:].astype("<u4"), seq.astype("<u4")
-
+    return pairs.astype("<u4"), lengths[first_rule:next_rule].astype("<u4"), seq.astype("<u4")
 
-_SLOT_BITS = 18
 
+def _frequent(seq: np.ndarray, near: np.ndarray | None, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that occur ``limit`` times or more, in their order; the places of all of them, which pair stands at each, and how often each occurs.
 
-def _slots(pairs: np.ndarray) -> np.ndarray:
-    if pairs.dtype == np.uint32:
-        return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOT_BITS)
-    return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
+    Of a row of equal symbols every second place counts, from the first. ``near``: the places to look at.
+    """
+    if near is None:
+        at, pairs = np.arange(len(seq) - 1), seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    else:
+        at = np.unique(np.concatenate((near, near - 1)))
+        at = at[(at >= 0) & (at < len(seq) - 1)]
+        pairs = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+    same = np.flatnonzero(seq[:-1] == seq[1:])
+    if len(same):
+        place = np.arange(len(same))
+        begins = np.concatenate(([True], np.diff(same) > 1))
+        odd = np.zeros(len(seq), bool)
+        odd[same[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 1]] = True
+        at, pairs = at[~odd[at]], pairs[~odd[at]]
+    slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+    if near is None:
+        # counters of hashes are never too low, so what they rule out is not sorted
+        some = np.flatnonzero(np.bincount(slot, minlength=1 << _SLOT_BITS)[slot] >= limit)
+        at, pairs, slot = at[some], pairs[some], slot[some]
+    order = np.sort(pairs)
+    edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1], [True]))) if len(order) else np.zeros(1, np.int64)
+    count = np.diff(edge)
+    found, count = order[edge[:-1]][count >= limit], count[count >= limit]
+    if not len(found):
+        return found, at[:0], at[:0], count
+    # a table by hash finds nearly all, a search the others
+    table = np.zeros(1 << _SLOT_BITS, np.int32)
+    table[(found * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)] = np.arange(len(found))
+    which = table[slot].astype(np.int64)
+    miss = np.flatnonzero(found[which] != pairs)
+    which[miss] = np.minimum(np.searchsorted(found, pairs[miss]), len(found) - 1)
+    hit = found[which] == pairs
+    return found, at[hit], which[hit], count
+
+
+_SLOT_BITS = 20
 
 
 class Shard:
@@ -140,22 +175,50 @@ FILE = T.StructType(
 )
 
 
+def _packed(a: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a.reshape(-1).view(np.uint8).reshape(a.size, -1).T).tobytes())
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+#: Stands for null ids where rows are placed.
+_FIRST = -(1 << 63)
+
+
 def _bounds(df: DataFrame, parts: int) -> list[int]:
-    """Doc ids that cut the rows into parts of about the same size."""
-    return sorted({int(x) for x in df.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (20 * parts))}) if parts > 1 else []
+    """Doc ids that cut the rows into parts of about the same size; one that many rows have comes several times."""
+    if parts < 2:
+        return []
+    ids = df.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc_id"))
+    return sorted(int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (20 * parts)))
+
+
+def _places(ids: np.ndarray, texts: list[str], bounds: np.ndarray) -> np.ndarray:
+    """The part of each row; ids that are bounds are dealt out to the parts they touch by a hash of the text."""
+    low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    for i in np.flatnonzero(high > low):
+        low[i] += zlib.crc32(texts[i].encode("utf-8", "surrogatepass")) % (high[i] - low[i] + 1)
+    return low
 
 
 def write(df: DataFrame, tokenizer: str, path: str, end: int = 0, shard_ids: int = SHARD_IDS, parts: int | None = None) -> None:
     """Encodes ``text`` and writes the files, in ascending order of doc_id.
 
-    Rows go to partitions by ranges of doc_id, whose bounds come from that column alone; each partition
-    sorts its rows and closes a shard whenever ``shard_ids`` ids are reached, so memory holds one shard.
+    Rows go to partitions by ranges of doc_id, whose bounds come from that column alone and whose number follows the size
+    of the input; each partition sorts its rows and closes a shard whenever ``shard_ids`` ids are reached, so memory holds one shard.
     """
     import zstandard
 
     with open(tokenizer, "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
-    kept = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kept = df.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
     encoded = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("ids", T.BinaryType())])
 
     def make():
@@ -166,11 +229,11 @@ def write(df: DataFrame, tokenizer: str, path: str, end: int = 0, shard_ids: int
 
         def each(batch: pa.RecordBatch):
             texts = texts_of(batch.column(1))
-            for i, j in portions(texts):
+            for i, j in portions(texts, 3_000_000):
                 some = batch.slice(i, j - i)
                 out = [pack(x) for x in encode(texts[i:j], end)]
                 docs = some.column(0)
-                place = np.where(docs.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, docs.fill_null(0).to_numpy(zero_copy_only=False)))
+                place = _places(docs.fill_null(_FIRST).to_numpy(zero_copy_only=False), texts[i:j], bounds)
                 yield pa.RecordBatch.from_arrays([docs, pa.array(place, pa.int32()), pa.array(out, pa.binary())], names=encoded.names)
 
         return each
@@ -179,7 +242,7 @@ def write(df: DataFrame, tokenizer: str, path: str, end: int = 0, shard_ids: int
 
     first_rule = tokenizers.Tokenizer.from_file(tokenizer).get_vocab_size()
     small = first_rule <= 1 << 16
-    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // RANGE_BYTES)
     bounds = np.array(_bounds(kept, parts), np.int64)
     placed = map_arrow(kept, encoded, make).repartitionById(len(bounds) + 1, F.col("place")).select("doc_id", "ids").sortWithinPartitions("doc_id")
 
@@ -187,7 +250,7 @@ def write(df: DataFrame, tokenizer: str, path: str, end: int = 0, shard_ids: int
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        unpack = zstandard.ZstdDecompressor().decompress
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
         total = before = 0
@@ -195,8 +258,8 @@ def write(df: DataFrame, tokenizer: str, path: str, end: int = 0, shard_ids: int
         def close() -> pa.RecordBatch:
             flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
             rules, lengths, symbols = compress(flat, first_rule)
-            arrays = [rules, lengths, symbols, np.array([d or 0 for d in docs], "<i8"), np.array([len(x) for x in ids], "<u4"), np.packbits(np.array([d is None for d in docs], bool))]
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([first_rule], pa.int64()), *[pa.array([pack(np.ascontiguousarray(a).tobytes())], pa.binary()) for a in arrays]], names=FILE.names)
+            arrays = [rules, lengths, symbols, np.array([d or 0 for d in docs], "<i8"), np.array([len(x) for x in ids], "<u4"), np.array([d is None for d in docs], bool)]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([first_rule], pa.int64()), *[pa.array([_packed(a)], pa.binary()) for a in arrays]], names=FILE.names)
 
         for batch in batches:
             for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -216,8 +279,6 @@ def write(df: DataFrame, tokenizer: str, path: str, end: int = 0, shard_ids: int
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids (binary, unsigned 32-bit) of every document in the files."""
-    import zstandard
-
     files = spark.read.schema(FILE).parquet(path)
     part = F.shiftright("shard", 32).alias("part")
     totals = files.groupBy(part).agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # two numbers for each partition
@@ -228,15 +289,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def make():
-        unpack = zstandard.ZstdDecompressor().decompress
-
         def each(batch: pa.RecordBatch):
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                get = lambda c, kind: np.frombuffer(unpack(row[c]), kind)  # noqa: B023, E731
+                get = lambda c, kind: _unpacked(row[c], kind)  # noqa: B023, E731
                 shard = Shard(row["first_rule"], get("rules", "<u4"), get("lengths", "<u4"), get("symbols", "<u4"))
                 docs, sizes = get("doc_ids", "<i8"), get("doc_lengths", "<u4").astype(np.int64)
-                nulls = np.unpackbits(get("doc_nulls", "u1"), count=len(docs)).astype(bool)
+                nulls = get("doc_nulls", "?")
                 ends = np.cumsum(sizes)
                 base = starts[row["shard"] >> 32] + row["before"]
                 for i in range(0, len(docs), 4000):
@@ -253,10 +312,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def read_range(spark: SparkSession, path: str, shard: int, start: int, n: int) -> np.ndarray:
     """``n`` ids from ``start`` on of one shard."""
-    import zstandard
-
     row = spark.read.schema(FILE).parquet(path).where(F.col("shard") == shard).first()
-    get = lambda c, kind: np.frombuffer(zstandard.ZstdDecompressor().decompress(row[c]), kind)
+    get = lambda c, kind: _unpacked(row[c], kind)
     return Shard(row["first_rule"], get("rules", "<u4"), get("lengths", "<u4"), get("symbols", "<u4")).read(start, n)
 
 

@@ -23,7 +23,7 @@ class Counter:
     """Numbers of tokens of chunks by the library of the file's kind; see ``chunks`` for why those add up."""
 
     def __init__(self, kind: str, data: bytes, frequent: bytes = b"", lengths: bytes = b"", bound: int = 150_000):
-        self.kind, self.known = kind, Recent(bound)
+        self.kind = kind
         if kind == "json":
             self.lib = ChunkEncoder(data)
             self.special = self.lib.special
@@ -32,7 +32,7 @@ class Counter:
 
             self.lib = sentencepiece.SentencePieceProcessor(model_proto=data)
             self.special = []
-        self.table = dict(zip(frequent.decode().split(" ") if lengths else [], lengths, strict=True))
+        self.known = Recent(bound, dict(zip(frequent.decode().split(" ") if lengths else [], lengths, strict=True)))
 
     def exact(self, texts: list[str]) -> list[int]:
         found = self.lib.exact(texts) if self.kind == "json" else self.lib.encode(texts, num_threads=1)
@@ -42,7 +42,7 @@ class Counter:
         if self.kind != "json":  # its pieces may cross spaces
             return self.exact(texts)
         cut = [None if any(s in x for s in self.special) else chunks(x) for x in texts]
-        rest = self.known.values([p[1:] if p else [] for p in cut], self.lib.counts, self.table)
+        rest = self.known.values([p[1:] if p else [] for p in cut], self.lib.counts)
         first = self.exact([x if p is None else p[0] for x, p in zip(texts, cut, strict=True)])
         return [n + sum(more) for n, more in zip(first, rest, strict=True)]
 

@@ -112,7 +112,7 @@ def test_odd_texts_in_one_cache(lib):
 @given(st.lists(st.integers(0, 4), max_size=300), st.sampled_from([10, 1 << 17]))
 def test_repair_round_trip_and_random_access(ids, first):
     x = np.array(ids, "<u4")
-    rules, lengths, symbols = repair.compress(x, first, rounds=6, per_round=5, least=2)
+    rules, lengths, symbols = repair.compress(x, first, start=8, step=2, least=2)
     shard = repair.Shard(first, rules, lengths, symbols)
     assert (shard.expand(symbols.astype(np.int64)) == x).all()
     for a in range(0, len(x), 7):
@@ -125,6 +125,36 @@ def test_repair_makes_repeated_ids_smaller():
     assert len(symbols) + 2 * len(rules) < len(x) / 3
 
 
+@pytest.mark.parametrize("least", [2, 4, 9])
+def test_repair_goes_on_until_no_pair_repeats(least):
+    r = np.random.default_rng(least)
+    passage = r.integers(0, 500, 300)
+    x = np.concatenate([np.concatenate((passage[: r.integers(50, 300)], r.integers(0, 500, 40), [7] * r.integers(0, 30))) for _ in range(100)]).astype("<u4")
+    rules, lengths, symbols = repair.compress(x, 500, least=least)
+    assert (repair.Shard(500, rules, lengths, symbols).read(0, len(x)) == x).all()
+    counts, last = {}, None
+    for p in zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True):
+        last = None if p == last and p[0] == p[1] else p  # of a row of equal symbols every second place
+        if last:
+            counts[p] = counts.get(p, 0) + 1
+    assert max(counts.values(), default=0) < least
+    assert len(repair.compress(np.tile(passage.astype("<u4"), 500), 500, least=least)[2]) < 20
+
+
+def test_repair_files_of_one_hot_id(spark, lib):
+    """An id that most rows have is dealt out to several partitions, and the order by id holds."""
+    rows = [(5 if i % 4 else i, f"text {i} of many") for i in range(400)] + [(None, f"null {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = f"{repair.shared_dir(spark)}/hot_id"
+    repair.write(df, JSON, path, parts=8)
+    shards = [r.shard >> 32 for r in spark.read.parquet(path).collect()]
+    assert len(set(shards)) >= 7
+    got = sorted(repair.read(spark, path).collect(), key=lambda r: r.start)
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == sorted((d is not None, d or 0) for d, _ in rows)
+    ends = [r.start + r.n_tokens for r in got]
+    assert [r.start for r in got] == [0, *ends[:-1]]
+
+
 def test_repair_files(spark, lib):
     rows = [(i * 7 % 41, t) for i, t in enumerate(TEXTS * 3)] + [(None, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
