@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -129,6 +130,10 @@ class ChunkEncoder:
         self.lib = tokenizers.Tokenizer.from_buffer(data)
         self.lib.no_truncation()
         self.lib.no_padding()
+        kind = json.loads(data)
+        cut = kind.get("pre_tokenizer") or {}
+        #: whether texts may be cut into chunks: bytes by the usual pattern, and nothing else before it
+        self.apart = not kind.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.bytes_of = np.zeros(self.lib.get_vocab_size(), np.int64)
         for token, i in self.lib.get_vocab().items():

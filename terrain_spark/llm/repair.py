@@ -40,7 +40,7 @@ class Encoder:
         self.kind = "<u2" if self.lib.lib.get_vocab_size() <= 1 << 16 else "<u4"
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        cut = [None if any(s in x for s in self.lib.special) else chunks(x) for x in texts]
+        cut = [None if not self.lib.apart or any(s in x for s in self.lib.special) else chunks(x) for x in texts]
         rest = self.known.values([p[1:] if p else [] for p in cut], lambda some: self.lib.packed(some, self.kind))
         last = np.array([end], self.kind).tobytes()
         first = [x.astype(self.kind).tobytes() for x in self.lib.exact([x if p is None else p[0] for x, p in zip(texts, cut, strict=True)])]

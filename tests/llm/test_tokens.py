@@ -101,6 +101,33 @@ def test_token_counts_by_sentencepiece(spark):
     assert {r.doc_id: r.n_tokens for r in got} == {1: len(lib.encode("Hello  world")), 2: 0}
 
 
+def test_sentencepiece_words_add_up(spark):
+    import sentencepiece
+
+    name = "piece_bpe_32k.model"
+    lib, rng = sentencepiece.SentencePieceProcessor(model_file=P.path(name)), random.Random(4)
+    texts = ["".join(rng.choice(["the", "a", "Xq", " ", "  ", ".", ",", "123", "é", "\t", "\n", "<s>", "▁", "token", "ing", "\u00b4"]) for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["", " ", "plain words of ASCII " * 500]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), P.path(name)).collect()}
+    assert got == {i: len(lib.encode(x)) for i, x in rows}
+
+
+def test_counts_by_a_file_with_another_pattern(spark):
+    import tokenizers
+
+    own = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = token_counts.count_tokens(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), P.path("word_bpe_49k.json")).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(own.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(TEXTS)}
+
+
+def test_frequent_chunks_are_those_of_all_texts(spark):
+    rows = [(i, f"x common other{i % 3} rare{i} " + "w" * (70 + i)) for i in range(500)] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    top = token_counts.frequent_chunks(df, counted=300, kept=6, merged=2)
+    assert top[:4] == ["common", "other1", "other0", "other2"] and not any(x.startswith("w") for x in top)
+    assert token_counts.frequent_chunks(df.limit(0)) == []
+
+
 def test_odd_texts_in_one_cache(lib):
     counter = token_counts.Counter("json", open(JSON, "rb").read(), bound=50)
     rng = random.Random(3)
