@@ -106,10 +106,11 @@ def frequent_chunks(df: DataFrame, counted: int = COUNTED, kept: int = FREQUENT,
         yield handed(tally)
 
     found = stored(df.select("text").mapInArrow(count, schema), "summaries")
-    while (n := found.rdd.getNumPartitions()) > 1:
-        found = stored(found.coalesce(-(-n // merged)).mapInArrow(merge, schema), "summaries")
-    rows = found.mapInArrow(merge, schema).collect()
-    return [x for r in rows for x in r.chunks.split(" ") if x]
+    n = found.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // merged)
+        found = stored(found.coalesce(n).mapInArrow(merge, schema), "summaries")
+    return [x for r in found.coalesce(1).mapInArrow(merge, schema).collect() for x in r.chunks.split(" ") if x]
 
 
 def count_tokens(df: DataFrame, vocabulary: str, limit: int = 1024, frequent: list[str] | None = None) -> DataFrame:
