@@ -30,9 +30,12 @@ from pyspark.sql import DataFrame
 from .common import F, T, WordHashes, free_name, hash64, map_arrow, stored
 from .decontaminate import plain
 
-#: Labelled documents of the sample, buckets of each kind of n-gram, pseudo-count of a bucket, deviations at which a ratio is halved,
-#: groups of languages that have a scale of their own.
-SAMPLE, BUCKETS, PRIOR, DOUBT, LANGUAGES = 20_000, 1 << 18, 0.5, 6.0, 16
+#: Labelled documents of the sample, pseudo-count of a bucket, deviations at which a ratio is halved, groups of languages with a scale
+#: of their own: the most frequent ones of the sample have one each, all others share one.
+SAMPLE, PRIOR, DOUBT, LANGUAGES = 20_000, 0.5, 6.0, 12
+#: Buckets of words and of pairs of shapes.
+BUCKETS = (1 << 20, 1 << 16)
+KINDS = (slice(0, BUCKETS[0]), slice(BUCKETS[0], sum(BUCKETS)))
 #: Log weights are divided by the temperature before noise is added.
 TEMPERATURE, SEED = 1.0, 17
 
@@ -59,22 +62,18 @@ class NGrams:
             found = self.salts[lang] = np.uint64(self.words.hash(b"" if lang is None else b"=" + lang.encode()))
         return found
 
-    def group(self, lang: str | None) -> int:
-        return int(self.salt(lang)) % LANGUAGES
-
     def of(self, text: str, lang: str | None) -> np.ndarray:
         salt, parts = self.salt(lang), text.encode("utf-8", "surrogatepass").split()
         w, s = self.words.of(parts) ^ salt, self.shapes.of(parts) ^ salt
         same = (w[1:] == w[:-1]).astype(np.uint64)
         pairs = hash64(s[:-1] + np.uint64(2)) + s[1:] + same
-        mask = np.uint64(BUCKETS - 1)
-        return np.concatenate([(hash64(w) & mask).astype(np.int64), (hash64(pairs) & mask).astype(np.int64) + BUCKETS])
+        return np.concatenate([(hash64(w) & np.uint64(BUCKETS[0] - 1)).astype(np.int64), (hash64(pairs) & np.uint64(BUCKETS[1] - 1)).astype(np.int64) + BUCKETS[0]])
 
 
 COUNTS = T.StructType([T.StructField("lang", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("at", "target", "raw", "target_docs", "raw_docs")]])
 
 
-def _count(sample: DataFrame) -> DataFrame:
+def _count(sample: DataFrame, groups: dict[str | None, int]) -> DataFrame:
     """Of each group of languages the buckets that occur; their occurrences, and documents, in target and raw text."""
 
     def run(batches):
@@ -82,7 +81,7 @@ def _count(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for text, lang, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at, n = np.unique(ngrams.of(text or "", lang), return_counts=True)
-                table = tables.setdefault(ngrams.group(lang), np.zeros((4, 2 * BUCKETS), np.uint32))
+                table = tables.setdefault(groups.get(lang, LANGUAGES - 1), np.zeros((4, sum(BUCKETS)), np.uint32))
                 table[1, at] += n.astype(np.uint32)
                 table[3, at] += np.uint32(1)
                 if target:
@@ -102,10 +101,11 @@ class Model:
 
     ratios: np.ndarray
     usual: np.ndarray
+    groups: dict[str | None, int]
     share: float
 
-    def weight(self, at: np.ndarray, group: int) -> float:
-        return float(self.ratios[at].sum(dtype=np.float64) - len(at) * self.usual[group])
+    def weight(self, at: np.ndarray, lang: str | None) -> float:
+        return float(self.ratios[at].sum(dtype=np.float64) - len(at) * self.usual[self.groups.get(lang, LANGUAGES - 1)])
 
 
 def _scale(target: np.ndarray, raw: np.ndarray) -> float:
@@ -114,11 +114,11 @@ def _scale(target: np.ndarray, raw: np.ndarray) -> float:
     return float(np.exp((target[some] * np.log(target[some] / raw[some])).sum() / target[some].sum())) if some.any() else 0.0
 
 
-def ratios(tables: dict[int, np.ndarray], share: float) -> Model:
+def ratios(tables: dict[int, np.ndarray], groups: dict[str | None, int], share: float) -> Model:
     """``tables``: for each group of languages target, raw, target_docs and raw_docs by bucket."""
-    t, e, d, x, v = (np.zeros(2 * BUCKETS) for _ in range(5))
+    t, e, d, x, v = (np.zeros(sum(BUCKETS)) for _ in range(5))
     for table in tables.values():
-        for kind in (slice(0, BUCKETS), slice(BUCKETS, None)):
+        for kind in KINDS:
             target, raw, docs, of = table[:, kind].astype(np.float64)
             part, part_docs = _scale(target, raw), _scale(docs, of)
             t[kind] += target
@@ -132,7 +132,7 @@ def ratios(tables: dict[int, np.ndarray], share: float) -> Model:
     for group, table in tables.items():
         if n := table[0].sum():
             usual[group] = (table[0] * found).sum() / n
-    return Model(found.astype(np.float32), usual, share)
+    return Model(found.astype(np.float32), usual, groups, share)
 
 
 def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, parts: int = 8) -> Model:
@@ -141,18 +141,20 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, parts: int = 8)
     share = one.agg(F.avg(F.col("target").cast("int"))).first()[0]
     few = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = df.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id").repartition(parts)
+    most = df.join(F.broadcast(few), "doc_id").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES - 1)
+    groups = {r.lang: i for i, r in enumerate(most.collect())}
     tables: dict[int, np.ndarray] = {}
     # stored first, so that the parts are counted at the same time and fetched one by one
-    for row in stored(_count(chosen), "ngram_counts").toLocalIterator():
-        table = tables.setdefault(row.lang, np.zeros((4, 2 * BUCKETS), np.uint32))
+    for row in stored(_count(chosen, groups), "ngram_counts").toLocalIterator():
+        table = tables.setdefault(row.lang, np.zeros((4, sum(BUCKETS)), np.uint32))
         at = np.frombuffer(row.at, "<u4")
         for i, c in enumerate(COUNTS.names[2:]):
             table[i, at] += np.frombuffer(row[c], np.uint32)
-    return ratios(tables, 1.0 if share is None else share)
+    return ratios(tables, groups, 1.0 if share is None else share)
 
 
 def weigh(df: DataFrame, model: Model) -> DataFrame:
-    """``df`` without ``text`` and ``lang``, with log_weight. The models have a fixed size (2 MB)."""
+    """``df`` without ``text`` and ``lang``, with log_weight. The models have a fixed size (4 MB)."""
     sent = df.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in df.columns if c not in ("text", "lang", "log_weight")]
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("log_weight", T.DoubleType())])
@@ -162,7 +164,7 @@ def weigh(df: DataFrame, model: Model) -> DataFrame:
 
         def each(batch: pa.RecordBatch):
             texts, langs = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()
-            got = [model.weight(ngrams.of(x, l), ngrams.group(l)) if x else 0.0 for x, l in zip(texts, langs, strict=True)]
+            got = [model.weight(ngrams.of(x, l), l) if x else 0.0 for x, l in zip(texts, langs, strict=True)]
             return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(got, pa.float64())], names=schema.names)
 
         return each

@@ -304,7 +304,7 @@ def weights_by_force(docs, labels):
         if i in known:
             own = collections.Counter(grams.of(text or "", lang).tolist())
             for b, n in own.items():
-                c = counts.setdefault((grams.group(lang), b), [0, 0, 0, 0])
+                c = counts.setdefault((lang, b), [0, 0, 0, 0])
                 c[1] += n
                 c[3] += 1
                 if known[i]:
@@ -314,12 +314,12 @@ def weights_by_force(docs, labels):
     for group in {g for g, _ in counts}:
         for kind in (0, 1):
             for a in (0, 2):
-                some = [(c[a], c[a + 1]) for (g, b), c in counts.items() if g == group and (b >= quality.BUCKETS) == kind and c[a]]
+                some = [(c[a], c[a + 1]) for (g, b), c in counts.items() if g == group and (b >= quality.BUCKETS[0]) == kind and c[a]]
                 n = sum(x for x, _ in some)
                 scale[group, kind, a] = math.exp(sum(x * math.log(x / y) for x, y in some) / n) if n else 0.0
     ratio = {}
     for b in {b for _, b in counts}:
-        own = [(scale[g, int(b >= quality.BUCKETS), 0], scale[g, int(b >= quality.BUCKETS), 2], c) for (g, x), c in counts.items() if x == b]
+        own = [(scale[g, int(b >= quality.BUCKETS[0]), 0], scale[g, int(b >= quality.BUCKETS[0]), 2], c) for (g, x), c in counts.items() if x == b]
         t, e = sum(c[0] for *_, c in own), sum(s * c[1] for s, _, c in own)
         z2 = (sum(c[2] for *_, c in own) - sum(s * c[3] for _, s, c in own)) ** 2 / (sum(s * (1 - s) * c[3] for _, s, c in own) + 1)
         ratio[b] = math.log((t + quality.PRIOR) / (e + quality.PRIOR)) * z2 / (z2 + quality.DOUBT**2)
@@ -327,7 +327,7 @@ def weights_by_force(docs, labels):
     for group in {g for g, _ in counts}:
         n = sum(c[0] for (g, _), c in counts.items() if g == group)
         usual[group] = sum(c[0] * ratio[b] for (g, b), c in counts.items() if g == group) / n if n else 0.0
-    return [(i, sum(ratio.get(b, 0.0) - usual.get(grams.group(lang), 0.0) for b in grams.of(text or "", lang).tolist())) for i, text, lang in docs], sum(known.values()) / len(known)
+    return [(i, sum(ratio.get(b, 0.0) - usual.get(lang, 0.0) for b in grams.of(text or "", lang).tolist())) for i, text, lang in docs], sum(known.values()) / len(known)
 
 
 def test_weights_keys_and_top_k_equal_brute_force(spark):
