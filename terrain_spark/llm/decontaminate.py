@@ -34,12 +34,13 @@ def plain(word: bytes) -> bytes:
     return text[a:b].encode()
 
 
-_EMPTY = WordHashes().hash(b"")
+#: The hash of what has no letter or digit.
+EMPTY = WordHashes().hash(b"")
 
 
 def tokens(text: str, hashes: WordHashes) -> np.ndarray:
     h = hashes.of(text.encode("utf-8", "surrogatepass").split())
-    return h[h != _EMPTY]
+    return h[h != EMPTY]
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:

@@ -1,15 +1,13 @@
-"""Repeated passages: units of lines, found by digests that all documents share.
+"""Repeated passages: lines, and sentences of longer lines, found by digests that all documents share.
 
-A unit is a line, or a sentence of a longer line, with its words in lower case and without the signs around them.
-The digest of a unit of fewer than ``LEAST`` words takes words before it as well, up to that
-many, so that a short sentence counts as repeated only within a repeated passage. Of each unit the first
-occurrence stays, by doc_id and place in the text; the others are cut out, and their places in
-the original text are kept.
+Words are compared in lower case and without the signs around them; what is signs alone is no word, and what has no word is no unit. Of each unit the first occurrence stays, by doc_id and place in the text;
+the others are cut out, and their places in the original text are kept. A line counts whatever its length, a sentence
+within a longer line from ``LEAST`` words on, as short ones repeat by chance; of a line that goes, no sentence is looked at.
 
 Rows: null and empty texts have no units and stay as they are; rows with the same doc_id are one document for the
-order and don't repeat each other; rows without an id come last and are one document too; units
-before the first ``LEAST`` words of a text have fewer words and never count as repeated; very long texts are taken
-whole; an empty table gives an empty result.
+order and don't repeat each other; rows without an id (or with one that is no whole number) come last and are documents of their
+own, but those of equal text are one; very long texts are taken whole; ties cannot occur, as places in one document differ;
+other columns may have any name, but one called ``removed`` is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,41 +16,55 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
-from .common import F, Rolling, T, WordHashes, map_arrow, stored
+from .common import F, Rolling, T, WordHashes, free_name, map_arrow, stored
+from .decontaminate import EMPTY as _EMPTY
 from .decontaminate import plain
 
-#: Words that a digest covers at least.
+#: Words of the shortest sentence that counts within a longer line.
 LEAST = 8
 _END = re.compile(r"\n+|[.!?]+[ \t]+")
-_LAST = (1 << 63) - 1
+#: Rows without an id come from here on, by a hash of their text.
+_LAST = 1 << 62
 
 
 class Units:
     def __init__(self, least: int):
         self.least = least
-        self.hashes = WordHashes(normal=plain)
+        self.hashes = WordHashes(200_000, normal=plain)
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends, and both halves of the digests; units that can't be repeated are left out."""
-        cut = [0, *(m.end() for m in _END.finditer(text))]
-        if cut[-1] < len(text):
-            cut.append(len(text))
-        parts = [text[a:b].encode("utf-8", "surrogatepass").split() for a, b in zip(cut, cut[1:], strict=False)]
+        """Starts, ends, and both halves of the digests, in the order of starts, a line before its sentences."""
+        found = list(_END.finditer(text))
+        cut = np.array([0, *(m.end() for m in found), len(text)], np.int64)
+        begins = np.array([True, *(text[m.start()] == "\n" for m in found)])  # of each sentence, whether a line begins with it
+        parts = [text[a:b].encode("utf-8", "surrogatepass").split() for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.cumsum(sizes)
         h = self.hashes.of([w for p in parts for w in p])
-        starts = np.maximum(ends - np.maximum(sizes, self.least), 0)
-        good = (sizes > 0) & (ends - starts >= self.least)
-        a, b = starts[good], ends[good]
-        cut_at = np.array(cut, np.int64)
-        return cut_at[:-1][good], cut_at[1:][good], Rolling(h, 0).of(a, b).view(np.int64), Rolling(h, 1).of(a, b).view(np.int64)
+        upto = np.concatenate(([0], np.cumsum(h != _EMPTY)))[np.concatenate(([0], np.cumsum(sizes)))]
+        h, sizes = h[h != _EMPTY], np.diff(upto)
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], len(parts))  # the sentence after each line
+        several = np.add.reduceat((sizes > 0).astype(np.int64), first) > 1
+        inner = np.flatnonzero(np.repeat(several, last - first) & (sizes >= self.least))
+        low, high = np.concatenate((first, inner)), np.concatenate((last, inner + 1))
+        order = np.lexsort((-high, low))
+        low, high = low[order], high[order]
+        good = upto[high] > upto[low]
+        low, high = low[good], high[good]
+        a, b = upto[low], upto[high]
+        return cut[low], cut[high], Rolling(h, 0).of(a, b).view(np.int64), Rolling(h, 1).of(a, b).view(np.int64)
+
+
+def _rank(text: str = "text") -> Column:
+    """What documents are ordered by: the doc_id, or of rows without one a hash of the text beyond all ids."""
+    return F.coalesce(F.col("doc_id").try_cast("long"), F.lit(_LAST) + F.shiftrightunsigned(F.xxhash64(text), 2))
 
 
 def units(df: DataFrame, least: int = LEAST) -> DataFrame:
-    """h1, h2 and doc_id of every unit, once for each document."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("h1", "h2", "doc_id")])
+    """h1, h2 and the rank of the document of every unit, once for each row."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("h1", "h2", "rank")])
 
     def make():
         find = Units(least).of
@@ -71,58 +83,63 @@ def units(df: DataFrame, least: int = LEAST) -> DataFrame:
 
         return each
 
-    return map_arrow(df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text"), schema, make)
+    return map_arrow(df.select(_rank().alias("rank"), "text"), schema, make)
 
 
 def repeats(df: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id and ``seen``: digests of units that an earlier document has, with that document."""
+    """rank and ``seen``: digests of units that an earlier document has, with that document's rank."""
     all_units = stored(units(df, least), "units")
-    first = all_units.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    later = all_units.join(first, ["h1", "h2"]).where(F.col("doc_id") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "first")).alias("seen"))
+    first = all_units.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
+    # stored, so that a line of very many documents is read from an exchange whose large partitions Spark splits
+    later = all_units.join(stored(first, "first"), ["h1", "h2"]).where(F.col("rank") > F.col("first"))
+    return later.groupBy("rank").agg(F.collect_set(F.struct("h1", "h2", "first")).alias("seen"))
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("first_doc_id", T.LongType())]))
 
 
 def dedup(df: DataFrame, least: int = LEAST) -> DataFrame:
-    """``df`` without repeated units, and ``removed``: their code-point offsets in the original, and the document that keeps them."""
-    kept = [c for c in df.columns if c not in ("removed", "_key", "_seen")]
-    found = repeats(df, least).select(F.col("doc_id").alias("_key"), F.col("seen").alias("_seen"))
-    joined = df.select(*kept).join(found, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("_key"), "left").select(*kept, "_seen")
+    """``df`` without repeated units, and ``removed``: their code-point offsets in the original, and the document that keeps them (null without an id)."""
+    kept = [c for c in df.columns if c != "removed"]
+    rank, seen = free_name(df, "rank"), free_name(df, "seen")
+    found = stored(repeats(df, least), "repeats").select(F.col("rank").alias(rank), F.col("seen").alias(seen))
+    joined = df.select(*kept, _rank().alias(rank)).join(found, rank, "left").select(*kept, rank, seen)
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("removed", SPANS)])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_doc_id", pa.int64())]))
 
     def make():
         find = Units(least).of
 
-        def cut(doc_id, text, seen):
+        def cut(own_rank, text, seen):
             if not text:
                 return text, []
             starts, ends, h1, h2 = find(text)
-            earlier = {(int(s["h1"]), int(s["h2"])): s["first"] for s in seen or ()}
             _, first = np.unique(h1, return_index=True)
-            if not earlier and len(first) == len(h1):
+            if not seen and len(first) == len(h1):
                 return text, []
+            earlier = {(int(s["h1"]), int(s["h2"])): s["first"] for s in seen or ()}
             own: set[tuple[int, int]] = set()
             spans, out, at = [], [], 0
             for a, b, x, y in zip(starts.tolist(), ends.tolist(), h1.tolist(), h2.tolist(), strict=True):
+                if a < at:
+                    continue  # within a line that is gone
                 keeper = earlier.get((x, y))
                 if keeper is None and (x, y) in own:
-                    keeper = doc_id
+                    keeper = own_rank
                 elif keeper is None:
                     own.add((x, y))
                     continue
-                spans.append({"start": a, "end": b, "first_doc_id": keeper})
+                spans.append({"start": a, "end": b, "first_doc_id": keeper if keeper < _LAST else None})
                 out.append(text[at:a])
                 at = b
             return "".join(out) + text[at:], spans
 
         def each(batch: pa.RecordBatch):
-            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-            got = [cut(d, x, s) for d, x, s in zip(get("doc_id"), get("text"), get("_seen"), strict=True)]
-            columns = [pa.array([x for x, _ in got], batch.schema.field(c).type) if c == "text" else batch.column(i) for i, c in enumerate(kept)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([s for _, s in got], kind)], names=[*kept, "removed"])
+            get = lambda i: batch.column(i).to_pylist()
+            at = kept.index("text")
+            got = [cut(d, x, s) for d, x, s in zip(get(len(kept)), get(at), get(len(kept) + 1), strict=True)]
+            columns = [pa.array([x for x, _ in got], batch.schema.field(i).type) if i == at else batch.column(i) for i in range(len(kept))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([s for _, s in got], kind)], names=schema.names)
 
         return each
 

@@ -35,8 +35,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated units: their documents and places, and the documents that keep them."""
-    return line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.inline("removed"))
+    """Every document without repeated units; their places in the original, and the documents that keep them."""
+    return line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,25 +80,33 @@ def test_short_items_match_as_a_whole(spark):
 # --- repeated units ---------------------------------------------------------------------------------------------
 
 def units_by_force(docs, least):
-    """doc -> removed (start, end): plain lists of words in place of digests."""
-    found, order = [], sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0))
-    for i in order:
-        text = docs[i][1] or ""
-        cut = [0, *(m.end() for m in re.finditer(r"\n+|[.!?]+[ \t]+", text))]
-        cut += [len(text)] if cut[-1] < len(text) else []
-        before = []
-        for a, b in zip(cut, cut[1:]):
-            own = [decontaminate.plain(x.encode()).decode() for x in re.findall(r"[^\x20\x09-\x0D]+", text[a:b])]
-            before += own
-            n = max(len(own), least)
-            if own and len(before) >= n:
-                found.append((i, a, b, tuple(before[-n:])))
-    first, out, seen = {}, collections.defaultdict(list), collections.defaultdict(set)
-    for i, a, b, key in found:
-        owner = first.setdefault(key, docs[i][0])
-        if owner != docs[i][0] or key in seen[i]:
+    """(row, start, end, words) of every line, and of sentences of ``least`` words within longer lines."""
+    words = lambda x: tuple(w for y in re.findall(r"[^\x20\x09-\x0D]+", x) if (w := decontaminate.plain(y.encode()).decode()))
+    found = []
+    for i, (_, text) in enumerate(docs):
+        for line in re.finditer(r"[^\n]*(\n+|\Z)", text or ""):
+            if own := words(line[0]):
+                found.append((i, *line.span(), own))
+                cut = [line.start(), *(line.start() + m.end() for m in re.finditer(r"[.!?]+[ \t]+", line[0])), line.end()]
+                parts = [(a, b, w) for a, b in zip(cut, cut[1:]) if (w := words(text[a:b]))]
+                if len(parts) > 1:
+                    found += [(i, a, b, w) for a, b, w in parts if len(w) >= least]
+    return found
+
+
+def removed_by_force(docs, least):
+    units, out = units_by_force(docs, least), collections.defaultdict(list)
+    rank = lambda i: (docs[i][0] is None, docs[i][0] if docs[i][0] is not None else docs[i][1])
+    first = {}
+    for i, _, _, w in units:
+        first[w] = min(first.get(w, rank(i)), rank(i))
+    own = collections.defaultdict(set)
+    for i, a, b, w in units:
+        if out[i] and a < out[i][-1][1]:
+            continue
+        if first[w] < rank(i) or w in own[i]:
             out[i].append((a, b))
-        seen[i].add(key)
+        own[i].add(w)
     return out
 
 
@@ -106,16 +114,29 @@ def test_repeated_units_equal_brute_force(spark):
     passage = ". ".join(prose(n, n) for n in (9, 3, 14, 12, 20)) + ". "
     line = prose(10, 99)
     docs = [(5, prose(30, 1) + " " + passage + prose(20, 2)), (2, line + "\n" + prose(12, 3) + "\n" + line + "\nshort."), (9, passage.upper() + line), (1, None), (3, ""), (4, "To. To. To."), (7, "To. To. To."), (None, line + "\n" + prose(9, 8)), (6, passage), (6, passage), (8, "a " * 5000 + ". ")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_seen", F.lit(1)).repartition(3)
-    got = line_dedup.dedup(df).collect()
-    want = units_by_force(docs, line_dedup.LEAST)
-    expected = sorted(((d, "".join(c for p, c in enumerate(t) if not any(a <= p < b for a, b in want[i])) if t else t, want[i]) for i, (d, t) in enumerate(docs)), key=repr)
-    assert sorted(((r.doc_id, r.text, [(s.start, s.end) for s in r.removed]) for r in got), key=repr) == expected
+    docs += [(None, "Short\n---\n" + prose(9, 8)), (None, None), (11, "short!\n\n***\n***\n" + prose(14, 14) + ". New words here"), (12, " \n" + prose(14, 14) + "\n" + prose(14, 14) + " \n."), (13, "word " * 40_000 + "\n" + passage)]
+    df = spark.createDataFrame([(d, t, 1, "k", 2.0) for d, t in docs], "doc_id long, text string, _seen int, rank string, seen double").repartition(3)
+    out = line_dedup.dedup(df)
+    assert out.columns == [*df.columns, "removed"]
+    got = out.collect()
+    assert all((r._seen, r.rank, r.seen) == (1, "k", 2.0) for r in got)
+    want = removed_by_force(docs, line_dedup.LEAST)
+    # rows without an id are ordered by a hash, so which of them keeps a line of theirs alone is left open here
+    expected = sorted(((d, "".join(c for p, c in enumerate(t) if not any(a <= p < b for a, b in want[i])) if t else t, want[i]) for i, (d, t) in enumerate(docs) if d is not None), key=repr)
+    assert sorted(((r.doc_id, r.text, [(s.start, s.end) for s in r.removed]) for r in got if r.doc_id is not None), key=repr) == expected
+    assert sum(prose(9, 8) in (r.text or "") for r in got) == 1 and all("Short" not in (r.text or "") for r in got)
     assert line_dedup.dedup(df.limit(0)).count() == 0
     keepers = {s.first_doc_id for r in got if r.doc_id == 9 for s in r.removed}
     assert keepers <= {2, 5, 6, 9}
 
 
+def test_short_header_is_removed_from_all_but_one(spark):
+    rows = [(i, f"Read this page first\n{prose(40, 3000 + i)}") for i in range(50)] + [(None, f"Read this page first\nnumber {i}") for i in range(200)]
+    out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert [r.doc_id for r in out if "page first" in r.text] == [0]
+    assert sum(len(r.removed) for r in out) == 249
+
+
 def test_common_line_stays_once(spark):
     line = prose(12, 5)
     df = spark.createDataFrame([(i, f"{line}\n{prose(15, 1000 + i)}") for i in range(60)], "doc_id long, text string")
