@@ -46,7 +46,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Rules of the query, and hosts that are blocked where no rule fits.
 RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
-LISTED_HOSTS = [f"{name}.example.{top}" for name in ("casino-win", "cheap-pills", "spam-farm") for top in ("com", "net", "org")]
+LISTED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ SELECT page_id, host, path, rule,
   CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host, '(^|[.])(casino-win|cheap-pills|spam-farm)[.]example[.](com|net|org)$') THEN 'block'
+    WHEN regexp_matches(host, '(^|[.])(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)[.]example[.](com|net|org)$') THEN 'block'
     ELSE 'allow'
   END AS verdict
 FROM ruled

@@ -4,6 +4,9 @@ Even levels hold listed keys, odd levels those of the corpus's other keys that t
 so on until no mistake is left; a key then belongs to the list if the first level that lacks it is odd. The
 cascade is exact for every key of the corpus, as its whole key universe is tried when it is built.
 
+Short lists travel inside the plan, as numbers that built-in functions look bits up in; for longer ones the same cascade is built
+from numpy arrays, broadcast (some 20 bits a listed key), and read in Arrow batches.
+
 Rows: a null url and one without ``://`` have an empty host and path, fit no rule and are allowed; urls of any
 length are judged whole; repeated rows give a row each; an empty table gives an empty result; other
 columns are not read.
@@ -14,12 +17,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import F
+from .common import F, T, map_arrow
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Listed keys up to which filters travel inside the plan: some 2 bytes a key and level. Beyond it, a semi join answers.
+#: Listed keys up to which filters travel inside the plan: some 2 bytes a key and level. Beyond it, they are broadcast.
 MOST_LISTED = 20_000
 
 
@@ -96,22 +101,22 @@ class Cascade:
             out = F.when(~self.levels[i].has(key), F.lit(i % 2 == 1)).otherwise(out)
         return out
 
+    @staticmethod
+    def first(spark: SparkSession, listed: list[str], n: int) -> Bloom:
+        """The first level, for a universe of about ``n`` keys."""
+        return Bloom.of(spark, listed, _rate(listed, n), 0)
+
+    @staticmethod
+    def passing(universe: DataFrame, levels: list[Bloom]) -> DataFrame:
+        """Keys of the universe that the first level of their list lets through; ``which`` are numbers of ``levels``."""
+        hit = F.lit(False)
+        for i, level in enumerate(levels):
+            hit = hit | ((F.col("which") == i) & level.has(F.col("key")))
+        return universe.where(hit)
+
     @classmethod
-    def build(cls, universe: DataFrame, listed: list[str]) -> Cascade:
-        """``universe``: a column ``key`` with every key that will be asked for, repeated or not.
-
-        Two passes over it: the number of its keys by a sketch, which sets the rate of the first level, and its keys
-        that the first level lets through. Those are no more than some times the list, whatever the corpus.
-        """
-        spark = universe.sparkSession
-        listed = sorted(set(listed))
-        if not listed:
-            return cls([])
-        others = max(1, universe.agg(F.approx_count_distinct("key", 0.05)).first()[0] - len(listed))
-        rate = min(0.5, len(listed) / (others * math.sqrt(2)))
-        levels = [Bloom.of(spark, listed, rate, 0)]
-        passed = {r.key for r in universe.where(levels[0].has(F.col("key"))).distinct().collect()} - set(listed)
-        inside, outside = listed, sorted(passed)
+    def finish(cls, spark: SparkSession, listed: list[str], level: Bloom, passed: set[str]) -> Cascade:
+        levels, inside, outside = [level], listed, sorted(passed - set(listed))
         while outside:
             levels.append(Bloom.of(spark, outside, 0.5, len(levels)))
             wrong = spark.createDataFrame([(k,) for k in inside], "key string").where(levels[-1].has(F.col("key")))
@@ -119,6 +124,98 @@ class Cascade:
         return cls(levels)
 
 
+def _rate(listed: list[str], n: int) -> float:
+    return min(0.5, max(1, len(listed)) / (max(1, n - len(listed)) * math.sqrt(2)))
+
+
+def build(universe: DataFrame, lists: list[list[str]], kind: type | None = None) -> list[Cascade | LongCascade]:
+    """A cascade for each list. ``universe``: ``which`` list a key will be asked for in, and ``key``, repeated or not.
+
+    Two passes over it for all lists: the numbers of keys by a sketch, which set the rates of the first levels, and the keys
+    that those let through. These are no more than some times the lists, whatever the corpus.
+    """
+    spark, lists = universe.sparkSession, [sorted(set(x)) for x in lists]
+    kind = kind or (LongCascade if max(map(len, lists)) > MOST_LISTED else Cascade)
+    if not any(lists):
+        return [kind([]) for _ in lists]
+    sizes = {r.which: r.n for r in universe.groupBy("which").agg(F.approx_count_distinct("key", 0.05).alias("n")).collect()}
+    levels = [kind.first(spark, x, sizes.get(i, 0)) for i, x in enumerate(lists)]
+    passed: list[set[str]] = [set() for _ in lists]
+    for r in kind.passing(universe, levels).distinct().collect():
+        passed[r.which].add(r.key)
+    return [kind.finish(spark, x, level, p) if x else kind([]) for x, level, p in zip(lists, levels, passed, strict=True)]
+
+
+class Bits:
+    """A level as a numpy array: ``k`` bits of ``m`` for each key; ``level`` salts the hashes."""
+
+    def __init__(self, keys: list[str], rate: float, level: int):
+        self.level, self.k = level, max(1, round(math.log2(1 / rate)))
+        self.m = max(64, math.ceil(len(keys) * math.log2(1 / rate) / math.log(2)))
+        self.bits = np.zeros((self.m + 7) // 8, np.uint8)
+        for i in range(0, len(keys), 100_000):
+            at = self.positions(keys[i : i + 100_000]).ravel()
+            np.bitwise_or.at(self.bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+    def positions(self, keys: list[str]) -> np.ndarray:
+        import xxhash
+
+        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass"), self.level) for k in keys), np.uint64).reshape(-1, 2)
+        return ((h[:, :1] + np.arange(self.k, dtype=np.uint64) * (h[:, 1:] | np.uint64(1))) % np.uint64(self.m)).astype(np.int64)
+
+    def has(self, keys: list[str]) -> np.ndarray:
+        at = self.positions(keys)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(1)
+
+
+class LongCascade:
+    """The cascade of a long list, as arrays of bits."""
+
+    def __init__(self, levels: list[Bits]):
+        self.levels = levels
+
+    def has(self, keys: list[str]) -> np.ndarray:
+        """For keys of the universe the cascade was built over, whether they are listed: the first level that lacks a key decides."""
+        out, rest = np.full(len(keys), len(self.levels) % 2 == 1), np.arange(len(keys))
+        for i, level in enumerate(self.levels):
+            if not len(rest):
+                break
+            passed = level.has([keys[j] for j in rest])
+            out[rest[~passed]] = i % 2 == 1
+            rest = rest[passed]
+        return out
+
+    @staticmethod
+    def first(spark: SparkSession, listed: list[str], n: int) -> Bits:
+        return Bits(listed, _rate(listed, n), 0)
+
+    @staticmethod
+    def passing(universe: DataFrame, levels: list[Bits]) -> DataFrame:
+        sent = universe.sparkSession.sparkContext.broadcast(levels)
+
+        def make():
+            def each(batch: pa.RecordBatch):
+                which, keys = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                keep = np.zeros(len(keys), bool)
+                for i, level in enumerate(sent.value):
+                    own = np.flatnonzero(which == i)
+                    if len(own):
+                        keep[own] = level.has([keys[j] for j in own])
+                return batch.filter(pa.array(keep))
+
+            return each
+
+        return map_arrow(universe.select("which", "key"), T.StructType([T.StructField("which", T.IntegerType()), T.StructField("key", T.StringType())]), make)
+
+    @classmethod
+    def finish(cls, spark: SparkSession, listed: list[str], level: Bits, passed: set[str]) -> LongCascade:
+        levels, inside, outside = [level], listed, sorted(passed - set(listed))
+        while outside:
+            levels.append(Bits(outside, 0.5, len(levels)))
+            inside, outside = outside, [k for k, hit in zip(inside, levels[-1].has(inside), strict=True) if hit]
+        return cls(levels)
+
+
 @dataclass(frozen=True)
 class Rule:
     action: str
@@ -135,16 +232,15 @@ def judge(pages: DataFrame, rules: list[Rule], listed_hosts: list[str]) -> DataF
 
     The longest rule that fits decides; without one, a page is blocked if its host or a parent domain is listed.
     """
-    if max(len(rules), len(listed_hosts)) > MOST_LISTED:
-        return _joined(pages, rules, listed_hosts)
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     lengths = sorted({len(r.path) for r in rules})
     keys = parts.select("*", suffixes(F.col("host")).alias("domains")).select("*", _keys(lengths).alias("keys"))
-    universe = keys.select(F.explode("keys").alias("key"))
-    domains = keys.select(F.explode("domains").alias("key"))
-    any_rule = Cascade.build(universe, [r.key for r in rules])
-    allowing = Cascade.build(universe, [r.key for r in rules if r.action == "allow"])
-    bad = Cascade.build(domains, listed_hosts)
+    named = lambda c, i: F.transform(c, lambda k: F.struct(F.lit(i).alias("which"), k.alias("key")))
+    universe = keys.select(F.inline(F.concat(named("keys", 0), named("keys", 1), named("domains", 2))))
+    any_rule, allowing, bad = build(universe, [[r.key for r in rules], [r.key for r in rules if r.action == "allow"], listed_hosts])
+    long = isinstance(any_rule, LongCascade)
+    if long:
+        return _judge_long(keys, any_rule, allowing, bad)
     fits = F.filter("keys", lambda k: any_rule.has(k))
     rule = F.when(F.size(fits) > 0, F.array_max(F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"])
     judged = keys.select("page_id", "host", "path", "domains", rule.alias("rule"))
@@ -163,15 +259,27 @@ def _keys(lengths: list[int]) -> Column:
     return F.flatten(F.transform("domains", lambda d: F.transform(prefixes(F.col("path"), lengths), lambda p: F.concat(d, p))))
 
 
-def _joined(pages: DataFrame, rules: list[Rule], listed_hosts: list[str]) -> DataFrame:
-    """The same for lists that are too long for the plan: keys and lists are joined by a shuffle."""
-    spark = pages.sparkSession
-    parts = pages.select(F.monotonically_increasing_id().alias("_row"), "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    parts = parts.select("*", suffixes(F.col("host")).alias("domains"))
-    keys = parts.select("*", _keys(sorted({len(r.path) for r in rules})).alias("keys"))
-    table = spark.createDataFrame([(r.key, r.action) for r in rules], "key string, action string")
-    best = keys.select("_row", F.explode("keys").alias("key")).join(table, "key").groupBy("_row").agg(F.max(F.struct(F.length("key").alias("n"), "key", "action")).alias("best"))
-    hosts = spark.createDataFrame([(h,) for h in listed_hosts], "key string")
-    bad = keys.select("_row", F.explode("domains").alias("key")).join(hosts, "key", "left_semi").select("_row", F.lit(True).alias("bad")).distinct()
-    out = parts.join(best, "_row", "left").join(bad, "_row", "left")
-    return out.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce(F.col("best.action"), F.when(F.col("bad"), "block"), F.lit("allow")).alias("verdict"))
+def _judge_long(keys: DataFrame, any_rule: LongCascade, allowing: LongCascade, bad: LongCascade) -> DataFrame:
+    """Rules and verdicts of pages with their keys and domains, by cascades of long lists."""
+    sent = keys.sparkSession.sparkContext.broadcast((any_rule, allowing, bad))
+    schema = T.StructType([*[keys.schema[c] for c in ("page_id", "host", "path")], T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
+
+    def make():
+        any_rule, allowing, bad = sent.value
+
+        def hits(lists: pa.Array, cascade: LongCascade) -> list[list[str]]:
+            flat = lists.flatten().to_pylist()
+            known = dict(zip(unique := list(set(flat)), cascade.has(unique).tolist() if unique else [], strict=True))
+            return [[k for k in x if known[k]] for x in lists.to_pylist()]
+
+        def each(batch: pa.RecordBatch):
+            fits = [max(x, key=lambda k: (len(k), k), default=None) for x in hits(batch.column(3), any_rule)]
+            named = sorted({x for x in fits if x is not None})
+            allowed = {k for k, yes in zip(named, allowing.has(named).tolist() if named else [], strict=True) if yes}
+            listed = hits(batch.column(4), bad)
+            verdict = ["allow" if f in allowed else "block" if f is not None or h else "allow" for f, h in zip(fits, listed, strict=True)]
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fits, pa.string()), pa.array(verdict, pa.string())], names=schema.names)
+
+        return each
+
+    return map_arrow(keys.select("page_id", "host", "path", "keys", "domains"), schema, make)

@@ -419,17 +419,26 @@ def test_verdicts_equal_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(URLS * 2)), "page_id long, url string")
     want = [(i, *judged_by_force(u, queries.RULES, queries.LISTED_HOSTS)) for i, u in enumerate(URLS * 2)]
     assert sorted(map(tuple, url_filter.judge(df, queries.RULES, queries.LISTED_HOSTS).collect())) == sorted(want)
-    assert sorted(map(tuple, url_filter._joined(df, queries.RULES, queries.LISTED_HOSTS).collect())) == sorted(want)
+    many = [f"nowhere{i}.example" for i in range(url_filter.MOST_LISTED + 1)]
+    assert sorted(map(tuple, url_filter.judge(df, queries.RULES, queries.LISTED_HOSTS + many).collect())) == sorted(want)
+    clash = df.select("page_id", "url", F.lit(1).alias("key"), F.lit("x").alias("host"), F.lit(2).alias("which"), F.lit(3).alias("domains"))
+    assert sorted(map(tuple, url_filter.judge(clash, queries.RULES, queries.LISTED_HOSTS).collect())) == sorted(want)
     assert url_filter.judge(df.limit(0), queries.RULES, queries.LISTED_HOSTS).count() == 0
     assert {r.verdict for r in url_filter.judge(df, [], []).collect()} == {"allow"}
 
 
 def test_cascade_is_exact_over_its_universe(spark):
-    universe = spark.range(20000).select(F.concat(F.lit("key"), F.col("id").cast("string")).alias("key"))
-    listed = [f"key{i * 37}" for i in range(300)] + ["absent"]
-    cascade = url_filter.Cascade.build(universe, listed)
-    got = {r.key for r in universe.where(cascade.has(F.col("key"))).collect()}
-    assert got == set(listed) - {"absent"} and len(cascade.levels) > 1
+    universe = spark.range(20000).select((F.col("id") % 2).cast("int").alias("which"), F.concat(F.lit("key"), F.col("id").cast("string")).alias("key"))
+    listed = [f"key{i * 38}" for i in range(300)] + ["absent"]
+    other = [f"key{i * 94 + 1}" for i in range(100)]
+    keys = sorted(r.key for r in universe.where("which = 0").collect())
+    first, second, none = url_filter.build(universe, [listed, other, []], url_filter.Cascade)
+    assert {r.key for r in universe.where("which = 0").where(first.has(F.col("key"))).collect()} == set(listed) - {"absent"} and len(first.levels) > 1
+    assert {r.key for r in universe.where("which = 1").where(second.has(F.col("key"))).collect()} == set(other)
+    assert universe.where(none.has(F.col("key"))).count() == 0
+    first, second, none = url_filter.build(universe, [listed, other, []], url_filter.LongCascade)
+    assert {k for k, yes in zip(keys, first.has(keys)) if yes} == set(listed) - {"absent"} and len(first.levels) > 1
+    assert not none.has(keys).any()
 
 
 # --- outliers ---------------------------------------------------------------------------------------------------
