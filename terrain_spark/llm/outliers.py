@@ -1,13 +1,16 @@
 """Quality rules: statistics of texts, and robust outliers among them by language and source. DataFrame functions only.
 
-A group's centre and covariance are minimum-covariance-determinant estimates: from medians on, concentration
-steps take the share of rows that lie nearest and estimate anew from them. Distances are counted in narrow
-classes, so a step is one aggregation with partial sums, whatever the size of a group; it needs no sort.
+A group's centre and covariance are minimum-covariance-determinant estimates. Concentration steps take the share of rows that lie
+nearest and estimate anew from them; they begin from three starts (medians with median deviations, means with covariances,
+medians with covariances), the one with the lowest determinant after ``TRIES`` steps goes on until its determinant falls
+no more. Distances are counted in narrow classes, of which the last counts with the part that is needed, so a step is one
+aggregation with partial sums, whatever the size of a group; it needs no sort of rows.
 
 Rows: null texts have no words, fail the base rules and are not kept; a group under ``MIN_ROWS`` is judged with the other
 small ones of its language, by the estimates of the whole language if those are too few too, and by those of the whole
 corpus if the language is; of a corpus under ``MIN_ROWS`` all such rows are kept; null languages and sources are groups
-of their own; repeated rows count each; very long texts are taken whole; an empty table gives an empty result.
+of their own; repeated rows count each; very long texts are taken whole; other columns are
+not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from .common import stored
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
-#: Share of a group that its estimates rest on, concentration steps, rows of the smallest group, share of clean rows to lose.
-SHARE, STEPS, MIN_ROWS, TAIL = 0.75, 5, 60, 1e-7
+#: Share of a group that its estimates rest on, steps from each start, relative fall of a determinant that is none, rows of the smallest
+#: group, share of clean rows to lose.
+SHARE, TRIES, FALL, MIN_ROWS, TAIL = 0.75, 2, 0.01, 60, 1e-7
 #: Classes of a unit of ln(1 + squared distance), and of a transformed statistic.
 FINE, FINE_X = 16, 64
 #: The statistics' standard deviations are taken as at least these.
@@ -121,20 +125,31 @@ def consistency(share: float) -> float:
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
-def _factors() -> list[Column]:
-    """Centre and Cholesky factor of the covariance from the sums of the rows taken: m0.., l00, l10, l11, ..."""
+def _factors(widen: float = 1.0) -> list[Column]:
+    """Centre and Cholesky factor of the covariance from the sums of the rows taken: m0.., l00, l10, l11, ...; and the determinant."""
     n = F.col("s")
     means = [F.col(f"s{i}") / n for i in range(P)]
     low: dict[tuple[int, int], Column] = {}
     for i in range(P):
         for j in range(i + 1):
-            a = (F.col(f"s{i}{j}") / n - means[i] * means[j]) * F.col("widen")
+            a = (F.col(f"s{i}{j}") / n - means[i] * means[j]) * widen
             if i == j:
                 a = F.greatest(a, F.lit(0.0)) + FLOOR[i] ** 2
             for k in range(j):
                 a = a - low[i, k] * low[j, k]
             low[i, j] = F.sqrt(F.greatest(a, F.lit(1e-9))) if i == j else a / low[j, j]
-    return [m.alias(f"m{i}") for i, m in enumerate(means)] + [low[i, j].alias(f"l{i}{j}") for i, j in PAIRS]
+    det = low[0, 0] * low[0, 0]
+    for i in range(1, P):
+        det = det * low[i, i] * low[i, i]
+    return [m.alias(f"m{i}") for i, m in enumerate(means)] + [low[i, j].alias(f"l{i}{j}") for i, j in PAIRS] + [det.alias("det")]
+
+
+#: Sums that estimates come from: of rows, of each statistic, of products.
+SUMS = ["s", *[f"s{i}" for i in range(P)], *[f"s{i}{j}" for i, j in PAIRS]]
+
+
+def _sums() -> list[Column]:
+    return [F.count(F.lit(1)).cast("double").alias("s"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS]]
 
 
 def _distance() -> Column:
@@ -151,6 +166,15 @@ def _distance() -> Column:
     return out
 
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """g, start and its estimates, three for each group."""
+    robust, plain = stored(_first(rows), "medians"), stored(rows.groupBy("g").agg(*_sums()).select("g", *_factors()), "means")
+    middle, factor = [f"m{i}" for i in range(P)], [f"l{i}{j}" for i, j in PAIRS]
+    mixed = robust.select("g", *middle).join(plain.select("g", *factor), "g")
+    named = lambda df, i: df.select("g", F.lit(i).alias("start"), *middle, *factor)
+    return named(robust, 0).union(named(plain, 1)).union(named(mixed, 2))
+
+
 def _first(rows: DataFrame) -> DataFrame:
     """Medians and median deviations of each statistic, from counts of narrow classes."""
     long = rows.select("g", F.posexplode(F.array(*[F.floor(F.col(f"x{i}") * FINE_X) for i in range(P)])).alias("c", "b"))
@@ -173,24 +197,39 @@ def _middle(counts: DataFrame, share: float) -> DataFrame:
 
 
 def _concentrate(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
-    """A concentration step: estimates from the nearest rows, a class of distances at a time."""
+    """A concentration step from each start: estimates from the nearest rows, a class of distances at a time."""
     from pyspark.sql import Window
 
-    near = rows.join(params, "g").select("g", F.floor(F.ln(F.lit(1.0) + _distance()) * FINE).alias("b"), *[f"x{i}" for i in range(P)])
-    sums = near.groupBy("g", "b").agg(
-        F.count(F.lit(1)).cast("double").alias("s"),
-        *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)],
-        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS],
-    )
-    names = ["s", *[f"s{i}" for i in range(P)], *[f"s{i}{j}" for i, j in PAIRS]]
-    w = Window.partitionBy("g")
-    run = sums.select("g", "b", F.sum("s").over(w).alias("all"), *[F.sum(c).over(w.orderBy("b")).alias(c) for c in names])
-    taken = run.where(F.col("s") >= F.col("all") * share).groupBy("g").agg(F.min_by(F.struct("all", *names), "b").alias("t")).select("g", "t.*")
-    # the share taken may be larger where many rows are alike; then less is missing
-    return taken.withColumn("widen", F.when(F.col("s") < F.col("all") * (share + 1) / 2, F.lit(consistency(share))).otherwise(F.lit(1.0))).select("g", *_factors())
+    near = rows.join(params, "g").select("g", "start", F.floor(F.ln(F.lit(1.0) + _distance()) * FINE).alias("b"), *[f"x{i}" for i in range(P)])
+    sums = near.groupBy("g", "start", "b").agg(*_sums())
+    w = Window.partitionBy("g", "start")
+    needed = F.ceil(F.sum("s").over(w) * share)
+    # of the class that holds the last row that is needed, a part counts
+    part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (needed - (F.sum("s").over(w.orderBy("b")) - F.col("s"))) / F.col("s")))
+    taken = sums.select("g", "start", part.alias("part"), *SUMS).groupBy("g", "start").agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in SUMS])
+    return taken.select("g", "start", *_factors(consistency(share)))
 
 
-def judge(df: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS, tail: float = TAIL) -> DataFrame:
+def estimates(rows: DataFrame, share: float = SHARE, tries: int = TRIES) -> DataFrame:
+    """g and its centre, factor and determinant; ``rows`` has g and the statistics x0.. ."""
+    params = _starts(rows)
+    for _ in range(tries):
+        params = stored(_concentrate(rows, params, share), "estimates")
+    names = [c for c in params.columns if c not in ("g", "start")]
+    best = params.groupBy("g").agg(F.min(F.struct("det", "start", F.struct(*names).alias("of"))).alias("t")).select("g", "t.start", "t.of.*")
+    best = stored(best, "estimates")
+    while True:
+        step = _concentrate(rows, best, share)
+        old = best.select("g", F.struct(*names).alias("old"))
+        falls = F.col("det") < F.col("old.det") * (1 - FALL)
+        both = step.select("g", "start", "det", F.struct(*names).alias("new")).join(old, "g")
+        moved = stored(both.select("g", "start", F.when(falls, F.col("new")).otherwise(F.col("old")).alias("of"), falls.alias("falls")), "estimates")
+        best = moved.select("g", "start", "of.*")
+        if not moved.where("falls").limit(1).count():
+            return best
+
+
+def judge(df: DataFrame, share: float = SHARE, tries: int = TRIES, min_rows: int = MIN_ROWS, tail: float = TAIL) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     Estimates rest on the rows that pass the base rules; rows beyond ``tail`` of their group are rejected.
@@ -209,11 +248,9 @@ def judge(df: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows: int
     grouped = passed.join(places.select("own", "g"), "own")
     # a language or the corpus is estimated from all its rows, for the groups that are judged by it
     lent = F.array_compact(F.array(F.when(~F.col("g").startswith("\x03") & (F.col("g") != corpus), F.col("g")), F.col("wide"), corpus if everything else F.lit(None).cast("string")))
-    rows = grouped.where(~F.col("base_failed")).join(wide, "tongue", "left").select(F.explode(lent).alias("g"), *[f"x{i}" for i in range(P)])
+    rows = stored(grouped.where(~F.col("base_failed")).join(wide, "tongue", "left").select(F.explode(lent).alias("g"), *[f"x{i}" for i in range(P)]), "rows")
     enough = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select("g")
-    params = stored(_first(rows).join(enough, "g", "left_semi"), "estimates")
-    for _ in range(steps):
-        params = stored(_concentrate(rows, params, share), "estimates")
+    params = estimates(rows, share, tries).join(enough, "g", "left_semi").drop("start", "det")
     out = grouped.join(params, "g", "left").withColumn("distance", _distance())
     near = F.coalesce(F.col("distance") <= cut_of(tail), F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "distance")

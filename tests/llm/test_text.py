@@ -484,15 +484,94 @@ def test_small_groups_are_judged_by_language_or_corpus(spark):
     assert all(r.distance is not None for r in got.values())
 
 
+def factor_by_force(x, part, widen):
+    """Centre, Cholesky factor and determinant of weighted rows, with the floors."""
+    m = (x * part[:, None]).sum(0) / part.sum()
+    c = ((x * part[:, None]).T @ x / part.sum() - np.outer(m, m)) * widen
+    np.fill_diagonal(c, np.maximum(np.diag(c), 0) + np.array(outliers.FLOOR) ** 2)
+    low = np.linalg.cholesky(c)
+    return m, low, float(np.prod(np.diag(low)) ** 2)
+
+
+def distance_by_force(x, m, low):
+    return (np.linalg.solve(low, (x - m).T) ** 2).sum(0)
+
+
+def step_by_force(x, m, low, share):
+    """The nearest rows, by classes of distance; of the last class a part of each."""
+    b = np.floor(np.log1p(distance_by_force(x, m, low)) * outliers.FINE)
+    part, left = np.zeros(len(x)), math.ceil(len(x) * share)
+    for k in sorted(set(b)):
+        own = b == k
+        part[own] = min(1.0, left / own.sum())
+        left = max(0, left - own.sum())
+    return factor_by_force(x, part, outliers.consistency(share))
+
+
+def estimate_by_force(x, share=outliers.SHARE):
+    def middle(v):
+        order = np.sort(v)
+        return order[math.ceil(len(v) / 2) - 1]
+
+    cells = np.floor(x * outliers.FINE_X)
+    mid = np.array([middle(c) for c in cells.T])
+    dev = np.array([middle(np.abs(c - p)) for c, p in zip(cells.T, mid)])
+    centre, spread = (mid + 0.5) / outliers.FINE_X, np.diag(np.sqrt((dev * 1.4826 / outliers.FINE_X) ** 2 + np.array(outliers.FLOOR) ** 2))
+    mean, full, _ = factor_by_force(x, np.ones(len(x)), 1.0)
+    found = []
+    for start in ((centre, spread), (mean, full), (centre, full)):
+        now = (*start, None)
+        for _ in range(outliers.TRIES):
+            now = step_by_force(x, *now[:2], share)
+        found.append(now)
+    best = min(found, key=lambda f: f[2])
+    while (new := step_by_force(x, *best[:2], share))[2] < best[2] * (1 - outliers.FALL):
+        best = new
+    return best
+
+
 def test_concentration_resists_contamination(spark):
     r = np.random.default_rng(0)
     good, bad = r.normal(0, 1, (900, 4)), r.normal(8, 0.3, (180, 4))
-    rows = spark.createDataFrame([("g", *map(float, x)) for x in np.concatenate([good, bad])], "g string, x0 double, x1 double, x2 double, x3 double")
-    params = outliers._first(rows)
-    for _ in range(5):
-        params = outliers._concentrate(rows, params, 0.75)
-    p = params.first()
-    assert all(abs(p[f"m{i}"]) < 0.15 for i in range(4)) and all(0.7 < p[f"l{i}{i}"] < 1.3 for i in range(4))
+    x = np.concatenate([good, bad])
+    rows = spark.createDataFrame([("g", *map(float, v)) for v in x] + [("h", *map(float, v * 2 + 1)) for v in x[::-3]], "g string, x0 double, x1 double, x2 double, x3 double")
+    got = {p.g: p for p in outliers.estimates(rows).collect()}
+    assert all(abs(got["g"][f"m{i}"]) < 0.15 for i in range(4)) and all(0.7 < got["g"][f"l{i}{i}"] < 1.3 for i in range(4))
+    for g, v in (("g", x), ("h", x[::-3] * 2 + 1)):
+        m, low, det = estimate_by_force(v)
+        assert [got[g][f"m{i}"] for i in range(4)] == pytest.approx(m.tolist(), abs=1e-6) and got[g].det == pytest.approx(det, rel=1e-6)
+        assert [got[g][f"l{i}{j}"] for i, j in outliers.PAIRS] == pytest.approx([low[i, j] for i, j in outliers.PAIRS], abs=1e-6)
+
+
+def test_verdicts_and_distances_equal_brute_force(spark):
+    r = random.Random(31)
+    docs = []
+    for i in range(300):
+        text = prose(r.randint(45, 160), 9000 + i)
+        if i % 3 == 0:
+            text = text.replace(" ", "\n", r.randint(0, 30)) + "\nsame line here" * r.randint(0, 3)
+        if i % 4 == 0:
+            text += " #" * r.randint(0, 6)
+        if i % 41 == 0:
+            text = " ".join(w + "$$%" for w in text.split())
+        docs.append((i, text, "en" if i % 2 else "de", f"s{i % 4 // 2}"))
+    got = {x.doc_id: x for x in outliers.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    groups, values = collections.defaultdict(list), {}
+    for i, text, lang, source in docs:
+        n, chars, symbols, dup, repeat = counts_by_force(text)
+        n_lines = len([x for x in text.split("\n") if x.strip()])
+        failed = n < 50 or 100 * repeat > 50 * n
+        values[i] = (failed, [math.log((chars + 250) / (n + 50)), math.log(1 + symbols * 20 / (n + 50)), math.log(1 + dup * 10 / (n_lines + 5)), math.log(1 + repeat * 5 / (n + 50))])
+        groups[lang, source].append(i)
+    rejected = 0
+    for own in groups.values():
+        m, low, _ = estimate_by_force(np.array([values[i][1] for i in own if not values[i][0]]))
+        d = distance_by_force(np.array([values[i][1] for i in own]), m, low)
+        for i, x in zip(own, d.tolist()):
+            assert got[i].base_failed == values[i][0] and got[i].distance == pytest.approx(x, rel=1e-6)
+            assert got[i].kept == (not values[i][0] and x <= outliers.cut_of(outliers.TAIL))
+            rejected += not got[i].kept and not values[i][0]
+    assert 5 <= rejected < 40
 
 
 def test_chi_square_constants():
