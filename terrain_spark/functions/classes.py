@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,18 @@ def nll(p: Column) -> Column:
     return -F.ln(F.greatest(p, F.lit(1e-12)))
 
 
+def nll_of(logits: Column, label: Column, n: int) -> Column:
+    """The same of one class from its logit, with the exponentials summed once."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    return F.least(top + F.ln(total) - F.get(logits, clamped(label, n).cast("int")), F.lit(-math.log(1e-12)))
+
+
+def stacked(*channels: Column) -> Column:
+    """Channels of several arrays as one: logits of both heads, or an image's with a prior's."""
+    return F.concat(*channels)
+
+
 def clamped(i: Column, n: int) -> Column:
     return F.least(F.greatest(i, F.lit(0)), F.lit(n - 1))
 
@@ -91,6 +105,12 @@ def parchment(r: Column, g: Column, b: Column, noise: Column | None = None) -> l
     return out
 
 
+def gaussian(seed: int, *place: Column) -> Column:
+    """Noise of mean 0 and deviation 1 from a hash of the place, the same in any partitioning."""
+    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *place), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.sqrt(F.lit(-2.0) * F.ln(u(0))) * F.cos(F.lit(2 * math.pi) * u(1))
+
+
 def faded(channel: Column, luma: Column, mean_luma: Column) -> Column:
     """Saturation 0.35, contrast 0.6 about the image's mean, brightness 1.15."""
     pale = byte(luma + (channel - luma) * 0.35)

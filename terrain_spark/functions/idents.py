@@ -71,6 +71,15 @@ def hemisphere_id(lat: Column, lon: Column) -> Column:
     return F.concat(F.when(lat >= 0, "N").otherwise("S"), F.lpad(F.abs(lat).cast("string"), 2, "0"), F.when(lon >= 0, "E").otherwise("W"), F.lpad(F.abs(lon).cast("string"), 3, "0"))
 
 
+def family_prefix(family: Column, subset: Column) -> Column:
+    return F.concat_ws("/", family, subset)
+
+
+def quoted(c: Column) -> Column:
+    """Percent-encoded, with nothing but letters, digits and ``_.-~`` as they are."""
+    return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def checkpoint_name(step: Column) -> Column:
     return F.format_string("step_%07d.pt", step.cast("bigint"))
 

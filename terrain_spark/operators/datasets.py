@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,18 +49,32 @@ def stratified_split(sources: DataFrame, seed: int = 42, fraction: float = 0.15)
     return ranked.select("src_id", "template", F.when(F.col("rn") <= quota(F.col("n"), fraction), "test").otherwise("train").alias("subset"))
 
 
-def row_split(rows: DataFrame, key: str, seed: int = 42, fraction: float = 0.2) -> DataFrame:
-    """Exact ``int(fraction * n)`` rows to val. The rank is found by counting digests below it in classes, with no global sort.
+def lowest_digests(rows: DataFrame, key: str, seed: int, wanted: Callable[[Column], Column], name: str) -> DataFrame:
+    """Adds ``name``: whether a row is among the ``wanted(n)`` of all n rows with the lowest seeded digests of ``key``.
 
-    A class is the first four hex digits of the digest; only the class that holds the cut is ranked.
+    Digests are counted in classes, their first four hex digits; whole classes are in or out, and only the rows of the class that
+    holds the cut are ranked, so there is no sort of all rows.
     """
     digest = rows.withColumn("_d", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key)).cast("binary"))).withColumn("_c", F.substring("_d", 1, 4))
     counts = digest.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))  # 65,536 rows at most
     run = counts.select("_c", "_n", F.sum("_n").over(Window.orderBy("_c")).alias("_upto"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    placed = digest.join(F.broadcast(run), "_c")
-    want = F.floor(F.col("_all") * fraction).cast("bigint")
-    inside = F.row_number().over(Window.partitionBy("_c").orderBy("_d", key)) + F.col("_upto") - F.col("_n")
-    return placed.withColumn("part", F.when(inside <= want, "val").otherwise("train")).drop("_d", "_c", "_n", "_upto", "_all")
+    placed = digest.join(F.broadcast(run), "_c").withColumn("_want", wanted(F.col("_all")))
+    cut = (F.col("_upto") > F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want"))
+    sure = placed.where(~cut).withColumn(name, F.col("_upto") <= F.col("_want"))
+    rank = F.row_number().over(Window.partitionBy("_c").orderBy("_d", key)) + F.col("_upto") - F.col("_n")
+    return sure.union(placed.where(cut).withColumn(name, rank <= F.col("_want"))).drop("_d", "_c", "_n", "_upto", "_all", "_want")
+
+
+def row_split(rows: DataFrame, key: str, seed: int = 42, fraction: float = 0.2) -> DataFrame:
+    """Exact ``int(fraction * n)`` rows to val, those with the lowest digests."""
+    marked = lowest_digests(rows, key, seed, lambda n: F.floor(n * fraction), "_val")
+    return marked.withColumn("part", F.when(F.col("_val"), "val").otherwise("train")).drop("_val")
+
+
+def group_split(rows: DataFrame, by: list[str], seed: int = 42, fraction: float = 0.2) -> DataFrame:
+    """Splits whole groups (pyramids, or maps), so that none has rows on both sides: ``by`` and ``part`` of each group."""
+    groups = rows.select(*by).distinct().withColumn("_g", F.concat_ws("/", *by))
+    return row_split(groups, "_g", seed, fraction).drop("_g")
 
 
 def routed(rows: DataFrame, test: DataFrame, key: str) -> DataFrame:

@@ -17,10 +17,9 @@ def valid() -> Column:
 
 def with_nll(pixels: DataFrame) -> DataFrame:
     """Adds lc_nll and topo_nll from logits (9 and 3 of them) and labels lc, topo."""
-    lc = classes.softmax(F.slice("logits", 1, N_LC))
-    topo = classes.softmax(F.slice("logits", N_LC + 1, N_TOPO))
-    at = lambda p, label, n: F.get(p, classes.clamped(F.col(label), n).cast("int"))
-    return pixels.withColumn("lc_nll", classes.nll(at(lc, "lc", N_LC))).withColumn("topo_nll", classes.nll(at(topo, "topo", N_TOPO)))
+    lc = classes.nll_of(F.slice("logits", 1, N_LC), F.col("lc"), N_LC)
+    topo = classes.nll_of(F.slice("logits", N_LC + 1, N_TOPO), F.col("topo"), N_TOPO)
+    return pixels.withColumns({"lc_nll": lc, "topo_nll": topo})
 
 
 def joint_nll(pixels: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -43,6 +42,17 @@ def weighted_ce(pixels: DataFrame, weights: DataFrame, by: list[str]) -> DataFra
     return rows.groupBy(*by).agg(lc.alias("lc_loss"), topo.alias("topo_loss")).withColumn("loss", F.coalesce("lc_loss", F.lit(0.0)) + TOPOGRAPHY_WEIGHT * F.coalesce("topo_loss", F.lit(0.0)))
 
 
+def batch_ce(pixels: DataFrame, weights: DataFrame, sample: list[str], batch: list[str]) -> DataFrame:
+    """Per batch the mean of its samples' losses, each sample weighted by its own source."""
+    return weighted_ce(pixels, weights, [*batch, *sample]).groupBy(*batch).agg(F.count(F.lit(1)).alias("n_samples"), F.avg("loss").alias("loss"))
+
+
+def tile_histogram(pixels: DataFrame, label: str, n: int = N_LC) -> DataFrame:
+    """Class counts over the pixels of overlapping tiles (map_id, x, y): ``raw`` counts a pixel in each tile, ``fair`` once for its map."""
+    places = pixels.where(F.col(label).between(0, n - 1)).groupBy("map_id", "x", "y", F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return places.groupBy("class").agg(F.sum("n").alias("raw"), F.count(F.lit(1)).alias("fair"))
+
+
 def histogram(rows: DataFrame, label: str, n: int = N_LC) -> DataFrame:
     """Counts of classes 0 to n-1 and of an overflow class n, zero where there is none."""
     counts = rows.groupBy(F.when(F.col(label).between(0, n - 1), F.col(label)).otherwise(n).cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n"))
@@ -62,6 +72,16 @@ def missing_weights(weights: Column) -> Column:
     return F.array_except(F.array(*[F.lit(c) for c in LAND_COVER]), F.map_keys(weights))
 
 
+def extra_weights(weights: Column) -> Column:
+    """Names in a weight map that are no class."""
+    return F.array_sort(F.array_except(F.map_keys(weights), F.array(*[F.lit(c) for c in LAND_COVER])))
+
+
+def probe_projection(hours: Column, epochs: Column, configs: int = 6) -> Column:
+    """Hours that all configurations take, from those of one epoch."""
+    return hours * epochs * configs
+
+
 def weight_vector(weights: Column) -> Column:
     """Weights in the order of the classes."""
     return F.transform(F.array(*[F.lit(c) for c in LAND_COVER]), lambda c: F.try_element_at(weights, c))

@@ -28,24 +28,24 @@ def origins(maps: DataFrame) -> DataFrame:
 
 
 def tiles(pyramids: DataFrame) -> DataFrame:
-    """The 1 + 4 + 16 tiles of each pyramid with the id of their parent; ids hold the side and the quadrants."""
-    def quadrants(size: int) -> Column:
-        return F.array(*[F.struct(F.lit(str(q)).alias("q"), F.lit(dx * size).alias("dx"), F.lit(dy * size).alias("dy")) for q, (dx, dy) in enumerate([(0, 0), (1, 0), (0, 1), (1, 1)])])
-
-    def tile(level: int, quadrant: Column | None, parent: Column, x: Column, y: Column) -> Column:
-        name = F.lit(str(SCALES[level])) if quadrant is None else F.concat(F.lit(f"{SCALES[level]}_"), quadrant)
-        return F.struct(F.lit(level).alias("level"), name.alias("tile_id"), parent.alias("parent_id"), x.alias("x"), y.alias("y"), F.lit(SCALES[level]).alias("size"))
-
-    x, y = F.col("ox"), F.col("oy")
-    one = F.array(tile(0, None, F.lit(None).cast("string"), x, y))
-    two = F.transform(quadrants(SCALES[1]), lambda c: tile(1, c["q"], F.lit(str(SCALES[0])), x + c["dx"], y + c["dy"]))
-    three = F.flatten(
-        F.transform(
-            quadrants(SCALES[1]),
-            lambda c: F.transform(quadrants(SCALES[2]), lambda g: tile(2, F.concat_ws("_", c["q"], g["q"]), F.concat(F.lit(f"{SCALES[1]}_"), c["q"]), x + c["dx"] + g["dx"], y + c["dy"] + g["dy"])),
-        )
-    )
-    return pyramids.select("*", F.inline(F.concat(one, two, three)))
+    """The 1 + 4 + 16 tiles of each pyramid with the id of their parent; ids hold the side and the quadrants.
+
+    The 21 are a constant relation that each pyramid is shifted to, so nothing is computed for a tile but its place.
+    """
+    shape = [(0, str(SCALES[0]), None, 0, 0)]
+    quadrants = list(enumerate([(0, 0), (1, 0), (0, 1), (1, 1)]))
+    for q, (x, y) in quadrants:
+        shape.append((1, f"{SCALES[1]}_{q}", str(SCALES[0]), x * SCALES[1], y * SCALES[1]))
+        shape += [(2, f"{SCALES[2]}_{q}_{r}", f"{SCALES[1]}_{q}", x * SCALES[1] + u * SCALES[2], y * SCALES[1] + v * SCALES[2]) for r, (u, v) in quadrants]
+    one = lambda t: F.struct(F.lit(t[0]).alias("level"), F.lit(t[1]).alias("tile_id"), F.lit(t[2]).cast("string").alias("parent_id"), F.lit(t[3]).alias("_dx"), F.lit(t[4]).alias("_dy"), F.lit(SCALES[t[0]]).alias("size"))
+    placed = pyramids.select("*", F.inline(F.array(*map(one, shape))))
+    return placed.select(*pyramids.columns, "level", "tile_id", "parent_id", (F.col("ox") + F.col("_dx")).alias("x"), (F.col("oy") + F.col("_dy")).alias("y"), "size")
+
+
+def training_index(pyramids: DataFrame, weights: DataFrame) -> DataFrame:
+    """Tiles of the pyramids (map_id, pyramid_id, path, ox, oy) that have weights (map_id, pyramid_id, ...); those under ``test`` are a leak and go."""
+    safe = pyramids.where(~idents.under_test(F.col("path")))
+    return tiles(safe.join(weights, ["map_id", "pyramid_id"]))
 
 
 def artifacts(tile_id: Column) -> Column:

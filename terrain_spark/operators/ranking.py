@@ -170,13 +170,31 @@ def page(rows: DataFrame, order: list[str], offset: int, size: int) -> DataFrame
 
 def sampled(rows: DataFrame, key: str, share_of: int = 10, seed: int = 42) -> DataFrame:
     """A tenth of the rows, one at least, with the lowest seeded digests."""
-    k = max(1, rows.count() // share_of)
-    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key)).cast("binary")), key).limit(k)
+    from .datasets import lowest_digests
 
+    return lowest_digests(rows, key, seed, lambda n: F.greatest(F.lit(1), F.floor(n / share_of)), "_in").where("_in").drop("_in")
+
+
+def selection(rows: DataFrame, by: list[str], chosen: Column, score: str) -> DataFrame:
+    """How many rows are chosen, of how many, and the least and greatest score among them."""
+    inside = F.when(chosen, F.col(score))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(chosen).alias("n_chosen"), F.min(inside).alias("low"), F.max(inside).alias("high"))
+
+
+def every(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    """Every ``k``-th row of each run, with its step."""
+    return rows.withColumn("step", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.pmod(F.col("step"), F.lit(k)) == 0)
 
-def by_template(sources: DataFrame) -> DataFrame:
-    return sources.groupBy("template").agg(F.sort_array(F.collect_list("src_id")).alias("members"))
 
+def item_status(items: DataFrame, plates: DataFrame, key: str) -> DataFrame:
+    """Per item the best status of its plates. Without a manifest or plates it is not in the annotations; a lookup that failed is a failed download.
 
-def ranked_within(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    ``items``: key, manifest, lookup_failed; ``plates``: key, status.
+    """
+    best = best_status(plates, key).withColumnRenamed("status", "_best")
+    early = F.when(F.coalesce(F.col("manifest"), F.lit("")) == "", STATUSES[-1]).when(F.col("lookup_failed"), "download_failed")
+    return items.join(best, key, "left").select(key, F.coalesce(early, F.col("_best"), F.lit(STATUSES[-1])).alias("status"))
+
+
+def by_template(sources: DataFrame) -> DataFrame:
+    return sources.groupBy("template").agg(F.sort_array(F.collect_list("src_id")).alias("members"))

@@ -138,6 +138,14 @@ def blurred(pixels: DataFrame, radius: float, value: list[str]) -> DataFrame:
     return sums.join(pixels.select("map_id", "x", "y"), ["map_id", "x", "y"], "left_semi")
 
 
+def aged(pixels: DataFrame, seed: int = 42, deviation: float = 6.0, radius: float = 0.6) -> DataFrame:
+    """Images (map_id, x, y, r, g, b) as on parchment: sepia, tint, seeded noise, blur."""
+    noise = classes.gaussian(seed, F.col("map_id"), F.col("x"), F.col("y")) * deviation
+    tinted = classes.parchment(F.col("r"), F.col("g"), F.col("b"), noise)
+    toned = pixels.select("map_id", "x", "y", *[v.cast("double").alias(c) for v, c in zip(tinted, "rgb", strict=True)])
+    return blurred(toned, radius, ["r", "g", "b"])
+
+
 def bordered(pixels: DataFrame, feature: str, colour: tuple[int, int, int] | None) -> DataFrame:
     """Pixels on the edge of their feature take the border's colour."""
     if colour is None:

@@ -25,6 +25,11 @@ def longest_prefix(names: DataFrame, rules: DataFrame, name: str = "name") -> Da
     return joined.groupBy(*names.columns).agg(F.max_by(F.struct(*value), F.length("prefix")).alias("_b")).select(*names.columns, "_b.*")
 
 
+def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Rows in the order of seeded digests, with their ``place``: a sort by ranges, the same in any partitioning."""
+    return rows.withColumn("place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key)).cast("binary"))).orderBy("place", key)
+
+
 def styled(sources: DataFrame, styles: DataFrame) -> DataFrame:
     """Every source in every style; styles are a handful."""
     return sources.select("*", F.explode(F.array(*[F.lit(r.style) for r in styles.select("style").distinct().orderBy("style").collect()])).alias("style")).withColumn("map_id", idents.styled_id(F.col("src_id"), F.col("style")))

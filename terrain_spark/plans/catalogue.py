@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classes, geo, idents
 from ..functions.taxonomy import BIOMES, DESCRIPTIONS, INSPECTION, LAND_COVER, PALETTES, PROMPTS, REQUIRED_FILES, TILE_PREFIXES, TOPOGRAPHY, WEIGHTS, WORLD_COVER, biomes, inspection_palette, literal, palettes, source_weights, tile_prefixes, values, weight_map
-from ..operators import datasets, metrics, pyramid, ranking, raster, samples
-from ..sources import records
+from ..operators import assembly, datasets, metrics, pyramid, ranking, raster, samples
+from ..sources import records, tiff
 from . import lifecycles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,13 +296,13 @@ def richness_topk(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value / 5 END AS cloud FROM events WHERE user_id % 9 <> 0),
+WITH s AS (SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value / 5 END AS cloud FROM events),
 f AS (SELECT user_id, event_id, coalesce(cloud, 100.0) AS c FROM s WHERE cloud IS NULL OR cloud < 0.5),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c, event_id) AS rn FROM f)
 SELECT c_custkey AS user_id, event_id AS scene_id, c AS cloud FROM customer LEFT JOIN (SELECT * FROM r WHERE rn = 1) b ON b.user_id = c_custkey
 """)
 def lowest_cloud(spark, sf):
-    scenes = table(spark, sf, "events").where("user_id % 9 <> 0").select("user_id", F.col("event_id").alias("scene_id"), F.when(F.col("event_id") % 7 != 0, F.col("value") / 5).alias("cloud"))
+    scenes = table(spark, sf, "events").select("user_id", F.col("event_id").alias("scene_id"), F.when(F.col("event_id") % 7 != 0, F.col("value") / 5).alias("cloud"))
     return ranking.lowest_cloud(table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), scenes, "user_id", 0.5)
 
 
@@ -629,6 +629,37 @@ def weight_vectors(spark, sf):
     return both.select("source", metrics.weight_vector(F.col("m")).alias("weights"), F.size(metrics.missing_weights(F.col("m"))).alias("n_missing"))
 
 
+@query(f"""WITH {PRED_SQL}, w AS (SELECT source, lc, CAST(weight AS DOUBLE) AS weight FROM {_weights_sql}), j AS (SELECT n.*, weight, vec_id % 30 AS sample FROM n LEFT JOIN w ON w.source = n.source AND w.lc = n.lc),
+s AS (SELECT sample, coalesce(sum(weight * lc_nll) FILTER (WHERE lc_ok) / sum(weight) FILTER (WHERE lc_ok), 0) + coalesce(avg(topo_nll) FILTER (WHERE topo_ok), 0) AS loss FROM j GROUP BY sample)
+SELECT CAST(sample % 4 AS BIGINT) AS batch, count(*) AS n_samples, round(avg(loss), 6) AS loss FROM s GROUP BY 1""")
+def batch_loss(spark, sf):
+    pixels = _pixels(spark, sf).withColumn("sample", F.col("vec_id") % 30).withColumn("batch", F.col("sample") % 4)
+    return metrics.batch_ce(pixels, source_weights(spark), ["sample"], ["batch"]).withColumn("loss", F.round("loss", 6))
+
+
+@query("SELECT vec_id, CAST(len(embedding[1:9] || embedding[10:12]) AS INTEGER) AS n, CAST((embedding[1:9] || embedding[10:12])[11] AS DOUBLE) AS c10 FROM embeddings")
+def stacked_channels(spark, sf):
+    both = classes.stacked(F.slice("embedding", 1, 9), F.slice("embedding", 10, 3))
+    return table(spark, sf, "embeddings").select("vec_id", F.size(both).alias("n"), F.get(both, F.lit(10)).cast("double").alias("c10"))
+
+
+_names = "[" + ", ".join(map(literal, LAND_COVER)) + "]"
+
+
+@query(f"SELECT n_nationkey, list_filter({_names}, lambda x: length(x) % 4 = n_nationkey % 4) AS missing, list_sort([n_name]) AS extra FROM nation")
+def weight_keys(spark, sf):
+    """Weight maps that lack some classes and have a name that is none."""
+    names = F.array(*[F.lit(c) for c in LAND_COVER])
+    keys = F.concat(F.filter(names, lambda x: F.length(x) % 4 != F.col("n_nationkey") % 4), F.array("n_name"))
+    given = F.map_from_arrays(keys, F.transform(keys, lambda x: F.lit(1.0)))
+    return table(spark, sf, "nation").select("n_nationkey", metrics.missing_weights(given).alias("missing"), metrics.extra_weights(given).alias("extra"))
+
+
+@query("SELECT n_nationkey, round(n_nationkey::DOUBLE / 8 * (n_regionkey + 1) * 6, 6) AS hours FROM nation")
+def probe_cost(spark, sf):
+    return table(spark, sf, "nation").select("n_nationkey", F.round(metrics.probe_projection(F.col("n_nationkey") / 8, F.col("n_regionkey") + 1), 6).alias("hours"))
+
+
 # --- rasters --------------------------------------------------------------------------------------------------
 
 @query("""WITH b AS (SELECT l_returnflag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1)
@@ -638,12 +669,12 @@ def band_stretch(spark, sf):
     return ranking.tally(out, "l_returnflag", "byte")
 
 
-GRID_SQL = "g AS (SELECT c_custkey AS id, CAST(c_custkey % 50 AS INTEGER) AS x, CAST(c_custkey // 50 AS INTEGER) AS y, c_acctbal AS z FROM customer)"
+GRID_SQL = "g AS (SELECT c_custkey AS id, CAST(c_custkey // 2500 AS INTEGER) AS map_id, CAST(c_custkey % 50 AS INTEGER) AS x, CAST(c_custkey % 2500 // 50 AS INTEGER) AS y, c_acctbal AS z FROM customer)"
 
 
 def _grid(spark, sf):
     k = F.col("c_custkey")
-    return table(spark, sf, "customer").select(F.floor(k / 2500).cast("int").alias("map_id"), (k % 50).cast("int").alias("x"), F.floor(k / 50).cast("int").alias("y"), F.col("c_acctbal").alias("z"))
+    return table(spark, sf, "customer").select(F.floor(k / 2500).cast("int").alias("map_id"), (k % 50).cast("int").alias("x"), F.floor(k % 2500 / 50).cast("int").alias("y"), F.col("c_acctbal").alias("z"))
 
 
 def _grad_sql(axis: str, across: str) -> str:
@@ -651,10 +682,10 @@ def _grad_sql(axis: str, across: str) -> str:
     return f"CASE WHEN lag(z) {w} IS NULL AND lead(z) {w} IS NULL THEN 0 WHEN lag(z) {w} IS NULL THEN (lead(z) {w} - z) / 10000.0 WHEN lead(z) {w} IS NULL THEN (z - lag(z) {w}) / 10000.0 ELSE (lead(z) {w} - lag(z) {w}) / 20000.0 END"
 
 
-@query(f"""WITH {GRID_SQL}, d AS (SELECT x, y, {_grad_sql("x", "y")} AS dx, {_grad_sql("y", "x")} AS dy FROM g), s AS (SELECT x, y, degrees(atan(sqrt(dx * dx + dy * dy))) AS slope FROM d)
-SELECT x, y, round(slope, 6) AS slope, CAST(CASE WHEN slope >= 15 THEN 2 WHEN slope >= 2 THEN 1 ELSE 0 END AS INTEGER) AS topo FROM s""")
+@query(f"""WITH {GRID_SQL}, d AS (SELECT map_id, x, y, {_grad_sql("x", "y")} AS dx, {_grad_sql("y", "x")} AS dy FROM g), s AS (SELECT map_id, x, y, degrees(atan(sqrt(dx * dx + dy * dy))) AS slope FROM d)
+SELECT map_id, x, y, round(slope, 6) AS slope, CAST(CASE WHEN slope >= 15 THEN 2 WHEN slope >= 2 THEN 1 ELSE 0 END AS INTEGER) AS topo FROM s""")
 def slope_classes(spark, sf):
-    return raster.slope_classes(_grid(spark, sf), ["map_id"], "z", 10000.0).select("x", "y", F.round("slope", 6).alias("slope"), "topo")
+    return raster.slope_classes(_grid(spark, sf), ["map_id"], "z", 10000.0).select("map_id", "x", "y", F.round("slope", 6).alias("slope"), "topo")
 
 
 RINGS_SQL = "r AS (SELECT s_suppkey AS ord, s_suppkey * 7 % 60 AS x0, s_suppkey * 11 % 40 AS y0, s_suppkey % 9 + 4 AS w, s_suppkey % 6 + 3 AS h, CAST(s_suppkey % 9 AS INTEGER) AS lc FROM supplier)"
@@ -678,50 +709,109 @@ def rasterize_lastwins(spark, sf):
 
 
 @query(f"""WITH {GRID_SQL}, b AS (SELECT * FROM (VALUES ('a', 40, 3), ('b', -2, 1), ('c', 10, 10)) t(tile_id, x0, y0)),
-c AS (SELECT tile_id, x0, y0, tx, ty FROM b, range(16) u(tx), range(16) v(ty))
-SELECT tile_id, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty, CAST(coalesce(trunc(z), 255) AS INTEGER) AS v FROM c LEFT JOIN (SELECT * FROM g WHERE id < 2500) g ON g.x = x0 + tx AND g.y = y0 + ty""")
+c AS (SELECT map_id, tile_id, x0, y0, tx, ty FROM (SELECT DISTINCT map_id FROM g), b, range(16) u(tx), range(16) v(ty))
+SELECT c.map_id, tile_id, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty, CAST(coalesce(trunc(z), 255) AS INTEGER) AS v FROM c LEFT JOIN g ON g.map_id = c.map_id AND g.x = x0 + tx AND g.y = y0 + ty""")
 def crop_pad(spark, sf):
-    boxes = values(spark, "tile_id, x, y, size, map_id", [("a", 40, 3, 16, 0), ("b", -2, 1, 16, 0), ("c", 10, 10, 16, 0)])
     pixels = _grid(spark, sf).select("map_id", "x", "y", F.col("z").cast("int").alias("v"))
-    return pyramid.tile_pixels(boxes, pixels, ["map_id"], ["v"]).select("tile_id", "tx", "ty", "v")
+    box = lambda t, x, y: F.struct(F.lit(t).alias("tile_id"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(16).alias("size"))
+    boxes = pixels.select("map_id").distinct().select("map_id", F.inline(F.array(box("a", 40, 3), box("b", -2, 1), box("c", 10, 10))))
+    return pyramid.tile_pixels(boxes, pixels, ["map_id"], ["v"]).select("map_id", "tile_id", "tx", "ty", "v")
+
 
+def _cells(maps, low_x, high_x, low_y, high_y):
+    """Every pixel of a box in each map."""
+    span = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b - 1)))
+    return maps.select("map_id").distinct().select("map_id", span(low_x, high_x).alias("x")).select("map_id", "x", span(low_y, high_y).alias("y"))
 
-@query(f"""WITH {GRID_SQL}, c AS (SELECT x, y FROM range(20, 60) u(x), range(5, 15) v(y))
-SELECT CAST(c.x AS INTEGER) AS x, CAST(c.y AS INTEGER) AS y, CASE WHEN g.id IS NULL THEN [0.0::DOUBLE, 0.0::DOUBLE] ELSE [z / 10000, 1 - z / 10000] END AS prior FROM c LEFT JOIN (SELECT * FROM g WHERE id < 2500) g ON g.x = c.x AND g.y = c.y""")
+
+@query(f"""WITH {GRID_SQL}, c AS (SELECT map_id, x, y FROM (SELECT DISTINCT map_id FROM g), range(20, 60) u(x), range(5, 15) v(y))
+SELECT c.map_id, CAST(c.x AS INTEGER) AS x, CAST(c.y AS INTEGER) AS y, CASE WHEN g.id IS NULL THEN [0.0::DOUBLE, 0.0::DOUBLE] ELSE [z / 10000, 1 - z / 10000] END AS prior FROM c LEFT JOIN g ON g.map_id = c.map_id AND g.x = c.x AND g.y = c.y""")
 def prior_crop(spark, sf):
-    cells = spark.range(20, 60).select(F.lit(0).alias("map_id"), F.col("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(5), F.lit(14))).alias("y"))
     parent = _grid(spark, sf).select("map_id", "x", "y", F.array(F.col("z") / 10000, 1 - F.col("z") / 10000).alias("p"))
-    return pyramid.prior_of(cells, parent, 2).select("x", "y", "prior")
+    return pyramid.prior_of(_cells(parent, 20, 60, 5, 15), parent, 2).select("map_id", "x", "y", "prior")
 
 
 _held = lambda v, m: f"least(greatest({v}, 0.0), {m})"
 
 
-@query(f"""WITH {GRID_SQL}, s AS (SELECT * FROM g WHERE x < 8 AND y < 8 AND id < 2500),
-t AS (SELECT x, y, {_held("(x + 0.5) * 0.5 - 0.5", "7.0")} AS sx, {_held("(y + 0.5) * 0.5 - 0.5", "7.0")} AS sy FROM range(16) u(x), range(16) v(y)),
-c AS (SELECT t.x, t.y, least(floor(sx) + i, 7) AS px, least(floor(sy) + j, 7) AS py, (CASE i WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE j WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) AS weight FROM t, range(2) a(i), range(2) b(j))
-SELECT CAST(c.x AS INTEGER) AS x, CAST(c.y AS INTEGER) AS y, round(sum(weight * z), 6) AS z FROM c JOIN s ON s.x = px AND s.y = py WHERE weight > 0 GROUP BY 1, 2""")
+@query(f"""WITH {GRID_SQL}, s AS (SELECT map_id, CAST(max(x) AS DOUBLE) AS mx, CAST(max(y) AS DOUBLE) AS my FROM g GROUP BY map_id),
+t0 AS (SELECT *, unnest(range(2 * CAST(mx AS INTEGER) + 2)) AS x FROM s), t1 AS (SELECT *, unnest(range(2 * CAST(my AS INTEGER) + 2)) AS y FROM t0),
+t AS (SELECT map_id, x, y, mx, my, {_held("(x + 0.5) * 0.5 - 0.5", "mx")} AS sx, {_held("(y + 0.5) * 0.5 - 0.5", "my")} AS sy FROM t1),
+c AS (SELECT t.map_id, t.x, t.y, least(floor(sx) + i, mx) AS px, least(floor(sy) + j, my) AS py, (CASE i WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE j WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) AS weight FROM t, range(2) a(i), range(2) b(j))
+SELECT c.map_id, CAST(c.x AS INTEGER) AS x, CAST(c.y AS INTEGER) AS y, round(sum(weight * z), 6) AS z FROM c JOIN g ON g.map_id = c.map_id AND g.x = px AND g.y = py WHERE weight > 0 GROUP BY 1, 2, 3""")
 def bilinear_resize(spark, sf):
-    source = _grid(spark, sf).where("map_id = 0 AND x < 8 AND y < 8")
-    target = spark.range(16).select(F.lit(0).alias("map_id"), F.col("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("y"))
-    target = target.withColumn("sx", raster.resize_places(8, 16, "x")).withColumn("sy", raster.resize_places(8, 16, "y"))
-    return raster.bilinear(target, source, "z").select("x", "y", F.round("z", 6).alias("z"))
+    """Every map at twice its size."""
+    source = _grid(spark, sf)
+    size = source.groupBy("map_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) * 2 + 1))
+    target = size.select("map_id", "my", upto("mx").alias("x")).select("map_id", "x", upto("my").alias("y"))
+    target = target.withColumn("sx", raster.resize_places(1, 2, "x")).withColumn("sy", raster.resize_places(1, 2, "y"))
+    return raster.bilinear(target, source, "z").select("map_id", "x", "y", F.round("z", 6).alias("z"))
 
 
-@query(f"""WITH {GRID_SQL}, t AS (SELECT x, y, floor(x * 0.7 + 3) AS sx, floor(y * 0.3 - 1) AS sy FROM range(80) u(x), range(30) v(y))
-SELECT CAST(t.x AS INTEGER) AS x, CAST(t.y AS INTEGER) AS y, CAST(coalesce(trunc(z / 1000), 255) AS INTEGER) AS lc FROM t LEFT JOIN (SELECT * FROM g WHERE id < 2500) g ON g.x = sx AND g.y = sy""")
+@query(f"""WITH {GRID_SQL}, t AS (SELECT map_id, x, y, floor(x * 0.7 + 3) AS sx, floor(y * 0.6 - 1) AS sy FROM (SELECT DISTINCT map_id FROM g), range(80) u(x), range(90) v(y))
+SELECT t.map_id, CAST(t.x AS INTEGER) AS x, CAST(t.y AS INTEGER) AS y, CAST(coalesce(trunc(z / 1000), 255) AS INTEGER) AS lc FROM t LEFT JOIN g ON g.map_id = t.map_id AND g.x = sx AND g.y = sy""")
 def nearest_warp(spark, sf):
-    target = spark.range(80).select(F.lit(0).alias("map_id"), F.col("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("y"))
-    target = target.withColumn("sx", F.col("x") * 0.7 + 3).withColumn("sy", F.col("y") * 0.3 - 1)
     source = _grid(spark, sf).select("map_id", "x", "y", (F.col("z") / 1000).cast("int").alias("lc"))
-    return raster.nearest(target, source, "lc").select("x", "y", "lc")
+    target = _cells(source, 0, 80, 0, 90).withColumn("sx", F.col("x") * 0.7 + 3).withColumn("sy", F.col("y") * 0.6 - 1)
+    return raster.nearest(target, source, "lc").select("map_id", "x", "y", "lc")
 
 
-@query(f"""WITH {GRID_SQL} SELECT x, y, CAST(CASE WHEN id % 6 <> 0 THEN trunc(z / 100) ELSE 255 END AS INTEGER) AS v, id % 6 <> 0 AS valid FROM g""")
+@query(f"""WITH {GRID_SQL} SELECT map_id, x, y, CAST(CASE WHEN id % 6 <> 0 THEN trunc(z / 100) ELSE 255 END AS INTEGER) AS v, id % 6 <> 0 AS valid FROM g""")
 def coverage_mask(spark, sf):
     pixels = _grid(spark, sf).select("map_id", "x", "y", (F.col("z") / 100).cast("int").alias("v"))
-    seen = table(spark, sf, "customer").where("c_custkey % 6 <> 0").select(F.floor(F.col("c_custkey") / 2500).cast("int").alias("map_id"), (F.col("c_custkey") % 50).cast("int").alias("x"), F.floor(F.col("c_custkey") / 50).cast("int").alias("y"))
-    return raster.covered(pixels, seen, ["v"]).select("x", "y", "v", "valid")
+    k = F.col("c_custkey")
+    seen = table(spark, sf, "customer").where("c_custkey % 6 <> 0").select(F.floor(k / 2500).cast("int").alias("map_id"), (k % 50).cast("int").alias("x"), F.floor(k % 2500 / 50).cast("int").alias("y"))
+    return raster.covered(pixels, seen, ["v"]).select("map_id", "x", "y", "v", "valid")
+
+
+# tiles of ten rows of 50 pixels in steps of nine, so that rows overlap; one cell in eleven has no height
+TARGET_SQL = """s AS (SELECT CAST(c_custkey // 2500 AS INTEGER) AS map_id, c_custkey // 500 AS tile_id, CAST(c_custkey % 50 AS INTEGER) AS x, CAST(c_custkey // 500 % 5 * 9 + c_custkey % 500 // 50 AS INTEGER) AS y,
+  CAST(c_nationkey % 11 * 10 AS INTEGER) AS code, CASE WHEN c_custkey % 11 = 0 THEN 0.0 ELSE c_acctbal END AS z FROM customer),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY map_id, x, y ORDER BY tile_id) = 1),
+t AS (SELECT map_id, x // 2 AS x, y // 2 AS y, code, z FROM m WHERE x % 2 = 0 AND y % 2 = 0)"""
+_slope = lambda axis, across: f"CASE WHEN lag(z) OVER w{axis} IS NULL AND lead(z) OVER w{axis} IS NULL THEN 0 WHEN lag(z) OVER w{axis} IS NULL THEN (lead(z) OVER w{axis} - z) / 10000.0 WHEN lead(z) OVER w{axis} IS NULL THEN (z - lag(z) OVER w{axis}) / 10000.0 ELSE (lead(z) OVER w{axis} - lag(z) OVER w{axis}) / 20000.0 END"
+
+
+@query(f"""WITH {TARGET_SQL}, d AS (SELECT map_id, x, y, code, {_slope("x", "y")} AS dx, {_slope("y", "x")} AS dy FROM t WINDOW wx AS (PARTITION BY map_id, y ORDER BY x), wy AS (PARTITION BY map_id, x ORDER BY y)),
+c AS (SELECT d.*, coalesce(lc, 255) AS lc, degrees(atan(sqrt(dx * dx + dy * dy))) AS slope FROM d LEFT JOIN (SELECT * FROM {rows_sql("code, lc", WORLD_COVER)}) w ON w.code = d.code)
+SELECT map_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(lc AS INTEGER) AS lc, CAST(CASE WHEN lc IN (0, 255) THEN 255 WHEN slope >= 15 THEN 2 WHEN slope >= 2 THEN 1 ELSE 0 END AS INTEGER) AS topo FROM c""")
+def assembled_labels(spark, sf):
+    """Land cover and topography of every map at half its size, from mosaics of overlapping tiles with gaps."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(F.floor(k / 2500).cast("int").alias("map_id"), F.floor(k / 500).alias("tile_id"), (k % 50).cast("int").alias("x"), F.floor(k % 500 / 50).cast("int").alias("y"), (F.col("c_nationkey") % 11 * 10).cast("int").alias("code"), F.when(k % 11 == 0, float("nan")).otherwise(F.col("c_acctbal")).alias("z"))
+    tiles = rows.select("map_id", "tile_id", F.lit(0).alias("left"), (F.col("tile_id") % 5 * 9).cast("int").alias("top")).distinct()
+    cover, heights = (assembly.mosaic(tiles, rows.drop("map_id"), v) for v in ("code", "z"))
+    target = cover.where("x % 2 = 0 AND y % 2 = 0").select("map_id", F.floor(F.col("x") / 2).cast("int").alias("x"), F.floor(F.col("y") / 2).cast("int").alias("y"), F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy"))
+    return assembly.georeferenced_labels(target, cover, heights, 10000.0)
+
+
+@query(f"WITH p AS ({POINTS_SQL}) SELECT c_nationkey, CAST(px AS DOUBLE) AS px, CAST(py AS DOUBLE) AS py, round(0.5::DOUBLE * px + 0.25::DOUBLE * py + c_nationkey, 6) AS lng, round(0.125::DOUBLE * px - 0.5::DOUBLE * py + 3, 6) AS lat, round(px::DOUBLE, 6) AS back_x, round(py::DOUBLE, 6) AS back_y FROM p")
+def affine_world(spark, sf):
+    """Places of control points by a given affine, and back."""
+    c = [F.lit(0.5), F.lit(0.25), F.col("c_nationkey").cast("double"), F.lit(0.125), F.lit(-0.5), F.lit(3.0)]
+    there = _points(spark, sf).select("c_nationkey", "px", "py", *[x.alias(n) for x, n in zip(assembly.world(*c, F.col("px"), F.col("py")), ("u", "v"), strict=True)])
+    x, y = assembly.pixel(*c, F.col("u"), F.col("v"))
+    return there.select("c_nationkey", F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"), F.round("u", 6).alias("lng"), F.round("v", 6).alias("lat"), F.round(x, 6).alias("back_x"), F.round(y, 6).alias("back_y"))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_partkey % 7 <> 0 THEN 4326 END AS BIGINT) AS epsg, CAST(p_size AS INTEGER) AS width, CAST(p_partkey % 5 AS BIGINT) AS height FROM part WHERE p_partkey % 7 <> 0 AND p_size > 0 AND p_partkey % 5 > 0")
+def valid_rasters(spark, sf):
+    k = F.col("p_partkey")
+    return tiff.valid(table(spark, sf, "part").select("p_partkey", F.when(k % 7 != 0, F.lit(4326)).cast("bigint").alias("epsg"), F.col("p_size").cast("int").alias("width"), (k % 5).cast("bigint").alias("height")))
+
+
+@query(f"""WITH {GRID_SQL}, b AS (SELECT map_id, x0, y0 FROM (SELECT DISTINCT map_id FROM g), (SELECT unnest(range(0, 40, 8)) AS x0), (SELECT unnest(range(0, 16, 8)) AS y0)),
+t AS (SELECT g.map_id, g.x, g.y, CAST(id % 11 AS INTEGER) AS class FROM b JOIN g ON g.map_id = b.map_id AND g.x BETWEEN x0 AND x0 + 15 AND g.y BETWEEN y0 AND y0 + 15 WHERE id % 11 < 9)
+SELECT class, count(*) AS raw, count(DISTINCT (map_id, x, y)) AS fair FROM t GROUP BY class""")
+def fair_histogram(spark, sf):
+    """Class counts over tiles that overlap by half, raw and with each pixel once."""
+    pixels = table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(_grid(spark, sf).withColumn("id", F.col("map_id").cast("bigint") * 2500 + F.col("y") * 50 + F.col("x")), "id").select("map_id", "x", "y", (F.col("id") % 11).cast("int").alias("lc"))
+    at = lambda starts: F.array(*[F.struct(F.lit(v).alias("v")) for v in starts])
+    boxes = pixels.select("map_id").distinct().select("map_id", F.inline(at(range(0, 40, 8)))).withColumnRenamed("v", "x").select("map_id", "x", F.inline(at(range(0, 16, 8)))).withColumnRenamed("v", "y")
+    boxes = boxes.select("map_id", F.concat_ws("_", "x", "y").alias("tile_id"), "x", "y", F.lit(16).alias("size"))
+    inside = pyramid.tile_pixels(boxes, pixels, ["map_id"], ["lc"], pad=255).join(boxes.select("map_id", "tile_id", F.col("x").alias("x0"), F.col("y").alias("y0")), ["map_id", "tile_id"])
+    return metrics.tile_histogram(inside.select("map_id", (F.col("x0") + F.col("tx")).alias("x"), (F.col("y0") + F.col("ty")).alias("y"), "lc"), "lc")
 
 
 @query("""WITH p AS (SELECT CAST(l_orderkey % 48 AS INTEGER) AS x, CAST(l_partkey % 48 AS INTEGER) AS y, CAST(l_suppkey % 4 * 3 AS INTEGER) AS lat_sw, l_linenumber AS lc FROM lineitem),
@@ -885,9 +975,9 @@ def sample_ids(spark, sf):
     return table(spark, sf, "part").select("p_partkey", idents.sample_id(path).alias("sample"))
 
 
-@query()
+@query(f"WITH {TILES_SQL} SELECT map_id, pyramid_id, tile_id, [CAST(CASE level WHEN 0 THEN 896 WHEN 1 THEN 896 + 448 ELSE 896 + 448 + 224 END AS DOUBLE)] AS p FROM tiles")
 def recursive_prediction(spark, sf):
-    """The walk from coarse to fine with a model that adds its size to its parent's prior; the tests hold it against plain Python."""
+    """The walk from coarse to fine with a model that adds its size to its parent's prior."""
     def model(batches):
         for b in batches:
             b["p"] = [[float(s)] if p is None else [float(p[0]) + s] for s, p in zip(b["size"], b["prior"], strict=True)]
@@ -896,9 +986,18 @@ def recursive_prediction(spark, sf):
     return pyramid.recursive_predict(_tiles(spark, sf).select("map_id", "pyramid_id", "tile_id", "parent_id", "level", "size"), model, "map_id bigint, pyramid_id string, tile_id string, p array<double>")
 
 
-@query()
+_edge = " OR ".join(f"coalesce({f}(p.lc) OVER (PARTITION BY p.{a} ORDER BY p.{b}) <> p.lc, true)" for f in ("lag", "lead") for a, b in ("xy", "yx"))
+
+
+@query(f"""WITH {RINGS_SQL}, gy AS (SELECT *, unnest(range(y0, y0 + h + 1)) AS y FROM r), gx AS (SELECT *, unnest(range(x0, x0 + w + 1)) AS x FROM gy),
+i AS (SELECT ord, lc, x, y FROM gx WHERE y + 0.5 < y0 + h AND x + 0.5 >= x0 AND x + 0.5 < (x0 - (x0 + w)) * ((y + 0.5) - y0) / CAST(h AS DOUBLE) + (x0 + w)),
+p AS (SELECT x, y, lc FROM i QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY ord DESC) = 1),
+e AS (SELECT p.x, p.y, {_edge} AS edge, coalesce(c.r, 0) AS r, coalesce(c.g, 0) AS g, coalesce(c.b, 0) AS b FROM p LEFT JOIN (SELECT * FROM {_pal}) c ON c.lc = p.lc AND c.style = 'satellite'),
+v AS (SELECT x, y, CASE WHEN edge THEN 80 ELSE r END AS r, CASE WHEN edge THEN 65 ELSE g END AS g, CASE WHEN edge THEN 45 ELSE b END AS b FROM e),
+o AS (SELECT i, j, exp(-(i * i + j * j) / (2 * 0.6::DOUBLE * 0.6::DOUBLE)) AS w FROM range(-2, 3) a(i), range(-2, 3) b(j))
+SELECT CAST(v.x AS INTEGER) AS x, CAST(v.y AS INTEGER) AS y, {", ".join(f"round(sum(w * n.{c}) / sum(w), 4) AS {c}" for c in "rgb")} FROM v, o, v n WHERE n.x = v.x + i AND n.y = v.y + j GROUP BY 1, 2""")
 def blurred_render(spark, sf):
-    """Polygons rendered with borders and blur; the weights of near pixels make it a sum that the tests recompute."""
+    """Polygons rendered with borders and blur."""
     pixels = raster.rasterise(_rings(spark, sf), "lc")
     shown = raster.colourised(pixels, palettes(spark).where("style = 'satellite'").drop("style"))
     edged = raster.bordered(shown, "lc", (80, 65, 45))
@@ -913,4 +1012,76 @@ def test_maps(spark, sf):
     return maps.withColumn("src_id", idents.source_of(F.col("map_id"))).join(test, "src_id", "left_semi").agg(F.count(F.lit(1)).alias("n_maps"))
 
 
+@query("SELECT c_mktsegment, count(*) AS n, count(*) FILTER (WHERE c_nationkey < 9) AS n_chosen, min(c_acctbal) FILTER (WHERE c_nationkey < 9) AS low, max(c_acctbal) FILTER (WHERE c_nationkey < 9) AS high FROM customer GROUP BY 1")
+def selection_range(spark, sf):
+    return ranking.selection(table(spark, sf, "customer"), ["c_mktsegment"], F.col("c_nationkey") < 9, "c_acctbal")
+
+
+@query("SELECT o_custkey, o_orderkey, CAST(step AS INTEGER) AS step FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step FROM orders) WHERE step % 3 = 0")
+def periodic_steps(spark, sf):
+    return ranking.every(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 3)
+
+
+@query("SELECT c_custkey, md5('7:' || c_custkey) AS place FROM customer")
+def shuffled_samples(spark, sf):
+    return samples.shuffled(table(spark, sf, "customer").select("c_custkey"), "c_custkey", 7)
+
+
+@query("SELECT p_partkey, p_type || '/' || p_brand AS prefix FROM part")
+def family_prefixes(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", idents.family_prefix(F.col("p_type"), F.col("p_brand")).alias("prefix"))
+
+
+@query("SELECT page_id, url_encode(url || ' ~*(ä)') AS quoted FROM pages")
+def quoted_urls(spark, sf):
+    return table(spark, sf, "pages").select("page_id", idents.quoted(F.concat("url", F.lit(" ~*(ä)"))).alias("quoted"))
+
+
+@query(f"""WITH i AS (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'm' || c_custkey END AS manifest, c_custkey % 11 = 0 AS failed FROM customer),
+b AS (SELECT user_id, min(CASE event_type {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(STATUS_OF))} END) AS p FROM events GROUP BY user_id)
+SELECT c_custkey, CASE WHEN coalesce(manifest, '') = '' THEN 'not_in_allmaps' WHEN failed THEN 'download_failed' ELSE coalesce(list_extract([{", ".join(map(literal, STATUS_OF.values()))}], CAST(p AS INTEGER) + 1), 'not_in_allmaps') END AS status FROM i LEFT JOIN b ON user_id = c_custkey""")
+def lookup_statuses(spark, sf):
+    k = F.col("c_custkey")
+    items = table(spark, sf, "customer").select("c_custkey", F.when(k % 7 == 1, "").when(k % 7 != 0, F.concat(F.lit("m"), k.cast("string"))).alias("manifest"), (k % 11 == 0).alias("lookup_failed"))
+    status = F.try_element_at(F.create_map(*[F.lit(x) for p in STATUS_OF.items() for x in p]), F.col("event_type"))
+    return ranking.item_status(items, table(spark, sf, "events").select(F.col("user_id").alias("c_custkey"), status.alias("status")), "c_custkey")
+
+
+@query(f"""WITH {ORIGINS_SQL}, r AS (SELECT map_id, pyramid_id, row_number() OVER (ORDER BY md5('42:' || map_id || '/' || pyramid_id), map_id || '/' || pyramid_id) AS rn, count(*) OVER () AS n FROM origins)
+SELECT map_id, pyramid_id, CASE WHEN rn <= floor(n * 0.2) THEN 'val' ELSE 'train' END AS part FROM r""")
+def pyramid_split(spark, sf):
+    """Whole pyramids on one side each."""
+    return datasets.group_split(_tiles(spark, sf), ["map_id", "pyramid_id"])
+
+
+@query(f"""WITH {TILES_SQL} SELECT map_id, pyramid_id, CASE map_id % 3 WHEN 1 THEN 'satellite' ELSE 'synthetic' END AS source, count(*) AS n, sum(size) AS sides FROM tiles
+WHERE map_id % 3 <> 0 AND map_id % 10 <> 0 GROUP BY 1, 2, 3""")
+def training_index(spark, sf):
+    """Tiles of pyramids that have weights, without those under test."""
+    k = F.col("map_id")
+    found = pyramid.origins(_maps(spark, sf)).withColumn("path", F.concat(F.when(k % 10 == 0, "data/test/").otherwise("data/train/"), F.col("pyramid_id")))
+    weights = found.where(k % 3 != 0).select("map_id", "pyramid_id", F.when(k % 3 == 1, "satellite").otherwise("synthetic").alias("source"))
+    return pyramid.training_index(found, weights).groupBy("map_id", "pyramid_id", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sides"))
+
+
+@query(f"WITH {TILES_SQL} SELECT map_id, count(*) AS n_tiles, min(tile_id || '_image.png') AS first_image FROM tiles WHERE map_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) GROUP BY map_id")
+def tiles_to_do(spark, sf):
+    """Tiles of maps that are not finished, with the names of their images."""
+    done = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("map_id"))
+    plan = lifecycles.tile_plan(_maps(spark, sf), done)
+    return plan.groupBy("map_id").agg(F.count(F.lit(1)).alias("n_tiles"), F.min("artifacts.image").alias("first_image"))
+
+
+@query(f"""WITH {PRED_SQL}, t AS (SELECT n.*, vec_id % 50 AS map_id FROM n), k AS (SELECT * FROM t WHERE map_id % 5 = 0 AND vec_id % 3 <> 0)
+SELECT count(*) FILTER (WHERE lc_ok AND topo_ok) AS n_valid, round(sum(lc_nll + topo_nll) FILTER (WHERE lc_ok AND topo_ok) / count(*) FILTER (WHERE lc_ok AND topo_ok), 6) AS joint_nll FROM k""")
+def test_evaluation(spark, sf):
+    """Joint loss over the finest tiles of the maps of test sources, whatever their style."""
+    k = F.col("vec_id")
+    keys = [F.concat_ws("__", (k % 50).cast("string"), F.when(k % 2 == 0, "flat").otherwise("ink")).alias("map_id"), F.lit("py_r000_c000").alias("pyramid_id"), k.cast("string").alias("tile_id")]
+    pixels = _pixels(spark, sf).select(*keys, "lc", "topo", "logits")
+    tiles = _pixels(spark, sf).select(*keys, F.when(k % 3 == 0, 448).otherwise(224).alias("size"))
+    test = spark.range(0, 50, 5).select(F.col("id").cast("string").alias("src_id"))
+    return lifecycles.evaluation(tiles, pixels, test).select("n_valid", F.round("joint_nll", 6).alias("joint_nll"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "lifecycles"]

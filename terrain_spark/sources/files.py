@@ -20,12 +20,16 @@ FEATURES = "features array<struct<properties: struct<biome: int, height: int>, g
 def listing(spark: SparkSession, path: str, pattern: str, recursive: bool = False) -> DataFrame:
     """path, filename and bytes of the files that match, without reading them."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return found.select("path", idents.basename(F.col("path")).alias("filename"), F.col("length").alias("bytes"))
+    return found.select("path", idents.basename(F.col("path")).alias("filename"), F.col("length").alias("bytes")).orderBy("path")
 
 
-def rasters(spark: SparkSession, path: str) -> DataFrame:
-    """All ``*.tif`` below and in a folder, each once."""
-    return listing(spark, path, "*.tif", recursive=True).dropDuplicates(["path"])
+def rasters(spark: SparkSession, *paths: str) -> DataFrame:
+    """All ``*.tif`` below and in the folders, each once, in the order of the folder that finds it first and of its path."""
+    found = None
+    for i, path in enumerate(paths):
+        one = listing(spark, path, "*.tif", recursive=True).withColumn("_i", F.lit(i))
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("path", "filename", "bytes").agg(F.min("_i").alias("_i")).orderBy("_i", "path").drop("_i")
 
 
 def sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -86,6 +90,11 @@ def write_tiles(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("map_id").parquet(path)
 
 
+def write_labels(df: DataFrame, path: str) -> None:
+    """Label pixels (map_id, x, y, lc, topo) by map."""
+    df.select("map_id", "x", "y", "lc", "topo").write.mode("overwrite").partitionBy("map_id").parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -242,3 +242,26 @@ def test_bilinear_against_numpy(spark):
         x1, y1, fx, fy = min(x + 1, 5), min(y + 1, 4), sx - x, sy - y
         want = z[y, x] * (1 - fx) * (1 - fy) + z[y, x1] * fx * (1 - fy) + z[y1, x] * (1 - fx) * fy + z[y1, x1] * fx * fy
         assert r.z == pytest.approx(want)
+
+
+def test_parchment_noise_is_seeded_and_normal(spark):
+    pixels = spark.range(10_000).select(F.lit("m").alias("map_id"), (F.col("id") % 100).cast("int").alias("x"), F.floor(F.col("id") / 100).cast("int").alias("y"))
+    values = [r.v for r in pixels.select(classes.gaussian(3, F.col("map_id"), F.col("x"), F.col("y")).alias("v")).collect()]
+    mean = sum(values) / len(values)
+    assert abs(mean) < 0.04 and abs((sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5 - 1) < 0.04
+    images = pixels.where("x < 12 AND y < 12").select("*", F.lit(100).alias("r"), F.lit(120).alias("g"), F.lit(90).alias("b"))
+    out = {(r.x, r.y): (r.r, r.g, r.b) for r in raster.aged(images).collect()}
+    again = {(r.x, r.y): (r.r, r.g, r.b) for r in raster.aged(images.repartition(7)).collect()}
+    assert len(out) == 144 and all(abs(a - b) < 1e-6 for k in out for a, b in zip(out[k], again[k]))
+    assert len({v[0] for v in out.values()}) > 50
+
+
+def test_lowest_digests_takes_exactly_what_is_wanted(spark):
+    import hashlib
+
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("k"))
+    order = sorted((hashlib.md5(f"5:{i}".encode()).hexdigest(), str(i)) for i in range(3000))
+    for n in (0, 1, 777, 2999, 3000):
+        got = {r.k for r in datasets.lowest_digests(rows, "k", 5, lambda _, n=n: F.lit(n), "inside").where("inside").collect()}
+        assert got == {k for _, k in order[:n]}
+    assert ranking.sampled(rows.limit(3), "k").count() == 1 and ranking.sampled(rows.limit(0), "k").count() == 0

@@ -120,3 +120,39 @@ def test_local_output_is_refused():
     assert lifecycles.require_remote("gs://x/y") == "gs://x/y"
     with pytest.raises(ValueError):
         lifecycles.require_remote("/tmp/x")
+
+
+def test_geotiff_round_trip_and_probe(spark, tmp_path):
+    from terrain_spark.sources import tiff
+
+    rows = [("m1", x, y, x * 10, y * 10, 7) for x in range(5) for y in range(3)] + [("m2", 0, 0, 1, 2, 3)]
+    affines = [("m1", 5, 3, 2.5, 48.0, 0.01, 0.02), ("m2", 2, 2, -3.0, 1.0, 0.5, 0.5)]
+    files = tiff.encoded(spark.createDataFrame(rows, "map_id string, x int, y int, r int, g int, b int"), spark.createDataFrame(affines, "map_id string, width int, height int, west double, north double, dx double, dy double"), ["r", "g", "b"], nodata=0).collect()
+    for f in files:
+        (tmp_path / f"{f.map_id}.tif").write_bytes(f.content)
+    (tmp_path / "broken.tif").write_bytes(b"II*\0nonsense")
+    (tmp_path / "plain.tif").write_bytes(b"no image")
+    got = {r.filename: (r.epsg, r.width, r.height) for r in tiff.probed(spark, str(tmp_path)).collect()}
+    assert got == {"m1.tif": (4326, 5, 3), "m2.tif": (4326, 2, 2), "broken.tif": (None, None, None), "plain.tif": (None, None, None)}
+    assert tiff.valid(tiff.probed(spark, str(tmp_path))).count() == 2
+    one = next(bytes(f.content) for f in files if f.map_id == "m1")
+    assert one[8 : 8 + 45] == bytes(v for y in range(3) for x in range(5) for v in (x * 10, y * 10, 7))
+    with pytest.raises(ValueError):
+        tiff.encode(b"abc", 2, 2, (0, 0, 1, 1))
+    assert tiff.probe(b"MM\0*\0\0\0\x08\0\x01\x01\0\0\x03\0\0\0\x01\0\x09\0\0\0\0\0\0") == (None, 9, None)
+
+
+def test_rasters_are_listed_once_and_in_order(spark, tmp_path):
+    from terrain_spark.sources import files
+
+    for name in ("b/2.tif", "a.tif", "b/1.tif", "b/c/3.tif", "x.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1")
+    assert [r.filename for r in files.rasters(spark, f"{tmp_path}/b", str(tmp_path)).collect()] == ["1.tif", "2.tif", "3.tif", "a.tif"]
+
+
+def test_labels_are_written_by_map(spark, tmp_path):
+    from terrain_spark.sources import files
+
+    files.write_labels(spark.createDataFrame([("m", 1, 2, 3, 1), ("n", 1, 2, 4, 255)], "map_id string, x int, y int, lc int, topo int"), str(tmp_path / "labels"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "labels")).select("map_id", "lc", "topo").collect())) == [("m", 3, 1), ("n", 4, 255)]
