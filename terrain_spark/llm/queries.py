@@ -56,7 +56,8 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every text by a model of the texts that are not held out."""
-    return lm_score.score(documents(spark, sf_dir))
+    found = lm_score.score(documents(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +100,42 @@ FROM ruled
 """
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+#: Runs of five words with their turn among equal ones, their overlaps, and what links lead to.
+OP7_SQL = f"""
+WITH RECURSIVE l AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM l),
+f AS (SELECT doc_id, p, n, concat_ws(' ', w, lead(w, 1) OVER d, lead(w, 2) OVER d, lead(w, 3) OVER d, lead(w, 4) OVER d) AS run FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+g AS (SELECT doc_id, run, row_number() OVER (PARTITION BY doc_id, run) AS k FROM f WHERE p <= greatest(n - {near_dup.WORDS - 1}, 1)),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.run = b.run AND a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE c >= {near_dup.SIMILARITY}::DOUBLE * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
+SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a
+"""
+
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda h, b: list_reduce(list_concat([xor(h, b)], range(8)), lambda d, i: xor(d >> 1, CASE WHEN d & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT)"
+_MU = f"{lm_score.MU}::DOUBLE"
+
+#: Counts of one, two and three words of the training texts, and the smoothed probability of each token.
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_CRC} % {lm_score.MODULUS} = {lm_score.HELD_OUT} AS held_out, list_concat(['<begin> '], {_WORDS}, ['<end> ']) AS ws FROM documents),
+t AS (SELECT doc_id, held_out, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+g AS (SELECT *, lag(w, 1) OVER o AS u, lag(w, 2) OVER o AS v FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+c1 AS (SELECT w, count(*) AS c FROM g WHERE NOT held_out GROUP BY 1),
+c2 AS (SELECT u, w, count(*) AS c FROM g WHERE NOT held_out AND p > 1 GROUP BY 1, 2),
+c3 AS (SELECT v, u, w, count(*) AS c FROM g WHERE NOT held_out AND p > 2 GROUP BY 1, 2, 3),
+n AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM c1 WHERE w <> '<begin> '),
+k AS (SELECT g.*, coalesce(c1.c, 0) AS a, coalesce(x.c, 0) AS au, coalesce(c2.c, 0) AS b, coalesce(y.c, 0) AS bu, coalesce(c3.c, 0) AS cc, n.n, (coalesce(c1.c, 0) + 1)::DOUBLE / (n.n + n.v + 1) AS p1
+  FROM g CROSS JOIN n LEFT JOIN c1 ON c1.w = g.w LEFT JOIN c1 x ON x.w = g.u LEFT JOIN c2 ON c2.u = g.u AND c2.w = g.w LEFT JOIN c2 y ON y.u = g.v AND y.w = g.u LEFT JOIN c3 ON c3.v = g.v AND c3.u = g.u AND c3.w = g.w WHERE g.p > 1),
+s AS (SELECT *, (b + {_MU} * p1) / (au + {_MU}) AS p2 FROM k)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE a > 0) AS n_known, any_value(n) AS train_tokens, round(sum(log10(p1)), 6) AS base_score,
+  round(sum(log10(CASE WHEN p > 2 THEN (cc + {_MU} * p2) / (bu + {_MU}) ELSE p2 END)), 6) AS score
+FROM s GROUP BY doc_id, held_out
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality": op2_quality,
@@ -112,4 +149,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_outliers": op10_outliers,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_near_dup": OP7_SQL, "op8_lm_score": OP8_SQL, "op9_url_filter": OP9_SQL}
