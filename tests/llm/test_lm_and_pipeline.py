@@ -115,3 +115,29 @@ def test_pipeline_stages(spark):
     for r in rows:
         assert memoryview(bytes(r.ids)).cast("I").tolist() == tik.encode_ordinary(texts[r.doc_id])
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(texts)
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated ids and rows, empty and very long texts, extra columns with names of the stages' own, empty tables."""
+    from pyspark.sql import functions as F
+
+    labels, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    labels.union(spark.createDataFrame([(None, 1, 0), (1, None, None)], labels.schema)).write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark.union(spark.createDataFrame([(None, None), (99_999, "")], benchmark.schema)).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, SF)
+    odd = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, None, None), (3, "word " * 30_000, "en", "s", 1), (None, "Text without an id.", "en", None, None), (3, "word " * 30_000, "en", "s", 1)]
+    df = docs.limit(60).union(docs.limit(3)).union(spark.createDataFrame(odd, docs.schema))
+    for c in ("key", "kept", "log_weight", "rank", "seen", "removed", "leaks", "node", "row", "class_id"):
+        df = df.withColumn(c, F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "line_dedup":
+            df = df.drop("removed")  # the stage drops its own column of this name
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        rows = out.collect()
+        assert 0 < len(rows) <= df.count() and all(r.key == r.row == "mine" for r in rows), name
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
+    name, stage = corpus_pipeline.STAGES[-1]
+    out = stage(spark, df, str(tmp_path))
+    assert {"ids", "n_tokens", "key"} <= set(out.columns) and out.count() == df.count()
+    assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
