@@ -35,7 +35,7 @@ SHARD_IDS, START, STEP, LEAST, RANGE_BYTES = 1_000_000, 1024, 4, 4, 16 << 20
 class Encoder:
     """Ids as bytes by the tokenizers library, remembered for each chunk up to a bound."""
 
-    def __init__(self, data: bytes, bound: int = 400_000):
+    def __init__(self, data: bytes, bound: int = 700_000):
         self.lib, self.known = ChunkEncoder(data), Recent(bound)
         self.kind = "<u2" if self.lib.lib.get_vocab_size() <= 1 << 16 else "<u4"
 
@@ -229,7 +229,7 @@ def write(df: DataFrame, tokenizer: str, path: str, end: int = 0, shard_ids: int
 
         def each(batch: pa.RecordBatch):
             texts = texts_of(batch.column(1))
-            for i, j in portions(texts, 3_000_000):
+            for i, j in portions(texts, 300_000):
                 some = batch.slice(i, j - i)
                 out = [pack(x) for x in encode(texts[i:j], end)]
                 docs = some.column(0)
