@@ -34,7 +34,7 @@ COUNTED, FREQUENT, LONGEST, MERGED = 60_000, 30_000, 64, 32
 class Counter:
     """Numbers of tokens of chunks by the library of the file's kind; see ``chunks`` for why those add up."""
 
-    def __init__(self, kind: str, data: bytes, frequent: bytes = b"", lengths: bytes = b"", bound: int = 150_000):
+    def __init__(self, kind: str, data: bytes, frequent: bytes = b"", lengths: bytes = b"", bound: int = 300_000):
         self.kind = kind
         if kind == "json":
             self.lib = ChunkEncoder(data)
@@ -138,7 +138,7 @@ def count_tokens(df: DataFrame, vocabulary: str, limit: int = 1024, frequent: li
 
         def each(batch: pa.RecordBatch):
             texts = texts_of(batch.column(1))
-            n = [x for a, b in portions(texts, 3_000_000) for x in count(texts[a:b])]
+            n = [x for a, b in portions(texts, 500_000) for x in count(texts[a:b])]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=schema.names)
 
         return each
