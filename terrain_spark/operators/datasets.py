@@ -43,26 +43,29 @@ def quota(n: Column, fraction: float) -> Column:
 
 def stratified_split(sources: DataFrame, seed: int = 42, fraction: float = 0.15) -> DataFrame:
     """``src_id``, ``template`` and ``subset``: in each template the quota with the lowest seeded digests is test."""
-    w = Window.partitionBy("template")
-    rank = F.md5(F.concat_ws(":", F.lit(str(seed)), "template", "src_id").cast("binary"))
-    ranked = sources.select("src_id", "template", F.row_number().over(w.orderBy(rank, "src_id")).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
-    return ranked.select("src_id", "template", F.when(F.col("rn") <= quota(F.col("n"), fraction), "test").otherwise("train").alias("subset"))
+    marked = lowest_digests(sources.select("src_id", "template"), "src_id", seed, lambda n: quota(n, fraction), "_test", ["template"])
+    return marked.select("src_id", "template", F.when(F.col("_test"), "test").otherwise("train").alias("subset"))
 
 
-def lowest_digests(rows: DataFrame, key: str, seed: int, wanted: Callable[[Column], Column], name: str) -> DataFrame:
-    """Adds ``name``: whether a row is among the ``wanted(n)`` of all n rows with the lowest seeded digests of ``key``.
+def lowest_digests(rows: DataFrame, key: str, seed: int, wanted: Callable[[Column], Column], name: str, by: list[str] = ()) -> DataFrame:
+    """Adds ``name``: whether a row is among the ``wanted(n)`` of all n rows (of its group ``by``) with the lowest seeded digests of ``key``.
 
     Digests are counted in classes, their first four hex digits; whole classes are in or out, and only the rows of the class that
-    holds the cut are ranked, so there is no sort of all rows.
+    holds the cut are ranked, so there is no sort of all rows, nor of a group.
     """
-    digest = rows.withColumn("_d", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key)).cast("binary"))).withColumn("_c", F.substring("_d", 1, 4))
-    counts = digest.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))  # 65,536 rows at most
-    run = counts.select("_c", "_n", F.sum("_n").over(Window.orderBy("_c")).alias("_upto"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    placed = digest.join(F.broadcast(run), "_c").withColumn("_want", wanted(F.col("_all")))
+    digest = rows.withColumn("_d", F.md5(F.concat_ws(":", F.lit(str(seed)), *by, F.col(key)).cast("binary"))).withColumn("_c", F.substring("_d", 1, 4))
+    group = [f"_by{i}" for i in range(len(by))]
+    counts = digest.groupBy(*[F.col(c).alias(g) for c, g in zip(by, group, strict=True)], F.col("_c").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))  # 65,536 rows a group at most
+    whole = Window.partitionBy(*group)
+    run = counts.select(*group, "_k", "_n", F.sum("_n").over(whole.orderBy("_k")).alias("_upto"), F.sum("_n").over(whole).alias("_all"))
+    same = F.col("_c") == F.col("_k")
+    for c, g in zip(by, group, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(g))
+    placed = digest.join(run if by else F.broadcast(run), same).withColumn("_want", wanted(F.col("_all")))
     cut = (F.col("_upto") > F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want"))
     sure = placed.where(~cut).withColumn(name, F.col("_upto") <= F.col("_want"))
-    rank = F.row_number().over(Window.partitionBy("_c").orderBy("_d", key)) + F.col("_upto") - F.col("_n")
-    return sure.union(placed.where(cut).withColumn(name, rank <= F.col("_want"))).drop("_d", "_c", "_n", "_upto", "_all", "_want")
+    rank = F.row_number().over(Window.partitionBy(*by, "_c").orderBy("_d", key)) + F.col("_upto") - F.col("_n")
+    return sure.union(placed.where(cut).withColumn(name, rank <= F.col("_want"))).drop("_d", "_c", "_k", "_n", "_upto", "_all", "_want", *group)
 
 
 def row_split(rows: DataFrame, key: str, seed: int = 42, fraction: float = 0.2) -> DataFrame:
