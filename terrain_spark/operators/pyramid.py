@@ -76,18 +76,33 @@ def prior_of(child: DataFrame, parent_pixels: DataFrame, width: int = 12) -> Dat
     return child.join(parent_pixels, ["map_id", "x", "y"], "left").withColumn("prior", F.coalesce("p", zeros)).drop("p")
 
 
-def recursive_predict(tile: DataFrame, model: Callable, schema: str) -> DataFrame:
+def cropped(p: Column, side: Column, left: Column, top: Column, n: Column) -> Column:
+    """The square of ``n`` by ``n`` cells from ``left`` and ``top`` on, of a map of ``side`` by ``side`` cells, row by row."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(p, (top + i) * side + left + 1, n)))
+
+
+def recursive_predict(tile: DataFrame, model: Callable, schema: str, cell: int | None = None) -> DataFrame:
     """Level by level: a level's tiles are predicted together, then their children get them as prior.
 
     ``tile``: map_id, pyramid_id, tile_id, parent_id, level and what the model reads. ``model`` takes and gives batches
-    for ``mapInPandas`` with the columns of ``schema``, of which one is ``p``. Depth is three, so there are
-    three stages and no recursion.
+    for ``mapInPandas`` with the columns of ``schema``, of which one is ``p``. With ``cell``, the pixels of a cell's side, ``p``
+    is a map of cells row by row, and a child's prior is the part that its own box (x, y, size) cuts out of its parent's;
+    without it, all of the parent's ``p``. Depth is three, so there are three stages and no recursion.
     """
     key, out, prior = ["map_id", "pyramid_id"], None, None
     for level in range(len(SCALES)):
         rows = tile.where(F.col("level") == level)
-        rows = rows.withColumn("prior", F.lit(None).cast("array<double>")) if prior is None else rows.join(prior, [*key, "parent_id"], "left")
+        if prior is None:
+            rows = rows.withColumn("prior", F.lit(None).cast("array<double>"))
+        else:
+            rows = rows.join(prior, [*key, "parent_id"], "left")
+            if cell:
+                cells = lambda c: F.floor(c / cell).cast("int")
+                rows = rows.withColumn("prior", cropped(F.col("prior"), cells(F.col("_size")), cells(F.col("x") - F.col("_x")), cells(F.col("y") - F.col("_y")), cells(F.col("size")))).drop("_x", "_y", "_size")
         got = rows.mapInPandas(model, schema)
         out = got if out is None else out.unionByName(got)
         prior = got.select(*key, F.col("tile_id").alias("parent_id"), F.col("p").alias("prior"))
+        if cell:
+            boxes = tile.where(F.col("level") == level).select(*key, F.col("tile_id").alias("parent_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("size").alias("_size"))
+            prior = prior.join(boxes, [*key, "parent_id"])
     return out

@@ -986,6 +986,20 @@ def recursive_prediction(spark, sf):
     return pyramid.recursive_predict(_tiles(spark, sf).select("map_id", "pyramid_id", "tile_id", "parent_id", "level", "size"), model, "map_id bigint, pyramid_id string, tile_id string, p array<double>")
 
 
+@query(f"""WITH {TILES_SQL}, c AS (SELECT t.*, (x - ox) // 112 AS dx, (y - oy) // 112 AS dy, size // 112 AS n FROM tiles t JOIN origins USING (map_id, pyramid_id))
+SELECT map_id, pyramid_id, tile_id, list_transform(range(n * n), lambda i: CAST(896 + (dy + i // n) * 8 + dx + i % n
+  + CASE WHEN level > 0 THEN 448 + (dy % 4 + i // n) * 4 + dx % 4 + i % n ELSE 0 END + CASE WHEN level > 1 THEN 224 + i ELSE 0 END AS DOUBLE)) AS p FROM c""")
+def cropped_prediction(spark, sf):
+    """The walk from coarse to fine over maps of cells: each child reads the part of its parent's map that it covers."""
+    def model(batches):
+        for b in batches:
+            b["p"] = [[float(s + i + (0 if p is None else p[i])) for i in range((s // 112) ** 2)] for s, p in zip(b["size"], b["prior"], strict=True)]
+            yield b[["map_id", "pyramid_id", "tile_id", "p"]]
+
+    tiles = _tiles(spark, sf).select("map_id", "pyramid_id", "tile_id", "parent_id", "level", "x", "y", "size")
+    return pyramid.recursive_predict(tiles, model, "map_id bigint, pyramid_id string, tile_id string, p array<double>", 112)
+
+
 _edge = " OR ".join(f"coalesce({f}(p.lc) OVER (PARTITION BY p.{a} ORDER BY p.{b}) <> p.lc, true)" for f in ("lag", "lead") for a, b in ("xy", "yx"))
 
 
