@@ -1000,6 +1000,27 @@ def cropped_prediction(spark, sf):
     return pyramid.recursive_predict(tiles, model, "map_id bigint, pyramid_id string, tile_id string, p array<double>", 112)
 
 
+@query("SELECT s_suppkey, CAST(CASE s_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS INTEGER) AS n_rings, CAST(CASE s_suppkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 0 END AS INTEGER) AS n_points FROM supplier")
+def flattened_rings(spark, sf):
+    """Rings of polygons and of parts of multi-polygons; a point without two coordinates is none."""
+    k = F.col("s_suppkey").cast("double")
+    ring = F.array(F.array(k, k + 1), F.array(k), F.array(k + 2, k, k))
+    polygon = F.array(ring)
+    kind = F.when(F.col("s_suppkey") % 3 == 0, "Polygon").when(F.col("s_suppkey") % 3 == 1, "MultiPolygon").otherwise("Point")
+    rings = table(spark, sf, "supplier").select("s_suppkey", raster.rings_of(kind, polygon, F.array(polygon, polygon)).alias("rings"))
+    points = F.flatten(F.transform("rings", raster.points_of))
+    return rings.select("s_suppkey", F.size("rings").alias("n_rings"), F.size(points).alias("n_points"))
+
+
+@query("SELECT c_custkey, c_custkey % 5 >= 3 AND c_custkey % 7 > 1 AND c_custkey % 3 > 0 AND c_nationkey > 0 AS usable FROM customer")
+def usable_annotations(spark, sf):
+    """Annotations with three control points, an image and its size."""
+    k = F.col("c_custkey")
+    gcps = F.slice(F.array(*[F.lit(i) for i in range(5)]), F.lit(1), (k % 5).cast("int"))
+    image = F.when(k % 7 == 1, "").when(k % 7 > 1, "image")
+    return table(spark, sf, "customer").select("c_custkey", ranking.usable_gcps(gcps, image, k % 3, F.col("c_nationkey")).alias("usable"))
+
+
 _edge = " OR ".join(f"coalesce({f}(p.lc) OVER (PARTITION BY p.{a} ORDER BY p.{b}) <> p.lc, true)" for f in ("lag", "lead") for a, b in ("xy", "yx"))
 
 
