@@ -1021,6 +1021,27 @@ def usable_annotations(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", ranking.usable_gcps(gcps, image, k % 3, F.col("c_nationkey")).alias("usable"))
 
 
+@query("""WITH o AS (SELECT p_partkey AS id, unnest(['image.png', 'land_cover.png', 'topography.png', 'sample_weights.json']) AS name FROM part)
+SELECT CAST(id AS VARCHAR) AS map_id FROM o WHERE (id + length(name)) % 7 <> 0 OR id % 10 = 0 GROUP BY id HAVING count(*) = 4""")
+def whole_maps(spark, sf):
+    """Maps with all required files."""
+    return lifecycles.complete_maps(_objects(spark, sf))
+
+
+@query(f"""WITH c AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS t, {", ".join(f"CAST(count(*) FILTER (WHERE event_type = '{e}') AS DOUBLE) AS n{i}" for e, i in EVENTS.items())}
+           FROM events WHERE event_type IN ({", ".join(map(repr, EVENTS))}) GROUP BY user_id),
+s AS (SELECT CAST(user_id // 350 - 70 AS INTEGER) AS lat, CAST(user_id % 350 - 175 AS INTEGER) AS lon,
+        round(-({_ent}) * pow(1.5, (n4 > 0)::INT + (n5 > 0)::INT + (n7 > 0)::INT), 6) AS score FROM c)
+SELECT printf('wc_%+03d_%+04d', lat, lon) AS region_id, [lon, lat, lon + 1, lat + 1] AS bbox,
+  CASE WHEN lat + 0.5 > 23.5 THEN '2023-05-01/2023-09-30' WHEN lat + 0.5 < -23.5 THEN '2022-12-01/2023-02-28' ELSE '2023-01-01/2023-12-31' END AS datetime_range, score
+FROM s ORDER BY score DESC, lat, lon LIMIT 50""")
+def scene_regions(spark, sf):
+    """The most diverse cells as regions to search scenes for."""
+    cells = ranking.class_counts(table(spark, sf, "events").select("user_id", _event_class().alias("class")), ["user_id"], "class")
+    lat, lon = (F.floor(F.col("user_id") / 350) - 70).cast("int"), (F.col("user_id") % 350 - 175).cast("int")
+    return lifecycles.satellite_regions(cells.select(lat.alias("lat"), lon.alias("lon"), "counts"), 50)
+
+
 _edge = " OR ".join(f"coalesce({f}(p.lc) OVER (PARTITION BY p.{a} ORDER BY p.{b}) <> p.lc, true)" for f in ("lag", "lead") for a, b in ("xy", "yx"))
 
 
