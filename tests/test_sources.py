@@ -156,3 +156,41 @@ def test_labels_are_written_by_map(spark, tmp_path):
 
     files.write_labels(spark.createDataFrame([("m", 1, 2, 3, 1), ("n", 1, 2, 4, 255)], "map_id string, x int, y int, lc int, topo int"), str(tmp_path / "labels"))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "labels")).select("map_id", "lc", "topo").collect())) == [("m", 3, 1), ("n", 4, 255)]
+
+
+def test_sidecars_round_trip(spark, tmp_path):
+    """Scenes, coverage, splits, pyramids: written as JSON or tables and read by their schemas."""
+    import json
+
+    from terrain_spark.functions import taxonomy
+    from terrain_spark.sources import files, records
+
+    scenes = spark.createDataFrame([("r2", [1.0, 2.0, 3.0, 4.0], "d", "http://x", 3.5), ("r1", [0.0, 0.0, 1.0, 1.0], "d", None, None)], "region_id string, bbox array<double>, datetime_range string, visual_href string, eo_cloud_cover double")
+    (tmp_path / "scenes.json").write_text(records.scene_manifest(scenes).first().json)
+    assert [r.region_id for r in files.resolved_scenes(spark, str(tmp_path / "scenes.json")).collect()] == ["r1", "r2"]
+    (tmp_path / "coverage.json").write_text(json.dumps({"cells": [{"lat": 3, "lon": -4, "counts": [0, 5] + [0] * 7}]}))
+    assert tuple(files.coverage_cells(spark, str(tmp_path / "coverage.json")).first()) == (3, -4, [0, 5, 0, 0, 0, 0, 0, 0, 0])
+    (tmp_path / "split.json").write_text(json.dumps({"seed": 42, "test_fraction": 0.15, "test": ["a", "b"], "train": ["c"]}))
+    assert [r.src_id for r in files.split_ids(spark, str(tmp_path / "split.json")).collect()] == ["a", "b"]
+    pyramid = {"pyramid_id": "py_r000_c000", "origin": [0, 0], "source_map": "m", "source_size": [896, 896], "scales": [896, 448, 224], "stride": 448, "tiles": [{"id": "896", "x": 0, "y": 0, "size": 896, "children": ["448_0"], "image": "a.png", "land_cover": "b.png", "topography": "c.png"}]}
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "pyramid.json").write_text(json.dumps(pyramid))
+    row = files.pyramid_tiles(spark, str(tmp_path / "p")).first()
+    assert (row.pyramid_id, row.id, row.children, row.image) == ("py_r000_c000", "896", ["448_0"], "a.png")
+    tiles = spark.createDataFrame([("m", "896"), ("n", "896")], "map_id string, tile_id string")
+    files.write_tiles(tiles, str(tmp_path / "tiles"))
+    files.write_tiles(tiles.limit(1), str(tmp_path / "tiles"))
+    assert spark.read.parquet(str(tmp_path / "tiles")).count() == 1
+    files.write_json(tiles, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    assert [r.name for r in taxonomy.land_cover_classes(spark).orderBy("idx").collect()] == taxonomy.LAND_COVER
+    assert [r.name for r in taxonomy.topography_classes(spark).orderBy("idx").collect()] == taxonomy.TOPOGRAPHY
+    assert {(r.code, r.lc) for r in taxonomy.world_cover(spark).collect()} == set(map(tuple, taxonomy.WORLD_COVER))
+
+
+def test_arrivals_by_hour(spark):
+    import datetime as dt
+
+    rows = [(f"m{i}", dt.datetime(2024, 1, 1, i // 4, i)) for i in range(10)]
+    got = arrivals.arrivals_by_hour(spark.createDataFrame(rows, "map_id string, arrived timestamp")).collect()
+    assert sorted((r.window.start.hour, r.n) for r in got) == [(0, 4), (1, 4), (2, 2)]
