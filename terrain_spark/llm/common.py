@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,33 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import CHECKPOINT_KEY, shared_dir, stored
+
 #: A space that white space or the end follows, or that begins the text.
 _ODD = re.compile(r" (?=\s|\Z)|\A ")
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the cluster names it.
-
-    Where the setting is missing, a local master gets a temporary folder for the session; a cluster must name one.
-    """
-    found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="terrain_spark_")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: the lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files behind ``df`` as Catalyst estimates them; 0 where it can't."""

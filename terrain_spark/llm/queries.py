@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, lm_score, near_dup, outliers, quality, repair, token_counts, url_filter
+from . import bpe, decontaminate, hard_negatives, language_id, line_dedup, lm_score, near_dup, outliers, quality, repair, target_sampling, token_counts, url_filter
 from .common import documents
 
 
@@ -70,6 +70,21 @@ def op10_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that are nearly as near to an anchor as its positives."""
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of every text towards the benchmark's words, and the ranks of those that are drawn."""
+    return target_sampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text by the shortest code."""
+    return language_id.identify(documents(spark, sf_dir))
+
+
 OP9_SQL = """
 WITH parts AS (
   SELECT page_id,
@@ -135,6 +150,37 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE a > 0) AS
 FROM s GROUP BY doc_id, held_out
 """
 
+#: Products of all anchors with all rows, ranked.
+OP11_SQL = f"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % {hard_negatives.CHANGED} = 0 THEN (label + 1) % {hard_negatives.LABELS} ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor({hard_negatives.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT vec_id, label, v FROM e QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, v) = 1),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % {hard_negatives.EVERY} = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {hard_negatives.POSITIVES}),
+n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND {hard_negatives.LOW} * positive_score <= 100 * score AND 100 * score <= {hard_negatives.HIGH} * positive_score)
+SELECT * FROM n WHERE rank <= {hard_negatives.NEGATIVES}
+"""
+
+_HEX = "(SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM t))"
+_BUCKET = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda d, i: xor(d >> 1, CASE WHEN d & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT) % {target_sampling.BUCKETS}"
+_PLAIN = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: Words by bucket, gains, and noise from digests.
+OP12_SQL = f"""
+WITH t AS (SELECT doc_id, FALSE AS target, unnest({_PLAIN}) AS w FROM documents UNION ALL SELECT NULL, TRUE, unnest({_PLAIN}) FROM benchmark),
+b AS (SELECT w, {_BUCKET} AS bucket FROM {_HEX}),
+c AS (SELECT bucket, count(*) FILTER (WHERE NOT target) AS s, count(*) FILTER (WHERE target) AS t FROM t JOIN b USING (w) GROUP BY 1),
+n AS (SELECT sum(s)::DOUBLE AS ns, sum(t)::DOUBLE AS nt FROM c),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (ns + {target_sampling.BUCKETS}) / ((s + 1.0::DOUBLE) * (nt + {target_sampling.BUCKETS})))) AS BIGINT) AS gain FROM c, n),
+w AS (SELECT doc_id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)::DOUBLE) AS BIGINT) AS weight FROM t JOIN b USING (w) JOIN g USING (bucket) WHERE NOT target GROUP BY 1),
+d AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{target_sampling.SEED}:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM documents LEFT JOIN w USING (doc_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {target_sampling.LEAST} ORDER BY score DESC, doc_id) AS place, (SELECT count(*) FROM d WHERE n_features >= {target_sampling.LEAST}) * {target_sampling.PERCENT} // 100 AS wanted FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {target_sampling.LEAST} AND place <= wanted THEN place END AS rank FROM k
+"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -147,6 +193,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_url_filter": op9_url_filter,
     "op10_outliers": op10_outliers,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_target_sampling": op12_target_sampling,
+    "op13_language_id": op13_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_near_dup": OP7_SQL, "op8_lm_score": OP8_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_near_dup": OP7_SQL, "op8_lm_score": OP8_SQL, "op9_url_filter": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_target_sampling": OP12_SQL}
