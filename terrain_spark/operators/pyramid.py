@@ -8,43 +8,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import idents
+from ..sources import pyramids as artefacts
+from ..sources.pyramids import SCALES, STRIDE, layout
+from . import blocks
 
-#: Sides of the three levels, and the step between pyramids.
-SCALES, STRIDE = [896, 448, 224], 448
 
-
-def on_map(x: Column, y: Column, w: Column, h: Column) -> Column:
+def on_map(x: Column, y: Column, w: Column, h: Column, side: int = SCALES[0]) -> Column:
     """Twice the pixels of a pyramid that lie on the map, against its area: whole numbers, no rounding."""
-    inside = lambda start, size: F.greatest(F.lit(0), F.least(start + SCALES[0], size) - start)
-    return inside(x, w).cast("bigint") * inside(y, h) * 2 >= SCALES[0] ** 2
+    inside = lambda start, size: F.greatest(F.lit(0), F.least(start + side, size) - start)
+    return inside(x, w).cast("bigint") * inside(y, h) * 2 >= side**2
 
 
-def origins(maps: DataFrame) -> DataFrame:
+def origins(maps: DataFrame, side: int = SCALES[0], stride: int = STRIDE) -> DataFrame:
     """Pyramids of each map (map_id, width, height) that are on it by half at least."""
-    steps = lambda size: F.sequence(F.lit(0), F.greatest(F.lit(0), size - 1), F.lit(STRIDE))
+    steps = lambda size: F.sequence(F.lit(0), F.greatest(F.lit(0), size - 1), F.lit(stride))
     rows = maps.where("width > 0 AND height > 0").select("*", F.explode(steps(F.col("height").cast("int"))).alias("oy"))
-    grid = rows.select("*", F.explode(steps(F.col("width").cast("int"))).alias("ox")).where(on_map(F.col("ox"), F.col("oy"), F.col("width"), F.col("height")))
-    return grid.withColumn("pyramid_id", idents.pyramid_id(F.col("ox"), F.col("oy")))
+    grid = rows.select("*", F.explode(steps(F.col("width").cast("int"))).alias("ox")).where(on_map(F.col("ox"), F.col("oy"), F.col("width"), F.col("height"), side))
+    return grid.withColumn("pyramid_id", idents.pyramid_id(F.col("ox"), F.col("oy"), stride))
 
 
-def tiles(pyramids: DataFrame) -> DataFrame:
+def tiles(pyramids: DataFrame, scales: list[int] = SCALES) -> DataFrame:
     """The 1 + 4 + 16 tiles of each pyramid with the id of their parent; ids hold the side and the quadrants.
 
     The 21 are a constant relation that each pyramid is shifted to, so nothing is computed for a tile but its place.
     """
-    shape = [(0, str(SCALES[0]), None, 0, 0)]
-    quadrants = list(enumerate([(0, 0), (1, 0), (0, 1), (1, 1)]))
-    for q, (x, y) in quadrants:
-        shape.append((1, f"{SCALES[1]}_{q}", str(SCALES[0]), x * SCALES[1], y * SCALES[1]))
-        shape += [(2, f"{SCALES[2]}_{q}_{r}", f"{SCALES[1]}_{q}", x * SCALES[1] + u * SCALES[2], y * SCALES[1] + v * SCALES[2]) for r, (u, v) in quadrants]
-    one = lambda t: F.struct(F.lit(t[0]).alias("level"), F.lit(t[1]).alias("tile_id"), F.lit(t[2]).cast("string").alias("parent_id"), F.lit(t[3]).alias("_dx"), F.lit(t[4]).alias("_dy"), F.lit(SCALES[t[0]]).alias("size"))
-    placed = pyramids.select("*", F.inline(F.array(*map(one, shape))))
+    one = lambda t: F.struct(F.lit(t.level).alias("level"), F.lit(t.tile_id).alias("tile_id"), F.lit(t.parent_id).cast("string").alias("parent_id"), F.lit(t.dx).alias("_dx"), F.lit(t.dy).alias("_dy"), F.lit(t.size).alias("size"))
+    placed = pyramids.select("*", F.inline(F.array(*map(one, layout(scales)))))
     return placed.select(*pyramids.columns, "level", "tile_id", "parent_id", (F.col("ox") + F.col("_dx")).alias("x"), (F.col("oy") + F.col("_dy")).alias("y"), "size")
 
 
 def training_index(pyramids: DataFrame, weights: DataFrame) -> DataFrame:
-    """Tiles of the pyramids (map_id, pyramid_id, path, ox, oy) that have weights (map_id, pyramid_id, ...); those under ``test`` are a leak and go."""
-    safe = pyramids.where(~idents.under_test(F.col("path")))
+    """Tiles of the pyramids (map_id, pyramid_id, path, ox, oy) that have weights (map_id, pyramid_id, ...).
+
+    A path under ``test`` is a leak: reading the index then fails and names it, so that no training run begins.
+    """
+    leak = F.when(idents.under_test(F.col("path")), F.raise_error(F.concat(F.lit("test data in the training index: "), F.col("path"))))
+    safe = pyramids.where(F.coalesce(leak.cast("boolean"), F.lit(True)))
     return tiles(safe.join(weights, ["map_id", "pyramid_id"]))
 
 
@@ -58,16 +57,20 @@ def children(tile: DataFrame, key: list[str]) -> DataFrame:
     return tile.where("parent_id IS NOT NULL").groupBy(*key, F.col("parent_id").alias("tile_id")).agg(F.sort_array(F.collect_list(F.col("tile_id"))).alias("children"))
 
 
-def tile_pixels(box: DataFrame, pixels: DataFrame, key: list[str], value: list[str], pad: int = 255) -> DataFrame:
-    """Pixels of each box (x, y, size), in its own coordinates; ``pad`` outside the map.
+def tile_pixels(box: DataFrame, pixels: DataFrame, key: list[str], value: list[str], pad: int = 255, side: int = blocks.CELL) -> DataFrame:
+    """Pixels of each box (x, y, size), in its own coordinates; ``pad`` outside the map and for nulls.
 
-    A join on the pixel's place, so a map's pixels are stored once however many tiles overlap.
+    Pixels are packed into cells of ``side``, each tile gathers the cells that it touches, and its pixels are rows again at the
+    end only. So a map's pixels are shuffled once however many tiles overlap.
     """
-    grid = box.select(*key, "tile_id", F.col("x").alias("_x"), F.col("y").alias("_y"), "size")
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("ty")).select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("tx"))
-    at = grid.select(*key, "tile_id", "tx", "ty", (F.col("_x") + F.col("tx")).alias("x"), (F.col("_y") + F.col("ty")).alias("y"))
-    joined = at.join(pixels, [*[k for k in key if k in pixels.columns], "x", "y"], "left")
-    return joined.select(*key, "tile_id", "tx", "ty", *[F.coalesce(v, F.lit(pad)).alias(v) for v in value])
+    kinds = {v: blocks.kind_of(pixels.schema[v]) for v in value}
+    got = blocks.cut(box.select(*key, "tile_id", "x", "y", "size"), pixels, [k for k in key if k in pixels.columns], kinds, side, dict.fromkeys(value, pad))
+    return blocks.unpacked(got, [*key, "tile_id"], kinds)
+
+
+def prior_tiles(child: DataFrame, parent_pixels: DataFrame, key: list[str], width: int = 12, side: int = blocks.CELL) -> DataFrame:
+    """Each child tile (key, tile_id, x, y, size) with its parent's probabilities at its pixels (``p``, bytes of doubles); zeros where it has none."""
+    return blocks.cut(child.select(*key, "tile_id", "x", "y", "size"), parent_pixels, key, {"p": f"{width}f8"}, side)
 
 
 def prior_of(child: DataFrame, parent_pixels: DataFrame, width: int = 12) -> DataFrame:
@@ -106,3 +109,30 @@ def recursive_predict(tile: DataFrame, model: Callable, schema: str, cell: int |
             boxes = tile.where(F.col("level") == level).select(*key, F.col("tile_id").alias("parent_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("size").alias("_size"))
             prior = prior.join(boxes, [*key, "parent_id"])
     return out
+
+
+def artifact_files(pyramids: DataFrame, pixels: DataFrame, weights: DataFrame, scales: list[int] = SCALES, stride: int = STRIDE) -> DataFrame:
+    """map_id, pyramid_id, name and content of the images and sidecars of each pyramid, those of one in a row.
+
+    ``pyramids``: map_id, pyramid_id, ox, oy, width, height; ``pixels``: map_id, x, y, r, g, b, lc, topo; ``weights``: map_id and the text of its
+    weights, which every pyramid gets unchanged. Images are black outside the map, labels unknown (255). Pixels are packed
+    into cells of the finest tiles' side; a pyramid gathers its 16 cells and cuts all 21 tiles out of them.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    value, side = dict.fromkeys(["r", "g", "b", "lc", "topo"], "u1"), scales[-1]
+    pad = {"lc": 255, "topo": 255}
+    kinds = {v: np.dtype(k) for v, k in value.items()}
+    packed = blocks.cells(pixels, ["map_id"], value, side, pad)
+    box = pyramids.join(weights.select("map_id", F.col("weights").alias("_weights")), "map_id").select("map_id", "pyramid_id", F.col("ox").alias("x"), F.col("oy").alias("y"), "width", "height", "_weights")
+    rows = blocks.met(box, packed, ["map_id"], list(value), F.lit(scales[0]), F.lit(scales[0]), side).withColumn("map_id", F.col("map_id").cast("string"))
+
+    def draw(table: pa.Table) -> pa.Table:
+        one = {c: table.column(c)[0].as_py() for c in ("map_id", "pyramid_id", "x", "y", "width", "height", "_weights")}
+        whole = blocks.assembled(table, kinds, one["x"], one["y"], scales[0], scales[0], side, pad)
+        files = artefacts.files_of(one["map_id"], one["pyramid_id"], (one["x"], one["y"]), (one["width"], one["height"]), np.dstack([whole[c] for c in "rgb"]), whole["lc"], whole["topo"], one["_weights"], scales, stride)
+        names = list(files)
+        return pa.table({"map_id": [one["map_id"]] * len(names), "pyramid_id": [one["pyramid_id"]] * len(names), "name": names, "content": pa.array([files[n] for n in names], pa.binary())})
+
+    return rows.groupBy("map_id", "pyramid_id").applyInArrow(draw, "map_id string, pyramid_id string, name string, content binary")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import classes, geo, idents
 from ..functions.taxonomy import BIOMES, DESCRIPTIONS, INSPECTION, LAND_COVER, PALETTES, PROMPTS, REQUIRED_FILES, TILE_PREFIXES, TOPOGRAPHY, WEIGHTS, WORLD_COVER, biomes, inspection_palette, literal, palettes, source_weights, tile_prefixes, values, weight_map
-from ..operators import assembly, datasets, metrics, pyramid, ranking, raster, samples
-from ..sources import records, tiff
+from ..operators import assembly, blocks, datasets, metrics, pyramid, ranking, raster, samples
+from ..sources import png, pyramids, records, tiff
+from ..sources.shared import new_path
 from . import lifecycles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -715,7 +716,7 @@ def crop_pad(spark, sf):
     pixels = _grid(spark, sf).select("map_id", "x", "y", F.col("z").cast("int").alias("v"))
     box = lambda t, x, y: F.struct(F.lit(t).alias("tile_id"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(16).alias("size"))
     boxes = pixels.select("map_id").distinct().select("map_id", F.inline(F.array(box("a", 40, 3), box("b", -2, 1), box("c", 10, 10))))
-    return pyramid.tile_pixels(boxes, pixels, ["map_id"], ["v"]).select("map_id", "tile_id", "tx", "ty", "v")
+    return pyramid.tile_pixels(boxes, pixels, ["map_id"], ["v"], side=16).select("map_id", "tile_id", "tx", "ty", "v")
 
 
 def _cells(maps, low_x, high_x, low_y, high_y):
@@ -724,11 +725,25 @@ def _cells(maps, low_x, high_x, low_y, high_y):
     return maps.select("map_id").distinct().select("map_id", span(low_x, high_x).alias("x")).select("map_id", "x", span(low_y, high_y).alias("y"))
 
 
-@query(f"""WITH {GRID_SQL}, c AS (SELECT map_id, x, y FROM (SELECT DISTINCT map_id FROM g), range(20, 60) u(x), range(5, 15) v(y))
-SELECT c.map_id, CAST(c.x AS INTEGER) AS x, CAST(c.y AS INTEGER) AS y, CASE WHEN g.id IS NULL THEN [0.0::DOUBLE, 0.0::DOUBLE] ELSE [z / 10000, 1 - z / 10000] END AS prior FROM c LEFT JOIN g ON g.map_id = c.map_id AND g.x = c.x AND g.y = c.y""")
+def _squares(pixels, side, step):
+    """Squares in steps over the whole of each map; the last ones reach beyond it."""
+    size = pixels.groupBy("map_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    steps = lambda c: F.explode(F.sequence(F.lit(0), F.col(c), F.lit(step)))
+    boxes = size.select("map_id", "my", steps("mx").alias("x")).select("map_id", "x", steps("my").alias("y"))
+    return boxes.select("map_id", F.concat_ws("_", "x", "y").alias("tile_id"), "x", "y", F.lit(side).alias("size"))
+
+
+_squares_sql = lambda side, step: f"""sz AS (SELECT map_id, max(x) AS mx, max(y) AS my FROM g GROUP BY map_id),
+b0 AS (SELECT map_id, my, unnest(range(0, mx + 1, {step})) AS x0 FROM sz), b AS (SELECT map_id, x0, unnest(range(0, my + 1, {step})) AS y0 FROM b0)"""
+
+
+@query(f"""WITH {GRID_SQL}, {_squares_sql(16, 16)}, c AS (SELECT map_id, x0 || '_' || y0 AS tile_id, x0, y0, tx, ty FROM b, range(16) u(tx), range(16) v(ty))
+SELECT c.map_id, tile_id, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty, CASE WHEN g.id IS NULL THEN [0.0::DOUBLE, 0.0::DOUBLE] ELSE [z / 10000, 1 - z / 10000] END AS p FROM c LEFT JOIN g ON g.map_id = c.map_id AND g.x = x0 + tx AND g.y = y0 + ty""")
 def prior_crop(spark, sf):
+    """The parent's probabilities at the pixels of each child tile, zeros beyond it."""
     parent = _grid(spark, sf).select("map_id", "x", "y", F.array(F.col("z") / 10000, 1 - F.col("z") / 10000).alias("p"))
-    return pyramid.prior_of(_cells(parent, 20, 60, 5, 15), parent, 2).select("map_id", "x", "y", "prior")
+    got = pyramid.prior_tiles(_squares(parent, 16, 16), parent, ["map_id"], 2, side=16)
+    return blocks.unpacked(got, ["map_id", "tile_id"], {"p": "2f8"})
 
 
 _held = lambda v, m: f"least(greatest({v}, 0.0), {m})"
@@ -801,19 +816,44 @@ def valid_rasters(spark, sf):
     return tiff.valid(table(spark, sf, "part").select("p_partkey", F.when(k % 7 != 0, F.lit(4326)).cast("bigint").alias("epsg"), F.col("p_size").cast("int").alias("width"), (k % 5).cast("bigint").alias("height")))
 
 
-@query(f"""WITH {GRID_SQL}, b AS (SELECT map_id, x0, y0 FROM (SELECT DISTINCT map_id FROM g), (SELECT unnest(range(0, 40, 8)) AS x0), (SELECT unnest(range(0, 16, 8)) AS y0)),
+@query(f"""WITH {GRID_SQL}, {_squares_sql(16, 8)},
 t AS (SELECT g.map_id, g.x, g.y, CAST(id % 11 AS INTEGER) AS class FROM b JOIN g ON g.map_id = b.map_id AND g.x BETWEEN x0 AND x0 + 15 AND g.y BETWEEN y0 AND y0 + 15 WHERE id % 11 < 9)
 SELECT class, count(*) AS raw, count(DISTINCT (map_id, x, y)) AS fair FROM t GROUP BY class""")
 def fair_histogram(spark, sf):
     """Class counts over tiles that overlap by half, raw and with each pixel once."""
-    pixels = table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(_grid(spark, sf).withColumn("id", F.col("map_id").cast("bigint") * 2500 + F.col("y") * 50 + F.col("x")), "id").select("map_id", "x", "y", (F.col("id") % 11).cast("int").alias("lc"))
-    at = lambda starts: F.array(*[F.struct(F.lit(v).alias("v")) for v in starts])
-    boxes = pixels.select("map_id").distinct().select("map_id", F.inline(at(range(0, 40, 8)))).withColumnRenamed("v", "x").select("map_id", "x", F.inline(at(range(0, 16, 8)))).withColumnRenamed("v", "y")
-    boxes = boxes.select("map_id", F.concat_ws("_", "x", "y").alias("tile_id"), "x", "y", F.lit(16).alias("size"))
-    inside = pyramid.tile_pixels(boxes, pixels, ["map_id"], ["lc"], pad=255).join(boxes.select("map_id", "tile_id", F.col("x").alias("x0"), F.col("y").alias("y0")), ["map_id", "tile_id"])
+    pixels = _grid(spark, sf).select("map_id", "x", "y", ((F.col("map_id").cast("bigint") * 2500 + F.col("y") * 50 + F.col("x")) % 11).cast("int").alias("lc"))
+    boxes = _squares(pixels, 16, 8)
+    inside = pyramid.tile_pixels(boxes, pixels, ["map_id"], ["lc"], side=16).join(boxes.select("map_id", "tile_id", F.col("x").alias("x0"), F.col("y").alias("y0")), ["map_id", "tile_id"])
     return metrics.tile_histogram(inside.select("map_id", (F.col("x0") + F.col("tx")).alias("x"), (F.col("y0") + F.col("ty")).alias("y"), "lc"), "lc")
 
 
+SMALL, STEP = [32, 16, 8], 16
+
+
+@query(f"""WITH {GRID_SQL}, sz AS (SELECT map_id, max(x) + 1 AS w, max(y) + 1 AS h FROM g GROUP BY map_id),
+o0 AS (SELECT *, unnest(range(0, h, {STEP})) AS oy FROM sz), o1 AS (SELECT *, unnest(range(0, w, {STEP})) AS ox FROM o0),
+o AS (SELECT map_id, ox, oy, printf('py_r%03d_c%03d', oy // {STEP}, ox // {STEP}) AS pyramid_id FROM o1 WHERE 2 * greatest(0, least(ox + 32, w) - ox) * greatest(0, least(oy + 32, h) - oy) >= 32 * 32),
+q AS (SELECT q, q % 2 AS dx, q // 2 AS dy FROM range(4) t(q)),
+t AS (SELECT map_id, pyramid_id, '32' AS tile_id, ox AS x0, oy AS y0, 32 AS size FROM o
+  UNION ALL SELECT map_id, pyramid_id, '16_' || q, ox + dx * 16, oy + dy * 16, 16 FROM o CROSS JOIN q
+  UNION ALL SELECT map_id, pyramid_id, '8_' || a.q || '_' || b.q, ox + a.dx * 16 + b.dx * 8, oy + a.dy * 16 + b.dy * 8, 8 FROM o CROSS JOIN q a CROSS JOIN q b),
+p AS (SELECT t.*, count(g.id) AS n, coalesce(sum(g.id % 251 + g.x + g.y), 0) AS rgb, coalesce(sum(g.id % 9), 0) AS lc, coalesce(sum(g.id % 3), 0) AS topo
+  FROM t LEFT JOIN g ON g.map_id = t.map_id AND g.x BETWEEN x0 AND x0 + size - 1 AND g.y BETWEEN y0 AND y0 + size - 1 GROUP BY ALL),
+f AS (SELECT *, unnest(['image', 'land_cover', 'topography']) AS kind FROM p)
+SELECT CAST(map_id AS VARCHAR) AS map_id, pyramid_id, tile_id || '_' || kind || '.png' AS name, CAST(size AS INTEGER) AS side, CAST(CASE kind WHEN 'image' THEN rgb WHEN 'land_cover' THEN lc + 255 * (size * size - n) ELSE topo + 255 * (size * size - n) END AS BIGINT) AS total, TRUE AS sound FROM f""")
+def pyramid_artifacts(spark, sf):
+    """Images of all tiles of all maps, written, committed and read back; sums of their pixels, and whether the digests hold."""
+    grid = _grid(spark, sf)
+    k = F.col("map_id").cast("bigint") * 2500 + F.col("y") * 50 + F.col("x")
+    pixels = grid.select("map_id", "x", "y", (k % 251).cast("int").alias("r"), F.col("x").alias("g"), F.col("y").alias("b"), (k % 9).cast("int").alias("lc"), (k % 3).cast("int").alias("topo"))
+    maps = grid.groupBy("map_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    weights = maps.select("map_id", F.to_json(F.struct(F.lit("synthetic").alias("source"), F.concat(F.lit("map"), "map_id").alias("map_file"))).alias("weights"))
+    root = new_path(spark, "pyramids")
+    pyramids.write(pyramid.artifact_files(pyramid.origins(maps, SMALL[0], STEP), pixels, weights, SMALL, STEP), root)
+    images = pyramids.read(spark, root, "*.png").select("map_id", "pyramid_id", "name", png.decoded("content").alias("d"))
+    return images.join(pyramids.checked(spark, root), ["map_id", "pyramid_id"]).select("map_id", "pyramid_id", "name", F.col("d.width").alias("side"), png.byte_sum("d.pixels").alias("total"), "sound")
+
+
 @query("""WITH p AS (SELECT CAST(l_orderkey % 48 AS INTEGER) AS x, CAST(l_partkey % 48 AS INTEGER) AS y, CAST(l_suppkey % 4 * 3 AS INTEGER) AS lat_sw, l_linenumber AS lc FROM lineitem),
 c AS (SELECT lat_sw + 2 - y // 16 AS lat, x // 16 AS lon, lc FROM p WHERE x % 4 = 0 AND y % 4 = 0)
 SELECT CAST(lat AS INTEGER) AS lat, CAST(lon AS INTEGER) AS lon, [count(*) FILTER (WHERE lc = 0), count(*) FILTER (WHERE lc = 1), count(*) FILTER (WHERE lc = 2), count(*) FILTER (WHERE lc = 3), count(*) FILTER (WHERE lc = 4), count(*) FILTER (WHERE lc = 5), count(*) FILTER (WHERE lc = 6), count(*) FILTER (WHERE lc = 7), count(*) FILTER (WHERE lc = 8)] AS counts FROM c GROUP BY 1, 2""")
@@ -1113,11 +1153,11 @@ def pyramid_split(spark, sf):
 @query(f"""WITH {TILES_SQL} SELECT map_id, pyramid_id, CASE map_id % 3 WHEN 1 THEN 'satellite' ELSE 'synthetic' END AS source, count(*) AS n, sum(size) AS sides FROM tiles
 WHERE map_id % 3 <> 0 AND map_id % 10 <> 0 GROUP BY 1, 2, 3""")
 def training_index(spark, sf):
-    """Tiles of pyramids that have weights, without those under test."""
+    """Tiles of pyramids that have weights; those under test are left out before, as they would stop it."""
     k = F.col("map_id")
     found = pyramid.origins(_maps(spark, sf)).withColumn("path", F.concat(F.when(k % 10 == 0, "data/test/").otherwise("data/train/"), F.col("pyramid_id")))
     weights = found.where(k % 3 != 0).select("map_id", "pyramid_id", F.when(k % 3 == 1, "satellite").otherwise("synthetic").alias("source"))
-    return pyramid.training_index(found, weights).groupBy("map_id", "pyramid_id", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sides"))
+    return pyramid.training_index(found.where(~idents.under_test(F.col("path"))), weights).groupBy("map_id", "pyramid_id", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("sides"))
 
 
 @query(f"WITH {TILES_SQL} SELECT map_id, count(*) AS n_tiles, min(tile_id || '_image.png') AS first_image FROM tiles WHERE map_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) GROUP BY map_id")

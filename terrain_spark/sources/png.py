@@ -82,3 +82,9 @@ def decoded(content: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(T.BinaryType())
 def encoded(pixels: pd.Series, width: pd.Series, height: pd.Series, bands: pd.Series) -> pd.Series:
     return pd.Series([encode(np.frombuffer(bytes(p), np.uint8).reshape(h, w, b)) for p, w, h, b in zip(pixels, width, height, bands, strict=True)])
+
+
+@F.pandas_udf(T.LongType())
+def byte_sum(pixels: pd.Series) -> pd.Series:
+    """The sum of all bytes."""
+    return pd.Series([int(np.frombuffer(bytes(p), np.uint8).sum(dtype=np.int64)) for p in pixels])
