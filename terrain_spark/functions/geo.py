@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +55,25 @@ def laea(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column,
     return r * F.cos(p) * F.sin(d), r * (F.cos(p0) * F.sin(p) - F.sin(p0) * F.cos(p) * F.cos(d))
 
 
+def laea_degrees(x: Column, y: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of equal-area coordinates: the inverse of ``laea``."""
+    p0, radius = F.radians(lat0), EARTH_KM * 1000
+    rho = F.sqrt(x * x + y * y)
+    c = 2 * F.asin(F.least(rho / (2 * radius), F.lit(1.0)))
+    lat = F.when(rho > 0, F.asin(F.cos(c) * F.sin(p0) + y * F.sin(c) * F.cos(p0) / rho)).otherwise(p0)
+    lon = F.when(rho > 0, F.atan2(x * F.sin(c), rho * F.cos(p0) * F.cos(c) - y * F.sin(p0) * F.sin(c))).otherwise(0.0)
+    return lon0 + F.degrees(lon), F.degrees(lat)
+
+
+#: Radius of the sphere that web maps are projected from, in metres.
+MERCATOR_RADIUS = 6378137.0
+
+
+def mercator_degrees(x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of spherical Mercator coordinates in metres."""
+    return F.degrees(x / MERCATOR_RADIUS), F.degrees(2 * F.atan(F.exp(y / MERCATOR_RADIUS)) - F.lit(math.pi / 2))
+
+
 # Where elevation tiles lie, and their name by the south-west corner.
 DEM_BASE = "https://copernicus-dem-30m.s3.amazonaws.com"
 DEM_NAME = "Copernicus_DSM_COG_10_%s%02d_00_%s%03d_00_DEM"

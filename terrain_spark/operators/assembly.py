@@ -9,14 +9,17 @@ from ..functions import classes
 from . import raster
 
 
-def mosaic(tiles: DataFrame, pixels: DataFrame, value: str) -> DataFrame:
-    """map_id, x, y and value of the tiles' pixels on one grid; where tiles overlap, that with the lowest tile_id counts.
+def mosaic(tiles: DataFrame, pixels: DataFrame, value: str, nodata: float | None = None) -> DataFrame:
+    """map_id, x, y and value of the tiles' pixels on one grid; where tiles overlap, the first one by tile_id that has a value counts.
 
-    ``tiles``: map_id, tile_id, left, top; ``pixels``: tile_id, x, y, value. Overlaps are resolved by an aggregate with
-    partial results, so no tile is gathered in a task.
+    ``tiles``: map_id, tile_id, left, top; ``pixels``: tile_id, x, y, value. Null, NaN and ``nodata`` are no values; a pixel that has none in any
+    tile is null. Overlaps are resolved by an aggregate with partial results, so no tile is gathered in a task.
     """
     placed = pixels.join(tiles, "tile_id").select("map_id", (F.col("left") + F.col("x")).cast("int").alias("x"), (F.col("top") + F.col("y")).cast("int").alias("y"), "tile_id", F.col(value))
-    return placed.groupBy("map_id", "x", "y").agg(F.min_by(F.struct(value), F.col("tile_id")).alias("v")).select("map_id", "x", "y", F.col(f"v.{value}").alias(value))
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    if nodata is not None:
+        known = known & (F.col(value) != nodata)
+    return placed.groupBy("map_id", "x", "y").agg(F.min_by(F.when(known, F.col(value)), F.when(known, F.col("tile_id"))).alias(value))
 
 
 def filled(pixels: DataFrame, value: str, fill: float = 0.0) -> DataFrame:

@@ -6,11 +6,15 @@ however large the raster is. Values lie in a block row by row as plain bytes (``
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Sides of the blocks of tiles (all levels are multiples of it) and of those with a halo.
 CELL, BLOCK = 224, 256
@@ -123,36 +127,177 @@ def unpacked(tiles: DataFrame, keep: list[str], value: dict[str, str]) -> DataFr
     return tiles.select(*dict.fromkeys([*keep, "size", *value])).mapInArrow(run, schema)
 
 
+def on_blocks(pixels: DataFrame, key: list[str], reach: int, added: dict[str, T.DataType], compute: Callable, side: int = BLOCK) -> DataFrame:
+    """Pixels with columns that depend on all pixels up to ``reach`` away; one shuffle.
+
+    Each pixel goes to its block, and one near the block's edge to the neighbours that need it. ``compute`` gets the rows of a block with its
+    surroundings, their places (y, x) in it and its shape, and gives an array over the block for each of ``added`` (null for NaN).
+    """
+    if reach > side:
+        raise ValueError(f"pixels {reach} away need blocks of that side at least")
+    x, y = F.col("x"), F.col("y")
+    u, v = F.pmod(x, F.lit(side)), F.pmod(y, F.lit(side))
+    by_edge = lambda w, i: {-1: w < reach, 0: F.lit(True), 1: w >= side - reach}[i]
+    place = lambda i, j: F.when(by_edge(u, i) & by_edge(v, j), F.struct((F.floor(x / side) + i).cast("int").alias("_bx"), (F.floor(y / side) + j).cast("int").alias("_by"), F.lit(i == 0 and j == 0).alias("_own")))
+    near = F.filter(F.array(*[place(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]), lambda p: p.isNotNull())
+    own = [c for c in pixels.columns if c not in added]
+    rows = pixels.select("*", F.inline(near))
+    schema = T.StructType([*[pixels.schema[c] for c in own], *[T.StructField(c, t) for c, t in added.items()]])
+    wide = side + 2 * reach
+
+    def run(table: pa.Table) -> pa.Table:
+        left, top = table.column("_bx")[0].as_py() * side - reach, table.column("_by")[0].as_py() * side - reach
+        at = (table.column("y").to_numpy() - top, table.column("x").to_numpy() - left)
+        mine = table.column("_own").to_numpy()
+        got = compute(table, at, (wide, wide))
+        kept, mine_at = table.filter(pa.array(mine)), (at[0][mine], at[1][mine])
+        return pa.table([*[kept.column(c) for c in own], *[pa.array(g[mine_at], from_pandas=True).cast(to_arrow_type(t)) for g, t in zip(got, added.values(), strict=True)]], names=schema.names)
+
+    return rows.groupBy(*key, "_bx", "_by").applyInArrow(run, schema)
+
+
+def _grid(table: pa.Table, column: str, at: tuple, shape: tuple) -> np.ndarray:
+    out = np.full(shape, np.nan)
+    out[at] = table.column(column).cast(pa.float64()).to_numpy()
+    return out
+
+
+def _there(at: tuple, shape: tuple) -> np.ndarray:
+    out = np.zeros(shape, bool)
+    out[at] = True
+    return out
+
+
 def _difference(z: np.ndarray, there: np.ndarray, spacing: float) -> np.ndarray:
-    """Along the second axis, for the inner places: central where both neighbours are there, one-sided or 0 where not."""
+    """Along the second axis: central where both neighbours are there, one-sided or 0 where not."""
+    out = np.zeros_like(z)
     before, after, mid = z[:, :-2], z[:, 2:], z[:, 1:-1]
     has_before, has_after = there[:, :-2], there[:, 2:]
-    return np.where(has_before & has_after, (after - before) / (2 * spacing), np.where(has_after, (after - mid) / spacing, np.where(has_before, (mid - before) / spacing, 0.0)))
+    out[:, 1:-1] = np.where(has_before & has_after, (after - before) / (2 * spacing), np.where(has_after, (after - mid) / spacing, np.where(has_before, (mid - before) / spacing, 0.0)))
+    return out
 
 
 def gradient(pixels: DataFrame, key: list[str], z: str = "z", spacing: float = 1.0, side: int = BLOCK) -> DataFrame:
-    """Adds dx and dy: central differences, one-sided where a neighbour is missing, 0 where both are; null from null or NaN.
+    """Adds dx and dy: central differences, one-sided where a neighbour is missing, 0 where both are; null from null or NaN."""
+    def compute(table: pa.Table, at: tuple, shape: tuple) -> list[np.ndarray]:
+        grid, there = _grid(table, z, at, shape), _there(at, shape)
+        return [_difference(grid, there, spacing), _difference(grid.T, there.T, spacing).T]
+
+    return on_blocks(pixels, key, 1, {"dx": T.DoubleType(), "dy": T.DoubleType()}, compute, side)
+
+
+def _along(grid: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted sums over neighbours along both axes, one after the other."""
+    reach = len(weights) // 2
+    for _ in range(2):
+        wide = np.pad(grid, ((0, 0), (reach, reach)))
+        grid = sum(w * wide[:, i : i + grid.shape[1]] for i, w in enumerate(weights)).T
+    return grid
+
+
+def blurred(pixels: DataFrame, radius: float, value: list[str], side: int = BLOCK) -> DataFrame:
+    """Gaussian blur of images (map_id, x, y, values), three deviations wide, along rows and then columns; edges are renormalised."""
+    reach = max(1, math.ceil(3 * radius))
+    weights = np.exp(-np.arange(-reach, reach + 1) ** 2 / (2 * radius * radius))
+
+    def compute(table: pa.Table, at: tuple, shape: tuple) -> list[np.ndarray]:
+        total = _along(_there(at, shape).astype(float), weights)
+        with np.errstate(invalid="ignore"):
+            return [_along(np.nan_to_num(_grid(table, v, at, shape)), weights) / total for v in value]
+
+    return on_blocks(pixels.select("map_id", "x", "y", *value), ["map_id"], reach, dict.fromkeys(value, T.DoubleType()), compute, side)
+
 
-    Each pixel goes to its block, and those on a block's edge to the neighbour too, so there is one shuffle.
+def edges(pixels: DataFrame, feature: str, width: int, side: int = BLOCK) -> DataFrame:
+    """Adds ``edge``: whether a pixel is within ``width`` pixels of its feature's edge, inside it.
+
+    The outermost pixels of a feature are those beside another one or none; they grow inwards by running maxima along rows and columns, within
+    the feature alone.
+    """
+    def compute(table: pa.Table, at: tuple, shape: tuple) -> list[np.ndarray]:
+        number = table.column(feature).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        own = np.full(shape, -1)
+        own[at] = number
+        wide = np.pad(own, 1, constant_values=-1)
+        outer = np.zeros(shape, bool)
+        for i, j in ((0, 1), (2, 1), (1, 0), (1, 2)):
+            outer |= wide[i : i + shape[0], j : j + shape[1]] != own
+        grown = np.where(outer, own, -1)
+        for _ in range(width - 1):  # a step takes the pixels around, if they are of the same feature
+            wide, more = np.pad(grown, 1, constant_values=-1), grown.copy()
+            for i in range(3):
+                for j in range(3):
+                    near = wide[i : i + shape[0], j : j + shape[1]]
+                    more = np.where((more < 0) & (near == own), near, more)
+            grown = more
+        return [grown >= 0]
+
+    return on_blocks(pixels, ["map_id"], width, {"edge": T.BooleanType()}, compute, side)
+
+
+def sampled(target: DataFrame, source: DataFrame, key: list[str], value: str, nearest: bool = False, side: int = 64) -> DataFrame:
+    """``target`` (key, map_id, sx, sy, mostly x and y, and others) with the source's value at the places (sx, sy); null where the source has none.
+
+    Centres of source pixels (key, x, y, value) are at whole numbers. The value is the weighted mean of the four around the place, of those that
+    are there and neither null nor NaN; with ``nearest``, that of the pixel whose area holds the place (from its number to the next).
+
+    Source pixels go once into blocks, with a column and a row of their neighbours; target pixels go once into packets of a target block
+    that fall into one source block. A packet and a block meet in a join of packed rows, which skew handling may split, as no group of rows is formed.
     """
+    extra = 0 if nearest else 1
+    of = lambda c: F.floor(F.floor(F.col(c)) / side).cast("int")
+    own = target.columns
+    parts = [F.floor(F.col(c) / side) if c in own else F.pmod(F.xxhash64("sx", "sy"), F.lit(16)) for c in ("x", "y")]
+    parts = [p.cast("int").alias(n) for p, n in zip(parts, ("_tx", "_ty"), strict=True)]
+    placed = target.where(F.col("sx").isNotNull() & F.col("sy").isNotNull()).select("*", of("sx").alias("_bx"), of("sy").alias("_by"), *parts)
+    group = list(dict.fromkeys([*key, "map_id", "_tx", "_ty", "_bx", "_by"]))
+    packets = placed.groupBy(*group).agg(F.collect_list(F.struct(*own)).alias("_rows")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_bx", "_by", "_rows")
+    # a source pixel belongs to its block, and as the last column or row to the blocks before
     x, y = F.col("x"), F.col("y")
-    bx, by = F.floor(x / side).cast("int"), F.floor(y / side).cast("int")
-    u, v = F.pmod(x, F.lit(side)), F.pmod(y, F.lit(side))
-    place = lambda i, j: F.struct((bx + i).alias("_bx"), (by + j).alias("_by"), F.lit(i == j == 0).alias("_own"))
-    near = F.filter(F.array(place(0, 0), F.when(u == 0, place(-1, 0)), F.when(u == side - 1, place(1, 0)), F.when(v == 0, place(0, -1)), F.when(v == side - 1, place(0, 1))), lambda p: p.isNotNull())
-    own = [c for c in pixels.columns if c not in ("dx", "dy")]
-    rows = pixels.select(*own, F.inline(near))
-    schema = T.StructType([*[pixels.schema[c] for c in own], T.StructField("dx", T.DoubleType()), T.StructField("dy", T.DoubleType())])
+    before = lambda i, j: F.when((F.lit(i == 0) | (F.pmod(x, F.lit(side)) == 0)) & (F.lit(j == 0) | (F.pmod(y, F.lit(side)) == 0)), F.struct((F.floor(x / side) - i).cast("int").alias("_sx"), (F.floor(y / side) - j).cast("int").alias("_sy")))
+    into = F.filter(F.array(*[before(i, j) for i in range(extra + 1) for j in range(extra + 1)]), lambda p: p.isNotNull())
+    spread = source.where(F.col(value).isNotNull()).select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(key)], F.inline(into), "x", "y", F.col(value).cast("double").alias("_v"))
+    names = [*[f"_s{i}" for i in range(len(key))], "_sx", "_sy"]
+    schema = T.StructType([*[spread.schema[c] for c in names], T.StructField("_block", T.BinaryType())])
+    wide = side + extra
 
-    def run(table: pa.Table) -> pa.Table:
-        left, top = table.column("_bx")[0].as_py() * side - 1, table.column("_by")[0].as_py() * side - 1
-        px, py = table.column("x").to_numpy() - left, table.column("y").to_numpy() - top
-        grid, there = np.full((side + 2, side + 2), np.nan), np.zeros((side + 2, side + 2), bool)
-        grid[py, px], there[py, px] = table.column(z).cast(pa.float64()).to_numpy(), True
-        dx, dy = _difference(grid[1:-1], there[1:-1], spacing), _difference(grid.T[1:-1], there.T[1:-1], spacing).T
-        mine = table.column("_own").to_numpy()
-        at = (py[mine] - 1, px[mine] - 1)
-        kept = table.filter(pa.array(mine))
-        return pa.table([*[kept.column(c) for c in own], *[pa.array(d[at], pa.float64(), from_pandas=True) for d in (dx, dy)]], names=schema.names)
-
-    return rows.groupBy(*key, "_bx", "_by").applyInArrow(run, schema)
+    def pack(table: pa.Table) -> pa.Table:
+        block = np.full((wide, wide), np.nan)
+        left, top = table.column("_sx")[0].as_py() * side, table.column("_sy")[0].as_py() * side
+        block[table.column("y").to_numpy() - top, table.column("x").to_numpy() - left] = table.column("_v").to_numpy()
+        return pa.table([*[table.column(c).slice(0, 1) for c in names], pa.array([block.tobytes()], pa.binary())], names=schema.names)
+
+    blocks = spread.groupBy(*names).applyInArrow(pack, schema)
+    same = (F.col("_bx") == F.col("_sx")) & (F.col("_by") == F.col("_sy"))
+    for i in range(len(key)):
+        same = same & (F.col(f"_k{i}") == F.col(f"_s{i}"))
+    met = packets.join(blocks, same, "left").select("_bx", "_by", "_rows", "_block")
+    out_schema = T.StructType([*[target.schema[c] for c in own if c != value], T.StructField(value, T.DoubleType())])
+
+    def read(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = batch.column("_rows").slice(i, 1).flatten()
+                cols = {c: rows.field(k) for k, c in enumerate(own)}
+                data = batch.column("_block")[i].as_buffer()
+                sx, sy = (cols[c].cast(pa.float64()).to_numpy() for c in ("sx", "sy"))
+                fx, fy = np.floor(sx), np.floor(sy)
+                u, v = (fx - batch.column("_bx")[i].as_py() * side).astype(int), (fy - batch.column("_by")[i].as_py() * side).astype(int)
+                if data is None:
+                    got = np.full(len(u), np.nan)
+                elif nearest:
+                    got = np.frombuffer(data).reshape(wide, wide)[v, u]
+                else:
+                    block, total, weight = np.frombuffer(data).reshape(wide, wide), np.zeros(len(u)), np.zeros(len(u))
+                    for p, a in ((0, 1 - (sx - fx)), (1, sx - fx)):
+                        for q, b in ((0, 1 - (sy - fy)), (1, sy - fy)):
+                            z = block[v + q, u + p]
+                            w = np.where(np.isnan(z), 0.0, a * b)
+                            total, weight = total + w * np.nan_to_num(z), weight + w
+                    with np.errstate(invalid="ignore"):
+                        got = np.where(weight > 0, total / weight, np.nan)
+                yield pa.RecordBatch.from_arrays([*[cols[c] for c in own if c != value], pa.array(got, pa.float64(), from_pandas=True)], names=out_schema.names)
+
+    found = met.mapInArrow(read, out_schema)
+    none = target.where(F.col("sx").isNull() | F.col("sy").isNull()).select(*[c for c in own if c != value], F.lit(None).cast("double").alias(value))
+    return found.unionByName(none)

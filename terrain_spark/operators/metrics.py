@@ -33,18 +33,18 @@ def joint_nll(pixels: DataFrame, by: list[str] = ()) -> DataFrame:
 def weighted_ce(pixels: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
     """Per group the weighted mean of the land-cover loss and the plain one of topography, and their sum.
 
-    A head without a valid label gives null, and the sum takes the other alone.
+    A head without a valid label gives null, and the sum takes the other alone; without any, the loss is null too.
     """
     rows = with_nll(pixels).join(weights.select(F.col("source").alias("_s"), F.col("lc").alias("_lc"), "weight"), (F.col("source") == F.col("_s")) & (F.col("lc") == F.col("_lc")), "left")
     lc_ok, topo_ok = F.col("lc").between(0, N_LC - 1), F.col("topo").between(0, N_TOPO - 1)
     lc = F.try_divide(F.sum(F.when(lc_ok, F.col("weight") * F.col("lc_nll"))), F.sum(F.when(lc_ok, F.col("weight"))))
     topo = F.avg(F.when(topo_ok, F.col("topo_nll")))
-    return rows.groupBy(*by).agg(lc.alias("lc_loss"), topo.alias("topo_loss")).withColumn("loss", F.coalesce("lc_loss", F.lit(0.0)) + TOPOGRAPHY_WEIGHT * F.coalesce("topo_loss", F.lit(0.0)))
+    return rows.groupBy(*by).agg(lc.alias("lc_loss"), topo.alias("topo_loss")).withColumn("loss", F.when(F.coalesce("lc_loss", "topo_loss").isNotNull(), F.coalesce("lc_loss", F.lit(0.0)) + TOPOGRAPHY_WEIGHT * F.coalesce("topo_loss", F.lit(0.0))))
 
 
 def batch_ce(pixels: DataFrame, weights: DataFrame, sample: list[str], batch: list[str]) -> DataFrame:
-    """Per batch the mean of its samples' losses, each sample weighted by its own source."""
-    return weighted_ce(pixels, weights, [*batch, *sample]).groupBy(*batch).agg(F.count(F.lit(1)).alias("n_samples"), F.avg("loss").alias("loss"))
+    """Per batch the mean of its samples' losses, each sample weighted by its own source; samples without a valid label don't count."""
+    return weighted_ce(pixels, weights, [*batch, *sample]).groupBy(*batch).agg(F.count("loss").alias("n_samples"), F.avg("loss").alias("loss"))
 
 
 def tile_histogram(pixels: DataFrame, label: str, n: int = N_LC) -> DataFrame:

@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import classes
-from ..functions.taxonomy import NODATA
+from ..functions.taxonomy import BACKGROUNDS, NODATA
+from .blocks import blurred, edges, gradient, sampled
 
 #: Sides of the largest canvas, and pixels of the largest raster.
 MOST_SIDE, MOST_PIXELS = 20_000, 2_000_000_000
 
 
-def gradient(pixels: DataFrame, key: list[str], z: str = "z", spacing: float = 1.0) -> DataFrame:
-    """Adds dx and dy: central differences, one-sided at the edges."""
-    def along(axis: str, across: str) -> Column:
-        w = Window.partitionBy(*key, across).orderBy(axis)
-        before, after = F.lag(z).over(w), F.lead(z).over(w)
-        at_first, at_last = F.lag(axis).over(w).isNull(), F.lead(axis).over(w).isNull()
-        v = F.col(z)
-        return F.when(at_first & at_last, F.lit(0.0)).when(at_first, (after - v) / spacing).when(at_last, (v - before) / spacing).otherwise((after - before) / (2 * spacing))
-
-    return pixels.withColumn("dx", along("x", "y")).withColumn("dy", along("y", "x"))
-
-
 def slope_classes(pixels: DataFrame, key: list[str], z: str = "z", spacing: float = 1.0, water: Column | None = None) -> DataFrame:
     out = gradient(pixels, key, z, spacing).withColumn("slope", classes.slope_degrees(F.col("dx"), F.col("dy")))
     return out.withColumn("topo", classes.slope_class(F.col("slope"), F.lit(False) if water is None else water)).drop("dx", "dy")
@@ -45,22 +37,16 @@ def three_bands(pixels: DataFrame) -> DataFrame:
 
 def nearest(target: DataFrame, source: DataFrame, value: str) -> DataFrame:
     """Values of the source pixels that target pixels (with source coordinates sx, sy) fall on; NODATA where there is none."""
-    at = target.withColumn("_x", F.floor("sx").cast("int")).withColumn("_y", F.floor("sy").cast("int"))
-    s = source.select("map_id", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(value))
-    return at.join(s, ["map_id", "_x", "_y"], "left").withColumn(value, F.coalesce(value, F.lit(NODATA))).drop("_x", "_y")
+    found = sampled(target, source, ["map_id"], value, nearest=True)
+    return found.withColumn(value, F.coalesce(F.col(value).cast(source.schema[value].dataType), F.lit(NODATA)))
 
 
 def bilinear(target: DataFrame, source: DataFrame, value: str) -> DataFrame:
-    """Weighted means of the four source pixels around target places (sx, sy, centres at whole numbers); edges are held."""
-    size = source.groupBy("map_id").agg(F.max("x").alias("_mx"), F.max("y").alias("_my"))
-    at = target.join(size, "map_id")
-    hold = lambda v, m: F.least(F.greatest(v, F.lit(0.0)), F.col(m).cast("double"))
-    at = at.withColumn("_sx", hold(F.col("sx"), "_mx")).withColumn("_sy", hold(F.col("sy"), "_my"))
-    fx, fy = F.floor("_sx"), F.floor("_sy")
-    corner = lambda i, j: F.struct(F.least(fx + i, F.col("_mx")).cast("int").alias("px"), F.least(fy + j, F.col("_my")).cast("int").alias("py"), ((F.col("_sx") - fx if i else 1 - (F.col("_sx") - fx)) * (F.col("_sy") - fy if j else 1 - (F.col("_sy") - fy))).alias("weight"))
-    corners = at.select(*target.columns, F.inline(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)]))).where("weight > 0")
-    s = source.select("map_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col(value).alias("_v"))
-    return corners.join(s, ["map_id", "px", "py"]).groupBy(*target.columns).agg(F.sum(F.col("weight") * F.col("_v")).alias(value))
+    """Weighted means of the four source pixels around target places (sx, sy, centres at whole numbers).
+
+    Beside a source's edge, or a hole in it, the pixels that are there share the weight; where there is none the value is null.
+    """
+    return sampled(target, source, ["map_id"], value)
 
 
 def resize_places(size_from: int, size_to: int, x: str = "x") -> Column:
@@ -80,25 +66,64 @@ def points_of(ring: Column) -> Column:
     return F.filter(xy, lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
 
 
-def rasterise(rings: DataFrame, value: str) -> DataFrame:
+def ring_problem(pts: Column) -> Column:
+    """Why a ring is not drawn: too few points, or a side beyond the largest canvas; null where it is."""
+    span = lambda c: F.array_max(F.transform(pts, lambda p: p[c])) - F.array_min(F.transform(pts, lambda p: p[c]))
+    return F.when(F.coalesce(F.size(pts), F.lit(0)) < 3, "points").when((span("x") >= MOST_SIDE) | (span("y") >= MOST_SIDE), "canvas")
+
+
+def undrawn(rings: DataFrame) -> DataFrame:
+    """Rings (map_id, ord, pts) that ``rasterise`` leaves out, with the reason."""
+    return rings.select("map_id", "ord", ring_problem(F.col("pts")).alias("reject_reason")).where("reject_reason IS NOT NULL")
+
+
+def spans(rings: DataFrame, value: str) -> DataFrame:
+    """Runs of pixels that rings fill: map_id, ord, value, y, first and last.
+
+    Each edge is asked for the rows whose centres it passes and where it crosses them; the crossings of a ring and row, in order, are the
+    ends of its runs. So the cost is that of edges and rows, not of boxes and vertices.
+    """
+    drawn = rings.where(ring_problem(F.col("pts")).isNull())
+    edge = F.posexplode("pts").alias("_i", "p")
+    ring = F.xxhash64("pts").alias("_ring")
+    sides = drawn.select("map_id", "ord", value, "pts", ring, edge).withColumn("q", F.get("pts", F.pmod(F.col("_i") + 1, F.size("pts"))))
+    row = lambda v: F.ceil(v - 0.5).cast("int")  # noqa: E731  the first row whose centre is not before v
+    low, high = F.least("p.y", "q.y"), F.greatest("p.y", "q.y")
+    crossed = sides.where(row(high) > row(low)).select("map_id", "ord", value, "_ring", "_i", "p", "q", F.explode(F.sequence(row(low), row(high) - 1)).alias("y"))
+    p, q = F.col("p"), F.col("q")
+    x = (q["x"] - p["x"]) * (F.col("y") + 0.5 - p["y"]) / (q["y"] - p["y"]) + p["x"]
+    # a ring that comes twice crosses at the same places of the same edges
+    places = F.array_sort(F.transform(F.collect_set(F.struct("_i", "_x")), lambda e: e["_x"]))
+    ends = crossed.select("map_id", "ord", value, "_ring", "_i", "y", x.alias("_x")).groupBy("map_id", "ord", "_ring", "y").agg(F.any_value(value).alias(value), places.alias("_c"))
+    pair = F.transform(F.sequence(F.lit(0), (F.size("_c") / 2).cast("int") - 1), lambda i: F.struct(row(F.get("_c", i * 2)).alias("first"), (row(F.get("_c", i * 2 + 1)) - 1).alias("last")))
+    return ends.select("map_id", "ord", value, "y", F.inline(pair)).where("last >= first")
+
+
+def rasterise(rings: DataFrame, value: str, side: int = 256) -> DataFrame:
     """Pixels of filled rings: map_id, x, y and the value of the last feature that covers the pixel's centre.
 
     ``rings``: map_id, ord, value, pts (array of struct x, y) in pixels. Holes are filled like other rings. A
-    pixel is inside if a ray from its centre crosses the ring an odd number of times.
+    pixel is inside if a ray from its centre crosses the ring an odd number of times. Runs are cut at the edges of blocks, and each block is
+    painted in the order of the features. ``undrawn`` gives the rings that are left out.
     """
-    usable = rings.where(F.size("pts") >= 3)
-    ext = lambda f, c: f(F.transform("pts", lambda p: p[c]))
-    boxed = usable.select("map_id", "ord", value, "pts", *[F.floor(ext(f, c)).cast("int").alias(f"{n}{c}") for n, f in (("lo", F.array_min), ("hi", F.array_max)) for c in "xy"])
-    boxed = boxed.where(f"hix - lox < {MOST_SIDE} AND hiy - loy < {MOST_SIDE}")
-    grid = boxed.select("*", F.explode(F.sequence("loy", "hiy")).alias("y")).select("*", F.explode(F.sequence("lox", "hix")).alias("x"))
-    px, py = F.col("x") + 0.5, F.col("y") + 0.5
-
-    def crosses(p: Column, i: Column) -> Column:
-        q = F.get("pts", F.pmod(i + 1, F.size("pts")))
-        return F.when((p["y"] > py) != (q["y"] > py), F.when(px < (q["x"] - p["x"]) * (py - p["y"]) / (q["y"] - p["y"]) + p["x"], 1).otherwise(0)).otherwise(0)
-
-    inside = F.aggregate(F.transform("pts", crosses), F.lit(0), lambda a, x: a + x) % 2 == 1
-    return grid.where(inside).groupBy("map_id", "x", "y").agg(F.max_by(value, F.col("ord")).alias(value))
+    runs = spans(rings, value)
+    at = lambda c: F.floor(F.col(c) / side).cast("int")
+    cut = runs.select("map_id", "ord", value, "y", "first", "last", at("y").alias("_by"), F.explode(F.sequence(at("first"), at("last"))).alias("_bx"))
+    schema = T.StructType([cut.schema["map_id"], T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), cut.schema[value]])
+
+    def paint(table: pa.Table) -> pa.Table:
+        left, top = table.column("_bx")[0].as_py() * side, table.column("_by")[0].as_py() * side
+        turn = np.argsort(table.column("ord").to_numpy(), kind="stable")
+        y = table.column("y").to_numpy() - top
+        first, last = np.maximum(table.column("first").to_numpy() - left, 0), np.minimum(table.column("last").to_numpy() - left, side - 1)
+        shown = np.full((side, side), -1)
+        for i, r, a, b in zip(turn.tolist(), y[turn].tolist(), first[turn].tolist(), last[turn].tolist(), strict=True):
+            shown[r, a : b + 1] = i
+        py, px = np.nonzero(shown >= 0)
+        which = pa.array(shown[py, px])
+        return pa.table([table.column("map_id").take(which), pa.array((px + left).astype(np.int32)), pa.array((py + top).astype(np.int32)), table.column(value).take(which)], names=schema.names)
+
+    return cut.groupBy("map_id", "_bx", "_by").applyInArrow(paint, schema)
 
 
 def canvas_ok(width: Column, height: Column) -> Column:
@@ -126,18 +151,6 @@ def masked_water(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("topo", F.when(F.col("lc") == 0, NODATA).otherwise(F.coalesce("topo", F.lit(NODATA))))
 
 
-def blurred(pixels: DataFrame, radius: float, value: list[str]) -> DataFrame:
-    """Gaussian blur as a weighted sum over near pixels, three deviations wide; edges are renormalised."""
-    import math
-
-    reach = max(1, math.ceil(3 * radius))
-    offsets = [(i, j, math.exp(-(i * i + j * j) / (2 * radius * radius))) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(w).alias("w")) for i, j, w in offsets])
-    spread = pixels.select("map_id", "x", "y", *value, F.inline(near)).select("map_id", (F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y"), "w", *value)
-    sums = spread.groupBy("map_id", "x", "y").agg(*[(F.sum(F.col("w") * F.col(v)) / F.sum("w")).alias(v) for v in value])
-    return sums.join(pixels.select("map_id", "x", "y"), ["map_id", "x", "y"], "left_semi")
-
-
 def aged(pixels: DataFrame, seed: int = 42, deviation: float = 6.0, radius: float = 0.6) -> DataFrame:
     """Images (map_id, x, y, r, g, b) as on parchment: sepia, tint, seeded noise, blur."""
     noise = classes.gaussian(seed, F.col("map_id"), F.col("x"), F.col("y")) * deviation
@@ -146,16 +159,19 @@ def aged(pixels: DataFrame, seed: int = 42, deviation: float = 6.0, radius: floa
     return blurred(toned, radius, ["r", "g", "b"])
 
 
-def bordered(pixels: DataFrame, feature: str, colour: tuple[int, int, int] | None) -> DataFrame:
-    """Pixels on the edge of their feature take the border's colour."""
-    if colour is None:
+def bordered(pixels: DataFrame, feature: str, colour: tuple[int, int, int] | None, width: int = 1) -> DataFrame:
+    """The outermost ``width`` pixels of each feature, inside it, take the border's colour."""
+    if colour is None or width < 1:
         return pixels
-    row, col = Window.partitionBy("map_id", "y").orderBy("x"), Window.partitionBy("map_id", "x").orderBy("y")
-    edge = F.lit(False)
-    for w in (row, col):
-        for shift in (F.lag, F.lead):
-            edge = edge | F.coalesce(shift(feature).over(w) != F.col(feature), F.lit(True))
-    return pixels.withColumn("_edge", edge).withColumns({c: F.when(F.col("_edge"), v).otherwise(F.col(c)) for c, v in zip("rgb", colour, strict=True)}).drop("_edge")
+    return edges(pixels, feature, width).withColumns({c: F.when(F.col("edge"), v).otherwise(F.col(c)) for c, v in zip("rgb", colour, strict=True)}).drop("edge")
+
+
+def on_background(pixels: DataFrame, canvas: DataFrame, style: str) -> DataFrame:
+    """Every pixel of the canvases (map_id, min_x, min_y, width, height) with its colour, that of the style's background where nothing is drawn."""
+    steps = lambda low, n: F.explode(F.sequence(F.col(low).cast("int"), (F.col(low) + F.col(n)).cast("int") - 1))
+    every = canvas.select("map_id", "min_x", "width", steps("min_y", "height").alias("y")).select("map_id", steps("min_x", "width").alias("x"), "y")
+    joined = every.join(pixels.select("map_id", "x", "y", "r", "g", "b"), ["map_id", "x", "y"], "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in zip("rgb", BACKGROUNDS[style], strict=True)})
 
 
 def covered(pixels: DataFrame, coverage: DataFrame, value: list[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import idents
-from ..functions.taxonomy import TOPOGRAPHY, descriptions, prompts
+from ..functions.taxonomy import LAND_COVER, TOPOGRAPHY, descriptions, prompts
+from .ordinals import numbered
 
 
 def longest_prefix(names: DataFrame, rules: DataFrame, name: str = "name") -> DataFrame:
@@ -39,19 +40,20 @@ def peers(tiles: DataFrame, key: str, most: int = 4, seed: int = 42) -> DataFram
     """For each tile up to ``most`` others of its class (lc, topo), null counting as a class.
 
     Tiles of a class lie on a ring in the order of their digests, and each takes those that follow: no pairs are made
-    that are not kept.
+    that are not kept. Places on the ring come from ranges, so a class of all tiles is spread over all tasks.
     """
-    w = Window.partitionBy("lc", "topo").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key)).cast("binary")), key)
-    size = Window.partitionBy("lc", "topo")
-    ring = tiles.select(key, "lc", "topo", F.row_number().over(w).alias("at"), F.count(F.lit(1)).over(size).alias("n"))
-    wanted = ring.select(F.col(key).alias("tile"), "lc", "topo", "n", F.explode(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: k < F.col("n"))).alias("k"), "at").withColumn("at", F.pmod(F.col("at") - 1 + F.col("k"), F.col("n")) + 1)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key)).cast("binary"))
+    sizes = tiles.groupBy("lc", "topo").agg(F.count(F.lit(1)).alias("n")).select(F.col("lc").alias("_lc"), F.col("topo").alias("_topo"), "n")
+    same = F.col("lc").eqNullSafe(F.col("_lc")) & F.col("topo").eqNullSafe(F.col("_topo"))
+    ring = numbered(tiles.select(key, "lc", "topo", digest.alias("_digest")), [F.col("_digest"), F.col(key)], ["lc", "topo"], "at")
+    wanted = ring.join(sizes, same).select(F.col(key).alias("tile"), "lc", "topo", "n", F.explode(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: k < F.col("n"))).alias("k"), "at").withColumn("at", F.pmod(F.col("at") - 1 + F.col("k"), F.col("n")) + 1)
     other = ring.select(F.col(key).alias("peer"), F.col("lc").alias("_lc"), F.col("topo").alias("_topo"), F.col("at").alias("_at"))
-    joined = wanted.join(other, F.col("lc").eqNullSafe(F.col("_lc")) & F.col("topo").eqNullSafe(F.col("_topo")) & (F.col("at") == F.col("_at")))
-    return joined.select("tile", "peer", "k")
+    return wanted.join(other, same & (F.col("at") == F.col("_at"))).select("tile", "peer", "k")
 
 
-def answer(texts: Column, topo: Column, ordinal: Column) -> Column:
-    """The description whose turn it is, with the topography in brackets where there is one."""
+def answer(texts: Column, lc: Column, topo: Column, ordinal: Column) -> Column:
+    """The description whose turn it is, or the class's name where there is none, with the topography in brackets where there is one."""
+    texts = F.coalesce(texts, F.array(F.get(F.array(*[F.lit(c) for c in LAND_COVER]), lc.cast("int"))))
     text = F.get(texts, F.pmod(ordinal, F.size(texts)).cast("int"))
     names = F.array(*[F.lit(t) for t in TOPOGRAPHY])
     return F.when(topo.isNull(), text).otherwise(F.concat(text, F.lit(" ("), F.get(names, topo.cast("int")), F.lit(")")))
@@ -68,4 +70,4 @@ def tuning_samples(tiles: DataFrame, augmentations: list[str], grids: bool = Tru
     asked = rows.join(F.broadcast(prompts(spark)))
     texts = descriptions(spark).select(F.col("lc").alias("_lc"), F.col("topo").alias("_topo"), "texts")
     joined = asked.join(F.broadcast(texts), same, "left").drop("_lc", "_topo")
-    return joined.withColumn("answer", answer(F.col("texts"), F.col("topo"), F.col("prompt_idx"))).drop("texts")
+    return joined.withColumn("answer", answer(F.col("texts"), F.col("lc"), F.col("topo"), F.col("prompt_idx"))).drop("texts")

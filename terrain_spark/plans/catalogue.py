@@ -5,6 +5,7 @@ The given tables have other subjects, so each query names the columns that stand
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classes, geo, idents
 from ..functions.taxonomy import BIOMES, DESCRIPTIONS, INSPECTION, LAND_COVER, PALETTES, PROMPTS, REQUIRED_FILES, TILE_PREFIXES, TOPOGRAPHY, WEIGHTS, WORLD_COVER, biomes, inspection_palette, literal, palettes, source_weights, tile_prefixes, values, weight_map
-from ..operators import assembly, blocks, datasets, metrics, pyramid, ranking, raster, samples
+from ..operators import assembly, blocks, datasets, metrics, pyramid, ranking, raster, samples, warp
 from ..sources import png, pyramids, records, tiff
 from ..sources.shared import new_path
 from . import lifecycles
@@ -623,15 +624,18 @@ def epoch_mean(spark, sf):
 _w = lambda s: "[" + ", ".join(map(repr, WEIGHTS[s])) + "]"
 
 
-@query(" UNION ALL ".join(f"SELECT '{s}' AS source, [x::DOUBLE FOR x IN {_w(s)}] AS weights, 0 AS n_missing" for s in WEIGHTS))
+@query(f"""WITH n AS (SELECT n_nationkey, len(list_filter(range({len(LAND_COVER)}), lambda i: (n_nationkey + i) % 5 = 0)) AS n_missing FROM nation)
+SELECT n_nationkey, list_transform(range({len(LAND_COVER)}), lambda i: CASE WHEN (n_nationkey + i) % 5 <> 0 THEN CAST(n_nationkey + i AS DOUBLE) / 8 END) AS weights, CAST(n_missing AS INTEGER) AS n_missing FROM n""")
 def weight_vectors(spark, sf):
-    rows = [spark.range(1).select(F.lit(s).alias("source"), weight_map(s).alias("m")) for s in WEIGHTS]
-    both = rows[0].union(rows[1]).union(rows[2])
-    return both.select("source", metrics.weight_vector(F.col("m")).alias("weights"), F.size(metrics.missing_weights(F.col("m"))).alias("n_missing"))
+    """Weights of each source in the order of the classes, from maps in another order that lack some of them."""
+    names = F.reverse(F.array(*[F.struct(F.lit(c).alias("key"), F.lit(i).alias("i")) for i, c in enumerate(LAND_COVER)]))
+    kept = F.filter(names, lambda n: (F.col("n_nationkey") + n["i"]) % 5 != 0)
+    given = F.map_from_entries(F.transform(kept, lambda n: F.struct(n["key"], ((F.col("n_nationkey") + n["i"]) / 8).alias("value"))))
+    return table(spark, sf, "nation").select("n_nationkey", metrics.weight_vector(given).alias("weights"), F.size(metrics.missing_weights(given)).alias("n_missing"))
 
 
 @query(f"""WITH {PRED_SQL}, w AS (SELECT source, lc, CAST(weight AS DOUBLE) AS weight FROM {_weights_sql}), j AS (SELECT n.*, weight, vec_id % 30 AS sample FROM n LEFT JOIN w ON w.source = n.source AND w.lc = n.lc),
-s AS (SELECT sample, coalesce(sum(weight * lc_nll) FILTER (WHERE lc_ok) / sum(weight) FILTER (WHERE lc_ok), 0) + coalesce(avg(topo_nll) FILTER (WHERE topo_ok), 0) AS loss FROM j GROUP BY sample)
+s AS (SELECT sample, coalesce(sum(weight * lc_nll) FILTER (WHERE lc_ok) / sum(weight) FILTER (WHERE lc_ok), 0) + coalesce(avg(topo_nll) FILTER (WHERE topo_ok), 0) AS loss FROM j GROUP BY sample HAVING bool_or(lc_ok OR topo_ok))
 SELECT CAST(sample % 4 AS BIGINT) AS batch, count(*) AS n_samples, round(avg(loss), 6) AS loss FROM s GROUP BY 1""")
 def batch_loss(spark, sf):
     pixels = _pixels(spark, sf).withColumn("sample", F.col("vec_id") % 30).withColumn("batch", F.col("sample") % 4)
@@ -782,8 +786,8 @@ def coverage_mask(spark, sf):
 
 # tiles of ten rows of 50 pixels in steps of nine, so that rows overlap; one cell in eleven has no height
 TARGET_SQL = """s AS (SELECT CAST(c_custkey // 2500 AS INTEGER) AS map_id, c_custkey // 500 AS tile_id, CAST(c_custkey % 50 AS INTEGER) AS x, CAST(c_custkey // 500 % 5 * 9 + c_custkey % 500 // 50 AS INTEGER) AS y,
-  CAST(c_nationkey % 11 * 10 AS INTEGER) AS code, CASE WHEN c_custkey % 11 = 0 THEN 0.0 ELSE c_acctbal END AS z FROM customer),
-m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY map_id, x, y ORDER BY tile_id) = 1),
+  CAST(nullif(c_nationkey % 11 * 10, 0) AS INTEGER) AS code, CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal END AS z FROM customer),
+m AS (SELECT map_id, x, y, arg_min(code, tile_id) FILTER (WHERE code IS NOT NULL) AS code, coalesce(arg_min(z, tile_id) FILTER (WHERE z IS NOT NULL), 0.0) AS z FROM s GROUP BY 1, 2, 3),
 t AS (SELECT map_id, x // 2 AS x, y // 2 AS y, code, z FROM m WHERE x % 2 = 0 AND y % 2 = 0)"""
 _slope = lambda axis, across: f"CASE WHEN lag(z) OVER w{axis} IS NULL AND lead(z) OVER w{axis} IS NULL THEN 0 WHEN lag(z) OVER w{axis} IS NULL THEN (lead(z) OVER w{axis} - z) / 10000.0 WHEN lead(z) OVER w{axis} IS NULL THEN (z - lag(z) OVER w{axis}) / 10000.0 ELSE (lead(z) OVER w{axis} - lag(z) OVER w{axis}) / 20000.0 END"
 
@@ -796,11 +800,73 @@ def assembled_labels(spark, sf):
     k = F.col("c_custkey")
     rows = table(spark, sf, "customer").select(F.floor(k / 2500).cast("int").alias("map_id"), F.floor(k / 500).alias("tile_id"), (k % 50).cast("int").alias("x"), F.floor(k % 500 / 50).cast("int").alias("y"), (F.col("c_nationkey") % 11 * 10).cast("int").alias("code"), F.when(k % 11 == 0, float("nan")).otherwise(F.col("c_acctbal")).alias("z"))
     tiles = rows.select("map_id", "tile_id", F.lit(0).alias("left"), (F.col("tile_id") % 5 * 9).cast("int").alias("top")).distinct()
-    cover, heights = (assembly.mosaic(tiles, rows.drop("map_id"), v) for v in ("code", "z"))
+    cover, heights = (assembly.mosaic(tiles, rows.drop("map_id"), v, nodata) for v, nodata in (("code", 0), ("z", None)))
     target = cover.where("x % 2 = 0 AND y % 2 = 0").select("map_id", F.floor(F.col("x") / 2).cast("int").alias("x"), F.floor(F.col("y") / 2).cast("int").alias("y"), F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy"))
     return assembly.georeferenced_labels(target, cover, heights, 10000.0)
 
 
+COVER_GRID, HEIGHT_GRID, SPACING = warp.Grid(3, 30), warp.Grid(1, 10), 5000.0
+_R = f"{geo.MERCATOR_RADIUS}::DOUBLE"
+_E = f"{geo.EARTH_KM * 1000}::DOUBLE"
+_lon0, _lat0 = "(s_suppkey * 37 % 40) / 10.0::DOUBLE", "(40.3::DOUBLE + (s_suppkey * 53 % 25) / 10.0::DOUBLE)"
+
+
+def _laea_sql(lon: str, lat: str) -> tuple[str, str]:
+    k = f"sqrt(2.0::DOUBLE / (1 + sin(radians(lat0)) * sin(radians({lat})) + cos(radians(lat0)) * cos(radians({lat})) * cos(radians({lon} - lon0))))"
+    return f"{_E} * {k} * cos(radians({lat})) * sin(radians({lon} - lon0))", f"{_E} * {k} * (cos(radians(lat0)) * sin(radians({lat})) - sin(radians(lat0)) * cos(radians({lat})) * cos(radians({lon} - lon0)))"
+
+
+_degrees_sql = lambda u, v: f"CASE epsg WHEN 4326 THEN {u} WHEN 3857 THEN degrees({u} / {_R}) END AS lon, CASE epsg WHEN 4326 THEN {v} WHEN 3857 THEN degrees(2 * atan(exp({v} / {_R})) - pi() / 2) END AS lat"
+_side = lambda z, axis, n: f"CASE WHEN {n} = 1 THEN 0 WHEN {axis} = 0 THEN (lead({z}) OVER w{axis} - {z}) / {SPACING}::DOUBLE WHEN {axis} = {n} - 1 THEN ({z} - lag({z}) OVER w{axis}) / {SPACING}::DOUBLE ELSE (lead({z}) OVER w{axis} - lag({z}) OVER w{axis}) / {2 * SPACING}::DOUBLE END"
+WARP_SQL = f"""WITH m AS (SELECT s_suppkey AS map_id, CASE WHEN s_suppkey % 7 = 6 THEN 32633 WHEN s_suppkey % 2 = 0 THEN 4326 ELSE 3857 END AS epsg, 8 + s_suppkey % 5 AS width, 6 + s_suppkey % 4 AS height,
+  CASE WHEN s_suppkey % 2 = 0 THEN 0.07::DOUBLE ELSE 7000.0::DOUBLE END AS a, CASE WHEN s_suppkey % 2 = 0 THEN {_lon0} ELSE {_R} * radians({_lon0}) END AS c,
+  CASE WHEN s_suppkey % 2 = 0 THEN {_lat0} ELSE {_R} * ln(tan(pi() / 4 + radians({_lat0}) / 2)) END AS f FROM supplier),
+p AS (SELECT map_id, x, y, {_degrees_sql("(a * (x + 0.5) + c)", "(f - a * (y + 0.5))")} FROM (SELECT *, unnest(range(width)) AS x FROM (SELECT *, unnest(range(height)) AS y FROM m))),
+k AS (SELECT map_id, {_degrees_sql("(a * px + c)", "(f - a * py)")} FROM (SELECT m.*, unnest([width * i / 22.0::DOUBLE, width * i / 22.0::DOUBLE, 0, width]) AS px, unnest([0, height, height * i / 22.0::DOUBLE, height * i / 22.0::DOUBLE]) AS py FROM m, range(23) t(i))),
+b AS (SELECT map_id, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM k WHERE lon IS NOT NULL GROUP BY 1),
+sc AS (SELECT CAST((lon_sw + 180) * 10 + c_custkey % 30 AS BIGINT) AS x, CAST((87 - lat_sw) * 10 + c_custkey % 900 // 30 AS BIGINT) AS y, c_nationkey % 11 * 10 AS code FROM (SELECT *, c_custkey // 900 % 2 * 3 AS lon_sw, 39 + c_custkey // 1800 % 15 * 3 AS lat_sw FROM customer)
+  WHERE c_nationkey % 11 > 0 QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY c_custkey // 900) = 1),
+sh AS (SELECT CAST((lon_sw + 180) * 10 + c_custkey % 10 AS BIGINT) AS x, CAST((89 - lat_sw) * 10 + c_custkey % 100 // 10 AS BIGINT) AS y, c_acctbal * 0.1::DOUBLE AS z FROM (SELECT *, c_custkey // 100 % 5 AS lon_sw, 40 + c_custkey // 500 % 40 AS lat_sw FROM customer)
+  WHERE c_custkey % 13 > 0 QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY c_custkey // 100) = 1),
+q AS (SELECT map_id, lon0, lat0, min(lx) AS l, max(lx) AS r, max(ly) AS t, min(ly) AS d FROM (SELECT map_id, lon0, lat0, {_laea_sql("lon", "lat")[0]} AS lx, {_laea_sql("lon", "lat")[1]} AS ly FROM (
+  SELECT map_id, (west + east) / 2 AS lon0, (south + north) / 2 AS lat0, unnest([west + (east - west) * i / 22, west + (east - west) * i / 22, west, east]) AS lon, unnest([south, north, south + (north - south) * i / 22, south + (north - south) * i / 22]) AS lat FROM b, range(23) t(i))) GROUP BY ALL),
+gr AS (SELECT *, CAST(floor((r - l) / {SPACING}::DOUBLE) + 1 AS BIGINT) AS w, CAST(floor((t - d) / {SPACING}::DOUBLE) + 1 AS BIGINT) AS h FROM q),
+gp AS (SELECT *, l + (x + 0.5) * {SPACING}::DOUBLE AS ux, t - (y + 0.5) * {SPACING}::DOUBLE AS uy FROM (SELECT *, unnest(range(w)) AS x FROM (SELECT *, unnest(range(h)) AS y FROM gr))),
+gc AS (SELECT *, sqrt(ux * ux + uy * uy) AS rho, 2 * asin(least(sqrt(ux * ux + uy * uy) / (2 * {_E}), 1.0)) AS cc FROM gp),
+gd AS (SELECT map_id, x, y, w, h, (lon0 + degrees(CASE WHEN rho > 0 THEN atan2(ux * sin(cc), rho * cos(radians(lat0)) * cos(cc) - uy * sin(radians(lat0)) * sin(cc)) ELSE 0 END) + 180.0) / 0.1::DOUBLE - 0.5 AS sx,
+  (90.0 - degrees(CASE WHEN rho > 0 THEN asin(cos(cc) * sin(radians(lat0)) + uy * sin(cc) * cos(radians(lat0)) / rho) ELSE radians(lat0) END)) / 0.1::DOUBLE - 0.5 AS sy FROM gc),
+gz AS (SELECT gd.map_id, gd.x, gd.y, w, h, sum(sh.z * (CASE i WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE j WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END)) / sum(CASE WHEN sh.z IS NOT NULL THEN (CASE i WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE j WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) END) AS z
+  FROM gd CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) LEFT JOIN sh ON sh.x = CAST(floor(sx) AS BIGINT) + i AND sh.y = CAST(floor(sy) AS BIGINT) + j GROUP BY ALL),
+gs AS (SELECT map_id, x, y, {_side("z", "x", "w")} AS dx, {_side("z", "y", "h")} AS dy FROM gz WINDOW wx AS (PARTITION BY map_id, y ORDER BY x), wy AS (PARTITION BY map_id, x ORDER BY y)),
+gt AS (SELECT map_id, x, y, degrees(atan(sqrt(dx * dx + dy * dy))) AS slope FROM gs),
+o AS (SELECT p.map_id, p.x, p.y, coalesce(lc, 255) AS lc, CAST(floor(({_laea_sql("p.lon", "p.lat")[0]} - l) / {SPACING}::DOUBLE) AS BIGINT) AS mx, CAST(floor((t - ({_laea_sql("p.lon", "p.lat")[1]})) / {SPACING}::DOUBLE) AS BIGINT) AS my
+  FROM p JOIN gr ON gr.map_id = p.map_id LEFT JOIN sc ON sc.x = CAST(floor((p.lon + 180.0) / 0.1::DOUBLE) AS BIGINT) AND sc.y = CAST(floor((90.0 - p.lat) / 0.1::DOUBLE) AS BIGINT) LEFT JOIN {rows_sql("code, lc", WORLD_COVER)} ON t.code = sc.code)
+SELECT o.map_id, CAST(o.x AS INTEGER) AS x, CAST(o.y AS INTEGER) AS y, CAST(lc AS INTEGER) AS lc, CAST(CASE WHEN lc IN (0, 255) OR slope IS NULL THEN 255 WHEN slope >= 15 THEN 2 WHEN slope >= 2 THEN 1 ELSE 0 END AS INTEGER) AS topo
+FROM o LEFT JOIN gt ON gt.map_id = o.map_id AND gt.x = mx AND gt.y = my""".replace("LEFT JOIN (VALUES", "LEFT JOIN (SELECT * FROM (VALUES").replace("AS t(code, lc) ON t.code", "AS t(code, lc)) wc ON wc.code")
+
+
+def _warped_maps(spark, sf):
+    k = F.col("s_suppkey")
+    flat = k % 2 == 0
+    lon, lat = (k * 37 % 40) / 10.0, F.lit(40.3) + (k * 53 % 25) / 10.0
+    north = F.lit(geo.MERCATOR_RADIUS) * F.ln(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2))
+    side = F.when(flat, F.lit(0.07)).otherwise(F.lit(7000.0))
+    epsg = F.when(k % 7 == 6, F.lit(32633)).when(flat, F.lit(warp.GEOGRAPHIC)).otherwise(F.lit(warp.MERCATOR))
+    affine = [side.alias("a"), F.lit(0.0).alias("b"), F.when(flat, lon).otherwise(F.lit(geo.MERCATOR_RADIUS) * F.radians(lon)).alias("c"), F.lit(0.0).alias("d"), (-side).alias("e"), F.when(flat, lat).otherwise(north).alias("f")]
+    return table(spark, sf, "supplier").select(k.alias("map_id"), epsg.alias("epsg"), (k % 5 + 8).alias("width"), (k % 4 + 6).alias("height"), *affine)
+
+
+@query(WARP_SQL)
+def warped_labels(spark, sf):
+    """Labels of maps in two projections, from tiles of cover and heights on other grids, with holes in both."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    at = lambda v: F.floor(v).cast("int")
+    cover = c.select(at(k / 900).alias("tile_id"), (at(k / 1800) % 15 * 3 + 39).alias("lat_sw"), (at(k / 900) % 2 * 3).alias("lon_sw"), (k % 30).cast("int").alias("x"), at(k % 900 / 30).alias("y"), (F.col("c_nationkey") % 11 * 10).alias("code"))
+    heights = c.select(at(k / 100).alias("tile_id"), (at(k / 500) % 40 + 40).alias("lat_sw"), (at(k / 100) % 5).alias("lon_sw"), (k % 10).cast("int").alias("x"), at(k % 100 / 10).alias("y"), F.when(k % 13 > 0, F.col("c_acctbal") * 0.1).otherwise(float("nan")).alias("z"))
+    return warp.labels(_warped_maps(spark, sf), cover, COVER_GRID, heights, HEIGHT_GRID, SPACING)
+
+
 @query(f"WITH p AS ({POINTS_SQL}) SELECT c_nationkey, CAST(px AS DOUBLE) AS px, CAST(py AS DOUBLE) AS py, round(0.5::DOUBLE * px + 0.25::DOUBLE * py + c_nationkey, 6) AS lng, round(0.125::DOUBLE * px - 0.5::DOUBLE * py + 3, 6) AS lat, round(px::DOUBLE, 6) AS back_x, round(py::DOUBLE, 6) AS back_y FROM p")
 def affine_world(spark, sf):
     """Places of control points by a given affine, and back."""
@@ -966,7 +1032,7 @@ AUGMENTATIONS = ["original", "grayscale", "parchment", "faded"]
 
 @query(f"""WITH {_tile_sql}, k AS (SELECT *, count(*) OVER (PARTITION BY lc, topo) AS n FROM tiles), d AS (SELECT * FROM {_desc}), p AS (SELECT * FROM {_prompt}),
 x AS (SELECT p_partkey, k.lc, k.topo, a.augmentation, l.layout, p.prompt_idx, p.prompt, d.texts FROM k CROSS JOIN (SELECT unnest({AUGMENTATIONS}) AS augmentation) a JOIN (SELECT unnest(['single', 'grid']) AS layout) l ON l.layout = 'single' OR k.n >= 2 CROSS JOIN p LEFT JOIN d ON d.lc = k.lc AND d.topo IS NOT DISTINCT FROM k.topo)
-SELECT p_partkey, lc, topo, augmentation, layout, CAST(prompt_idx AS INTEGER) AS prompt_idx, prompt, texts[prompt_idx % len(texts) + 1] || CASE WHEN topo IS NULL THEN '' ELSE ' (' || list_extract([{", ".join(map(literal, TOPOGRAPHY))}], topo + 1) || ')' END AS answer FROM x""")
+SELECT p_partkey, lc, topo, augmentation, layout, CAST(prompt_idx AS INTEGER) AS prompt_idx, prompt, coalesce(texts[prompt_idx % len(texts) + 1], list_extract([{", ".join(map(literal, LAND_COVER))}], lc + 1)) || CASE WHEN topo IS NULL THEN '' ELSE ' (' || list_extract([{", ".join(map(literal, TOPOGRAPHY))}], topo + 1) || ')' END AS answer FROM x""")
 def prompt_cross(spark, sf):
     return samples.tuning_samples(_hex_tiles(spark, sf), AUGMENTATIONS)
 
@@ -1082,13 +1148,15 @@ def scene_regions(spark, sf):
     return lifecycles.satellite_regions(cells.select(lat.alias("lat"), lon.alias("lon"), "counts"), 50)
 
 
-_edge = " OR ".join(f"coalesce({f}(p.lc) OVER (PARTITION BY p.{a} ORDER BY p.{b}) <> p.lc, true)" for f in ("lag", "lead") for a, b in ("xy", "yx"))
+# a pixel is on the edge where one beside it is of another feature or not there
+_near = "NOT EXISTS (SELECT 1 FROM p n WHERE n.lc = p.lc AND n.x = p.x + {i} AND n.y = p.y + {j})"
+_outer = " OR ".join(_near.format(i=i, j=j) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1)))
 
 
 @query(f"""WITH {RINGS_SQL}, gy AS (SELECT *, unnest(range(y0, y0 + h + 1)) AS y FROM r), gx AS (SELECT *, unnest(range(x0, x0 + w + 1)) AS x FROM gy),
 i AS (SELECT ord, lc, x, y FROM gx WHERE y + 0.5 < y0 + h AND x + 0.5 >= x0 AND x + 0.5 < (x0 - (x0 + w)) * ((y + 0.5) - y0) / CAST(h AS DOUBLE) + (x0 + w)),
 p AS (SELECT x, y, lc FROM i QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY ord DESC) = 1),
-e AS (SELECT p.x, p.y, {_edge} AS edge, coalesce(c.r, 0) AS r, coalesce(c.g, 0) AS g, coalesce(c.b, 0) AS b FROM p LEFT JOIN (SELECT * FROM {_pal}) c ON c.lc = p.lc AND c.style = 'satellite'),
+e AS (SELECT p.x, p.y, ({_outer}) AS edge, coalesce(c.r, 0) AS r, coalesce(c.g, 0) AS g, coalesce(c.b, 0) AS b FROM p LEFT JOIN (SELECT * FROM {_pal}) c ON c.lc = p.lc AND c.style = 'satellite'),
 v AS (SELECT x, y, CASE WHEN edge THEN 80 ELSE r END AS r, CASE WHEN edge THEN 65 ELSE g END AS g, CASE WHEN edge THEN 45 ELSE b END AS b FROM e),
 o AS (SELECT i, j, exp(-(i * i + j * j) / (2 * 0.6::DOUBLE * 0.6::DOUBLE)) AS w FROM range(-2, 3) a(i), range(-2, 3) b(j))
 SELECT CAST(v.x AS INTEGER) AS x, CAST(v.y AS INTEGER) AS y, {", ".join(f"round(sum(w * n.{c}) / sum(w), 4) AS {c}" for c in "rgb")} FROM v, o, v n WHERE n.x = v.x + i AND n.y = v.y + j GROUP BY 1, 2""")
@@ -1100,6 +1168,34 @@ def blurred_render(spark, sf):
     return raster.blurred(edged, 0.6, ["r", "g", "b"]).select("x", "y", *[F.round(c, 4).alias(c) for c in "rgb"])
 
 
+@query(f"""WITH {RINGS_SQL}, gy AS (SELECT *, unnest(range(y0, y0 + h + 1)) AS y FROM r), gx AS (SELECT *, unnest(range(x0, x0 + w + 1)) AS x FROM gy),
+i AS (SELECT ord, lc, x, y FROM gx WHERE y + 0.5 < y0 + h AND x + 0.5 >= x0 AND x + 0.5 < (x0 - (x0 + w)) * ((y + 0.5) - y0) / CAST(h AS DOUBLE) + (x0 + w)),
+p AS (SELECT x, y, lc FROM i QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY ord DESC) = 1),
+o AS (SELECT x, y, lc FROM p WHERE {_outer}),
+e AS (SELECT p.*, EXISTS (SELECT 1 FROM o WHERE o.lc = p.lc AND o.x = p.x AND o.y = p.y) AS one, EXISTS (SELECT 1 FROM o WHERE o.lc = p.lc AND abs(o.x - p.x) <= 1 AND abs(o.y - p.y) <= 1) AS two FROM p),
+b AS (SELECT min(x0) AS ax, min(y0) AS ay, max(x0 + w) AS zx, max(y0 + h) AS zy FROM r),
+c AS (SELECT x, unnest(range(ay, zy + 1)) AS y FROM (SELECT ay, zy, unnest(range(ax, zx + 1)) AS x FROM b)),
+s AS (SELECT * FROM (VALUES ('flat', 100, 100, 100, 200, 220, 240), ('illustrated', 80, 65, 45, 210, 195, 165)) t(style, er, eg, eb, br, bg, bb)),
+l AS (SELECT * FROM {_pal})
+SELECT s.style, CAST(c.x AS INTEGER) AS x, CAST(c.y AS INTEGER) AS y, {", ".join(f"CAST(CASE WHEN e.lc IS NULL THEN b{k} WHEN CASE s.style WHEN 'flat' THEN one ELSE two END THEN e{k} ELSE l.{k} END AS INTEGER) AS {k}" for k in "rgb")}
+FROM c CROSS JOIN s LEFT JOIN e ON e.x = c.x AND e.y = c.y LEFT JOIN l ON l.lc = e.lc AND l.style = s.style""")
+def styled_renders(spark, sf):
+    """Polygons on their canvas in two styles, with borders of one and two pixels and each style's background."""
+    rings = _rings(spark, sf)
+    pixels, canvas = raster.rasterise(rings, "lc"), raster.canvas(rings)
+    both = [lifecycles.rendered(pixels, s, canvas).select(F.lit(s).alias("style"), "x", "y", "r", "g", "b") for s in ("flat", "illustrated")]
+    return both[0].unionByName(both[1])
+
+
+@query(f"""WITH x AS (SELECT vec_id, [CAST(v AS DOUBLE) FOR v IN embedding[1:9]] AS l FROM embeddings), t AS (SELECT vec_id, list_transform(l, lambda v: exp(v - list_max(l))) AS e, l FROM x)
+SELECT vec_id, list_transform(e, lambda v: round(v / list_sum(e), 6)) AS p, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS lc FROM t""")
+def class_probabilities(spark, sf):
+    """Probabilities of the land-cover classes from their logits, and the most likely one."""
+    logits = F.transform(F.slice("embedding", 1, 9), lambda v: v.cast("double"))
+    rows = table(spark, sf, "embeddings").select("vec_id", logits.alias("l"))
+    return rows.select("vec_id", F.transform(classes.softmax(F.col("l")), lambda v: F.round(v, 6)).alias("p"), (F.array_position("l", F.array_max("l")) - 1).cast("int").alias("lc"))
+
+
 @query(f"""WITH {MAPS_SQL}, {SPLIT_SQL}
 SELECT count(*) AS n_maps FROM maps JOIN split ON split.src_id = CAST(map_id AS VARCHAR) WHERE subset = 'test'""")
 def test_maps(spark, sf):

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classes, geo, idents
-from ..functions.taxonomy import REQUIRED_FILES, biomes, palettes
+from ..functions.taxonomy import BORDERS, REQUIRED_FILES, biomes, palettes
 from ..operators import datasets, metrics, pyramid, ranking, raster
 
+#: Radius of the blur of satellite renders.
+SENSOR_BLUR = 0.8
+
 
 def require_remote(path: str, local_ok: bool = False) -> str:
     """Results go to an object store unless a local folder is asked for."""
@@ -35,8 +38,18 @@ def label_pixels(features: DataFrame) -> DataFrame:
     return raster.rasterise(known.withColumn("label", label), "label").select("map_id", "x", "y", "label.*")
 
 
-def rendered(pixels: DataFrame, style: str) -> DataFrame:
-    return raster.colourised(pixels, palettes(pixels.sparkSession).where(F.col("style") == style))
+def rendered(pixels: DataFrame, style: str, canvas: DataFrame | None = None, feature: str = "lc") -> DataFrame:
+    """Label pixels (map_id, x, y, lc) in a style: its palette, borders of its width around features, its background on the canvas, blur.
+
+    A style that is not there is an error.
+    """
+    if style not in BORDERS:
+        raise ValueError(f"no style {style}: {', '.join(BORDERS)}")
+    shown = raster.colourised(pixels, palettes(pixels.sparkSession).where(F.col("style") == style).drop("style"))
+    shown = raster.bordered(shown, feature, *BORDERS[style])
+    if canvas is not None:
+        shown = raster.on_background(shown, canvas, style)
+    return raster.blurred(shown, SENSOR_BLUR, ["r", "g", "b"]) if style == "satellite" else shown.select("map_id", "x", "y", "r", "g", "b")
 
 
 def complete_maps(objects: DataFrame) -> DataFrame:
