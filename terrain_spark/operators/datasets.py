@@ -50,22 +50,24 @@ def stratified_split(sources: DataFrame, seed: int = 42, fraction: float = 0.15)
 def lowest_digests(rows: DataFrame, key: str, seed: int, wanted: Callable[[Column], Column], name: str, by: list[str] = ()) -> DataFrame:
     """Adds ``name``: whether a row is among the ``wanted(n)`` of all n rows (of its group ``by``) with the lowest seeded digests of ``key``.
 
-    Digests are counted in classes, their first four hex digits; whole classes are in or out, and only the rows of the class that
-    holds the cut are ranked, so there is no sort of all rows, nor of a group.
+    Digests are counted in classes, their first four hex digits, which gives the class that holds the cut; the rows of that class alone are
+    ranked, which gives the last digest that is in. Then each row is compared with its group's last digest, so rows are neither sorted nor
+    shuffled: the counts and the cuts, a row for each group, are what moves.
     """
     digest = rows.withColumn("_d", F.md5(F.concat_ws(":", F.lit(str(seed)), *by, F.col(key)).cast("binary"))).withColumn("_c", F.substring("_d", 1, 4))
     group = [f"_by{i}" for i in range(len(by))]
     counts = digest.groupBy(*[F.col(c).alias(g) for c, g in zip(by, group, strict=True)], F.col("_c").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))  # 65,536 rows a group at most
     whole = Window.partitionBy(*group)
-    run = counts.select(*group, "_k", "_n", F.sum("_n").over(whole.orderBy("_k")).alias("_upto"), F.sum("_n").over(whole).alias("_all"))
-    same = F.col("_c") == F.col("_k")
+    run = counts.select(*group, "_k", "_n", F.sum("_n").over(whole.orderBy("_k")).alias("_upto"), F.sum("_n").over(whole).alias("_all")).withColumn("_want", wanted(F.col("_all")))
+    cut = run.where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want"))).withColumn("_left", F.col("_want") - F.col("_upto") + F.col("_n"))
+    same = F.lit(True)
     for c, g in zip(by, group, strict=True):
         same = same & F.col(c).eqNullSafe(F.col(g))
-    placed = digest.join(run if by else F.broadcast(run), same).withColumn("_want", wanted(F.col("_all")))
-    cut = (F.col("_upto") > F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want"))
-    sure = placed.where(~cut).withColumn(name, F.col("_upto") <= F.col("_want"))
-    rank = F.row_number().over(Window.partitionBy(*by, "_c").orderBy("_d", key)) + F.col("_upto") - F.col("_n")
-    return sure.union(placed.where(cut).withColumn(name, rank <= F.col("_want"))).drop("_d", "_c", "_k", "_n", "_upto", "_all", "_want", *group)
+    inside = digest.join(cut.select(*group, "_k", "_left"), same & (F.col("_c") == F.col("_k"))).select(*group, "_k", "_left", "_d", F.col(key).alias("_key"))
+    rank = F.row_number().over(Window.partitionBy(*group, "_k").orderBy("_d", "_key"))
+    last = inside.withColumn("_rank", rank).where("_rank = _left").select(*group, F.struct("_d", "_key").alias("_last"))
+    placed = digest.join(last if by else F.broadcast(last), same, "left")
+    return placed.withColumn(name, F.coalesce(F.struct(F.col("_d"), F.col(key).alias("_key")) <= F.col("_last"), F.lit(False))).drop("_d", "_c", "_last", *group)
 
 
 def row_split(rows: DataFrame, key: str, seed: int = 42, fraction: float = 0.2) -> DataFrame:

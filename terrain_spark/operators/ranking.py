@@ -29,9 +29,10 @@ def diversity(counts: Column) -> Column:
     return entropy(counts) * F.pow(F.lit(UPWEIGHT), present)
 
 
-def pick_regions(cells: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    """The n most diverse cells (``counts``); ``order`` settles ties."""
-    return cells.withColumn("score", F.round(diversity(F.col("counts")), 6)).orderBy(F.desc("score"), *order).limit(n)
+def pick_regions(cells: DataFrame, n: int, order: list[Column], seed: int = 42) -> DataFrame:
+    """The n most diverse cells (``counts``); equal ones come in a seeded order, by the digest of the seed and ``order``, which names the cell."""
+    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in order]).cast("binary"))
+    return cells.withColumn("score", F.round(diversity(F.col("counts")), 6)).orderBy(F.desc("score"), shuffled, *order).limit(n)
 
 
 def type_allowed(kind: Column) -> Column:
@@ -189,11 +190,15 @@ def every(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame
 def item_status(items: DataFrame, plates: DataFrame, key: str) -> DataFrame:
     """Per item the best status of its plates. Without a manifest or plates it is not in the annotations; a lookup that failed is a failed download.
 
-    ``items``: key, manifest, lookup_failed; ``plates``: key, status.
+    ``items``: key, manifest, lookup_failed; ``plates``: key, status. ``raw_reason`` is what was found before precedence and defaults: no_manifest,
+    lookup_failed, no_plates, or the statuses of all plates, each once, as ``insufficient points`` never shows behind a better plate.
     """
-    best = best_status(plates, key).withColumnRenamed("status", "_best")
+    place = lambda s: F.array_position(F.array(*[F.lit(x) for x in STATUSES]), s)
+    found = plates.where(place(F.col("status")) > 0).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("status")), "+").alias("_all"))
+    best = best_status(plates, key).withColumnRenamed("status", "_best").join(found, key, "left")
     early = F.when(F.coalesce(F.col("manifest"), F.lit("")) == "", STATUSES[-1]).when(F.col("lookup_failed"), "download_failed")
-    return items.join(best, key, "left").select(key, F.coalesce(early, F.col("_best"), F.lit(STATUSES[-1])).alias("status"))
+    raw = F.when(F.coalesce(F.col("manifest"), F.lit("")) == "", "no_manifest").when(F.col("lookup_failed"), "lookup_failed").otherwise(F.coalesce("_all", F.lit("no_plates")))
+    return items.join(best, key, "left").select(key, F.coalesce(early, F.col("_best"), F.lit(STATUSES[-1])).alias("status"), raw.alias("raw_reason"))
 
 
 def by_template(sources: DataFrame) -> DataFrame:

@@ -10,18 +10,19 @@ from ..functions.taxonomy import LAND_COVER, TOPOGRAPHY, descriptions, prompts
 from .ordinals import numbered
 
 
-def longest_prefix(names: DataFrame, rules: DataFrame, name: str = "name") -> DataFrame:
+def longest_prefix(names: DataFrame, rules: DataFrame, name: str = "name", lengths: list[int] | None = None) -> DataFrame:
     """Each name with the values of the longest rule (``prefix``) it starts with; others go.
 
-    Rules are cut to their distinct lengths, so the match is an equi-join on the beginning of that length, whatever
-    their number.
+    The match is an equi-join on the beginnings of the rules' ``lengths``, whatever the number of rules; where the lengths
+    aren't given, a job finds them. Whether rules are broadcast is left to their size.
     """
-    lengths = [r.n for r in rules.select(F.length("prefix").alias("n")).distinct().orderBy("n").collect()]
+    if lengths is None:
+        lengths = [r.n for r in rules.select(F.length("prefix").alias("n")).distinct().collect()]
     if not lengths:
         return names.join(rules, F.lit(False))
-    heads = F.array(*[F.when(F.length(name) >= n, F.substring(name, 1, n)) for n in lengths])
+    heads = F.array(*[F.when(F.length(name) >= n, F.substring(name, 1, n)) for n in sorted(set(lengths))])
     probe = names.select("*", F.explode(F.filter(heads, lambda h: h.isNotNull())).alias("prefix"))
-    joined = probe.join(F.broadcast(rules) if rules.count() <= 10_000 else rules, "prefix")
+    joined = probe.join(rules, "prefix")
     value = [c for c in joined.columns if c not in names.columns]
     return joined.groupBy(*names.columns).agg(F.max_by(F.struct(*value), F.length("prefix")).alias("_b")).select(*names.columns, "_b.*")
 

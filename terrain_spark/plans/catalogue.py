@@ -60,7 +60,7 @@ s AS (SELECT user_id, CAST(user_id % 140 - 70 AS INTEGER) AS lat, CAST(user_id %
         round(-({_ent}) * pow(1.5, (n4 > 0)::INT + (n5 > 0)::INT + (n7 > 0)::INT), 6) AS score FROM c)
 SELECT user_id, printf('wc_%+03d_%+04d', lat, lon) AS region_id, score,
   CASE WHEN lat > 23.5 THEN '2023-05-01/2023-09-30' WHEN lat < -23.5 THEN '2022-12-01/2023-02-28' ELSE '2023-01-01/2023-12-31' END AS season
-FROM s ORDER BY score DESC, user_id LIMIT 20
+FROM s ORDER BY score DESC, md5('42:' || user_id), user_id LIMIT 20
 """
 
 
@@ -128,7 +128,7 @@ m AS (SELECT p_partkey, p_name, prefix, lc, topo, row_number() OVER (PARTITION B
 SELECT p_partkey, p_name, prefix, CAST(lc AS INTEGER) AS lc, CAST(topo AS INTEGER) AS topo FROM m WHERE rn = 1""")
 def longest_prefix(spark, sf):
     rules = values(spark, "prefix, lc, topo", NAME_RULES)
-    return samples.longest_prefix(table(spark, sf, "part").select("p_partkey", "p_name"), rules, "p_name")
+    return samples.longest_prefix(table(spark, sf, "part").select("p_partkey", "p_name"), rules, "p_name", [len(r[0]) for r in NAME_RULES])
 
 
 _stems = [p for p, _, _ in TILE_PREFIXES] + ["hex_river_bend", "hex_path"]
@@ -141,7 +141,7 @@ tiles AS (SELECT p_partkey, lc, topo FROM m WHERE rn = 1)"""
 
 def _hex_tiles(spark, sf):
     name = F.concat_ws("_", F.get(F.array(*[F.lit(s) for s in _stems]), (F.col("p_partkey") % len(_stems)).cast("int")), F.col("p_partkey").cast("string"))
-    return samples.longest_prefix(table(spark, sf, "part").select("p_partkey", name.alias("name")), tile_prefixes(spark)).select("p_partkey", "lc", "topo")
+    return samples.longest_prefix(table(spark, sf, "part").select("p_partkey", name.alias("name")), tile_prefixes(spark), "name", [len(r[0]) for r in TILE_PREFIXES]).select("p_partkey", "lc", "topo")
 
 
 @query(f"WITH {_tile_sql} SELECT * FROM tiles")
@@ -407,12 +407,12 @@ def metrics_files(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT user_id, min(event_id) AS scene_id, bool_or(event_type = 'view') AS has FROM events WHERE value > 20 GROUP BY user_id),
+WITH s AS (SELECT user_id, min(event_id) FILTER (WHERE event_type <> 'error') AS scene_id, bool_or(event_type = 'view') AS has FROM events GROUP BY user_id),
 r AS (SELECT CASE WHEN scene_id IS NULL THEN 'no_scene' WHEN NOT has THEN 'missing_visual_asset' ELSE 'ok' END AS status FROM customer LEFT JOIN s ON user_id = c_custkey)
 SELECT status, count(*) AS n FROM r GROUP BY status
 """)
 def scene_statuses(spark, sf):
-    scenes = table(spark, sf, "events").where("value > 20").groupBy("user_id").agg(F.min("event_id").alias("scene_id"), F.bool_or(F.col("event_type") == "view").alias("has"))
+    scenes = table(spark, sf, "events").groupBy("user_id").agg(F.min(F.when(F.col("event_type") != "error", F.col("event_id"))).alias("scene_id"), F.bool_or(F.col("event_type") == "view").alias("has"))
     rows = table(spark, sf, "customer").join(scenes, F.col("c_custkey") == F.col("user_id"), "left").select("scene_id", F.when(F.col("has"), "href").alias("visual_href"))
     return ranking.tally(records.scene_status(rows), "status")
 
@@ -1140,7 +1140,7 @@ s AS (SELECT CAST(user_id // 350 - 70 AS INTEGER) AS lat, CAST(user_id % 350 - 1
         round(-({_ent}) * pow(1.5, (n4 > 0)::INT + (n5 > 0)::INT + (n7 > 0)::INT), 6) AS score FROM c)
 SELECT printf('wc_%+03d_%+04d', lat, lon) AS region_id, [lon, lat, lon + 1, lat + 1] AS bbox,
   CASE WHEN lat + 0.5 > 23.5 THEN '2023-05-01/2023-09-30' WHEN lat + 0.5 < -23.5 THEN '2022-12-01/2023-02-28' ELSE '2023-01-01/2023-12-31' END AS datetime_range, score
-FROM s ORDER BY score DESC, lat, lon LIMIT 50""")
+FROM s ORDER BY score DESC, md5('42:' || lat || ':' || lon), lat, lon LIMIT 50""")
 def scene_regions(spark, sf):
     """The most diverse cells as regions to search scenes for."""
     cells = ranking.class_counts(table(spark, sf, "events").select("user_id", _event_class().alias("class")), ["user_id"], "class")
@@ -1230,8 +1230,8 @@ def quoted_urls(spark, sf):
 
 
 @query(f"""WITH i AS (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'm' || c_custkey END AS manifest, c_custkey % 11 = 0 AS failed FROM customer),
-b AS (SELECT user_id, min(CASE event_type {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(STATUS_OF))} END) AS p FROM events GROUP BY user_id)
-SELECT c_custkey, CASE WHEN coalesce(manifest, '') = '' THEN 'not_in_allmaps' WHEN failed THEN 'download_failed' ELSE coalesce(list_extract([{", ".join(map(literal, STATUS_OF.values()))}], CAST(p AS INTEGER) + 1), 'not_in_allmaps') END AS status FROM i LEFT JOIN b ON user_id = c_custkey""")
+b AS (SELECT user_id, min(CASE event_type {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(STATUS_OF))} END) AS p, array_to_string(list_sort(list(DISTINCT CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS_OF.items())} END)), '+') AS every FROM events GROUP BY user_id)
+SELECT c_custkey, CASE WHEN coalesce(manifest, '') = '' THEN 'no_manifest' WHEN failed THEN 'lookup_failed' ELSE coalesce(nullif(every, ''), 'no_plates') END AS raw_reason, CASE WHEN coalesce(manifest, '') = '' THEN 'not_in_allmaps' WHEN failed THEN 'download_failed' ELSE coalesce(list_extract([{", ".join(map(literal, STATUS_OF.values()))}], CAST(p AS INTEGER) + 1), 'not_in_allmaps') END AS status FROM i LEFT JOIN b ON user_id = c_custkey""")
 def lookup_statuses(spark, sf):
     k = F.col("c_custkey")
     items = table(spark, sf, "customer").select("c_custkey", F.when(k % 7 == 1, "").when(k % 7 != 0, F.concat(F.lit("m"), k.cast("string"))).alias("manifest"), (k % 11 == 0).alias("lookup_failed"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import idents
+from ..operators import samples
+from . import png
 
 MANIFEST = "version string, entries map<string, struct<template: string>>"
 SPLIT = "seed int, test_fraction double, test array<string>"
@@ -75,9 +81,72 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     return typed.select("map_id", "ord", "biome", "height", F.explode(rings).alias("ring")).select("map_id", "ord", "biome", "height", pts.alias("pts"))
 
 
+#: Bytes at a file's end that hold the end record of an archive, whatever its comment.
+TAIL = 22 + 65_535
+
+
+def whole_archive(size: int, read_at: Callable[[int, int], bytes]) -> bool:
+    """Whether a file is a zip archive with its end: the end record stands where the directory it names ends, and the directory begins as one."""
+    first = max(0, size - TAIL)
+    tail = read_at(first, size - first)
+    at = tail.rfind(b"PK\5\6")
+    if at < 0 or len(tail) < at + 22:
+        return False
+    n, length, start, comment = struct.unpack_from("<HIIH", tail, at + 10)
+    if first + at + 22 + comment != size:
+        return False
+    if start == 0xFFFFFFFF or length == 0xFFFFFFFF or n == 0xFFFF:  # beyond 4 GB another record before it has the numbers
+        locator = tail.rfind(b"PK\6\7", 0, at)
+        if locator < 0:
+            return False
+        record = read_at(struct.unpack_from("<Q", tail, locator + 8)[0], 56)
+        if record[:4] != b"PK\6\6":
+            return False
+        length, start = struct.unpack_from("<QQ", record, 40)
+        return start + length <= first + locator and (n == 0 or read_at(start, 4) == b"PK\1\2")
+    return start + length == first + at and (n == 0 or read_at(start, 4) == b"PK\1\2")
+
+
 def checkpoints(spark: SparkSession, path: str) -> DataFrame:
-    """step, name and whether the file holds anything."""
-    return listing(spark, path, "step_*.pt").select(idents.checkpoint_step(F.col("filename")).alias("step"), F.col("filename").alias("name"), (F.col("bytes") > 0).alias("valid"))
+    """step, name and whether the file is a whole archive, for which its end alone is read."""
+    found = listing(spark, path, "step_*.pt")
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("valid", T.BooleanType())])
+
+    def look(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            valid = []
+            for uri in batch.column(0).to_pylist():
+                system, place = fs.FileSystem.from_uri(uri)
+                with system.open_input_file(place) as f:
+                    valid.append(whole_archive(f.size(), lambda at, n, f=f: f.read_at(n, at)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(valid, pa.bool_())], names=schema.names)
+
+    return found.select("path", "filename").mapInArrow(look, schema).select(idents.checkpoint_step(F.col("name")).alias("step"), "name", "valid")
+
+
+def hex_tiles(spark: SparkSession, path: str, rules: DataFrame, lengths: list[int] | None = None) -> DataFrame:
+    """name, lc, topo, width, height, bands and pixels of the ``hex_*.png`` below a folder whose name begins as a rule (prefix, lc, topo) says.
+
+    Names are listed and joined first; the content is read and decoded for those that have a rule alone.
+    """
+    found = listing(spark, path, "hex_*.png", recursive=True).select("path", F.col("filename").alias("name"))
+    kept = samples.longest_prefix(found, rules, "name", lengths).select("path", "name", "lc", "topo")
+
+    def look(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for i, uri in enumerate(batch.column("path").to_pylist()):
+                system, place = fs.FileSystem.from_uri(uri)
+                with system.open_input_stream(place) as f:
+                    image = png.decode(f.read())
+                sizes = [pa.array([n], pa.int32()) for n in (image.shape[1], image.shape[0], image.shape[2])]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, 1) for c in ("name", "lc", "topo")], *sizes, pa.array([image.tobytes()], pa.binary())], names=out.names)
+
+    out = T.StructType([*[kept.schema[c] for c in ("name", "lc", "topo")], *[T.StructField(c, T.IntegerType()) for c in ("width", "height", "bands")], T.StructField("pixels", T.BinaryType())])
+    return kept.mapInArrow(look, out)
 
 
 def write_frozen(df: DataFrame, path: str, refreeze: bool = False) -> None:
@@ -103,8 +172,14 @@ BUILD_STATE = T.StructType([T.StructField("map_id", T.StringType()), T.StructFie
 
 
 def mark_complete(maps: DataFrame, path: str) -> None:
-    """Completion marks as rows: files whose names begin with ``_`` are not seen by Spark's listing."""
-    maps.select("map_id", F.current_timestamp().alias("finished")).write.mode("append").parquet(path)
+    """Completion marks as rows, each map once however often it is marked; files whose names begin with ``_`` are not seen by Spark's listing.
+
+    For pyramids written by ``pyramids.write`` the commit is the mark, see ``pyramids.completed_maps``.
+    """
+    spark = maps.sparkSession
+    maps.select("map_id").limit(0).withColumn("finished", F.current_timestamp()).write.mode("append").parquet(path)  # so that there is a table
+    new = maps.select("map_id").distinct().join(completed(spark, path).select("map_id"), "map_id", "left_anti")
+    new.select("map_id", F.current_timestamp().alias("finished")).write.mode("append").parquet(path)
 
 
 def completed(spark: SparkSession, path: str) -> DataFrame:

@@ -32,35 +32,29 @@ def decode(data: bytes) -> np.ndarray:
         raise ValueError("only 8-bit grey, RGB and RGBA images without interlacing are read")
     bands = _BANDS[colour]
     raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, 1 + width * bands)
+    if (raw[:, 0] > 2).any():
+        return _by_diagonals(raw[:, 0], raw[:, 1:].reshape(height, width, bands))
     out = np.zeros((height, width * bands), np.uint8)
     zero = np.zeros(width * bands, np.uint8)
     for y in range(height):
         kind, line, up = raw[y, 0], raw[y, 1:], out[y - 1] if y else zero
-        if kind == 0:
-            out[y] = line
-        elif kind == 1:
-            out[y] = np.cumsum(line.reshape(width, bands), axis=0, dtype=np.uint8).reshape(-1)
-        elif kind == 2:
-            out[y] = line + up
-        else:
-            out[y] = _sequential(kind, line, up, bands)
+        out[y] = line if kind == 0 else np.cumsum(line.reshape(width, bands), axis=0, dtype=np.uint8).reshape(-1) if kind == 1 else line + up
     return out.reshape(height, width, bands)
 
 
-def _sequential(kind: int, line: np.ndarray, up: np.ndarray, bands: int) -> list[int]:
-    """Filters whose pixels depend on the pixel before."""
-    got: list[int] = []
-    for i, v in enumerate(line.tolist()):
-        a = got[i - bands] if i >= bands else 0
-        b = int(up[i])
-        if kind == 3:
-            guess = (a + b) // 2
-        else:
-            c = int(up[i - bands]) if i >= bands else 0
-            p = a + b - c
-            guess = min((a, b, c), key=lambda x: abs(p - x))
-        got.append((v + guess) & 255)
-    return got
+def _by_diagonals(kinds: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Undoes filters whose pixels depend on those to the left and above: the pixels of a diagonal don't depend on each other."""
+    height, width, bands = raw.shape
+    out = np.zeros((height + 1, width + 1, bands), np.int16)
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        a, b, c, kind = out[y + 1, x], out[y, x + 1], out[y, x], kinds[y][:, None]
+        by_a, by_b, by_c = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        nearest = np.where((by_a <= by_b) & (by_a <= by_c), a, np.where(by_b <= by_c, b, c))
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [a, b, (a + b) // 2, nearest], 0)
+        out[y + 1, x + 1] = (raw[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def encode(pixels: np.ndarray) -> bytes:

@@ -1,6 +1,11 @@
 """Readers, writers, images, replayed services and arrivals."""
 
+import io
 import json
+import os
+import struct
+import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -19,7 +24,6 @@ def test_png_round_trip(shape):
 
 
 def test_png_filters():
-    import struct
     import zlib
 
     px = np.random.default_rng(2).integers(0, 256, (5, 6, 3)).astype(np.int64)
@@ -85,10 +89,102 @@ def test_completed_maps_are_skipped(spark, tmp_path):
 
 
 def test_checkpoints(spark, tmp_path):
-    for name, body in (("step_0000010.pt", "x"), ("step_0000020.pt", ""), ("step_x.pt", "x")):
-        (tmp_path / name).write_text(body)
-    got = files.checkpoints(spark, str(tmp_path)).where("valid AND step IS NOT NULL").agg(F.max("step")).first()[0]
-    assert got == 10
+    """Archives as they are saved; those that are empty, cut off, spoiled or none at all are not loadable."""
+    def archive(n, comment=b""):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for i in range(n):
+                z.writestr(f"data/{i}", b"weights" * (300 if n < 10 else 0))
+            z.comment = comment
+        return out.getvalue()
+
+    whole = archive(3)
+    bodies = {10: whole, 20: b"", 30: whole[:-30], 40: whole[: len(whole) // 2], 50: b"no archive", 60: whole[:2000] + whole[2100:], 70: whole + b"more", 15: archive(2, b"a comment " * 900), 16: archive(66_000)}
+    for step, body in bodies.items():
+        (tmp_path / f"step_{step:07d}.pt").write_bytes(body)
+    (tmp_path / "step_x.pt").write_bytes(whole)
+    got = files.checkpoints(spark, str(tmp_path)).where("step IS NOT NULL")
+    assert {r.step for r in got.where("valid").collect()} == {10, 15, 16} and got.count() == len(bodies) - 1  # Spark lists no empty files
+    assert got.where("valid").agg(F.max("step")).first()[0] == 16
+
+
+def test_the_end_of_an_archive_is_all_that_is_read():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("big", os.urandom(3_000_000))
+    data, asked = out.getvalue(), []
+    assert files.whole_archive(len(data), lambda at, n: asked.append(n) or data[at : at + n]) and sum(asked) < 70_000
+
+
+def test_completion_marks_are_written_once(spark, tmp_path):
+    maps = spark.createDataFrame([("a",), ("b",), ("b",)], "map_id string")
+    for _ in range(2):
+        files.mark_complete(maps, str(tmp_path / "state"))
+    assert sorted(r.map_id for r in files.completed(spark, str(tmp_path / "state")).collect()) == ["a", "b"]
+
+
+def test_tiles_with_a_rule_alone_are_read(spark, tmp_path):
+    from terrain_spark.functions.taxonomy import TILE_PREFIXES, tile_prefixes
+
+    (tmp_path / "sub").mkdir()
+    rng = np.random.default_rng(0)
+    images = {f"{p}_{i}.png": rng.integers(0, 255, (4, 6, 3), dtype=np.uint8) for i, (p, _, _) in enumerate(TILE_PREFIXES)}
+    for i, (name, image) in enumerate(images.items()):
+        (tmp_path / ("sub" if i % 2 else ".") / name).write_bytes(png.encode(image))
+    for name in ("hex_path_1.png", "hex_river_2.png", "other.png"):
+        (tmp_path / name).write_bytes(b"no image")  # would fail if it was decoded
+    got = {r.name: r for r in files.hex_tiles(spark, str(tmp_path), tile_prefixes(spark)).collect()}
+    assert set(got) == set(images)
+    for name, image in images.items():
+        best = max((r for r in TILE_PREFIXES if name.startswith(r[0])), key=lambda r: len(r[0]))
+        assert (got[name].lc, got[name].topo) == best[1:] and bytes(got[name].pixels) == image.tobytes() and (got[name].width, got[name].height) == (6, 4)
+
+
+def _tiled(image, side):
+    """A deflated file of tiles, with differences along lines."""
+    h, w, bands = image.shape
+    wide = np.zeros((-(-h // side) * side, -(-w // side) * side, bands), np.uint8)
+    wide[:h, :w] = image
+    blocks = []
+    for y in range(0, h, side):
+        for x in range(0, w, side):
+            b = wide[y : y + side, x : x + side].copy()
+            b[:, 1:] -= wide[y : y + side, x : x + side - 1]
+            blocks.append(zlib.compress(b.tobytes()))
+    starts = (8 + np.cumsum([0, *[len(b) for b in blocks[:-1]]])).tolist()
+    body = b"".join(blocks)
+    body += b"\0" * (len(body) % 2)
+    fields = [(256, 4, (w,)), (257, 4, (h,)), (258, 3, (8,) * bands), (259, 3, (8,)), (262, 3, (2,)), (277, 3, (bands,)), (284, 3, (1,)), (317, 3, (2,)), (322, 4, (side,)), (323, 4, (side,)), (324, 4, tuple(starts)), (325, 4, tuple(map(len, blocks)))]
+    at, entries, extra = 8 + len(body), b"", b""
+    after = at + 2 + 12 * len(fields) + 4
+    for tag, kind, items in fields:
+        data = struct.pack(f"<{len(items)}{'H' if kind == 3 else 'I'}", *items)
+        entries += struct.pack("<HHI", tag, kind, len(items)) + (data.ljust(4, b"\0") if len(data) <= 4 else struct.pack("<I", after + len(extra)))
+        extra += data if len(data) > 4 else b""
+    return struct.pack("<2sHI", b"II", 42, at) + body + struct.pack("<H", len(fields)) + entries + struct.pack("<I", 0) + extra
+
+
+def test_windows_read_what_they_touch(spark, tmp_path):
+    """Plain and deflated strips, both sizes of the format, tiles: the same pixels, and no more bytes than header and window."""
+    from terrain_spark.sources import tiff
+
+    image = np.random.default_rng(4).integers(0, 255, (300, 200, 3), dtype=np.uint8)
+    for name, how in {"plain": {"rows": 7}, "one": {}, "flat": {"rows": 10, "deflate": True}, "big": {"rows": 7, "big": True}}.items():
+        (tmp_path / f"{name}.tif").write_bytes(tiff.encode(image.tobytes(), 200, 300, (1.0, 2.0, 0.1, 0.1), 0, 3, **how))
+    (tmp_path / "tiles.tif").write_bytes(_tiled(image, 64))
+    whole = image.tobytes()
+    for window, only, want in ((0, "y >= 0", image), (50, "y >= 0", image[125:175, 75:125]), (50, "y >= 140 AND y < 150", image[140:150, 75:125]), (0, "y = 299", image[299:300])):
+        rows = tiff.lines(spark, str(tmp_path), window).where(only).orderBy("path", "y").collect()
+        for name in ("plain", "one", "flat", "big", "tiles"):
+            own = [r for r in rows if r.path.endswith(f"{name}.tif")]
+            got = np.array([np.frombuffer(bytes(r.line), np.uint8).reshape(-1, 3) for r in own])
+            assert (got == want).all() and got.shape == want.shape
+            if name in ("plain", "one", "big"):
+                assert own[-1].n_read <= 2000 + want.shape[0] * 600
+            elif window:
+                assert own[-1].n_read < len(whole) / 2
+    heads = {r.filename: (r.epsg, r.width, r.height, r.n_read < 1500) for r in tiff.probed(spark, str(tmp_path)).collect()}
+    assert heads["big.tif"] == heads["one.tif"] == (4326, 200, 300, True) and heads["tiles.tif"] == (None, 200, 300, True)
 
 
 def test_replayed_scenes_filter_at_the_source(spark, tmp_path):
