@@ -99,12 +99,15 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 
 
 def dedup(df: DataFrame, least: int = LEAST) -> DataFrame:
-    """``df`` without repeated units, and ``removed``: their code-point offsets in the original, and the document that keeps them (null without an id)."""
-    kept = [c for c in df.columns if c != "removed"]
+    """``df`` without repeated units, and ``removed``: their code-point offsets in the original, and the document that keeps them (null without an id).
+
+    Columns keep their values; where one is named removed, the spans get underscores before their name.
+    """
+    kept, removed = df.columns, free_name(df, "removed")
     rank, seen = free_name(df, "rank"), free_name(df, "seen")
     found = stored(repeats(df, least), "repeats").select(F.col("rank").alias(rank), F.col("seen").alias(seen))
     joined = df.select(*kept, _rank().alias(rank)).join(found, rank, "left").select(*kept, rank, seen)
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("removed", SPANS)])
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(removed, SPANS)])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_doc_id", pa.int64())]))
 
     def make():

@@ -15,7 +15,7 @@ reach. Frequent n-grams are counted within each block first, so none makes a buc
 buckets follows the size of the input, so a bucket does not grow with it.
 
 Rows: null and empty texts have the end as their only token; rows without an id are not held out; repeated rows count
-each; ids must be whole numbers or null; very long texts make a block of their own; n-grams are told apart by ``BITS`` bits of
+each; ids that are no whole numbers become null in the result, but still decide what is held out; very long texts make a block of their own; n-grams are told apart by ``BITS`` bits of
 hash; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
@@ -268,7 +268,7 @@ def _scored(row: dict, hashes: WordHashes, told: list[tuple[int, bytes]], n: int
 def score(df: DataFrame, order: int = ORDER, mu: float = MU, block: int = BLOCK, buckets: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     buckets = buckets or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // BUCKET_BYTES)
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), "text")
+    rows = df.select(F.col("doc_id").cast("string").try_cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), "text")
     blocks = _written(rows, block)
     told = stored(_tell(_ask(blocks, order, buckets), buckets), "counts")
     n, v = told.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()

@@ -30,8 +30,7 @@ def op3_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items that leak into them."""
-    found = decontaminate.leaks(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", F.inline("leaks"))
+    return decontaminate.leaking(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

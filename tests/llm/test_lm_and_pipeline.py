@@ -93,6 +93,12 @@ def test_text_that_occurs_twice_scores_higher(spark):
     assert twice and min(got[i] for i in twice) > max(got[i] for i in once)
 
 
+def test_ids_of_any_kind(spark):
+    df = spark.createDataFrame([("12", "a b"), ("x-1", "a c"), (None, "b"), ("1.5", "a")], "doc_id string, text string")
+    got = lm_score.score(df).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == [(-1, 2), (-1, 2), (-1, 3), (12, 3)]
+
+
 def test_empty_table(spark):
     assert lm_score.score(documents(spark, SF).limit(0)).count() == 0
 
@@ -130,12 +136,10 @@ def test_stages_take_odd_rows(spark, tmp_path):
     for c in ("key", "kept", "log_weight", "rank", "seen", "removed", "leaks", "node", "row", "class_id"):
         df = df.withColumn(c, F.lit("mine"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        if name == "line_dedup":
-            df = df.drop("removed")  # the stage drops its own column of this name
         out = stage(spark, df, str(tmp_path))
         assert out.columns == df.columns, name
         rows = out.collect()
-        assert 0 < len(rows) <= df.count() and all(r.key == r.row == "mine" for r in rows), name
+        assert 0 < len(rows) <= df.count() and all(r.key == r.row == r.removed == r.leaks == r.seen == "mine" for r in rows), name
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
     name, stage = corpus_pipeline.STAGES[-1]
     out = stage(spark, df, str(tmp_path))

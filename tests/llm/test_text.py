@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -63,14 +64,55 @@ def test_reordered_passages_leak(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("leaks", F.lit("mine"))
     got = decontaminate.leaks(df.drop("leaks"), bench).select("doc_id", F.inline("leaks")).collect()
     assert sorted((r.doc_id or -1, r.item_id) for r in got) == [(-1, 7), (1, 7), (1, 7), (2, 7)]
-    blocks = decontaminate.leaks(df.drop("leaks"), bench, block_bytes=10).select("doc_id", F.inline("leaks")).collect()
-    assert sorted(map(tuple, blocks), key=repr) == sorted(map(tuple, got), key=repr)
+    assert sorted(map(tuple, decontaminate.leaking(df, bench).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+    kept = decontaminate.leaks(df.withColumn("Number", F.lit(3)), bench)
+    assert kept.columns == ["doc_id", "text", "leaks", "Number", "_leaks"] and {r.leaks for r in kept.collect()} == {"mine"}
+    for name in ("leaks", "LEAKS", "number", "row", "item"):
+        own = decontaminate.clean(df.drop("leaks").withColumn(name, F.lit("mine")), bench)
+        assert own.columns == ["doc_id", "text", name] and {r[2] for r in own.collect()} == {"mine"}
     kept = decontaminate.clean(df.drop("leaks").withColumn("x", F.lit(1)), bench)
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6] and kept.columns == ["doc_id", "text", "x"]
     assert decontaminate.leaks(df.limit(0), bench).count() == 0
     assert decontaminate.clean(df.drop("leaks"), bench.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("most_bits", [1 << 27, 1 << 10])
+def test_leaks_equal_brute_force(spark, monkeypatch, most_bits):
+    """Every document against every item, with phrases that most items share, short items, copies and pieces; and with too few bits."""
+    monkeypatch.setattr(decontaminate, "MOST_BITS", most_bits)
+    r = random.Random(8)
+    phrase = "which of the following is the best answer"
+    items = [(i, " ".join([phrase, *(r.choice(WORDS) for _ in range(r.randint(0, 40)))])) for i in range(30)] + [(40 + i, prose(r.randint(1, 7), 900 + i)) for i in range(10)] + [(50, "a a a a a a a a"), (7, items_text := prose(30, 77)), (7, items_text)]
+    docs = []
+    for i in range(120):
+        parts = [prose(r.randint(0, 80), i), phrase if r.random() < 0.7 else ""]
+        for _ in range(r.randint(0, 3)):
+            w = r.choice(items)[1].split()
+            a = r.randrange(len(w))
+            parts += [" ".join(w[a : a + r.randint(3, 40)]), prose(r.randint(0, 9), 500 + i)]
+        r.shuffle(parts)
+        docs.append((i, " ".join(parts)))
+    docs += [(200, "A a, a. " * 50), (201, "a a a a"), *[docs[3]] * 2]
+    want = []
+    for i, text in docs:
+        d = [decontaminate.plain(w.encode()) for w in text.split()]
+        for k, item in items:
+            t = [decontaminate.plain(w.encode()) for w in item.split()]
+            share = tiles_by_force([w for w in d if w], [w for w in t if w], 5) / len(t)
+            want += [(i, k, round(share, 9))] if share >= 0.5 else []
+    got = decontaminate.leaking(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, round(r.coverage, 9)) for r in got.collect()) == sorted(want) and len(want) > 60
+
+
+def test_tiling_of_repeats_is_fast():
+    doc, item = np.ones(20_000, np.uint64), np.ones(1_600, np.uint64)
+    began = time.time()
+    assert decontaminate.tiles(doc, item, 5) == [(0, 0, 1600)]
+    two = np.tile(np.array([1, 2, 1, 2, 3], np.uint64), 4000)
+    assert sum(x[2] for x in decontaminate.tiles(two, np.tile(np.array([2, 1, 2, 3, 1], np.uint64), 320), 5)) == 1600
+    assert time.time() - began < 1
+
+
 def test_short_items_match_as_a_whole(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x alpha beta gamma y"), (2, "alpha beta"), (3, "beta gamma alpha")], "doc_id long, text string")
