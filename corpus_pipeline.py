@@ -14,22 +14,32 @@ from terrain_spark.llm.common import documents, stored
 
 
 def choose_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what importance resampling leaves out."""
+    """Rejects what importance resampling leaves out.
+
+    Null and empty texts are neutral; rows with the same doc_id and text go or stay together, ties are decided by doc_id; columns of any name keep their
+    values.
+    """
     return quality.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays, that with the lowest id; texts without words and rows without an id all stay.
+
+    Columns of any name keep their values.
+    """
     return near_dup.distinct(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines and sentences are cut out of all but the first document."""
-    return line_dedup.dedup(docs).drop("removed")
+    """Repeated lines and sentences are cut out of all but the first document; the first is that with the lowest id, rows without one come last.
+
+    Null and empty texts stay as they are; repeated rows lose what the first of them keeps; columns of any name keep their values.
+    """
+    return line_dedup.dedup(docs).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none; repeated rows go or stay together; columns of any name keep their values."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
