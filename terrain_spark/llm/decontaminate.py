@@ -121,8 +121,9 @@ def tiled(doc: np.ndarray, item: np.ndarray, shortest: int = SHORTEST, coverage:
 
 
 def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """``row`` (all columns), ``text`` and ``number``, written once."""
-    return stored(df.select(F.struct(*df.columns).alias("row"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("number")), name)
+    """``row`` (all columns) and ``number``, written once, and ``text``, read from the row."""
+    written = stored(df.select(F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("number")), name)
+    return written.withColumn("text", F.col("row.text").cast("string"))
 
 
 def seeds(items: DataFrame, shortest: int = SHORTEST, coverage: float = COVERAGE) -> DataFrame:
