@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import classes, geo, idents
 from ..functions.taxonomy import BIOMES, DESCRIPTIONS, INSPECTION, LAND_COVER, PALETTES, PROMPTS, REQUIRED_FILES, TILE_PREFIXES, TOPOGRAPHY, WEIGHTS, WORLD_COVER, biomes, inspection_palette, literal, palettes, source_weights, tile_prefixes, values, weight_map
 from ..operators import assembly, blocks, datasets, metrics, pyramid, ranking, raster, samples, warp
-from ..sources import png, pyramids, records, tiff
+from ..sources import files, png, pyramids, records, tiff
 from ..sources.shared import new_path
 from . import lifecycles
 
@@ -139,9 +139,12 @@ m AS (SELECT p_partkey, CAST(lc AS INTEGER) AS lc, CAST(topo AS INTEGER) AS topo
 tiles AS (SELECT p_partkey, lc, topo FROM m WHERE rn = 1)"""
 
 
+def _hex_name():
+    return F.concat_ws("_", F.get(F.array(*[F.lit(s) for s in _stems]), (F.col("p_partkey") % len(_stems)).cast("int")), F.col("p_partkey").cast("string"))
+
+
 def _hex_tiles(spark, sf):
-    name = F.concat_ws("_", F.get(F.array(*[F.lit(s) for s in _stems]), (F.col("p_partkey") % len(_stems)).cast("int")), F.col("p_partkey").cast("string"))
-    return samples.longest_prefix(table(spark, sf, "part").select("p_partkey", name.alias("name")), tile_prefixes(spark), "name", [len(r[0]) for r in TILE_PREFIXES]).select("p_partkey", "lc", "topo")
+    return samples.longest_prefix(table(spark, sf, "part").select("p_partkey", _hex_name().alias("name")), tile_prefixes(spark), "name", [len(r[0]) for r in TILE_PREFIXES]).select("p_partkey", "lc", "topo")
 
 
 @query(f"WITH {_tile_sql} SELECT * FROM tiles")
@@ -893,6 +896,49 @@ def fair_histogram(spark, sf):
     return metrics.tile_histogram(inside.select("map_id", (F.col("x0") + F.col("tx")).alias("x"), (F.col("y0") + F.col("ty")).alias("y"), "lc"), "lc")
 
 
+WINDOW = 20
+
+
+@query(f"""WITH {GRID_SQL}, sz AS (SELECT map_id, max(x) + 1 AS w, max(y) + 1 AS h FROM g GROUP BY map_id), s AS (SELECT *, least({WINDOW}, w, h) AS side FROM sz)
+SELECT 'map_' || map_id || '.tif' AS name, CAST(4326 AS BIGINT) AS epsg, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height, CAST((w - side) // 2 AS INTEGER) AS x, y, CAST(sum(g.id % 251 + g.x + g.y) AS BIGINT) AS total
+FROM g JOIN s USING (map_id) WHERE g.x >= (w - side) // 2 AND g.x < (w - side) // 2 + side AND y >= (h - side) // 2 AND y < (h - side) // 2 + side GROUP BY ALL""")
+def raster_windows(spark, sf):
+    """The lines of the centred window of every map, read by ranges from GeoTIFF files that are written first."""
+    grid = _grid(spark, sf)
+    k = F.col("map_id").cast("bigint") * 2500 + F.col("y") * 50 + F.col("x")
+    pixels = grid.select("map_id", "x", "y", (k % 251).cast("int").alias("r"), F.col("x").alias("g"), F.col("y").alias("b"))
+    affines = grid.groupBy("map_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")).select("*", *[F.lit(v).alias(c) for c, v in (("west", 2.5), ("north", 48.0), ("dx", 0.01), ("dy", 0.01))])
+    root = new_path(spark, "rasters")
+    encoded = tiff.encoded(pixels, affines, ["r", "g", "b"])
+    files.put(encoded.select(F.concat(F.lit("map_"), "map_id", F.lit(".tif")).alias("name"), "content"), root)
+    return tiff.lines(spark, root, WINDOW).select(idents.basename(F.col("path")).alias("name"), "epsg", "width", "height", "x", "y", png.byte_sum("line").alias("total"))
+
+
+@query(f"WITH {_tile_sql} SELECT n.name || '.png' AS name, lc, topo, 2 AS width, CAST(4 * (p_partkey % 251) AS BIGINT) AS total FROM tiles JOIN n USING (p_partkey)")
+def hex_tile_scan(spark, sf):
+    """Labels and pixels of the tiles that have a rule, from image files of all names that are written first."""
+    grey = F.unhex(F.repeat(F.lpad(F.hex(F.col("p_partkey") % 251), 2, "0"), 4))
+    named = table(spark, sf, "part").select(F.concat(_hex_name(), F.lit(".png")).alias("name"), png.encoded(grey, F.lit(2), F.lit(2), F.lit(1)).alias("content"))
+    root = new_path(spark, "hex")
+    files.put(named, root)
+    found = files.hex_tiles(spark, root, tile_prefixes(spark), [len(r[0]) for r in TILE_PREFIXES])
+    return found.select("name", "lc", "topo", "width", png.byte_sum("pixels").alias("total"))
+
+
+@query("""SELECT 'n' || s_nationkey AS map_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS ord, CAST(CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey % 24 END AS INTEGER) AS biome, CAST(s_suppkey % 90 AS INTEGER) AS height, CAST(3 + s_suppkey % 3 AS INTEGER) AS n_points FROM supplier""")
+def geojson_features(spark, sf):
+    """Features of GeoJSON files, which are written first, with numbers that are none and points that lack a coordinate or have three."""
+    k = F.col("s_suppkey")
+    point = lambda *v: F.array(*[x.cast("double") for x in v])
+    ring = F.concat(F.array(point(k, k), point(k + 1, k), point(k + 1, k + 1, k), point(k)), F.when(k % 3 > 0, F.array_repeat(point(k, k + 1), (k % 3).cast("int"))).otherwise(F.array().cast("array<array<double>>")))
+    biome = F.when(k % 7 > 0, (k % 24).cast("string")).otherwise("?")
+    feature = F.struct(k.alias("k"), F.struct(biome.alias("biome"), (k % 90).alias("height")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    every = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.to_json(F.struct(F.array_sort(F.collect_list(feature)).alias("features"))).alias("content"))
+    root = new_path(spark, "features")
+    files.put(every.select(F.concat(F.lit("n"), "s_nationkey", F.lit(".geojson")).alias("name"), "content"), root)
+    return files.features(spark, root).select("map_id", "ord", "biome", "height", F.size("pts").alias("n_points"))
+
+
 SMALL, STEP = [32, 16, 8], 16
 
 

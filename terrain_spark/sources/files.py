@@ -149,6 +149,22 @@ def hex_tiles(spark: SparkSession, path: str, rules: DataFrame, lengths: list[in
     return kept.mapInArrow(look, out)
 
 
+def put(content: DataFrame, root: str) -> int:
+    """Writes each row (``name``, ``content``) as a file below a folder and gives their number; a task that is tried again writes the same files."""
+    def write(batches):
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system.create_dir(f"{folder}/{name}".rsplit("/", 1)[0])
+                with system.open_output_stream(f"{folder}/{name}") as f:
+                    f.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return content.select("name", F.col("content").cast("binary")).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_frozen(df: DataFrame, path: str, refreeze: bool = False) -> None:
     """A split is written once; ``refreeze`` replaces it."""
     df.write.mode("overwrite" if refreeze else "errorifexists").parquet(path)
