@@ -88,6 +88,7 @@ TILE_PREFIXES = [
     ("hex_urban_town", 5, 0),
 ]
 
+# Fixed values.
 #: Land cover, topography and the descriptions that answers take in turn.
 DESCRIPTIONS = [
     (0, None, ["ocean", "sea", "open water", "coastal water"]),
@@ -110,6 +111,7 @@ DESCRIPTIONS = [
     (8, 2, ["snowy mountains", "snow-capped peaks", "alpine snowfield"]),
 ]
 
+# Fixed values.
 PROMPTS = [
     "What terrain type does this illustrated map tile show?",
     "Identify the land cover and topography in this map tile.",
@@ -118,6 +120,7 @@ PROMPTS = [
     "What kind of landscape does this map tile represent?",
 ]
 
+# Fixed values.
 #: Colours of the land-cover classes in each style, in the order of LAND_COVER.
 PALETTES = {
     "flat": [(60, 120, 200), (34, 100, 34), (140, 170, 70), (180, 210, 100), (220, 200, 80), (160, 150, 140), (210, 190, 150), (70, 150, 140), (235, 245, 255)],
@@ -126,10 +129,12 @@ PALETTES = {
 }
 BORDERS = {"flat": ((100, 100, 100), 1), "illustrated": ((80, 65, 45), 2), "satellite": (None, 0)}
 BACKGROUNDS = {"flat": (200, 220, 240), "illustrated": (210, 195, 165), "satellite": (20, 50, 90)}
+# Fixed values.
 #: Colours for inspection, by class.
-INSPECTION = {"water": "3a7ca5", "trees": "1b7a3d", "shrubland": "9bbf4f", "grassland": "b7d96b", "cropland": "e8c060", "built_up": "d1495b", "bare_sparse": "c2a878", "flooded_wetland": "5fa8a0", "snow_ice": "eef0f5"}
-INSPECTION_TOPOGRAPHY = {"flat": "cfe8cf", "hilly": "d8b878", "mountainous": "8a5a3c"}
+INSPECTION = {"water": "#3a7ca5", "trees": "#1b7a3d", "shrubland": "#9bbf4f", "grassland": "#b7d96b", "cropland": "#e8c060", "built_up": "#d1495b", "bare_sparse": "#c2a878", "flooded_wetland": "#5fa8a0", "snow_ice": "#eef0f5"}
+INSPECTION_TOPOGRAPHY = {"flat": "#cfe8cf", "hilly": "#d8b878", "mountainous": "#8a5a3c"}
 
+# Fixed values.
 #: Loss weights of the land-cover classes by source, in the order of LAND_COVER; topography weighs 1 in all.
 WEIGHTS = {
     "historical": [1.0, 0.3, 0.7, 0.7, 0.15, 0.1, 1.0, 0.5, 1.0],
@@ -191,8 +196,12 @@ def palettes(spark: SparkSession) -> DataFrame:
     return values(spark, "style, lc, r, g, b", [(s, i, *c) for s, colours in PALETTES.items() for i, c in enumerate(colours)])
 
 
+def topography_palette(spark: SparkSession) -> DataFrame:
+    return values(spark, "topo, r, g, b", [(i, *(int(INSPECTION_TOPOGRAPHY[n][k : k + 2], 16) for k in (1, 3, 5))) for i, n in enumerate(TOPOGRAPHY)])
+
+
 def inspection_palette(spark: SparkSession) -> DataFrame:
-    return values(spark, "lc, r, g, b", [(i, *(int(INSPECTION[n][k : k + 2], 16) for k in (0, 2, 4))) for i, n in enumerate(LAND_COVER)])
+    return values(spark, "lc, r, g, b", [(i, *(int(INSPECTION[n][k : k + 2], 16) for k in (1, 3, 5))) for i, n in enumerate(LAND_COVER)])
 
 
 def source_weights(spark: SparkSession) -> DataFrame:

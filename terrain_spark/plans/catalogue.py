@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classes, geo, idents
-from ..functions.taxonomy import BIOMES, DESCRIPTIONS, INSPECTION, LAND_COVER, PALETTES, PROMPTS, REQUIRED_FILES, TILE_PREFIXES, TOPOGRAPHY, WEIGHTS, WORLD_COVER, biomes, inspection_palette, literal, palettes, source_weights, tile_prefixes, values, weight_map
+from ..functions.taxonomy import BIOMES, DESCRIPTIONS, INSPECTION, INSPECTION_TOPOGRAPHY, LAND_COVER, PALETTES, PROMPTS, REQUIRED_FILES, TILE_PREFIXES, TOPOGRAPHY, WEIGHTS, WORLD_COVER, biomes, inspection_palette, literal, palettes, source_weights, tile_prefixes, topography_palette, values, weight_map
 from ..operators import assembly, blocks, datasets, metrics, pyramid, ranking, raster, samples, warp
 from ..sources import files, png, pyramids, records, tiff
 from ..sources.shared import new_path
@@ -1038,7 +1038,7 @@ def alpha_composite(spark, sf):
     return _rgb(spark, sf).select("p_partkey", classes.composite(F.col("r"), F.col("b"), 255).alias("v"))
 
 
-_lut = rows_sql("lc, r, g, b", [(i, *(int(INSPECTION[n][k : k + 2], 16) for k in (0, 2, 4))) for i, n in enumerate(LAND_COVER)])
+_lut = rows_sql("lc, r, g, b", [(i, *(int(INSPECTION[n][k : k + 2], 16) for k in (1, 3, 5))) for i, n in enumerate(LAND_COVER)])
 
 
 @query(f"WITH m AS (SELECT * FROM {_lut}) SELECT vec_id, {', '.join(f'CAST(coalesce({c}, 0) AS INTEGER) AS {c}' for c in 'rgb')} FROM embeddings LEFT JOIN m ON lc = label")
@@ -1046,6 +1046,16 @@ def colorize(spark, sf):
     return raster.colourised(table(spark, sf, "embeddings").select("vec_id", "label"), inspection_palette(spark), "label").select("vec_id", "r", "g", "b")
 
 
+_topo_lut = rows_sql("topo, r, g, b", [(i, *(int(INSPECTION_TOPOGRAPHY[n][k : k + 2], 16) for k in (1, 3, 5))) for i, n in enumerate(TOPOGRAPHY)])
+
+
+@query(f"SELECT e.vec_id, CAST(coalesce(r, 0) AS INTEGER) AS r, CAST(coalesce(g, 0) AS INTEGER) AS g, CAST(coalesce(b, 0) AS INTEGER) AS b FROM embeddings e LEFT JOIN (SELECT * FROM {_topo_lut}) l ON l.topo = e.label % 4")
+def colorize_topography(spark, sf):
+    """Topography in its colours for inspection; black for others."""
+    look = topography_palette(spark).withColumnRenamed("topo", "lc")
+    return raster.colourised(table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 4).alias("topo")), look, "topo").select("vec_id", "r", "g", "b")
+
+
 _pal = rows_sql("style, lc, r, g, b", [(s, i, *c) for s, cs in PALETTES.items() for i, c in enumerate(cs)])
 
 

@@ -20,7 +20,6 @@ WEIGHTS = "land_cover_weights map<string, double>, topography_weight double, sou
 COVERAGE = "cells array<struct<lat: int, lon: int, counts: array<bigint>>>"
 SCENES = "scenes array<struct<region_id: string, bbox: array<double>, datetime_range: string, visual_href: string, eo_cloud_cover: double>>"
 PYRAMID = "pyramid_id string, origin array<int>, source_map string, source_size array<int>, scales array<int>, stride int, tiles array<struct<id: string, x: int, y: int, size: int, children: array<string>, image: string, land_cover: string, topography: string>>"
-FEATURES = "features array<struct<properties: struct<biome: int, height: int>, geometry: struct<type: string, coordinates: string>>>"
 
 
 def listing(spark: SparkSession, path: str, pattern: str, recursive: bool = False) -> DataFrame:
