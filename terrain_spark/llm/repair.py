@@ -11,14 +11,13 @@ earlier shards of the partition), ``n_ids``, ``first_rule`` (symbols below it ar
 All arrays are stored by bytes, the lowest of all numbers first, and compressed with zstd.
 
 Rows: null texts count as empty and have the end id alone; null ids, and ids that are no whole numbers, come first in the order,
-like Spark sorts them; rows with the same doc_id follow each other in any order, and where they are many their texts
-deal them out to several partitions; very long texts are never cut between shards; other columns are not read, whatever their
+like Spark sorts them; rows with the same doc_id follow each other in any order, and where they are many they are dealt
+out to several partitions, be their texts equal or not; very long texts are never cut between shards; other columns are not read, whatever their
 names; an empty table gives no file and no rows.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ChunkEncoder, F, Recent, T, chunks, input_bytes, map_arrow, portions, shared_dir, texts_of
 
 #: Ids in a shard at which it ends; how often a pair occurs to become a rule: in the first round, what it is divided by
-#: each round, and at least, as a rule takes the bytes of some three symbols. Bytes of input for each partition.
-SHARD_IDS, START, STEP, LEAST, RANGE_BYTES = 1_000_000, 1024, 4, 4, 16 << 20
+#: each round, and at least, as a rule takes the bytes of some three symbols. Bytes of input for each partition, and how many
+#: partitions there are at most: what the driver holds of them are bounds and two numbers each; beyond it they get larger.
+SHARD_IDS, START, STEP, LEAST, RANGE_BYTES, MOST_PARTS = 1_000_000, 1024, 4, 4, 16 << 20, 20_000
 
 
 class Encoder:
@@ -188,69 +188,29 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-#: Stands for null ids where rows are placed.
-_FIRST = -(1 << 63)
-
-
-def _bounds(df: DataFrame, parts: int) -> list[int]:
-    """Doc ids that cut the rows into parts of about the same size; one that many rows have comes several times."""
-    if parts < 2:
-        return []
-    ids = df.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc_id"))
-    return sorted(int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (20 * parts)))
-
-
-def _places(ids: np.ndarray, texts: list[str], bounds: np.ndarray) -> np.ndarray:
-    """The part of each row; ids that are bounds are dealt out to the parts they touch by a hash of the text."""
-    low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
-    for i in np.flatnonzero(high > low):
-        low[i] += zlib.crc32(texts[i].encode("utf-8", "surrogatepass")) % (high[i] - low[i] + 1)
-    return low
-
-
 def write(df: DataFrame, tokenizer: str, path: str, end: int = 0, shard_ids: int = SHARD_IDS, parts: int | None = None) -> None:
     """Encodes ``text`` and writes the files, in ascending order of doc_id.
 
-    Rows go to partitions by ranges of doc_id, whose bounds come from that column alone and whose number follows the size
-    of the input; each partition sorts its rows and closes a shard whenever ``shard_ids`` ids are reached, so memory holds one shard.
+    Rows go to partitions by ranges of doc_id and, among equal ones, of a hash that differs from row to row, so that no
+    id fills a partition; Spark takes the bounds from a sample. The number of partitions follows the size of the input;
+    each sorts its rows, encodes them and closes a shard whenever ``shard_ids`` ids are reached, so memory holds one shard.
     """
-    import zstandard
+    import tokenizers
 
     with open(tokenizer, "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
-    kept = df.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
-    encoded = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("ids", T.BinaryType())])
-
-    def make():
-        if tokenizer not in _MADE:
-            _MADE[tokenizer] = Encoder(sent.value)
-        encode = _MADE[tokenizer].encode
-        pack = zstandard.ZstdCompressor(level=1).compress
-
-        def each(batch: pa.RecordBatch):
-            texts = texts_of(batch.column(1))
-            for i, j in portions(texts, 3_000_000):
-                some = batch.slice(i, j - i)
-                out = [pack(x) for x in encode(texts[i:j], end)]
-                docs = some.column(0)
-                place = _places(docs.fill_null(_FIRST).to_numpy(zero_copy_only=False), texts[i:j], bounds)
-                yield pa.RecordBatch.from_arrays([docs, pa.array(place, pa.int32()), pa.array(out, pa.binary())], names=encoded.names)
-
-        return each
-
-    import tokenizers
-
     first_rule = tokenizers.Tokenizer.from_file(tokenizer).get_vocab_size()
-    small = first_rule <= 1 << 16
-    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // RANGE_BYTES)
-    bounds = np.array(_bounds(kept, parts), np.int64)
-    placed = map_arrow(kept, encoded, make).repartitionById(len(bounds) + 1, F.col("place")).select("doc_id", "ids").sortWithinPartitions("doc_id")
+    parts = parts or min(MOST_PARTS, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // RANGE_BYTES))
+    rows = df.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("text", F.monotonically_increasing_id()))
+    placed = rows.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id").select("doc_id", "text")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        unpack = zstandard.ZstdDecompressor().decompress
+        if tokenizer not in _MADE:
+            _MADE[tokenizer] = Encoder(sent.value)
+        encoder = _MADE[tokenizer]
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
         total = before = 0
@@ -262,15 +222,17 @@ def write(df: DataFrame, tokenizer: str, path: str, end: int = 0, shard_ids: int
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([first_rule], pa.int64()), *[pa.array([_packed(a)], pa.binary()) for a in arrays]], names=FILE.names)
 
         for batch in batches:
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = np.frombuffer(unpack(x.as_py()), "<u2" if small else "<u4").astype("<u4")
-                ids.append(one)
-                docs.append(d)
-                total += len(one)
-                if total >= shard_ids:
-                    yield close()
-                    number, before = number + 1, before + total
-                    ids, docs, total = [], [], 0
+            every, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
+            for i, j in portions(texts, 3_000_000):
+                for d, x in zip(every[i:j], encoder.encode(texts[i:j], end), strict=True):
+                    one = np.frombuffer(x, encoder.kind).astype("<u4")
+                    ids.append(one)
+                    docs.append(d)
+                    total += len(one)
+                    if total >= shard_ids:
+                        yield close()
+                        number, before = number + 1, before + total
+                        ids, docs, total = [], [], 0
         if docs:
             yield close()
 

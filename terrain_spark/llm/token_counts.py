@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from .common import ChunkEncoder, Recent, T, chunks, map_arrow, portions, stored, texts_of
 
 #: Summary entries of a task while it counts; entries of the broadcast table (some 1 MB), and of a summary that is handed on;
-#: characters of the longest entry; summaries that a task merges.
-COUNTED, FREQUENT, LONGEST, MERGED = 60_000, 30_000, 64, 32
+#: characters of the longest entry; summaries that a task merges; characters of text after which longer entries are let go.
+COUNTED, FREQUENT, LONGEST, MERGED, HELD = 60_000, 30_000, 64, 32, 16_000_000
 
 
 class Counter:
@@ -72,6 +72,11 @@ class Counter:
 _PRINTABLE = re.compile(r"[\x20-\x7E]*\Z").match
 
 
+def _short(tally: Counts) -> Counts:
+    """The entries that a table may have."""
+    return Counts({k: v for k, v in tally.items() if 0 < len(k) <= LONGEST})
+
+
 def _cut_back(tally: Counts, counted: int) -> Counts:
     """The larger half of a summary that is full."""
     if len(tally) <= counted:
@@ -89,13 +94,14 @@ def frequent_chunks(df: DataFrame, counted: int = COUNTED, kept: int = FREQUENT,
         return pa.RecordBatch.from_arrays([pa.array([" ".join(k for _, k in top)], pa.string()), pa.array([array("Q", [v for v, _ in top]).tobytes()], pa.binary())], names=schema.names)
 
     def count(batches):
-        tally = Counts()
+        tally, read = Counts(), 0
         for batch in batches:
             for x in texts_of(batch.column(0)):
                 tally.update(x.split(" ")[1:])
-                if len(tally) > counted:
-                    tally = _cut_back(Counts({k: v for k, v in tally.items() if 0 < len(k) <= LONGEST}), counted)
-        yield handed(Counts({k: v for k, v in tally.items() if 0 < len(k) <= LONGEST}))
+                read += len(x)
+                if len(tally) > counted or read > HELD:
+                    tally, read = _cut_back(_short(tally), counted), 0
+        yield handed(_short(tally))
 
     def merge(batches):
         tally = Counts()

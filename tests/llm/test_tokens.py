@@ -6,6 +6,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -128,6 +129,30 @@ def test_frequent_chunks_are_those_of_all_texts(spark):
     assert token_counts.frequent_chunks(df.limit(0)) == []
 
 
+def test_long_chunks_are_let_go_while_counting(spark, monkeypatch):
+    """Chunks too long for the table don't pile up, and the table stays that of all texts."""
+    held = []
+    short = token_counts._short
+    monkeypatch.setattr(token_counts, "_short", lambda tally: held.append(sum(map(len, tally))) or short(tally))
+    monkeypatch.setattr(token_counts, "HELD", 3000)
+    schema = []
+
+    class Taken:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, count, kind):  # noqa: N802
+            schema.append(count)
+            raise StopIteration
+
+    with pytest.raises(StopIteration):
+        token_counts.frequent_chunks(Taken())
+    texts = [f"a {'x' * 500}{i} b c" for i in range(100)]
+    out = list(schema[0]([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    assert set(out[0].column(0)[0].as_py().split()) == {"b", "c"}
+    assert len(held) > 10 and max(held) < 5000
+
+
 def test_odd_texts_in_one_cache(lib):
     counter = token_counts.Counter("json", open(JSON, "rb").read(), bound=50)
     rng = random.Random(3)
@@ -182,6 +207,21 @@ def test_repair_files_of_one_hot_id(spark, lib):
     assert [r.start for r in got] == [0, *ends[:-1]]
 
 
+def test_repair_files_of_equal_rows(spark, lib):
+    """Rows that are equal, without an id, spread over the partitions too."""
+    df = spark.createDataFrame([(None, "the same text")] * 4000 + [(i, "x") for i in range(4000)], "doc_id long, text string").repartition(4)
+    path = f"{repair.shared_dir(spark)}/equal_rows"
+    repair.write(df, JSON, path, parts=8)
+    held = {}
+    for r in spark.read.parquet(path).collect():
+        held[r.shard >> 32] = held.get(r.shard >> 32, 0) + r.n_ids
+    assert len(held) == 8 and max(held.values()) < 0.3 * sum(held.values())
+    got = repair.read(spark, path)
+    n = len(lib.encode("the same text", add_special_tokens=False).ids) + 1
+    assert got.where("doc_id IS NULL").agg({"start": "max"}).first()[0] == 3999 * n
+    assert got.count() == 8000
+
+
 def test_repair_files(spark, lib):
     rows = [(i * 7 % 41, t) for i, t in enumerate(TEXTS * 3)] + [(None, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
