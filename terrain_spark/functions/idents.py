@@ -92,6 +92,11 @@ def without_scheme(c: Column) -> Column:
     return F.regexp_replace(c, "^gs://", "")
 
 
+def is_remote(c: Column) -> Column:
+    """Paths in an object store; null is none."""
+    return F.coalesce(c.startswith("gs://"), F.lit(False))
+
+
 def styled_id(source: Column, style: Column) -> Column:
     return F.concat(source, F.lit("__"), style)
 

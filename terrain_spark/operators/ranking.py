@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, idents
 from ..functions.taxonomy import LAND_COVER, MAP_TYPES, UPWEIGHT, UPWEIGHTED, values
+from .ordinals import numbered
 
 
 def class_counts(rows: DataFrame, cell: list[str], label: str, n: int = len(LAND_COVER)) -> DataFrame:
@@ -202,4 +203,5 @@ def item_status(items: DataFrame, plates: DataFrame, key: str) -> DataFrame:
 
 
 def by_template(sources: DataFrame) -> DataFrame:
-    return sources.groupBy("template").agg(F.sort_array(F.collect_list("src_id")).alias("members"))
+    """template, src_id and ``place``: each template's members in order, from 1; a template of all sources is spread over all tasks."""
+    return numbered(sources.select("template", "src_id"), [F.col("src_id")], ["template"])

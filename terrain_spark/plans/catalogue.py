@@ -228,9 +228,9 @@ def train_except_test(spark, sf):
 @query(f"WITH {SPLIT_SQL} SELECT template, count(*) AS n, count(*) FILTER (WHERE subset = 'test') AS n_test, list_sort(list(src_id))[1:5] AS first_ids FROM split GROUP BY template")
 def template_members(spark, sf):
     rows = _split(spark, sf)
-    members = ranking.by_template(rows)
+    first = ranking.by_template(rows).where("place <= 5").groupBy("template").agg(F.array_sort(F.collect_list("src_id")).alias("first_ids"))
     sizes = rows.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("subset") == "test").alias("n_test"))
-    return sizes.join(members, "template").select("template", "n", "n_test", F.slice("members", 1, 5).alias("first_ids"))
+    return sizes.join(first, "template").select("template", "n", "n_test", "first_ids")
 
 
 @query("""
@@ -1332,4 +1332,89 @@ def test_evaluation(spark, sf):
     return lifecycles.evaluation(tiles, pixels, test).select("n_valid", F.round("joint_nll", 6).alias("joint_nll"))
 
 
+# the first split holds whatever comes later: a second one with another seed and more sources is not written
+@query(f"WITH {SPLIT_SQL} SELECT CAST(c_custkey AS VARCHAR) AS src_id, coalesce(subset, 'train') AS subset FROM customer LEFT JOIN split ON src_id = CAST(c_custkey AS VARCHAR) AND c_custkey % 9 <> 0")
+def frozen_split(spark, sf):
+    """The subset of every source by a split that was frozen before some of them were there; these are trained on."""
+    every = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("src_id"), F.col("c_mktsegment").alias("template"))
+    path = new_path(spark, "split")
+    files.frozen(_split(spark, sf).where("subset = 'test' AND CAST(src_id AS BIGINT) % 9 <> 0").select("src_id"), path)
+    test = files.frozen(every.where("false").select("src_id"), path)
+    return every.join(test.withColumn("subset", F.lit("test")), "src_id", "left").select("src_id", F.coalesce("subset", F.lit("train")).alias("subset"))
+
+
+@query("SELECT 'tile_' || p_partkey || '.tif' AS filename, CASE WHEN p_partkey % 4 = 0 THEN 'a' WHEN p_partkey % 4 = 1 THEN 'c' ELSE 'root' END AS folder, CAST(length(p_name) AS BIGINT) AS bytes FROM part WHERE p_partkey % 5 > 0")
+def raster_listing(spark, sf):
+    """All rasters below two folders, of which one lies in the other, each once; files of all kinds are written first."""
+    k = F.col("p_partkey")
+    folder = F.when(k % 4 == 0, "a/").when(k % 4 == 1, "b/c/").otherwise("")
+    root = new_path(spark, "listing")
+    files.put(table(spark, sf, "part").select(F.concat(folder, F.lit("tile_"), k.cast("string"), F.when(k % 5 > 0, ".tif").otherwise(".png")).alias("name"), F.col("p_name").alias("content")), root)
+    found = files.rasters(spark, f"{root}/a", root)
+    parent = F.element_at(F.split("path", "/"), -2)
+    return found.select("filename", F.when(parent.isin("a", "c"), parent).otherwise("root").alias("folder"), "bytes")
+
+
+@query("""SELECT 'r' || o_orderkey AS region_id, CAST(o_custkey % 180 AS DOUBLE) AS west, CASE WHEN o_orderkey % 7 > 0 THEN 'https://x/' || o_orderkey END AS visual_href, CASE WHEN o_orderkey % 11 > 0 THEN CAST(o_custkey % 50 + o_orderkey % 100 AS DOUBLE) / 4 END AS cloud FROM orders""")
+def scene_manifests(spark, sf):
+    """Resolved scenes through their manifest files, which hold some thousand each, and back."""
+    k = F.col("o_orderkey")
+    west = (F.col("o_custkey") % 180).cast("double")
+    scenes = table(spark, sf, "orders").select(F.concat(F.lit("r"), k.cast("string")).alias("region_id"), F.array(west, F.lit(0.0), west + 1, F.lit(1.0)).alias("bbox"), F.lit("2023-01-01/2023-12-31").alias("datetime_range"),
+        F.when(k % 7 > 0, F.concat(F.lit("https://x/"), k.cast("string"))).alias("visual_href"), F.when(k % 11 > 0, (F.col("o_custkey") % 50 + k % 100).cast("double") / 4).alias("eo_cloud_cover"))
+    root = new_path(spark, "scenes")
+    files.put(records.scene_manifest(scenes, 4000), root)
+    return files.resolved_scenes(spark, root).select("region_id", F.col("bbox")[0].alias("west"), "visual_href", F.col("eo_cloud_cover").alias("cloud"))
+
+
+@query(f"""SELECT CAST(user_id // 350 - 70 AS INTEGER) AS lat, CAST(user_id % 350 - 175 AS INTEGER) AS lon, {", ".join(f"count(*) FILTER (WHERE event_type = '{e}') AS {e}" for e in EVENTS)}
+FROM events WHERE event_type IN ({", ".join(map(repr, EVENTS))}) GROUP BY user_id""")
+def coverage_cache(spark, sf):
+    """Class counts of cells through the files that keep them, and back."""
+    counted = ranking.class_counts(table(spark, sf, "events").select("user_id", _event_class().alias("class")), ["user_id"], "class")
+    cells = counted.select((F.floor(F.col("user_id") / 350) - 70).cast("int").alias("lat"), (F.col("user_id") % 350 - 175).cast("int").alias("lon"), "counts")
+    root = new_path(spark, "coverage")
+    files.put(records.coverage_summary(cells, 500), root)
+    return files.coverage_cells(spark, root).select("lat", "lon", *[F.col("counts")[i].alias(e) for e, i in EVENTS.items()])
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS map_id, CAST(1 AS BIGINT) AS n FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
+def completion_marks(spark, sf):
+    """Marks of finished maps after two builds that share some; each map is marked once."""
+    maps, path = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("map_id"), "p_partkey"), new_path(spark, "marks")
+    for every in (3, 2):
+        files.mark_complete(maps.where(F.col("p_partkey") % every == 0), path)
+    return files.completed(spark, path).groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {GRID_SQL} SELECT map_id, lc, count(*) AS n, sum(x + 50 * y) AS places, count(*) FILTER (WHERE topo = 255) AS n_no_topo FROM (SELECT map_id, x, y, CAST(id % 9 AS INTEGER) AS lc, CASE WHEN id % 9 = 0 THEN 255 ELSE id % 3 END AS topo FROM g) GROUP BY ALL")
+def label_files(spark, sf):
+    """Label pixels through the files of their maps, and back."""
+    k = F.col("map_id").cast("bigint") * 2500 + F.col("y") * 50 + F.col("x")
+    path = new_path(spark, "labels")
+    files.write_labels(_grid(spark, sf).select("map_id", "x", "y", (k % 9).cast("int").alias("lc"), F.when(k % 9 == 0, 255).otherwise(k % 3).cast("int").alias("topo")), path)
+    return spark.read.parquet(path).groupBy("map_id", "lc").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") + 50 * F.col("y")).alias("places"), F.count_if(F.col("topo") == 255).alias("n_no_topo"))
+
+
+@query(f"""WITH {GRID_SQL}, sz AS (SELECT map_id, max(x) + 1 AS w, max(y) + 1 AS h FROM g GROUP BY map_id), l AS (SELECT *, CAST(unnest(range(h)) AS INTEGER) AS line FROM sz)
+SELECT l.map_id || '.tif' AS name, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height, line AS y, CAST(coalesce(sum(g.id % 251 + g.x + g.y), 0) + 765 * (w - count(g.id)) AS BIGINT) AS total FROM l LEFT JOIN g ON g.map_id = l.map_id AND g.y = line GROUP BY l.map_id, w, h, line""")
+def strip_rasters(spark, sf):
+    """Every line of every map, from files of deflated strips that were packed apart; what no pixel covers is 255."""
+    grid = _grid(spark, sf)
+    k = F.col("map_id").cast("bigint") * 2500 + F.col("y") * 50 + F.col("x")
+    pixels = grid.select("map_id", "x", "y", (k % 251).cast("int").alias("r"), F.col("x").alias("g"), F.col("y").alias("b"))
+    affines = grid.groupBy("map_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")).select("*", *[F.lit(v).alias(c) for c, v in (("west", 2.5), ("north", 48.0), ("dx", 0.01), ("dy", 0.01))])
+    root = new_path(spark, "strips_of_maps")
+    tiff.write(pixels, affines, ["r", "g", "b"], root, nodata=255, rows=7)
+    return tiff.lines(spark, root).select(idents.basename(F.col("path")).alias("name"), "width", "height", "y", png.byte_sum("line").alias("total"))
+
+
+@query("SELECT page_id, regexp_replace(CASE page_id % 3 WHEN 0 THEN 'gs://' || url WHEN 1 THEN url END, '^gs://', '') AS plain, page_id % 3 = 0 AS remote FROM pages")
+def output_paths(spark, sf):
+    """Paths without their scheme, and whether a build may write there; some are missing."""
+    k = F.col("page_id")
+    paths = table(spark, sf, "pages").select("page_id", F.when(k % 3 == 0, F.concat(F.lit("gs://"), "url")).when(k % 3 == 1, F.col("url")).alias("p"))
+    return paths.select("page_id", idents.without_scheme(F.col("p")).alias("plain"), idents.is_remote(F.col("p")).alias("remote"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "lifecycles"]

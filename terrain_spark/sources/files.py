@@ -6,6 +6,7 @@ import struct
 from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,6 +170,16 @@ def write_frozen(df: DataFrame, path: str, refreeze: bool = False) -> None:
     df.write.mode("overwrite" if refreeze else "errorifexists").parquet(path)
 
 
+def frozen(df: DataFrame, path: str, refreeze: bool = False) -> DataFrame:
+    """The split that stands at a path; ``df`` is written there, and computed, only where there is none or ``refreeze`` asks for it."""
+    try:
+        write_frozen(df, path, refreeze)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_tiles(df: DataFrame, path: str) -> None:
     """Tiles by map; the committer makes the write all or nothing."""
     df.write.mode("overwrite").partitionBy("map_id").parquet(path)

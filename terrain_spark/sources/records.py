@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import idents
 from ..functions.taxonomy import TOPOGRAPHY_WEIGHT, WEIGHTS, weight_map
 from ..operators import ranking
+from ..operators.ordinals import numbered
 
 
 def control_points(features: Column) -> Column:
@@ -78,10 +79,26 @@ def sample_weights(maps: DataFrame, source: str) -> DataFrame:
     return maps.select("map_id", body.alias("json"))
 
 
-def scene_manifest(scenes: DataFrame) -> DataFrame:
-    """One text with all resolved scenes (a bounded list: one for each region that was asked for)."""
-    fields = ["region_id", "bbox", "datetime_range", "visual_href", "eo_cloud_cover"]
-    return scenes.groupBy().agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("scenes")).select(F.to_json(F.struct("scenes")).alias("json"))
+def _in_parts(rows: DataFrame, fields: list[str], order: list[str], list_name: str, file_name: str, per: int) -> DataFrame:
+    """name and text of files that hold a list of up to ``per`` rows each, in their order; places come from ranges, so no task holds all."""
+    placed = numbered(rows.select(*fields), [F.col(c) for c in order], name="_place").withColumn("_file", F.floor((F.col("_place") - 1) / per))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("_place", F.struct(*fields).alias("row")))), lambda r: r["row"])
+    lists = placed.groupBy("_file").agg(body.alias(list_name))
+    return lists.select(F.format_string(f"{file_name}_%07d.json", "_file").alias("name"), F.to_json(F.struct(list_name)).alias("content"))
+
+
+#: Rows of a manifest file.
+PER_FILE = 10_000
+
+
+def scene_manifest(scenes: DataFrame, per: int = PER_FILE) -> DataFrame:
+    """name and content of the files that list all resolved scenes by region; ``files.resolved_scenes`` of their folder gives them back."""
+    return _in_parts(scenes, ["region_id", "bbox", "datetime_range", "visual_href", "eo_cloud_cover"], ["region_id", "visual_href", "eo_cloud_cover"], "scenes", "resolved_scenes", per)
+
+
+def coverage_summary(cells: DataFrame, per: int = PER_FILE) -> DataFrame:
+    """name and content of the files that list cells (lat, lon, counts of classes); ``files.coverage_cells`` of their folder gives them back."""
+    return _in_parts(cells, ["lat", "lon", "counts"], ["lat", "lon"], "cells", "coverage", per)
 
 
 def scene_status(scenes: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions import idents
+from .shared import stored
 
 # Fixed values of the TIFF and GeoTIFF formats: tags, and bytes of each field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, COUNTS, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
@@ -114,17 +115,12 @@ def probed_at(read_at: Callable[[int, int], bytes]) -> tuple[int | None, int | N
         return None, None, None, head.n_read
 
 
-def encode(rgb: bytes, width: int, height: int, affine: tuple[float, float, float, float], nodata: int | None = None, bands: int = 3, rows: int | None = None, deflate: bool = False, big: bool = False) -> bytes:
-    """A file in EPSG:4326 of interleaved bytes. ``affine``: west, north, and degrees of a pixel across and down; ``rows``: lines of a strip."""
-    if len(rgb) != width * height * bands:
-        raise ValueError(f"{len(rgb)} bytes for {width} x {height} pixels of {bands} bands")
+def _around(width: int, height: int, affine: tuple[float, float, float, float], sizes: list[int], bands: int, rows: int, deflate: bool, big: bool, nodata: int | None) -> tuple[bytes, bytes]:
+    """What stands before and behind strips of these sizes, of so many lines each."""
     west, north, dx, dy = affine
     keys = (1, 1, 0, 3, MODEL, 0, 1, 2, RASTER, 0, 1, 1, GEOGRAPHIC, 0, 1, 4326)
-    rows, place, size, start = rows or height, "Q" if big else "I", 8 if big else 4, 16 if big else 8
-    strips = [rgb[i : i + rows * width * bands] for i in range(0, len(rgb), rows * width * bands)]
-    strips = [zlib.compress(s) for s in strips] if deflate else strips
-    sizes = [len(s) for s in strips]
-    starts = (start + np.cumsum([0, *sizes[:-1]])).tolist()
+    place, size, start = "Q" if big else "I", 8 if big else 4, 16 if big else 8
+    starts = (start + np.cumsum([0, *sizes[:-1]], dtype=np.int64)).tolist()
     fields = [
         (WIDTH, 4, (width,)), (HEIGHT, 4, (height,)), (BITS, 3, (8,) * bands), (COMPRESSION, 3, (DEFLATE[0] if deflate else PLAIN,)), (PHOTOMETRIC, 3, (2 if bands == 3 else 1,)), (STRIPS, 16 if big else 4, tuple(starts)),
         (SAMPLES, 3, (bands,)), (ROWS, 4, (rows,)), (COUNTS, 16 if big else 4, tuple(sizes)), (PLANAR, 3, (1,)),
@@ -132,9 +128,8 @@ def encode(rgb: bytes, width: int, height: int, affine: tuple[float, float, floa
     ]
     if nodata is not None:
         fields.append((NO_DATA, 2, tuple(f"{nodata}\0".encode())))
-    body = b"".join(strips)
-    body += b"\0" * (len(body) % 2)
-    at = start + len(body)
+    pad = b"\0" * (sum(sizes) % 2)
+    at = start + sum(sizes) + len(pad)
     count = struct.pack("<Q" if big else "<H", len(fields))
     after, entries, extra = at + len(count) + (4 + 2 * size) * len(fields) + size, b"", b""
     for tag, kind, items in fields:
@@ -142,7 +137,18 @@ def encode(rgb: bytes, width: int, height: int, affine: tuple[float, float, floa
         entries += struct.pack(f"<HH{place}", tag, kind, len(items)) + (data.ljust(size, b"\0") if len(data) <= size else struct.pack(f"<{place}", after + len(extra)))
         extra += data if len(data) > size else b""
     head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) if big else struct.pack("<2sHI", b"II", 42, at)
-    return head + body + count + entries + struct.pack(f"<{place}", 0) + extra
+    return head, pad + count + entries + struct.pack(f"<{place}", 0) + extra
+
+
+def encode(rgb: bytes, width: int, height: int, affine: tuple[float, float, float, float], nodata: int | None = None, bands: int = 3, rows: int | None = None, deflate: bool = False, big: bool = False) -> bytes:
+    """A file in EPSG:4326 of interleaved bytes. ``affine``: west, north, and degrees of a pixel across and down; ``rows``: lines of a strip."""
+    if len(rgb) != width * height * bands:
+        raise ValueError(f"{len(rgb)} bytes for {width} x {height} pixels of {bands} bands")
+    rows = rows or height
+    strips = [rgb[i : i + rows * width * bands] for i in range(0, len(rgb), rows * width * bands)]
+    strips = [zlib.compress(s) for s in strips] if deflate else strips
+    head, tail = _around(width, height, affine, [len(s) for s in strips], bands, rows, deflate, big, nodata)
+    return head + b"".join(strips) + tail
 
 
 def valid(meta: DataFrame) -> DataFrame:
@@ -264,3 +270,90 @@ def encoded(pixels: DataFrame, affines: DataFrame, value: list[str], nodata: int
         return pa.table({"map_id": [one["map_id"]], "content": pa.array([data], pa.binary())})
 
     return rows.groupBy("map_id").applyInArrow(write, schema)
+
+
+#: Lines of a strip, and bytes of strips from which on a file is a BigTIFF.
+STRIP_ROWS, CLASSIC = 64, (1 << 32) - (64 << 20)
+SHAPE = ["width", "height", "west", "north", "dx", "dy"]
+
+
+def strips(pixels: DataFrame, affines: DataFrame, value: list[str], nodata: int | None = None, rows: int = STRIP_ROWS) -> DataFrame:
+    """map_id, strip, the map's size and affine, and ``data``: the strip's deflated lines.
+
+    A group holds a strip, never a map. Strips without any pixel are there too; pixels outside their map go, of several
+    at one place any one stays, and maps without a size or an affine have no strips.
+    """
+    last = F.floor((F.col("height") - 1) / rows).cast("int")
+    whole = affines.where("width > 0 AND height > 0").dropna(subset=SHAPE).select("map_id", *SHAPE, F.explode(F.sequence(F.lit(0), last)).alias("strip"))
+    own = pixels.select("map_id", F.floor(F.col("y") / rows).cast("int").alias("strip"), "x", "y", *[F.col(v).cast("int").alias(f"_v{i}") for i, v in enumerate(value)])
+    schema = f"map_id string, strip int, {', '.join(f'{c} {t}' for c, t in zip(SHAPE, ['int', 'int', *['double'] * 4], strict=True))}, data binary"
+
+    def each(table: pa.Table) -> pa.Table:
+        one = table.slice(0, 1).to_pylist()[0]
+        top = one["strip"] * rows
+        out = np.full((min(rows, one["height"] - top), one["width"], len(value)), 0 if nodata is None else nodata, np.uint8)
+        table = table.filter(table.column("x").is_valid())
+        x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+        inside = (x >= 0) & (x < one["width"]) & (y < one["height"])
+        for i in range(len(value)):
+            out[y[inside] - top, x[inside], i] = table.column(f"_v{i}").fill_null(0 if nodata is None else nodata).to_numpy()[inside]
+        return pa.table({"map_id": [one["map_id"]], "strip": pa.array([one["strip"]], pa.int32()), **{c: pa.array([one[c]], pa.int32() if i < 2 else pa.float64()) for i, c in enumerate(SHAPE)}, "data": pa.array([zlib.compress(out.tobytes())], pa.binary())})
+
+    typed = whole.join(own, ["map_id", "strip"], "left").select(F.col("map_id").cast("string").alias("map_id"), "strip", *[F.col(c).cast("int" if i < 2 else "double").alias(c) for i, c in enumerate(SHAPE)], "x", "y", *[f"_v{i}" for i in range(len(value))])
+    return typed.groupBy("map_id", "strip").applyInArrow(each, schema)
+
+
+class _Writing:
+    """A file whose strips come one after another: before them what the sum of their sizes tells, behind them the rest."""
+
+    def __init__(self, system, path: str, row: dict, bands: int, rows: int, nodata: int | None, classic: int):  # noqa: ANN001
+        self.shape = (row["width"], row["height"], tuple(row[c] for c in SHAPE[2:]))
+        self.how = (bands, rows, True, row["total"] >= classic, nodata)
+        self.sizes: list[int] = []
+        self.stream = system.open_output_stream(path)
+        self.stream.write(_around(*self.shape, [row["total"]], *self.how)[0])
+
+    def add(self, data: bytes) -> None:
+        self.stream.write(data)
+        self.sizes.append(len(data))
+
+    def close(self) -> int:
+        self.stream.write(_around(*self.shape, self.sizes, *self.how)[1])
+        n = self.stream.tell()
+        self.stream.close()
+        return n
+
+
+def write(pixels: DataFrame, affines: DataFrame, value: list[str], root: str, nodata: int | None = None, rows: int = STRIP_ROWS, classic: int = CLASSIC) -> DataFrame:
+    """Writes a file for each map below a folder and gives name and bytes of each.
+
+    Strips are packed apart and written once; a file is then one stream of them in order, so its task holds a batch of packed
+    strips, whatever the file's size. A task that is tried again writes the same file.
+    """
+    packed = stored(strips(pixels, affines, value, nodata, rows), "strips")
+    totals = packed.groupBy("map_id").agg(F.sum(F.length("data")).alias("total"))
+    ordered = packed.join(totals, "map_id").repartition("map_id").sortWithinPartitions("map_id", "strip")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(root)
+        system.create_dir(folder)
+        name, file = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([file.close()], pa.int64())], names=["name", "bytes"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if f"{row['map_id']}.tif" != name:
+                    if file is not None:
+                        yield done()
+                    name = f"{row['map_id']}.tif"
+                    file = _Writing(system, f"{folder}/{name}", row, len(value), rows, nodata, classic)
+                file.add(row["data"])
+        if file is not None:
+            yield done()
+
+    return stored(ordered.mapInArrow(run, "name string, bytes long"), "written")

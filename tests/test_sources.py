@@ -238,6 +238,35 @@ def test_geotiff_round_trip_and_probe(spark, tmp_path):
     assert tiff.probe(b"MM\0*\0\0\0\x08\0\x01\x01\0\0\x03\0\0\0\x01\0\x09\0\0\0\0\0\0") == (None, 9, None)
 
 
+@pytest.mark.parametrize("classic", [1 << 31, 0])
+def test_rasters_written_by_strips(spark, tmp_path, classic):
+    """Files equal those written whole, in both sizes of the format, with odd rows among pixels and maps."""
+    from terrain_spark.sources import tiff
+
+    rng = np.random.default_rng(3)
+    image = rng.integers(0, 256, (23, 11, 2), dtype=np.uint8)
+    image[8:12] = 9  # a strip without pixels
+    rows = [("m", x, y, int(image[y, x, 0]), int(image[y, x, 1])) for y in range(23) for x in range(11) if not 8 <= y < 12]
+    rows += [("m", 11, 0, 1, 1), ("m", -1, 0, 1, 1), ("m", 0, 23, 1, 1), ("m", None, 3, 1, 1), ("m", 2, None, 1, 1), (None, 1, 1, 1, 1), ("none", 0, 0, 1, 1), ("n", 0, 0, None, 5)]
+    pixels = spark.createDataFrame(rows, "map_id string, x int, y int, a int, b int")
+    affines = spark.createDataFrame([("m", 11, 23, 2.5, 48.0, 0.1, 0.2), ("n", 1, 2, 0.0, 0.0, 1.0, 1.0), ("empty", 0, 5, 0.0, 0.0, 1.0, 1.0), ("lost", 2, 2, None, 0.0, 1.0, 1.0)], "map_id string, width int, height int, west double, north double, dx double, dy double")
+    got = tiff.write(pixels, affines, ["a", "b"], f"file://{tmp_path}", nodata=9, rows=4, classic=classic).collect()
+    assert sorted((r.name, r.bytes) for r in got) == sorted((p.name, p.stat().st_size) for p in tmp_path.glob("*.tif")) and len(got) == 2
+    assert (tmp_path / "m.tif").read_bytes() == tiff.encode(image.tobytes(), 11, 23, (2.5, 48.0, 0.1, 0.2), 9, 2, 4, True, classic == 0)
+    head = tiff.Header(lambda at, n: (tmp_path / "n.tif").read_bytes()[at : at + n]).parse()
+    assert head.window(0, 0, 1, 2).tolist() == [[[9, 5]], [[9, 9]]]
+    assert tiff.write(pixels.limit(0), affines.limit(0), ["a", "b"], f"file://{tmp_path}/none").count() == 0
+
+
+def test_a_frozen_split_stays(spark, tmp_path):
+    path = str(tmp_path / "split")
+    assert files.frozen(spark.range(3), path).count() == 3
+    assert files.frozen(spark.range(9), path).count() == 3
+    assert files.frozen(spark.range(9), path, refreeze=True).count() == 9
+    with pytest.raises(Exception, match="nowhere"):
+        files.frozen(spark.range(9).select(F.expr("raise_error('nowhere')").alias("id")), str(tmp_path / "other"))
+
+
 def test_rasters_are_listed_once_and_in_order(spark, tmp_path):
     from terrain_spark.sources import files
 
@@ -262,8 +291,13 @@ def test_sidecars_round_trip(spark, tmp_path):
     from terrain_spark.sources import files, records
 
     scenes = spark.createDataFrame([("r2", [1.0, 2.0, 3.0, 4.0], "d", "http://x", 3.5), ("r1", [0.0, 0.0, 1.0, 1.0], "d", None, None)], "region_id string, bbox array<double>, datetime_range string, visual_href string, eo_cloud_cover double")
-    (tmp_path / "scenes.json").write_text(records.scene_manifest(scenes).first().json)
+    written = records.scene_manifest(scenes, 1).orderBy("name").collect()
+    assert [(r.name, json.loads(r.content)["scenes"][0]["region_id"]) for r in written] == [("resolved_scenes_0000000.json", "r1"), ("resolved_scenes_0000001.json", "r2")]
+    (tmp_path / "scenes.json").write_text(records.scene_manifest(scenes).first().content)
     assert [r.region_id for r in files.resolved_scenes(spark, str(tmp_path / "scenes.json")).collect()] == ["r1", "r2"]
+    assert records.scene_manifest(scenes.limit(0)).count() == 0
+    (tmp_path / "cells.json").write_text(records.coverage_summary(spark.createDataFrame([(3, -4, [0, 5])], "lat int, lon int, counts array<bigint>")).first().content)
+    assert tuple(files.coverage_cells(spark, str(tmp_path / "cells.json")).first()) == (3, -4, [0, 5])
     (tmp_path / "coverage.json").write_text(json.dumps({"cells": [{"lat": 3, "lon": -4, "counts": [0, 5] + [0] * 7}]}))
     assert tuple(files.coverage_cells(spark, str(tmp_path / "coverage.json")).first()) == (3, -4, [0, 5, 0, 0, 0, 0, 0, 0, 0])
     (tmp_path / "split.json").write_text(json.dumps({"seed": 42, "test_fraction": 0.15, "test": ["a", "b"], "train": ["c"]}))
