@@ -121,15 +121,29 @@ def test_short_items_match_as_a_whole(spark):
 
 # --- repeated units ---------------------------------------------------------------------------------------------
 
+def places_by_force(words, most=32, around=8):
+    """Places that begin a new unit in a sentence of ``words``, each place by its own neighbours."""
+    if len(words) <= most:
+        return []
+    h = [int(x) for x in line_dedup.WordHashes(10**6, normal=decontaminate.plain).of([w.encode() for w in words])]
+    mix = lambda x: int(line_dedup.hash64(np.array([x % 2**64], np.uint64))[0])
+    key = {i: mix(mix(h[i - 1]) + h[i]) >> 1 for i in range(1, len(h)) if h[i] != h[i - 1]}
+    return [i for i in key if around <= i <= len(h) - around and all(key[i] < key.get(j, 2**64) for j in range(i - around, i)) and all(key[i] <= key.get(j, 2**64) for j in range(i + 1, i + around + 1))]
+
+
 def units_by_force(docs, least):
-    """(row, start, end, words) of every line, and of sentences of ``least`` words within longer lines."""
+    """(row, start, end, words) of every line, and of sentences (or parts of long ones) of ``least`` words within longer lines."""
     words = lambda x: tuple(w for y in re.findall(r"[^\x20\x09-\x0D]+", x) if (w := decontaminate.plain(y.encode()).decode()))
     found = []
     for i, (_, text) in enumerate(docs):
         for line in re.finditer(r"[^\n]*(\n+|\Z)", text or ""):
             if own := words(line[0]):
                 found.append((i, *line.span(), own))
-                cut = [line.start(), *(line.start() + m.end() for m in re.finditer(r"[.!?]+[ \t]+", line[0])), line.end()]
+                cut = [line.start(), *(line.start() + m.end() for m in re.finditer(r"[.!?]+[^\w\s]*[ \t]+", line[0])), line.end()]
+                for a, b in zip(cut[:], cut[1:]):
+                    begins = [m.start() for m in re.compile(r"[^\x20\x09-\x0D]+").finditer(text, a, b)]
+                    cut += [begins[k] for k in places_by_force(re.findall(r"[^\x20\x09-\x0D]+", text[a:b]))]
+                cut.sort()
                 parts = [(a, b, w) for a, b in zip(cut, cut[1:]) if (w := words(text[a:b]))]
                 if len(parts) > 1:
                     found += [(i, a, b, w) for a, b, w in parts if len(w) >= least]
@@ -156,6 +170,9 @@ def test_repeated_units_equal_brute_force(spark):
     passage = ". ".join(prose(n, n) for n in (9, 3, 14, 12, 20)) + ". "
     line = prose(10, 99)
     docs = [(5, prose(30, 1) + " " + passage + prose(20, 2)), (2, line + "\n" + prose(12, 3) + "\n" + line + "\nshort."), (9, passage.upper() + line), (1, None), (3, ""), (4, "To. To. To."), (7, "To. To. To."), (None, line + "\n" + prose(9, 8)), (6, passage), (6, passage), (8, "a " * 5000 + ". ")]
+    inner = prose(60, 61)
+    docs += [(20, f"{prose(25, 62)} {inner} {prose(11, 63)}"), (21, f"Über – {prose(14, 64)} {inner.title()}, {prose(40, 65)}. {prose(3, 66)}\n{prose(45, 67)}"), (22, "so so " * 30 + "la la " * 30), (23, "La " * 40 + "so " * 40)]
+    docs += [(24, f"He said (\"{prose(9, 68)}.\") {prose(9, 69)}?!»\t{prose(9, 70)}"), (25, f"She: {prose(9, 71)}.\" {prose(9, 69)}!) {prose(9, 72)}")]
     docs += [(None, "Short\n---\n" + prose(9, 8)), (None, None), (11, "short!\n\n***\n***\n" + prose(14, 14) + ". New words here"), (12, " \n" + prose(14, 14) + "\n" + prose(14, 14) + " \n."), (13, "word " * 40_000 + "\n" + passage)]
     df = spark.createDataFrame([(d, t, 1, "k", 2.0) for d, t in docs], "doc_id long, text string, _seen int, rank string, seen double").repartition(3)
     out = line_dedup.dedup(df)
@@ -172,6 +189,25 @@ def test_repeated_units_equal_brute_force(spark):
     assert keepers <= {2, 5, 6, 9}
 
 
+def test_passages_within_long_sentences_are_found():
+    """51 words or more, anywhere in text without any sign: most have a unit of their own."""
+    find, r, hit = line_dedup.Units(line_dedup.LEAST).of, random.Random(5), 0
+    for k in range(200):
+        passage = prose(r.randint(51, 70), 9000 + k)
+        one, two = (set(find(f"{prose(r.randint(1, 60), 10_000 + k + n)} {passage} {prose(r.randint(1, 60), 20_000 + k + n)}")[2].tolist()) for n in (0, 500))
+        hit += bool(one & two)
+    assert hit >= 190
+
+
+def test_lists_are_those_of_a_text_not_of_an_id(spark):
+    """One id on very many rows: the units that a task gathers are those of one text."""
+    rows = [(1, prose(12, 40))] + [(7, f"{prose(12, 40)}\n{prose(12, 41 + i)}") for i in range(300)] + [(8, prose(12, 41 + i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert line_dedup.repeats(df).agg(F.max(F.size("seen"))).first()[0] == 1
+    out = line_dedup.dedup(df).collect()
+    assert sum(len(r.removed) for r in out if r.doc_id == 7) == 300 and all(not r.text for r in out if r.doc_id == 8)
+
+
 def test_short_header_is_removed_from_all_but_one(spark):
     rows = [(i, f"Read this page first\n{prose(40, 3000 + i)}") for i in range(50)] + [(None, f"Read this page first\nnumber {i}") for i in range(200)]
     out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
