@@ -11,6 +11,7 @@ from ..functions import idents
 from ..sources import pyramids as artefacts
 from ..sources.pyramids import SCALES, STRIDE, layout
 from . import blocks
+from .spread import spread
 
 
 def on_map(x: Column, y: Column, w: Column, h: Column, side: int = SCALES[0]) -> Column:
@@ -20,9 +21,13 @@ def on_map(x: Column, y: Column, w: Column, h: Column, side: int = SCALES[0]) ->
 
 
 def origins(maps: DataFrame, side: int = SCALES[0], stride: int = STRIDE) -> DataFrame:
-    """Pyramids of each map (map_id, width, height) that are on it by half at least."""
+    """Pyramids of each map (map_id, width, height) that are on it by half at least.
+
+    A map becomes hundreds of tiles and thousands of names, so maps are spread first; as they are spread by ``map_id``, what is counted by map or
+    pyramid later needs no other shuffle.
+    """
     steps = lambda size: F.sequence(F.lit(0), F.greatest(F.lit(0), size - 1), F.lit(stride))
-    rows = maps.where("width > 0 AND height > 0").select("*", F.explode(steps(F.col("height").cast("int"))).alias("oy"))
+    rows = spread(maps.where("width > 0 AND height > 0"), "map_id").select("*", F.explode(steps(F.col("height").cast("int"))).alias("oy"))
     grid = rows.select("*", F.explode(steps(F.col("width").cast("int"))).alias("ox")).where(on_map(F.col("ox"), F.col("oy"), F.col("width"), F.col("height"), side))
     return grid.withColumn("pyramid_id", idents.pyramid_id(F.col("ox"), F.col("oy"), stride))
 
@@ -79,36 +84,58 @@ def prior_of(child: DataFrame, parent_pixels: DataFrame, width: int = 12) -> Dat
     return child.join(parent_pixels, ["map_id", "x", "y"], "left").withColumn("prior", F.coalesce("p", zeros)).drop("p")
 
 
-def cropped(p: Column, side: Column, left: Column, top: Column, n: Column) -> Column:
-    """The square of ``n`` by ``n`` cells from ``left`` and ``top`` on, of a map of ``side`` by ``side`` cells, row by row."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(p, (top + i) * side + left + 1, n)))
-
-
-def recursive_predict(tile: DataFrame, model: Callable, schema: str, cell: int | None = None) -> DataFrame:
+def recursive_predict(tile: DataFrame, model: Callable, schema: str, cell: int | None = None, clustered: bool = False) -> DataFrame:
     """Level by level: a level's tiles are predicted together, then their children get them as prior.
 
-    ``tile``: map_id, pyramid_id, tile_id, parent_id, level and what the model reads. ``model`` takes and gives batches
-    for ``mapInPandas`` with the columns of ``schema``, of which one is ``p``. With ``cell``, the pixels of a cell's side, ``p``
+    ``tile``: map_id, pyramid_id, tile_id, parent_id, level and what the model reads; ids are unique in a pyramid. ``model`` takes and gives
+    batches for ``mapInPandas`` with the columns of ``schema``, of which one is ``p``. With ``cell``, the pixels of a cell's side, ``p``
     is a map of cells row by row, and a child's prior is the part that its own box (x, y, size) cuts out of its parent's;
-    without it, all of the parent's ``p``. Depth is three, so there are three stages and no recursion.
+    without it, all of the parent's ``p``.
+
+    The tiles of a pyramid stand in one task, some hundred pyramids are walked at a time, and the model is called for each of their levels (it keeps
+    what is costly to load itself). So no level is joined with another, and a parent's prediction is neither shuffled nor made twice. With
+    ``clustered`` the rows of a pyramid follow each other already, as those of ``tiles`` do; otherwise they are brought together by one shuffle.
     """
-    key, out, prior = ["map_id", "pyramid_id"], None, None
-    for level in range(len(SCALES)):
-        rows = tile.where(F.col("level") == level)
-        if prior is None:
-            rows = rows.withColumn("prior", F.lit(None).cast("array<double>"))
-        else:
-            rows = rows.join(prior, [*key, "parent_id"], "left")
+    import numpy as np
+    import pandas as pd
+
+    key, levels = ["map_id", "pyramid_id"], len(SCALES)
+    if not clustered:
+        tile = tile.repartition(*key).sortWithinPartitions(*key)
+
+    def part_of(p, parent, box):  # noqa: ANN001, ANN202
+        left, top, size, side = ((v // cell) for v in (box[0] - parent[0], box[1] - parent[1], box[2], parent[2]))
+        return p.reshape(side, side)[top : top + size, left : left + size].reshape(-1)
+
+    def level_by_level(rows: pd.DataFrame):  # noqa: ANN202
+        known, boxes = {}, {}
+        for level in range(levels):
+            own = rows[rows["level"] == level].reset_index(drop=True)
+            parents = list(zip(own["map_id"], own["pyramid_id"], own["parent_id"], strict=True))
+            prior = [known.get(k) for k in parents]
             if cell:
-                cells = lambda c: F.floor(c / cell).cast("int")
-                rows = rows.withColumn("prior", cropped(F.col("prior"), cells(F.col("_size")), cells(F.col("x") - F.col("_x")), cells(F.col("y") - F.col("_y")), cells(F.col("size")))).drop("_x", "_y", "_size")
-        got = rows.mapInPandas(model, schema)
-        out = got if out is None else out.unionByName(got)
-        prior = got.select(*key, F.col("tile_id").alias("parent_id"), F.col("p").alias("prior"))
-        if cell:
-            boxes = tile.where(F.col("level") == level).select(*key, F.col("tile_id").alias("parent_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("size").alias("_size"))
-            prior = prior.join(boxes, [*key, "parent_id"])
-    return out
+                at = list(zip(own["x"], own["y"], own["size"], strict=True))
+                prior = [None if p is None else part_of(p, boxes[k], b) for p, k, b in zip(prior, parents, at, strict=True)]
+                boxes = dict(zip(zip(own["map_id"], own["pyramid_id"], own["tile_id"], strict=True), at, strict=True))
+            own["prior"], known = pd.Series(prior, dtype=object), {}
+            for got in model(iter([own])) if len(own) else ():
+                if level + 1 < levels:
+                    known.update(zip(zip(got["map_id"], got["pyramid_id"], got["tile_id"], strict=True), (None if p is None else np.asarray(p, float) for p in got["p"]), strict=True))
+                yield got
+
+    def walk(batches):  # noqa: ANN001, ANN202
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            other = (rows[key].ne(rows[key].iloc[-1])).any(axis=1).to_numpy().nonzero()[0]
+            at = int(other[-1]) + 1 if len(other) else 0  # where the last pyramid begins, of which more may follow
+            rest = rows.iloc[at:]
+            if at:
+                yield from level_by_level(rows.iloc[:at])
+        if rest is not None and len(rest):
+            yield from level_by_level(rest)
+
+    return tile.mapInPandas(walk, schema)
 
 
 def artifact_files(pyramids: DataFrame, pixels: DataFrame, weights: DataFrame, scales: list[int] = SCALES, stride: int = STRIDE) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1145,7 +1146,7 @@ def recursive_prediction(spark, sf):
             b["p"] = [[float(s)] if p is None else [float(p[0]) + s] for s, p in zip(b["size"], b["prior"], strict=True)]
             yield b[["map_id", "pyramid_id", "tile_id", "p"]]
 
-    return pyramid.recursive_predict(_tiles(spark, sf).select("map_id", "pyramid_id", "tile_id", "parent_id", "level", "size"), model, "map_id bigint, pyramid_id string, tile_id string, p array<double>")
+    return pyramid.recursive_predict(_tiles(spark, sf).select("map_id", "pyramid_id", "tile_id", "parent_id", "level", "size"), model, "map_id bigint, pyramid_id string, tile_id string, p array<double>", clustered=True)
 
 
 @query(f"""WITH {TILES_SQL}, c AS (SELECT t.*, (x - ox) // 112 AS dx, (y - oy) // 112 AS dy, size // 112 AS n FROM tiles t JOIN origins USING (map_id, pyramid_id))
@@ -1155,11 +1156,11 @@ def cropped_prediction(spark, sf):
     """The walk from coarse to fine over maps of cells: each child reads the part of its parent's map that it covers."""
     def model(batches):
         for b in batches:
-            b["p"] = [[float(s + i + (0 if p is None else p[i])) for i in range((s // 112) ** 2)] for s, p in zip(b["size"], b["prior"], strict=True)]
+            b["p"] = [np.arange(s, s + (s // 112) ** 2, dtype=float) + (0 if p is None else p) for s, p in zip(b["size"], b["prior"], strict=True)]
             yield b[["map_id", "pyramid_id", "tile_id", "p"]]
 
     tiles = _tiles(spark, sf).select("map_id", "pyramid_id", "tile_id", "parent_id", "level", "x", "y", "size")
-    return pyramid.recursive_predict(tiles, model, "map_id bigint, pyramid_id string, tile_id string, p array<double>", 112)
+    return pyramid.recursive_predict(tiles, model, "map_id bigint, pyramid_id string, tile_id string, p array<double>", 112, clustered=True)
 
 
 @query("SELECT s_suppkey, CAST(CASE s_suppkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS INTEGER) AS n_rings, CAST(CASE s_suppkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 0 END AS INTEGER) AS n_points FROM supplier")

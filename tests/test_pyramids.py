@@ -138,3 +138,41 @@ def test_slopes_across_block_edges(spark):
 
     for (x, y), (dx, dy) in got.items():
         assert dx == pytest.approx(along(x, y, 1, 0)) and dy == pytest.approx(along(x, y, 0, 1))
+
+
+def _walked(spark, tiles, clustered):
+    def model(batches):
+        for b in batches:
+            b["p"] = [np.arange(s, s + (s // 8) ** 2, dtype=float) + (0 if p is None else p) for s, p in zip(b["size"], b["prior"], strict=True)]
+            yield b[["map_id", "pyramid_id", "tile_id", "p"]]
+
+    out = pyramid.recursive_predict(tiles, model, "map_id bigint, pyramid_id string, tile_id string, p array<double>", 8, clustered)
+    return {(r.map_id, r.pyramid_id, r.tile_id): r.p for r in out.collect()}, out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prediction_without_joins_whatever_the_batches(spark):
+    """A parent's prediction meets its children in its own task: nothing is broadcast, and pyramids may lie across batches, or anywhere."""
+    maps = spark.range(3).select(F.col("id").alias("map_id"), F.lit(70).alias("width"), F.lit(60).alias("height"))
+    tiles = pyramid.tiles(pyramid.origins(maps, SCALES[0], STRIDE), SCALES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        (got, plan), (same, _) = _walked(spark, tiles, True), _walked(spark, tiles.orderBy(F.md5(F.concat("tile_id", "pyramid_id"))), False)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Join" not in plan and got == same and len(got) == tiles.count() > 3 * 21 * 4
+    for key in {k[:2] for k in got}:
+        whole = np.array(got[*key, "32"]).reshape(4, 4)
+        assert (whole.reshape(-1) == 32 + np.arange(16)).all()
+        for q, (x, y) in enumerate([(0, 0), (2, 0), (0, 2), (2, 2)]):
+            part = np.array(got[*key, f"16_{q}"]).reshape(2, 2)
+            assert (part == whole[y : y + 2, x : x + 2] + 16 + np.arange(4).reshape(2, 2)).all()
+            assert [got[*key, f"8_{q}_{r}"] for r in range(4)] == [[8 + part[r // 2, r % 2]] for r in range(4)]
+
+
+def test_maps_of_a_small_table_are_spread_once(spark):
+    """One partition of maps becomes as many as the session's shuffles have, and what is counted by map or pyramid is not shuffled again."""
+    maps = spark.range(40, numPartitions=1).select(F.col("id").alias("map_id"), F.lit(1000).alias("width"), F.lit(900).alias("height"))
+    tiles = pyramid.tiles(pyramid.origins(maps))
+    assert tiles.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for counted in (tiles.select("map_id", "pyramid_id").distinct(), pyramid.children(tiles, ["map_id", "pyramid_id"])):
+        assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
