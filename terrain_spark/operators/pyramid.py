@@ -45,11 +45,13 @@ def tiles(pyramids: DataFrame, scales: list[int] = SCALES) -> DataFrame:
 def training_index(pyramids: DataFrame, weights: DataFrame) -> DataFrame:
     """Tiles of the pyramids (map_id, pyramid_id, path, ox, oy) that have weights (map_id, pyramid_id, ...).
 
-    A path under ``test`` is a leak: reading the index then fails and names it, so that no training run begins.
+    A path under ``test`` is a leak: reading the index then fails and names it, so that no training run begins. Neither side is broadcast: both
+    grow with the maps, though the table they are made of may be small.
     """
     leak = F.when(idents.under_test(F.col("path")), F.raise_error(F.concat(F.lit("test data in the training index: "), F.col("path"))))
     safe = pyramids.where(F.coalesce(leak.cast("boolean"), F.lit(True)))
-    return tiles(safe.join(weights, ["map_id", "pyramid_id"]))
+    key = ["map_id", "pyramid_id"]
+    return tiles(spread(safe, *key).join(spread(weights, *key).hint("merge"), key))
 
 
 def artifacts(tile_id: Column) -> Column:

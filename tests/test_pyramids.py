@@ -176,3 +176,10 @@ def test_maps_of_a_small_table_are_spread_once(spark):
     assert tiles.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     for counted in (tiles.select("map_id", "pyramid_id").distinct(), pyramid.children(tiles, ["map_id", "pyramid_id"])):
         assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_training_index_is_not_broadcast(spark):
+    maps = spark.range(9).select(F.col("id").alias("map_id"), F.lit(1000).alias("width"), F.lit(900).alias("height"))
+    found = pyramid.origins(maps).withColumn("path", F.lit("data/train/a"))
+    index = pyramid.training_index(found, found.where("map_id % 3 > 0").select("map_id", "pyramid_id"))
+    assert "Broadcast" not in index._jdf.queryExecution().executedPlan().toString() and index.count() == 21 * found.where("map_id % 3 > 0").count()
