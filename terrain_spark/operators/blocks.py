@@ -143,13 +143,13 @@ def on_blocks(pixels: DataFrame, key: list[str], reach: int, added: dict[str, T.
     own = [c for c in pixels.columns if c not in added]
     rows = pixels.select("*", F.inline(near))
     schema = T.StructType([*[pixels.schema[c] for c in own], *[T.StructField(c, t) for c, t in added.items()]])
-    wide = side + 2 * reach
 
     def run(table: pa.Table) -> pa.Table:
-        left, top = table.column("_bx")[0].as_py() * side - reach, table.column("_by")[0].as_py() * side - reach
-        at = (table.column("y").to_numpy() - top, table.column("x").to_numpy() - left)
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        top, left = y.min() - reach, x.min() - reach  # no wider than the pixels that are there: many rasters are smaller than a block
+        at = (y - top, x - left)
         mine = table.column("_own").to_numpy()
-        got = compute(table, at, (wide, wide))
+        got = compute(table, at, (int(y.max() - top) + reach + 1, int(x.max() - left) + reach + 1))
         kept, mine_at = table.filter(pa.array(mine)), (at[0][mine], at[1][mine])
         return pa.table([*[kept.column(c) for c in own], *[pa.array(g[mine_at], from_pandas=True).cast(to_arrow_type(t)) for g, t in zip(got, added.values(), strict=True)]], names=schema.names)
 

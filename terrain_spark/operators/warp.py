@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import classes, geo
 from . import assembly, raster
 from .blocks import sampled
+from .spread import spread
 
 #: EPSG codes of the projections that maps may have.
 GEOGRAPHIC, MERCATOR = 4326, 3857
@@ -113,6 +114,7 @@ def labels(maps: DataFrame, cover: DataFrame, cover_grid: Grid, heights: DataFra
     ``cover``: tile_id, lat_sw, lon_sw, x, y, code, 0 being none; ``heights``: the same with z. ``spacing``: metres of a pixel of the grid on which slopes
     are taken. Water, unknown cover and ground without heights have no topography.
     """
+    maps = spread(maps, "map_id")
     boxes = bounds(maps).where("reject_reason IS NULL")
     pixels = map_pixels(maps.join(boxes.select("map_id"), "map_id", "left_semi"))
     gx, gy = cover_grid.place(F.col("lon"), F.col("lat"))
@@ -121,7 +123,7 @@ def labels(maps: DataFrame, cover: DataFrame, cover_grid: Grid, heights: DataFra
     coded = coded.select("map_id", "x", "y", "lon", "lat", classes.from_world_cover(F.col("code").cast("int")).alias("lc"))
 
     grids = metric_grids(boxes, spacing)
-    ground = _grid_pixels(grids, "m_width", "m_height")
+    ground = _grid_pixels(spread(grids, "map_id"), "m_width", "m_height")
     lon, lat = geo.laea_degrees(F.col("left") + (F.col("x") + 0.5) * spacing, F.col("top") - (F.col("y") + 0.5) * spacing, F.col("lon0"), F.col("lat0"))
     hx, hy = height_grid.place(lon, lat)
     z = world_mosaic(heights, height_grid, tile_list(boxes, height_grid), "z")

@@ -6,6 +6,7 @@ import time
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrain_spark.functions import geo
 from terrain_spark.functions.taxonomy import BACKGROUNDS, LAND_COVER, PALETTES, source_weights, values
@@ -173,3 +174,14 @@ def test_a_class_of_all_tiles_is_a_ring_over_many_tasks(spark):
     tiles = spark.range(5000).select(F.col("id"), F.lit(1).alias("lc"), F.lit(None).cast("int").alias("topo"))
     got = samples.peers(tiles, "id")
     assert got.count() == 20_000 and got.where("tile = peer").count() == 0 and got.select("tile", "peer").distinct().count() == 20_000
+
+
+def test_small_rasters_take_small_blocks(spark):
+    """What is computed for a block is as large as its pixels and their edge, not as a whole block."""
+    pixels = spark.range(12).select(F.lit(1).alias("map_id"), (F.col("id") % 4).cast("int").alias("x"), (300 + F.floor(F.col("id") / 4)).cast("int").alias("y"))
+
+    def compute(table, at, shape):
+        return [np.full(shape, shape[0] * 1000.0 + shape[1])]
+
+    got = blocks.on_blocks(pixels, ["map_id"], 2, {"area": T.DoubleType()}, compute).collect()
+    assert len(got) == 12 and {r.area for r in got} == {7008.0}
