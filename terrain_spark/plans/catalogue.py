@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import classes, geo, idents
 from ..functions.taxonomy import BIOMES, DESCRIPTIONS, INSPECTION, INSPECTION_TOPOGRAPHY, LAND_COVER, PALETTES, PROMPTS, REQUIRED_FILES, TILE_PREFIXES, TOPOGRAPHY, WEIGHTS, WORLD_COVER, biomes, inspection_palette, literal, palettes, source_weights, tile_prefixes, topography_palette, values, weight_map
 from ..operators import assembly, blocks, datasets, metrics, pyramid, ranking, raster, samples, warp
+from ..operators.spread import spread
 from ..sources import files, png, pyramids, records, tiff
 from ..sources.shared import new_path
 from . import lifecycles
@@ -366,12 +367,13 @@ def annotation_plates(spark, sf):
 
 def _annotations(spark, sf):
     """Annotations of customers: two to five features, the first of every fourth malformed, sizes as text or zero."""
+    c = spread(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
     feature = lambda i: F.to_json(F.struct(F.struct(F.array(F.col("c_custkey") % 97 + i, F.col("c_custkey") % 89).alias("resourceCoords")).alias("properties"), F.struct(F.array(F.col("c_nationkey") + i, F.col("c_custkey") % 50 - i).alias("coordinates")).alias("geometry")))
     n = F.col("c_custkey") % 4 + 2
     features = F.slice(F.array(F.when(F.col("c_custkey") % 4 == 3, F.lit('{"geometry":{"coordinates":["x"]}}')).otherwise(feature(0)), *[feature(i) for i in range(1, 5)]), F.lit(1), n.cast("int"))
     width = F.when(F.col("c_custkey") % 5 == 0, "0").otherwise((F.col("c_custkey") + 100).cast("string"))
     body = F.concat(F.lit('{"id":"a'), F.col("c_custkey").cast("string"), F.lit('","body":{"features":['), F.concat_ws(",", features), F.lit('],"transformation":{"type":"polynomial"}},"target":{"source":{"id":"img","width":"'), width, F.lit('","height":300},"selector":{"type":"SvgSelector","value":"<svg/>"}}}'))
-    return table(spark, sf, "customer").select("c_custkey", body.alias("annotation"))
+    return c.select("c_custkey", body.alias("annotation"))
 
 
 @query("""
@@ -919,7 +921,7 @@ def raster_windows(spark, sf):
 def hex_tile_scan(spark, sf):
     """Labels and pixels of the tiles that have a rule, from image files of all names that are written first."""
     grey = F.unhex(F.repeat(F.lpad(F.hex(F.col("p_partkey") % 251), 2, "0"), 4))
-    named = table(spark, sf, "part").select(F.concat(_hex_name(), F.lit(".png")).alias("name"), png.encoded(grey, F.lit(2), F.lit(2), F.lit(1)).alias("content"))
+    named = spread(table(spark, sf, "part").select("p_partkey"), "p_partkey").select(F.concat(_hex_name(), F.lit(".png")).alias("name"), png.encoded(grey, F.lit(2), F.lit(2), F.lit(1)).alias("content"))
     root = new_path(spark, "hex")
     files.put(named, root)
     found = files.hex_tiles(spark, root, tile_prefixes(spark), [len(r[0]) for r in TILE_PREFIXES])
@@ -1350,7 +1352,7 @@ def raster_listing(spark, sf):
     k = F.col("p_partkey")
     folder = F.when(k % 4 == 0, "a/").when(k % 4 == 1, "b/c/").otherwise("")
     root = new_path(spark, "listing")
-    files.put(table(spark, sf, "part").select(F.concat(folder, F.lit("tile_"), k.cast("string"), F.when(k % 5 > 0, ".tif").otherwise(".png")).alias("name"), F.col("p_name").alias("content")), root)
+    files.put(spread(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey").select(F.concat(folder, F.lit("tile_"), k.cast("string"), F.when(k % 5 > 0, ".tif").otherwise(".png")).alias("name"), F.col("p_name").alias("content")), root)
     found = files.rasters(spark, f"{root}/a", root)
     parent = F.element_at(F.split("path", "/"), -2)
     return found.select("filename", F.when(parent.isin("a", "c"), parent).otherwise("root").alias("folder"), "bytes")

@@ -29,17 +29,19 @@ def control_points(features: Column) -> Column:
 def parsed_annotations(rows: DataFrame, text: str = "annotation") -> DataFrame:
     """Control points, bounds and image of each annotation (JSON text); those with fewer than three points go."""
     get = lambda path: F.get_json_object(text, path)
-    features = F.from_json(get("$.body.features"), "array<string>")
-    out = rows.withColumn("gcps", control_points(features)).where(F.size("gcps") >= 3)
+    own = [c for c in rows.columns if c != text]
+    once = lambda df, **c: df.select(*own, *[k for k in df.columns if k not in own and k not in c], F.inline(F.array(F.struct(*[v.alias(k) for k, v in c.items()]))))
+    # a generator of one row keeps Catalyst from working its columns out again wherever they are used
+    found = once(rows, _features=get("$.body.features"), _w=get("$.target.source.width").try_cast("int"), _h=get("$.target.source.height").try_cast("int"))
+    out = once(found, gcps=control_points(F.from_json("_features", "array<string>"))).where(F.size("gcps") >= 3)
     ext = lambda f, c: f(F.transform("gcps", lambda p: p[c]))
-    size = lambda c: F.when(get(f"$.target.source.{c}").try_cast("int") > 0, get(f"$.target.source.{c}").try_cast("int"))
-    both = size("width").isNotNull() & size("height").isNotNull()
+    both = (F.col("_w") > 0) & (F.col("_h") > 0)
     return out.select(
-        *[c for c in rows.columns if c != text],
+        *own,
         "gcps",
         ext(F.array_min, "lng").alias("west"), ext(F.array_min, "lat").alias("south"), ext(F.array_max, "lng").alias("east"), ext(F.array_max, "lat").alias("north"),
         get("$.target.source.id").alias("image_id"),
-        F.when(both, size("width")).alias("image_w"), F.when(both, size("height")).alias("image_h"),
+        F.when(both, F.col("_w")).alias("image_w"), F.when(both, F.col("_h")).alias("image_h"),
         get("$.body.transformation.type").alias("transformation"),
         F.when(get("$.target.selector.type") == "SvgSelector", get("$.target.selector.value")).alias("mask_svg"),
         get("$.body._allmaps.id").alias("allmaps_id"),
