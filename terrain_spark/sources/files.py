@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Callable
 
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import idents
 from ..operators import samples
+from ..operators.spread import spread
 from . import png
 
 MANIFEST = "version string, entries map<string, struct<template: string>>"
@@ -29,11 +31,54 @@ def listing(spark: SparkSession, path: str, pattern: str, recursive: bool = Fals
     return found.select("path", idents.basename(F.col("path")).alias("filename"), F.col("length").alias("bytes")).orderBy("path")
 
 
+def walked(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """path, filename and bytes of the files below a folder whose names match, for folders of very many small files.
+
+    One task walks the folder and gives rows as it goes. Spark's own reader holds every file on the driver, and makes a task of some 30 of them.
+    As there, names that begin with ``.`` or ``_`` are not seen. The path is one that ``pyarrow.fs`` knows.
+    """
+    def walk(batches):
+        import fnmatch
+        import os
+
+        from pyarrow import fs
+
+        def below(system, folder):  # noqa: ANN001, ANN202
+            if isinstance(system, fs.LocalFileSystem):
+                with os.scandir(folder) as entries:  # not as a list
+                    for e in entries:
+                        yield e.path, e.name, e.is_dir(), 0 if e.is_dir() else e.stat().st_size
+            else:
+                for i in system.get_file_info(fs.FileSelector(folder)):
+                    yield i.path, i.base_name, i.type == fs.FileType.Directory, i.size
+
+        def rows(root):  # noqa: ANN001, ANN202
+            system, first = fs.FileSystem.from_uri(root)
+            head = "file://" if isinstance(system, fs.LocalFileSystem) else root[: len(root.rstrip("/")) - len(first.rstrip("/"))]
+            todo = [system.normalize_path(first).rstrip("/")]
+            while todo:
+                for place, name, is_folder, size in below(system, todo.pop()):
+                    if name[0] == "." or (name[0] == "_" and "=" not in name):
+                        continue
+                    if is_folder:
+                        todo.append(place)
+                    elif fnmatch.fnmatchcase(name, pattern):
+                        yield head + place, name, size
+
+        for batch in batches:
+            for root in batch.column(0).to_pylist():
+                every = rows(root)
+                while some := list(itertools.islice(every, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["path", "filename", "bytes"])
+
+    return spark.range(0, 1, 1, 1).select(F.lit(path).alias("path")).mapInArrow(walk, "path string, filename string, bytes long")
+
+
 def rasters(spark: SparkSession, *paths: str) -> DataFrame:
     """All ``*.tif`` below and in the folders, each once, in the order of the folder that finds it first and of its path."""
     found = None
     for i, path in enumerate(paths):
-        one = listing(spark, path, "*.tif", recursive=True).withColumn("_i", F.lit(i))
+        one = walked(spark, path, "*.tif").withColumn("_i", F.lit(i))
         found = one if found is None else found.unionByName(one)
     return found.groupBy("path", "filename", "bytes").agg(F.min("_i").alias("_i")).orderBy("_i", "path").drop("_i")
 
@@ -131,7 +176,7 @@ def hex_tiles(spark: SparkSession, path: str, rules: DataFrame, lengths: list[in
 
     Names are listed and joined first; the content is read and decoded for those that have a rule alone.
     """
-    found = listing(spark, path, "hex_*.png", recursive=True).select("path", F.col("filename").alias("name"))
+    found = spread(walked(spark, path, "hex_*.png"), "path").select("path", F.col("filename").alias("name"))
     kept = samples.longest_prefix(found, rules, "name", lengths).select("path", "name", "lc", "topo")
 
     def look(batches):
@@ -150,19 +195,26 @@ def hex_tiles(spark: SparkSession, path: str, rules: DataFrame, lengths: list[in
 
 
 def put(content: DataFrame, root: str) -> int:
-    """Writes each row (``name``, ``content``) as a file below a folder and gives their number; a task that is tried again writes the same files."""
-    def write(batches):
+    """Writes each row (``name``, ``content``) as a file below a folder and gives their number; a task that is tried again writes the same files.
+
+    Rows come to Python in batches of bounded bytes, not of so many rows as in Arrow: a content may be large, and a task has many.
+    """
+    def write(rows):
         from pyarrow import fs
 
         system, folder = fs.FileSystem.from_uri(root)
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system.create_dir(f"{folder}/{name}".rsplit("/", 1)[0])
-                with system.open_output_stream(f"{folder}/{name}") as f:
-                    f.write(data)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
-
-    return content.select("name", F.col("content").cast("binary")).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        made, n = None, 0
+        for name, data in rows:
+            parent = f"{folder}/{name}".rsplit("/", 1)[0]
+            if parent != made:
+                system.create_dir(parent)
+                made = parent
+            with system.open_output_stream(f"{folder}/{name}") as f:
+                f.write(data)
+            n += 1
+        yield n
+
+    return content.select("name", F.col("content").cast("binary")).rdd.mapPartitions(write).sum()
 
 
 def write_frozen(df: DataFrame, path: str, refreeze: bool = False) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terrain_spark.operators import datasets
 from terrain_spark.plans import lifecycles
-from terrain_spark.sources import files, png, replay
+from terrain_spark.sources import files, png, records, replay
 from terrain_spark.streaming import arrivals
 
 
@@ -324,3 +324,30 @@ def test_arrivals_by_hour(spark):
     rows = [(f"m{i}", dt.datetime(2024, 1, 1, i // 4, i)) for i in range(10)]
     got = arrivals.arrivals_by_hour(spark.createDataFrame(rows, "map_id string, arrived timestamp")).collect()
     assert sorted((r.window.start.hour, r.n) for r in got) == [(0, 4), (1, 4), (2, 2)]
+
+
+def test_walked_folder_in_one_task(spark, tmp_path):
+    """Files of a folder and those below it, without hidden ones, and without a task for every few of them."""
+    for name in ("a.tif", "b.png", ".c.tif", "_d.tif", "x/e.tif", "x/y/f.tif", "_x/g.tif"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12")
+    want = sorted((f"file://{tmp_path}/{n}", n.rsplit("/", 1)[-1], 2) for n in ("a.tif", "x/e.tif", "x/y/f.tif"))
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        assert sorted(map(tuple, files.walked(spark, root, "*.tif").collect())) == want
+    for i in range(200):
+        (tmp_path / f"x/t{i}.tif").write_bytes(b"1")
+    assert files.walked(spark, str(tmp_path), "*.tif").rdd.getNumPartitions() == 1 and files.rasters(spark, str(tmp_path)).count() == 203
+
+
+def test_annotations_are_read_once(spark):
+    """A path of the text stands in the plan once, however many columns come from it."""
+    text = '{"id":"a","body":{"features":[]},"target":{"source":{"width":"7","height":3}}}'
+    plan = records.parsed_annotations(spark.createDataFrame([(1, text)], "k int, annotation string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(path) == 1 for path in ("$.body.features", "$.target.source.width", "$.target.source.height", "$.properties.resourceCoords[0]"))
+
+
+def test_put_takes_few_contents_at_a_time(spark, tmp_path):
+    """Files of 120 MB by one task, and none."""
+    rows = spark.range(0, 120, 1, 1).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), F.repeat(F.lit("x"), 1_000_000).alias("content"))
+    assert files.put(rows, f"file://{tmp_path}/p") == 120 and sum(f.stat().st_size for f in (tmp_path / "p").iterdir()) == 120_000_000
+    assert files.put(rows.limit(0), f"file://{tmp_path}/q") == 0
