@@ -105,7 +105,7 @@ class _Writer(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> _Written:
         system, root = _files(self.root)
-        attempt, listed = uuid.uuid4().hex, []
+        attempt, n, lines = uuid.uuid4().hex, 0, None
         for (map_id, pyramid_id), own in itertools.groupby(iterator, lambda r: (r.map_id, r.pyramid_id)):
             folder = f"data/{attempt}/{map_id}/{pyramid_id}"
             system.create_dir(f"{root}/{folder}")
@@ -115,11 +115,14 @@ class _Writer(DataSourceWriter):
             back = [(name, _get(system, f"{root}/{folder}/{name}")) for name, _ in files]
             if len({n for n, _ in files}) != self.expected or back != files:
                 raise RuntimeError(f"{folder}: {len(files)} of {self.expected} files, {sum(a != b for a, b in zip(files, back, strict=True))} read back otherwise")
-            listed.append({"attempt": attempt, "map_id": map_id, "pyramid_id": pyramid_id, "folder": folder, "n_files": len(files), "digest": digest_of(back)})
-        if listed:
-            system.create_dir(f"{root}/tasks")
-            _put(system, f"{root}/tasks/{attempt}.json", "\n".join(map(json.dumps, listed)).encode())
-        return _Written(attempt, len(listed))
+            if lines is None:
+                system.create_dir(f"{root}/tasks")
+                lines = system.open_output_stream(f"{root}/tasks/{attempt}.json")  # grows as pyramids are written; no commit names it before it is closed
+            lines.write(json.dumps({"attempt": attempt, "map_id": map_id, "pyramid_id": pyramid_id, "folder": folder, "n_files": len(files), "digest": digest_of(back)}).encode() + b"\n")
+            n += 1
+        if lines is not None:
+            lines.close()
+        return _Written(attempt, n)
 
     def commit(self, messages: list[_Written | None]) -> None:
         tasks = [m.attempt for m in messages if m is not None and m.pyramids]

@@ -6,6 +6,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from terrain_spark.operators import blocks, pyramid
@@ -183,3 +184,16 @@ def test_training_index_is_not_broadcast(spark):
     found = pyramid.origins(maps).withColumn("path", F.lit("data/train/a"))
     index = pyramid.training_index(found, found.where("map_id % 3 > 0").select("map_id", "pyramid_id"))
     assert "Broadcast" not in index._jdf.queryExecution().executedPlan().toString() and index.count() == 21 * found.where("map_id % 3 > 0").count()
+
+
+def test_list_grows_as_pyramids_are_written(tmp_path):
+    """A task's list is a stream to its file, so what a task holds does not grow with its pyramids."""
+    seen = []
+
+    def rows():
+        for i in range(3):
+            seen.append(len(glob.glob(f"{tmp_path}/tasks/*.json")))
+            yield Row(map_id="m", pyramid_id=str(i), name="a", content=b"1")
+
+    assert pyramids._Writer(f"file://{tmp_path}", 1).write(rows()).pyramids == 3 and seen[-1] == 1
+    assert len(open(glob.glob(f"{tmp_path}/tasks/*.json")[0]).readlines()) == 3
