@@ -120,9 +120,12 @@ class ChunkEncoder:
 
     def _cut(self, some: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """All ids of the chunks, each with the space before it, and where each chunk's end."""
-        ids = np.array(self.lib.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        text = " " + " ".join(some)
+        ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         upto = np.cumsum(self.bytes_of[ids])
-        ends = np.cumsum(np.fromiter((len(x.encode("utf-8", "surrogatepass")) + 1 for x in some), np.int64, len(some)))
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        lengths = np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))  # bytes of UTF-8
+        ends = lengths[np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1) - 1]
         at = np.searchsorted(upto, ends)
         if not len(upto) or at[-1] != len(upto) - 1 or (upto[at] != ends).any():
             return None

@@ -33,15 +33,43 @@ SHARD_IDS, START, STEP, LEAST, RANGE_BYTES, MOST_PARTS = 1_000_000, 1024, 4, 4,
 
 
 class Encoder:
-    """Ids as bytes by the tokenizers library, remembered for each chunk up to a bound."""
+    """Ids as bytes by the tokenizers library, remembered for each chunk up to a bound.
+
+    Signs at the end of a word are a match of their own, so a new chunk that ends in them is its word and its signs, which
+    the library sees once each. An apostrophe is no such sign, as contractions begin with it.
+    """
+
+    SIGNS, LETTERS = ".,;:!?$%&*#|<>()[]{}=+-/\"", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789äöüßáéíóúñàâçèêëîïôûùÄÖÜÁÉÍÓÚÑÀÂÇÈÊ")
 
     def __init__(self, data: bytes, bound: int = 400_000):
-        self.lib, self.known = ChunkEncoder(data), Recent(bound)
+        self.lib, self.known, self.tails = ChunkEncoder(data), Recent(bound), {}
         self.kind = "<u2" if self.lib.lib.get_vocab_size() <= 1 << 16 else "<u4"
 
+    def _new(self, some: list[str]) -> list[bytes]:
+        """Ids of chunks that are not known yet."""
+        known, older, signs, letters = self.known.new, self.known.old, self.SIGNS, self.LETTERS
+        stems = [x if (y := x.rstrip(signs)) == x or y[-1:] not in letters else y for x in some]
+        rest = [y for y in dict.fromkeys(stems) if y not in known and y not in older]
+        made = dict(zip(rest, self.lib.packed(rest, self.kind), strict=True))
+        out = []
+        for x, y in zip(some, stems, strict=True):
+            ids = made.get(y) or known.get(y) or older[y]
+            out.append(ids if y is x else ids + self._tail(x[len(y) :]))
+        # words whose signs differ are asked for again and again, so they are kept like chunks
+        known.update(made)
+        return out
+
+    def _tail(self, signs: str) -> bytes:
+        found = self.tails.get(signs)
+        if found is None:
+            if len(self.tails) >= 10_000:
+                self.tails.clear()
+            found = self.tails[signs] = self.lib.exact([signs])[0].astype(self.kind).tobytes()
+        return found
+
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         cut = [None if not self.lib.apart or any(s in x for s in self.lib.special) else chunks(x) for x in texts]
-        rest = self.known.values([p[1:] if p else [] for p in cut], lambda some: self.lib.packed(some, self.kind))
+        rest = self.known.values([p[1:] if p else [] for p in cut], self._new)
         last = np.array([end], self.kind).tobytes()
         first = [x.astype(self.kind).tobytes() for x in self.lib.exact([x if p is None else p[0] for x, p in zip(texts, cut, strict=True)])]
         return [a + b"".join(b) + last for a, b in zip(first, rest, strict=True)]
@@ -103,40 +131,65 @@ def _frequent(seq: np.ndarray, near: np.ndarray | None, limit: int) -> tuple[np.
     Of a row of equal symbols every second place counts, from the first. ``near``: the places to look at.
     """
     if near is None:
-        at, pairs = np.arange(len(seq) - 1), seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        at, slot = None, _slots(seq[:-1], seq[1:])
     else:
-        at = np.unique(np.concatenate((near, near - 1)))
-        at = at[(at >= 0) & (at < len(seq) - 1)]
-        pairs = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        mark = np.zeros(len(seq), bool)
+        mark[near] = True
+        mark[near[near > 0] - 1] = True
+        at = np.flatnonzero(mark[:-1])
+        slot = _slots(seq[at], seq[at + 1])
+    if len(slot) > _FEW:
+        # counters of hashes are never too low, so what they rule out is not sorted; where that is much, a second hash rules out most of the rest
+        all_of = len(slot)
+        some = np.flatnonzero((np.bincount(slot, minlength=1 << _SLOT_BITS) >= limit)[slot])
+        at, slot = some if at is None else at[some], slot[some]
+        if 2 * len(at) < all_of:
+            other = _slots(seq[at + 1], seq[at])
+            some = np.flatnonzero((np.bincount(other, minlength=1 << _SLOT_BITS) >= limit)[other])
+            at, slot = at[some], slot[some]
+    elif at is None:
+        at = np.arange(len(slot))
     same = np.flatnonzero(seq[:-1] == seq[1:])
     if len(same):
         place = np.arange(len(same))
         begins = np.concatenate(([True], np.diff(same) > 1))
         odd = np.zeros(len(seq), bool)
         odd[same[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 1]] = True
-        at, pairs = at[~odd[at]], pairs[~odd[at]]
-    slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-    if near is None:
-        # counters of hashes are never too low, so what they rule out is not sorted
-        some = np.flatnonzero(np.bincount(slot, minlength=1 << _SLOT_BITS)[slot] >= limit)
-        at, pairs, slot = at[some], pairs[some], slot[some]
+        stay = ~odd[at]
+        at, slot = at[stay], slot[stay]
+    pairs = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
     order = np.sort(pairs)
     edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1], [True]))) if len(order) else np.zeros(1, np.int64)
     count = np.diff(edge)
     found, count = order[edge[:-1]][count >= limit], count[count >= limit]
     if not len(found):
         return found, at[:0], at[:0], count
-    # a table by hash finds nearly all, a search the others
-    table = np.zeros(1 << _SLOT_BITS, np.int32)
-    table[(found * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)] = np.arange(len(found))
-    which = table[slot].astype(np.int64)
-    miss = np.flatnonzero(found[which] != pairs)
-    which[miss] = np.minimum(np.searchsorted(found, pairs[miss]), len(found) - 1)
-    hit = found[which] == pairs
+    if len(at) > _FEW:
+        # a table by hash finds nearly all, a search the others
+        table = np.zeros(1 << _SLOT_BITS, np.int32)
+        table[_slots((found >> np.uint64(32)).astype(np.uint32), found.astype(np.uint32))] = np.arange(len(found))
+        which = table[slot].astype(np.int64)
+        hit = found[which] == pairs
+        miss = np.flatnonzero(~hit)
+        which[miss] = np.minimum(np.searchsorted(found, pairs[miss]), len(found) - 1)
+        hit[miss] = found[which[miss]] == pairs[miss]
+    else:
+        which = np.minimum(np.searchsorted(found, pairs), len(found) - 1)
+        hit = found[which] == pairs
     return found, at[hit], which[hit], count
 
 
-_SLOT_BITS = 20
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of unsigned 32-bit symbols, of ``_SLOT_BITS`` bits."""
+    return ((left * np.uint32(0x9E3779B1) ^ right) * np.uint32(0x85EBCA77) >> np.uint32(32 - _SLOT_BITS)).astype(np.int64)
+
+
+#: Bits of the hashes of pairs; places so few that they are sorted at once.
+_SLOT_BITS, _FEW = 20, 1 << 14
+
+
+#: Ids of a rule up to which its ids stand in a table when a shard is read; a table of 1,000 rules has 32,000 at most.
+_SHORT = 32
 
 
 class Shard:
@@ -146,9 +199,23 @@ class Shard:
         self.first, self.rules, self.symbols = first_rule, rules.reshape(-1, 2).astype(np.int64), symbols.astype(np.int64)
         self.size = np.concatenate([np.ones(first_rule, np.int64), lengths.astype(np.int64)])
         self.start = np.concatenate(([0], np.cumsum(self.size[self.symbols])))
+        self.short = self.place = None
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        while len(at := np.flatnonzero(symbols >= self.first)):
+        """The ids of ``symbols``: long rules are taken apart until all are short, whose ids stand in a table."""
+        symbols = self._apart(symbols, _SHORT)
+        if self.short is None:
+            few = np.flatnonzero(self.size[self.first :] <= _SHORT) + self.first
+            self.short = np.concatenate([np.arange(self.first, dtype="<u4"), self._apart(few, 1).astype("<u4")])
+            self.place = np.zeros(len(self.size), np.int64)
+            self.place[: self.first] = np.arange(self.first)
+            self.place[few] = self.first + np.cumsum(self.size[few]) - self.size[few]
+        size = self.size[symbols]
+        return self.short[np.repeat(self.place[symbols] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+    def _apart(self, symbols: np.ndarray, most: int) -> np.ndarray:
+        """Takes rules of more than ``most`` ids apart, again and again."""
+        while len(at := np.flatnonzero(self.size[symbols] > most)):
             times = np.ones(len(symbols), np.int64)
             times[at] = 2
             where = np.cumsum(times) - times
@@ -156,7 +223,7 @@ class Shard:
             pair = self.rules[symbols[at] - self.first]
             out[where[at]], out[where[at] + 1] = pair[:, 0], pair[:, 1]
             symbols = out
-        return symbols.astype("<u4")
+        return symbols
 
     def read(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from ``start`` on; only the symbols that cover them are expanded."""

@@ -237,3 +237,26 @@ def test_repair_files(spark, lib):
     ordered = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert ordered == [d for d, _, _ in want]
     assert repair.written(df.limit(0), JSON).count() == 0
+
+
+def test_words_that_differ_in_their_signs_reach_the_library_once():
+    """Signs at a word's end are a match of their own; ids are those of the whole text all the same."""
+    with open(JSON, "rb") as f:
+        encoder = repair.Encoder(f.read())
+    asked, packed = [], encoder.lib.packed
+    encoder.lib.packed = lambda some, kind: asked.extend(some) or packed(some, kind)
+    texts = ["a zorbling, zorbling. zorbling%%% zorbling", "the zorbling?! zorbling's. zorbling'; ... zorbling.\nNo größe. größe, é. é ٣. x²: ​.", "b zorbling$$$ größe$ 7. 7%", "a b.  . .. ' '. ''.", ""]
+    got = [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts[:1], 0) + encoder.encode(texts[1:], 0)]
+    library = encoder.lib.lib
+    assert got == [library.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+    assert asked.count("zorbling") == 1 and not any(x.startswith("zorbling") and x.strip(".,%?!$") == "zorbling" and x != "zorbling" for x in asked)
+
+
+def test_reading_a_shard_takes_long_rules_apart(monkeypatch):
+    """Rules longer than the table's are taken apart first, whatever its bound; all ranges are those that were written."""
+    ids = np.tile(np.random.default_rng(3).integers(0, 500, 300), 40)
+    made = repair.compress(ids, 500)
+    for bound in (1, 2, 32, 1 << 20):
+        monkeypatch.setattr(repair, "_SHORT", bound)
+        shard = repair.Shard(500, *made)
+        assert all((shard.read(a, n) == ids[a : a + n]).all() for a, n in ((0, len(ids)), (0, 1), (17, 1000), (len(ids) - 1, 1), (5, 0)))
