@@ -102,9 +102,9 @@ def missing_files(present: DataFrame) -> DataFrame:
     return every.join(have, "map_id", "left").select("map_id", F.sort_array(F.array_except(need, F.coalesce("have", F.array().cast("array<string>")))).alias("missing")).where(F.size("missing") > 0)
 
 
-def incomplete_pyramids(objects: DataFrame, least: int = 60) -> DataFrame:
-    """Pyramids with fewer images than they need."""
-    return objects.groupBy("pyramid_id").agg(F.count_if(F.col("name").endswith(".png")).alias("n_png")).where(F.col("n_png") < least)
+def incomplete_pyramids(objects: DataFrame, least: int = 60, within: tuple[str, ...] = ()) -> DataFrame:
+    """Pyramids with fewer images than they need; ``within``: columns that ids are unique in, so that rows spread by them are not shuffled again."""
+    return objects.groupBy(*within, "pyramid_id").agg(F.count_if(F.col("name").endswith(".png")).alias("n_png")).where(F.col("n_png") < least)
 
 
 def unfinished(expected: DataFrame, done: DataFrame, key: str) -> DataFrame:

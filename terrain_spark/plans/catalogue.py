@@ -561,8 +561,9 @@ _lost = "(length(tile_id) * 7 + map_id * 3 + x + y) % 11"
 @query(f"WITH {TILES_SQL}, o AS (SELECT map_id || '/' || pyramid_id AS pyramid_id, tile_id || k AS name FROM tiles CROSS JOIN (SELECT unnest(['_image.png', '_land_cover.png', '_topography.png']) AS k) WHERE {_lost} <> 0 OR map_id % 2 = 0) SELECT pyramid_id, count(*) AS n_png FROM o GROUP BY 1 HAVING count(*) < 60")
 def pyramid_complete(spark, sf):
     rows = _tiles(spark, sf).where(F.expr(f"{_lost} <> 0 OR map_id % 2 = 0"))
-    named = rows.select(F.concat_ws("/", F.col("map_id").cast("string"), "pyramid_id").alias("pyramid_id"), pyramid.artifacts(F.col("tile_id")).alias("a"))
-    return datasets.incomplete_pyramids(named.select("pyramid_id", F.explode(F.array("a.image", "a.land_cover", "a.topography")).alias("name")))
+    named = rows.select("map_id", "pyramid_id", pyramid.artifacts(F.col("tile_id")).alias("a"))
+    found = datasets.incomplete_pyramids(named.select("map_id", "pyramid_id", F.explode(F.array("a.image", "a.land_cover", "a.topography")).alias("name")), within=("map_id",))
+    return found.select(F.concat_ws("/", F.col("map_id").cast("string"), "pyramid_id").alias("pyramid_id"), "n_png")
 
 
 @query(f"WITH {TILES_SQL} SELECT DISTINCT map_id, pyramid_id FROM tiles WHERE size = 224 AND (x + y) % 5 = 0")

@@ -179,6 +179,17 @@ def test_maps_of_a_small_table_are_spread_once(spark):
         assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
+def test_images_of_pyramids_are_counted_where_maps_are_spread(spark, tmp_path):
+    """The query counts by map and pyramid and names pyramids afterwards, so that tiles' maps are shuffled and no counts."""
+    from terrain_spark.plans import catalogue
+
+    spark.range(1, 60).selectExpr("id AS p_partkey", "int(id % 50 + 1) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    found = catalogue.QUERIES["pyramid_complete"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {r.pyramid_id: r.n_png for r in found.collect()}
+    assert got and all(k.count("/") == 1 and int(k.split("/")[0]) % 2 and n < 60 for k, n in got.items())
+
+
 def test_training_index_is_not_broadcast(spark):
     maps = spark.range(9).select(F.col("id").alias("map_id"), F.lit(1000).alias("width"), F.lit(900).alias("height"))
     found = pyramid.origins(maps).withColumn("path", F.lit("data/train/a"))
