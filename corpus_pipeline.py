@@ -44,9 +44,15 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text (little-endian unsigned 32-bit) and their number."""
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Token ids of each text (little-endian unsigned 32-bit) and their number.
 
+    Python processes go on to other stages with what they keep, so they keep less than for this stage alone.
+    """
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, cache=CACHE)
+
+
+#: Chunks, and pieces of chunks, that a Python process keeps with their ids.
+CACHE = 200_000
 
 STAGES = [
     ("quality", choose_quality),

@@ -19,6 +19,10 @@ from .common import F, T, add_columns, chunks, map_arrow, texts_of
 _NONE = 1 << 62
 #: Children of a node of the segment tree: the minimum of so many neighbours is one call.
 _FAN = 16
+#: Rows whose ids are handed on at once, so that of a batch of 10,000 long texts not all ids are held.
+ROWS = 500
+#: Chunks, and pieces of chunks, that a Python process keeps with their ids (up to 100 MB each).
+CACHE = 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -30,7 +34,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class ByteBPE:
     """Encodes and decodes with ``ranks``; ``pattern`` cuts a text into the pieces that are merged separately."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
         self.ranks, self.find, self.bound = ranks, regex.compile(pattern).findall, cache
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -121,15 +125,15 @@ class ByteBPE:
         return b"".join(map(self.token.__getitem__, memoryview(ids).cast("I")))
 
 
-def _shipped(df: DataFrame, path: str, pattern: str):
+def _shipped(df: DataFrame, path: str, pattern: str, cache: int = CACHE):
     """Makes a ``ByteBPE`` on the executors; one in each Python process. The rank file has a fixed size."""
     with open(path, "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
 
     def get() -> ByteBPE:
-        key = (path, pattern)
+        key = (path, pattern, cache)
         if key not in _MADE:
-            _MADE[key] = ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}, pattern)
+            _MADE[key] = ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}, pattern, cache)
         return _MADE[key]
 
     return get
@@ -138,9 +142,9 @@ def _shipped(df: DataFrame, path: str, pattern: str):
 _MADE: dict[tuple, ByteBPE] = {}
 
 
-def encode_documents(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", n: str = "n_tokens") -> DataFrame:
-    """Adds ``ids`` (binary, little-endian unsigned 32-bit) and their number ``n``; ``text`` goes."""
-    get = _shipped(df, ranks, pattern)
+def encode_documents(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", n: str = "n_tokens", cache: int = CACHE) -> DataFrame:
+    """Adds ``ids`` (binary, little-endian unsigned 32-bit) and their number ``n``; ``text`` goes. ``cache``: chunks that a Python process keeps."""
+    get = _shipped(df, ranks, pattern, cache)
     kept = [c for c in df.columns if c not in (text, ids, n)]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(ids, T.BinaryType()), T.StructField(n, T.LongType())])
 
@@ -148,8 +152,10 @@ def encode_documents(df: DataFrame, ranks: str, pattern: str, text: str = "text"
         encode = get().encode
 
         def each(batch: pa.RecordBatch):
-            out = [encode(x) for x in texts_of(batch.column(len(kept)))]
-            yield add_columns(batch.select(kept), [pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], [ids, n])
+            for i in range(0, batch.num_rows, ROWS):
+                some = batch.slice(i, ROWS)
+                out = [encode(x) for x in texts_of(some.column(len(kept)))]
+                yield add_columns(some.select(kept), [pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], [ids, n])
 
         return each
 

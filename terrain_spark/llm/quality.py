@@ -21,6 +21,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,8 @@ BUCKETS = (1 << 20, 1 << 16)
 KINDS = (slice(0, BUCKETS[0]), slice(BUCKETS[0], sum(BUCKETS)))
 #: Log weights are divided by the temperature before noise is added.
 TEMPERATURE, SEED = 1.0, 17
+#: Rows that are weighed at once, so that of a batch of 10,000 long texts not all are held as strings.
+ROWS = 1000
 
 
 _RUNS = re.compile(r"([A-Za-z0])\1+")
@@ -73,26 +76,36 @@ class NGrams:
 COUNTS = T.StructType([T.StructField("lang", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("at", "target", "raw", "target_docs", "raw_docs")]])
 
 
+def counted(batches: Iterable[pa.RecordBatch], groups: dict[str | None, int]) -> Iterator[pa.RecordBatch]:
+    """Counts of texts by group of languages, handed on whenever another group begins, so that those of one (18 MB) are held at a time."""
+    ngrams, own, table = NGrams(), None, None
+
+    def found() -> pa.RecordBatch:
+        at = np.flatnonzero(table[1])
+        arrays = [at.astype("<u4"), *[x[at] for x in table]]
+        return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], names=COUNTS.names)
+
+    for batch in batches:
+        for text, lang, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            group = groups.get(lang, LANGUAGES - 1)
+            if group != own:
+                if table is not None:
+                    yield found()
+                own, table = group, np.zeros((4, sum(BUCKETS)), np.uint32)
+            at, n = np.unique(ngrams.of(text or "", lang), return_counts=True)
+            table[1, at] += n.astype(np.uint32)
+            table[3, at] += np.uint32(1)
+            if target:
+                table[0, at] += n.astype(np.uint32)
+                table[2, at] += np.uint32(1)
+    if table is not None:
+        yield found()
+
+
 def _count(sample: DataFrame, groups: dict[str | None, int]) -> DataFrame:
     """Of each group of languages the buckets that occur; their occurrences, and documents, in target and raw text."""
-
-    def run(batches):
-        ngrams, tables = NGrams(), {}
-        for batch in batches:
-            for text, lang, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, n = np.unique(ngrams.of(text or "", lang), return_counts=True)
-                table = tables.setdefault(groups.get(lang, LANGUAGES - 1), np.zeros((4, sum(BUCKETS)), np.uint32))
-                table[1, at] += n.astype(np.uint32)
-                table[3, at] += np.uint32(1)
-                if target:
-                    table[0, at] += n.astype(np.uint32)
-                    table[2, at] += np.uint32(1)
-        for group, table in tables.items():
-            at = np.flatnonzero(table[1])
-            arrays = [at.astype("<u4"), *[x[at] for x in table]]
-            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], names=COUNTS.names)
-
-    return sample.select("text", "lang", "target").mapInArrow(run, COUNTS)
+    # sorted, so that a language's texts follow each other within a task
+    return sample.select("text", "lang", "target").sortWithinPartitions("lang").mapInArrow(lambda batches: counted(batches, groups), COUNTS)
 
 
 @dataclass
@@ -153,23 +166,26 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, parts: int = 8)
     return ratios(tables, groups, 1.0 if share is None else share)
 
 
-def weigh(df: DataFrame, model: Model) -> DataFrame:
-    """``df`` without ``text`` and ``lang``, with log_weight. The models have a fixed size (4 MB)."""
+def weigh(df: DataFrame, model: Model, row: str | None = None) -> DataFrame:
+    """``df`` without ``text`` and ``lang``, with log_weight; with ``row``, the text is that of this struct and is sent once. The models have a fixed size (4 MB)."""
     sent = df.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in df.columns if c not in ("text", "lang", "log_weight")]
+    at = None if row is None else [c.lower() for c in df.schema[row].dataType.names].index("text")
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("log_weight", T.DoubleType())])
 
     def make():
         ngrams, model = NGrams(), sent.value
 
         def each(batch: pa.RecordBatch):
-            texts, langs = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()
-            got = [model.weight(ngrams.of(x, l), l) if x else 0.0 for x, l in zip(texts, langs, strict=True)]
-            return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(got, pa.float64())], names=schema.names)
+            for i in range(0, batch.num_rows, ROWS):
+                some = batch.slice(i, ROWS)
+                texts = some.column(len(kept) + 1) if row is None else some.column(kept.index(row)).field(at)
+                got = [model.weight(ngrams.of(x, l), l) if x else 0.0 for x, l in zip(texts.to_pylist(), some.column(len(kept)).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], pa.array(got, pa.float64())], names=schema.names)
 
         return each
 
-    return map_arrow(df.select(*kept, "text", "lang"), schema, make)
+    return map_arrow(df.select(*kept, "lang", *(["text"] if row is None else [])), schema, make)
 
 
 def gumbel(df: DataFrame, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
@@ -227,5 +243,5 @@ def accept(df: DataFrame, labels: DataFrame, k: int | None = None, share: float
     """The rows of ``df`` that are kept, with their columns."""
     model = fit(df, labels, sample)
     row = free_name(df, "row")
-    rows = df.select("doc_id", "text", "lang", F.struct(*[F.col(c) for c in df.columns]).alias(row))
-    return choose(weigh(rows, model), k, model.share if share is None else share, temperature).where("kept").select(f"{row}.*")
+    rows = df.select("doc_id", "lang", F.struct(*[F.col(c) for c in df.columns]).alias(row))
+    return choose(weigh(rows, model, row), k, model.share if share is None else share, temperature).where("kept").select(f"{row}.*")

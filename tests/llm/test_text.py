@@ -655,3 +655,22 @@ def test_verdicts_and_distances_equal_brute_force(spark):
 def test_chi_square_constants():
     assert outliers.cut_of(0.05) == pytest.approx(9.4877, abs=1e-3)
     assert outliers.consistency(0.75) == pytest.approx(1.49, abs=0.02)
+
+
+def test_quality_counts_hold_one_group_of_languages_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    langs = [f"l{i:02}" for i in range(30)]
+    rows = [(prose(30, i), lang, i % 2 == 0) for lang in langs for i in range(4)]
+    groups = {lang: i for i, lang in enumerate(langs[: quality.LANGUAGES - 1])}
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["text", "lang", "target"])
+    tracemalloc.start()
+    out = list(quality.counted([batch], groups))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * 16 * sum(quality.BUCKETS)  # tables of four counts of four bytes; before, there were as many as groups
+    assert [b.column(0)[0].as_py() for b in out] == list(range(quality.LANGUAGES))
+    words, texts = (sum(np.frombuffer(b.column(i)[0].as_py(), np.uint32)[np.frombuffer(b.column(1)[0].as_py(), "<u4") < quality.BUCKETS[0]].sum() for b in out) for i in (3, 2))
+    assert words == 30 * len(rows) and texts == 15 * len(rows)

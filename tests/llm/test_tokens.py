@@ -80,6 +80,16 @@ def test_bpe_keeps_other_columns_and_takes_empty_tables(spark):
     assert bpe.digests(df.limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_bpe_keeps_as_many_chunks_as_it_is_told(spark, tik):
+    few = bpe.ByteBPE(bpe.read_ranks(RANKS), P.PATTERN, cache=5)
+    texts = [" ".join(f"w{i}, x{i}" for i in range(k, k + 40)) for k in range(0, 400, 40)]
+    assert [array("I", few.encode(x)).tolist() for x in texts] == [tik.encode_ordinary(x) for x in texts]
+    assert len(few._chunks) <= 5 and len(few._pieces) <= 5
+    rows = spark.createDataFrame(list(enumerate(texts * 150)), "doc_id long, text string").coalesce(1)  # more rows than are handed on at once
+    out = bpe.encode_documents(rows, RANKS, P.PATTERN, cache=5).collect()
+    assert [(r.doc_id, array("I", r.ids).tolist(), r.n_tokens) for r in out] == [(i, ids := tik.encode_ordinary(x), len(ids)) for i, x in enumerate(texts * 150)]
+
+
 def test_token_counts_equal_library(spark, lib):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "a b"), (3, "a")]
     got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), JSON, limit=100).collect()
