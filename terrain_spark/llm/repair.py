@@ -18,61 +18,188 @@ names; an empty table gives no file and no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ChunkEncoder, F, Recent, T, chunks, input_bytes, map_arrow, portions, shared_dir, texts_of
+from .common import ChunkEncoder, F, T, input_bytes, map_arrow, shared_dir
 
 #: Ids in a shard at which it ends; how often a pair occurs to become a rule: in the first round, what it is divided by
 #: each round, and at least, as a rule takes the bytes of some three symbols. Bytes of input for each partition, and how many
 #: partitions there are at most: what the driver holds of them are bounds and two numbers each; beyond it they get larger.
 SHARD_IDS, START, STEP, LEAST, RANGE_BYTES, MOST_PARTS = 1_000_000, 1024, 4, 4, 16 << 20, 20_000
+#: Characters of the longest chunk whose ids are kept.
+LONGEST = 64
+
+
+class WordEncoder(ChunkEncoder):
+    """A word of letters, with the space before it, is one match, so the library's model gets it without being searched for matches."""
+
+    LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZäöüßáéíóúñàâçèêëîïôûùÄÖÜÁÉÍÓÚÑÀÂÇÈÊ"
+
+    def __init__(self, data: bytes):
+        import tokenizers
+
+        super().__init__(data)
+        self.one_match = re.compile(f"[{self.LETTERS}]+").fullmatch
+        cut = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: bytes as the vocabulary has them
+        self.space, self.written = cut.pre_tokenize_str(" ")[0][0], {ord(x): cut.pre_tokenize_str(x)[0][0] for x in self.LETTERS if not x.isascii()}
+        self.model = tokenizers.Tokenizer(self.lib.model)
+        self.model.pre_tokenizer = tokenizers.pre_tokenizers.CharDelimiterSplit("\n")
+
+    def packed(self, some: list[str], kind: str) -> list[bytes]:
+        words = list(filter(self.one_match, some)) if self.apart else []
+        made = {}
+        for part in ([x for x in words if x.isascii()], [x for x in words if not x.isascii()]):
+            if part:
+                made.update(zip(part, self._words(part, kind), strict=True))
+        other = [x for x in some if x not in made]
+        made.update(zip(other, super().packed(other, kind), strict=True))
+        return list(map(made.__getitem__, some))
+
+    def _words(self, some: list[str], kind: str) -> list[bytes]:
+        text = self.space + f"\n{self.space}".join(some)
+        if not text.replace(self.space, "").isascii():
+            text = text.translate(self.written)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        upto = np.cumsum(self.bytes_of[ids])
+        ends = np.cumsum(np.fromiter(map(len, text.split("\n")), np.int64, len(some)))
+        at = np.searchsorted(upto, ends)
+        if not len(upto) or at[-1] != len(upto) - 1 or (upto[at] != ends).any():
+            return super().packed(some, kind)
+        data, ends = ids.astype(kind).tobytes(), ((at + 1) * np.dtype(kind).itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 class Encoder:
-    """Ids as bytes by the tokenizers library, remembered for each chunk up to a bound.
+    """Ids by the tokenizers library, remembered for each chunk (see ``chunks``; here with the space before it) up to a bound.
 
-    Signs at the end of a word are a match of their own, so a new chunk that ends in them is its word and its signs, which
-    the library sees once each. An apostrophe is no such sign, as contractions begin with it.
+    A portion's texts are cut where its bytes say so, without a string for each chunk; only chunks that differ are looked up.
+    Signs at the end of a word are a match of their own, so a chunk that ends in them is two, its word and its signs, and the
+    library sees each once. An apostrophe is no such sign, as contractions begin with it.
     """
 
     SIGNS, LETTERS = ".,;:!?$%&*#|<>()[]{}=+-/\"", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789äöüßáéíóúñàâçèêëîïôûùÄÖÜÁÉÍÓÚÑÀÂÇÈÊ")
+    #: White space by its UTF-8: of one byte, and the others by three bytes, or two and none.
+    WHITE = np.array([chr(i).isspace() for i in range(128)] + [False] * 128)
+    WIDE = np.array([int.from_bytes(b.ljust(3, b"\0")) for i in range(128, 1 << 16) if chr(i).isspace() for b in [chr(i).encode()]])
 
-    def __init__(self, data: bytes, bound: int = 400_000):
-        self.lib, self.known, self.tails = ChunkEncoder(data), Recent(bound), {}
+    SIGN, LETTER = np.isin(np.arange(256), [*map(ord, SIGNS)]), np.isin(np.arange(256), [ord(x) for x in LETTERS if x.isascii()])
+    #: Second bytes of the other letters; the first is 0xC3.
+    SECOND = np.isin(np.arange(256), [x.encode()[1] for x in LETTERS if not x.isascii()])
+
+    def __init__(self, data: bytes, bound: int = 800_000):
+        self.lib, self.bound, self.new, self.old = WordEncoder(data), bound, {}, {}
         self.kind = "<u2" if self.lib.lib.get_vocab_size() <= 1 << 16 else "<u4"
 
-    def _new(self, some: list[str]) -> list[bytes]:
-        """Ids of chunks that are not known yet."""
-        known, older, signs, letters = self.known.new, self.known.old, self.SIGNS, self.LETTERS
-        stems = [x if (y := x.rstrip(signs)) == x or y[-1:] not in letters else y for x in some]
-        rest = [y for y in dict.fromkeys(stems) if y not in known and y not in older]
-        made = dict(zip(rest, self.lib.packed(rest, self.kind), strict=True))
-        out = []
-        for x, y in zip(some, stems, strict=True):
-            ids = made.get(y) or known.get(y) or older[y]
-            out.append(ids if y is x else ids + self._tail(x[len(y) :]))
-        # words whose signs differ are asked for again and again, so they are kept like chunks
-        known.update(made)
+    def _made(self, some: list[str]) -> dict[str, bytes]:
+        """Ids of different chunks, by the library."""
+        special = self.lib.special
+        apart = [x for x in some if x[:1] == " " and not any(s in x for s in special)] if self.lib.apart else []
+        made = dict(zip(apart, self.lib.packed([x[1:] for x in apart], self.kind), strict=True))
+        if len(made) < len(some):
+            rest = [x for x in some if x not in made]
+            made.update(zip(rest, (x.astype(self.kind).tobytes() for x in self.lib.exact(rest)), strict=True))
+        return made
+
+    def _values(self, words: list[str]) -> list[bytes]:
+        """The ids of different chunks: from before, or from the library."""
+        if len(self.new) >= self.bound:
+            self.old, self.new = self.new, {}
+        out = list(map(self.new.get, words))
+        missing = [i for i, v in enumerate(out) if v is None]
+        rest = []
+        for i in missing:
+            found = out[i] = self.old.get(x := words[i])
+            if found is None:
+                rest.append(i)
+            else:
+                self.new[x] = found
+        for k in range(0, len(rest), 2000):
+            at = rest[k : k + 2000]
+            made = self._made([words[i] for i in at])
+            for i in at:
+                out[i] = made[words[i]]
+            self.new.update(made if max(map(len, made)) <= LONGEST else {x: ids for x, ids in made.items() if len(x) <= LONGEST})
         return out
 
-    def _tail(self, signs: str) -> bytes:
-        found = self.tails.get(signs)
-        if found is None:
-            if len(self.tails) >= 10_000:
-                self.tails.clear()
-            found = self.tails[signs] = self.lib.exact([signs])[0].astype(self.kind).tobytes()
-        return found
+    def _starts(self, raw: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Where the chunks of texts begin that end at ``ends`` of ``raw``; those of ``whole`` are one."""
+        begins = ends - np.diff(ends, prepend=0)
+        after = np.flatnonzero(raw == 32) + 1  # what follows each space
+        last = np.zeros(len(raw) + 1, bool)
+        last[ends] = True
+        after = after[~last[after]]
+        first = raw[after]
+        white = self.WHITE[first]
+        wide = np.flatnonzero((first >= 0xC2) & (first <= 0xE3))
+        if len(wide):
+            more = np.concatenate((raw, np.zeros(2, np.uint8))).astype(np.int64)
+            at = after[wide]
+            point = more[at] << 16 | more[at + 1] << 8 | np.where(first[wide] < 0xE0, 0, more[at + 2])
+            white[wide] = np.isin(point, self.WIDE)
+        at = after[~white] - 1
+        if whole.any():
+            at = at[~whole[np.searchsorted(ends, at, side="right")]]
+        mark = np.zeros(len(raw), bool)
+        mark[at] = True
+        mark[begins[begins < ends]] = True
+        starts = np.flatnonzero(mark)
+        if not len(starts):
+            return starts
+        # signs at a word's end
+        stops = np.append(starts[1:], len(raw))
+        other = np.maximum.accumulate(np.where(self.SIGN[raw], np.int32(-1), np.arange(len(raw), dtype=np.int32)))
+        at = other[stops - 1].astype(np.int64) + 1
+        some = np.flatnonzero((at > starts) & (at < stops))
+        at, behind = at[some], raw[at[some] - 1]
+        good = self.LETTER[behind] | ((at - starts[some] > 1) & (raw[at - 2] == 0xC3) & self.SECOND[behind])
+        if whole.any():
+            good &= ~whole[np.searchsorted(ends, starts[some], side="right")]
+        mark[at[good]] = True
+        return np.flatnonzero(mark)
+
+    def arrays(self, column: pa.Array, end: int, size: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of portions of the texts (null: empty) of some ``size`` bytes each: all ids, and how many each text has."""
+        texts = column.fill_null("").cast(pa.large_string())
+        if not len(texts):
+            return
+        whole = np.full(len(texts), not self.lib.apart)
+        for s in self.lib.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        _, offsets, data = texts.buffers()
+        upto = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        every = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + size, side="right")) - 1)
+            raw, ends = every[upto[i] : upto[j]], upto[i + 1 : j + 1] - upto[i]
+            starts = self._starts(raw, ends, whole[i:j])
+            cut = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
+            ids = [*self._values(cut.dictionary.to_numpy(zero_copy_only=False).tolist()), np.array([end], self.kind).tobytes()]
+            flat = np.frombuffer(b"".join(ids), self.kind)
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+            # the end id stands behind each text like a chunk
+            upto_text = np.searchsorted(starts, ends)
+            which = np.insert(cut.indices.to_numpy().astype(np.int64), upto_text, len(ids) - 1)
+            sizes = lengths[which]
+            place = np.cumsum(lengths) - lengths
+            done = np.cumsum(sizes)
+            total = done[upto_text + np.arange(j - i)]
+            yield flat[np.repeat(place[which] - done + sizes, sizes) + np.arange(done[-1])].astype("<u4"), np.diff(total, prepend=0)
+            i = j
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        cut = [None if not self.lib.apart or any(s in x for s in self.lib.special) else chunks(x) for x in texts]
-        rest = self.known.values([p[1:] if p else [] for p in cut], self._new)
-        last = np.array([end], self.kind).tobytes()
-        first = [x.astype(self.kind).tobytes() for x in self.lib.exact([x if p is None else p[0] for x, p in zip(texts, cut, strict=True)])]
-        return [a + b"".join(b) + last for a, b in zip(first, rest, strict=True)]
+        """The ids of each text as bytes."""
+        out = []
+        for ids, sizes in self.arrays(pa.array(texts, pa.large_string()), end):
+            out += [x.astype(self.kind).tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        return out
 
 
 def compress(ids: np.ndarray, first_rule: int, start: int = START, step: int = STEP, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,12 +416,12 @@ def write(df: DataFrame, tokenizer: str, path: str, end: int = 0, shard_ids: int
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([first_rule], pa.int64()), *[pa.array([_packed(a)], pa.binary()) for a in arrays]], names=FILE.names)
 
         for batch in batches:
-            every, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for i, j in portions(texts, 3_000_000):
-                for d, x in zip(every[i:j], encoder.encode(texts[i:j], end), strict=True):
-                    one = np.frombuffer(x, encoder.kind).astype("<u4")
+            every, at = batch.column(0).to_pylist(), 0
+            for flat, sizes in encoder.arrays(batch.column(1), end):
+                for one in np.split(flat, np.cumsum(sizes)[:-1]):
                     ids.append(one)
-                    docs.append(d)
+                    docs.append(every[at])
+                    at += 1
                     total += len(one)
                     if total >= shard_ids:
                         yield close()

@@ -270,3 +270,28 @@ def test_reading_a_shard_takes_long_rules_apart(monkeypatch):
         monkeypatch.setattr(repair, "_SHORT", bound)
         shard = repair.Shard(500, *made)
         assert all((shard.read(a, n) == ids[a : a + n]).all() for a, n in ((0, len(ids)), (0, 1), (17, 1000), (len(ids) - 1, 1), (5, 0)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.one_of(st.none(), st.sampled_from(TEXTS), st.text(st.sampled_from(ODD + ".,é%"), max_size=40)), max_size=12), size=st.integers(1, 200))
+def test_ids_by_bytes_equal_library(words, lib, texts, size):
+    column = pa.array(["before", *texts], pa.string()).slice(1)
+    got = [x.tolist() for ids, sizes in words.arrays(column, 0, size) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [lib.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
+
+
+@pytest.fixture(scope="module")
+def words():
+    with open(JSON, "rb") as f:
+        return repair.Encoder(f.read(), bound=50)
+
+
+def test_words_of_letters_are_not_searched_for_matches(lib):
+    with open(JSON, "rb") as f:
+        encoder = repair.Encoder(f.read())
+    asked = []
+    for name in ("exact", "_cut"):
+        setattr(encoder.lib, name, lambda some, f=getattr(encoder.lib, name): asked.extend(some) or f(some))
+    texts = ["a gröling zorbling, thonly. zorbling 12x été"]
+    assert np.frombuffer(encoder.encode(texts, 0)[0], encoder.kind).tolist() == lib.encode(texts[0], add_special_tokens=False).ids + [0]
+    assert sorted(asked) == sorted(["a", ",", ".", "12x"])
